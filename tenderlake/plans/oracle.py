@@ -194,3 +194,49 @@ CONV_REQUESTS = f"""requests AS (
     NULL::BIGINT AS estimated_amount, NULL::VARCHAR[] AS technical_domains, NULL::VARCHAR AS organisme
   FROM conversations WHERE role = 'user'
 )"""
+
+
+def formalism_sql(t: str, a: str) -> str:
+    return (f"CASE WHEN {t} = 'MAPA' THEN 'Minimum' WHEN {t} IN ('Ouvert', 'Restreint') THEN "
+            f"CASE WHEN {a} IS NOT NULL AND {a} > 1000000 THEN 'Maximum' ELSE 'Standard' END "
+            f"ELSE 'Maximum' END")
+
+
+def complexity_sql(d: str) -> str:
+    return (f"CASE WHEN len({d}) = 0 THEN 'Faible' WHEN len({d}) >= 3 OR "
+            f"list_has_any({d}, {_lst(S.COMPLEX_DOMAINS)}) THEN 'Élevée' "
+            f"WHEN len({d}) = 2 THEN 'Moyenne' ELSE 'Faible' END")
+
+
+WEIGHTS_TOTAL = "CAST(coalesce(list_sum(map_values(criteria_weights)), 0) AS BIGINT)"
+PRICE_SENS = ("CASE WHEN cardinality(criteria_weights) = 0 THEN 0.5::DOUBLE "
+              "ELSE CAST(coalesce(criteria_weights['prix'], 50) AS DOUBLE) / 100.0::DOUBLE END")
+
+PROFILE = f"""WITH {ORDER_META}, {TENDER_DOMAINS}, {TENDERS}
+SELECT tender_id, ao_type, sector, estimated_amount, organisme, geographic_scope,
+  {bucket_sql('estimated_amount')} AS amount_range,
+  {formalism_sql('ao_type', 'estimated_amount')} AS formalism_level,
+  round({PRICE_SENS}, 6) AS price_sensitivity,
+  {complexity_sql('technical_domains')} AS technical_complexity,
+  {WEIGHTS_TOTAL} AS weights_total,
+  {WEIGHTS_TOTAL} <= 100 AS weights_valid,
+  array_to_string(technical_domains, '|') AS domains
+FROM tenders"""
+
+TENDER_REJECTS = f"""WITH {ORDER_META}, {TENDER_DOMAINS}, {TENDERS}
+SELECT tender_id, {WEIGHTS_TOTAL} AS weights_total, 'CRITERIA_WEIGHTS_OVER_100' AS reject_reason
+FROM tenders WHERE {WEIGHTS_TOTAL} > 100"""
+
+KEYWORDS = f"""WITH {ORDER_META}, {TENDER_DOMAINS}, {TENDERS}
+SELECT tender_id,
+  array_to_string(list_concat([ao_type, sector], technical_domains, [{bucket_sql('estimated_amount')}],
+    CASE WHEN organisme IS NOT NULL AND organisme <> '' THEN [organisme] ELSE []::VARCHAR[] END,
+    CASE WHEN geographic_scope IS NOT NULL AND geographic_scope <> '' THEN [geographic_scope]
+         ELSE []::VARCHAR[] END), ' | ') AS search_keywords,
+  concat_ws(' - ', 'Appel d''offres ' || ao_type || ' secteur ' || sector,
+    CASE WHEN {truthy_amount('estimated_amount')} THEN 'montant ' || ({bucket_sql('estimated_amount')}) END,
+    CASE WHEN len(technical_domains) > 0 THEN 'domaines techniques: ' || array_to_string(technical_domains, ', ') END,
+    CASE WHEN organisme IS NOT NULL AND organisme <> '' THEN 'organisme: ' || organisme END,
+    CASE WHEN geographic_scope IS NOT NULL AND geographic_scope <> '' THEN 'périmètre: ' || geographic_scope END)
+    AS search_context
+FROM tenders"""

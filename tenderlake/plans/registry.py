@@ -10,6 +10,9 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from tenderlake.operators import profile as PR
 from tenderlake.operators.search import SearchOptions, search
 from tenderlake.plans import oracle as O
 from tenderlake.sources import fixtures as fx
@@ -37,3 +40,30 @@ def search_conversations(spark, sf_dir):
     """Free-text user turns, no context, cosine metric, default collection."""
     return search(fx.conversation_queries(spark, sf_dir), fx.corpus(spark, sf_dir),
                   opts=SearchOptions(metric="cosine"))
+
+
+# ------------------------------------------------------------------ tender profile
+@register("f6_f9_profile_tenders", O.PROFILE)
+def profile_tenders_q(spark, sf_dir):
+    """Derived tender columns."""
+    p = PR.profile_tenders(fx.tenders(spark, sf_dir))
+    return p.select("tender_id", "ao_type", "sector", "estimated_amount", "organisme",
+                    "geographic_scope", "amount_range", "formalism_level",
+                    F.round("price_sensitivity", 6).alias("price_sensitivity"),
+                    "technical_complexity", "weights_total", "weights_valid",
+                    F.array_join("technical_domains", "|").alias("domains"))
+
+
+@register("p9_reject_tenders", O.TENDER_REJECTS)
+def reject_tenders_q(spark, sf_dir):
+    """Tenders whose criteria weights sum above 100 (quarantine)."""
+    _, rejected = PR.split_valid_tenders(PR.profile_tenders(fx.tenders(spark, sf_dir)))
+    return rejected.select("tender_id", "weights_total", "reject_reason")
+
+
+@register("f10_f11_keywords_context", O.KEYWORDS)
+def keywords_q(spark, sf_dir):
+    """F10 search keywords and F11 search-context text of every tender."""
+    k = PR.keywords_and_context(fx.tenders(spark, sf_dir))
+    return k.select("tender_id", F.array_join("search_keywords", " | ").alias("search_keywords"),
+                    "search_context")
