@@ -240,3 +240,89 @@ SELECT tender_id,
     CASE WHEN geographic_scope IS NOT NULL AND geographic_scope <> '' THEN 'périmètre: ' || geographic_scope END)
     AS search_context
 FROM tenders"""
+
+
+# ---------------------------------------------------------------- cache
+CACHE_MODEL = "hashed-tf-64"
+CACHE_AS_OF = "TIMESTAMP '2024-01-02 12:00:00'"
+
+
+def cache_key_sql(text: str, model: str = CACHE_MODEL) -> str:
+    return f"sha256(trim(regexp_replace({text}, '\\s+', ' ', 'g')) || '|' || '{model}')"
+
+
+CACHE = f"""cache AS (
+  SELECT {cache_key_sql('d.text')} AS cache_key, d.text, '{CACHE_MODEL}' AS model,
+    CASE WHEN d.doc_id % 50 = 7 THEN md5(d.text || ' ') ELSE md5(d.text) END AS text_hash,
+    TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(d.doc_id % 2880 AS BIGINT)) AS cached_at,
+    CAST(256 + strlen(d.text) AS BIGINT) AS size_bytes, 64 AS dim
+  FROM documents d JOIN orders o ON d.doc_id = o.o_orderkey
+  WHERE o.o_orderdate < TIMESTAMP '1998-01-01'
+),
+latest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY cached_at DESC,
+                 text_hash DESC) AS v FROM cache) WHERE v = 1
+),
+fresh AS (SELECT * FROM latest WHERE {CACHE_AS_OF} < cached_at + INTERVAL 24 HOUR),
+texts AS (SELECT doc_id AS pos, text FROM documents),
+probed AS (
+  SELECT t.pos, t.text, {cache_key_sql('t.text')} AS cache_key,
+    CASE WHEN f.cache_key IS NULL THEN 'miss'
+         WHEN f.model = '{CACHE_MODEL}' AND f.text_hash = md5(t.text) AND f.dim > 0 THEN 'hit'
+         ELSE 'corrupt' END AS status
+  FROM texts t LEFT JOIN fresh f ON {cache_key_sql('t.text')} = f.cache_key
+  WHERE NOT (t.text IS NULL OR regexp_matches(t.text, '^\\s*$'))
+)"""
+
+F12_KEYS = f"""SELECT doc_id, {cache_key_sql('text')} AS cache_key,
+  substr({cache_key_sql('text')}, 1, 2) AS key_prefix, md5(text) AS text_hash FROM documents"""
+
+J2_PROBE = f"WITH {CACHE} SELECT pos, cache_key, status FROM probed"
+
+J3_MISSES = f"WITH {CACHE} SELECT DISTINCT cache_key FROM probed WHERE status <> 'hit'"
+
+M6_CORRUPT = f"WITH {CACHE} SELECT DISTINCT cache_key FROM probed WHERE status = 'corrupt'"
+
+E1_EMBED = f"""WITH {CACHE},
+{hashed_tf_cte('vec', 'probed', 'pos', 'text', 64)}
+SELECT p.pos, p.status, p.status = 'hit' AS from_cache, CAST(len(v.v) AS INTEGER) AS dim,
+  round(list_reduce(list_transform(v.v, lambda x: x::DOUBLE), lambda a, x: a + x), 6) AS vsum
+FROM probed p JOIN vec v ON v.id = p.pos"""
+
+M2_EXPIRE = f"""WITH {CACHE} SELECT cache_key, strftime(cached_at, '%Y-%m-%d %H:%M:%S') AS cached_at, size_bytes
+FROM cache WHERE {CACHE_AS_OF} < cached_at + INTERVAL 24 HOUR"""
+
+M1_UPSERT = f"""WITH {CACHE},
+newe AS (SELECT DISTINCT cache_key, {CACHE_AS_OF} AS cached_at, md5(text) AS text_hash,
+           CAST(256 + strlen(text) AS BIGINT) AS size_bytes
+         FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY pos) AS r
+               FROM probed WHERE status <> 'hit') WHERE r = 1),
+u AS (SELECT cache_key, cached_at, text_hash, size_bytes FROM cache UNION ALL SELECT * FROM newe)
+SELECT cache_key, strftime(cached_at, '%Y-%m-%d %H:%M:%S') AS cached_at, size_bytes FROM (
+  SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY cached_at DESC, text_hash DESC) AS v FROM u)
+WHERE v = 1"""
+
+
+def m3_evict_sql(max_bytes: int, ratio: float = 0.8) -> str:
+    return f"""WITH {CACHE},
+s AS (SELECT cache_key, size_bytes, sum(size_bytes) OVER () AS total,
+        coalesce(sum(size_bytes) OVER (ORDER BY cached_at, cache_key
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM cache)
+SELECT cache_key, size_bytes,
+  total > {max_bytes} AND (total - before) > {float(max_bytes) * ratio}::DOUBLE AS evicted FROM s"""
+
+
+A5_STATS = f"""WITH {CACHE},
+st AS (SELECT count(*) AS total_requests, count(*) FILTER (WHERE status = 'hit') AS cache_hits,
+         count(*) FILTER (WHERE status <> 'hit') AS cache_misses,
+         count(*) FILTER (WHERE status = 'corrupt') AS cache_errors,
+         sum(CASE WHEN status = 'hit' THEN len(list_filter(string_split_regex(text, '\\s+'),
+             lambda w: w <> ''))::DOUBLE * 1.3::DOUBLE / 1000.0::DOUBLE * 0.00013::DOUBLE
+             ELSE 0.0::DOUBLE END) AS sv FROM probed),
+sz AS (SELECT CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS cache_size_bytes, count(*) AS entries FROM cache)
+SELECT total_requests, cache_hits, cache_misses, cache_errors,
+  round(cache_hits::DOUBLE / total_requests, 6) AS hit_rate, round(sv, 9) AS total_savings_usd,
+  cache_size_bytes, entries FROM st, sz"""
+
+M5_CLEAR = f"""WITH {CACHE} SELECT count(*) AS cleared_entries,
+  CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS cleared_bytes FROM cache"""

@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from tenderlake.functions.text import cache_key as _ck, key_prefix as _kp
+from tenderlake.operators import cache as C
 from tenderlake.operators import profile as PR
+from tenderlake.operators.providers import HashedTF
 from tenderlake.operators.search import SearchOptions, search
 from tenderlake.plans import oracle as O
 from tenderlake.sources import fixtures as fx
@@ -67,3 +70,94 @@ def keywords_q(spark, sf_dir):
     k = PR.keywords_and_context(fx.tenders(spark, sf_dir))
     return k.select("tender_id", F.array_join("search_keywords", " | ").alias("search_keywords"),
                     "search_context")
+
+
+# ------------------------------------------------------------------ embedding cache
+M3_MAX_BYTES = 500_000   # test parameter: small enough that every scale factor evicts
+
+
+def _as_of():
+    return F.lit(fx.CACHE_AS_OF).cast("timestamp")
+
+
+def _probed(spark, sf_dir):
+    texts = fx.text_batch(spark, sf_dir)
+    valid = texts.filter(~C.is_blank(F.col("text")))
+    return C.probe(valid, fx.cache_table(spark, sf_dir), fx.CACHE_MODEL, _as_of())
+
+
+def _ts(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+@register("f12_cache_key", O.F12_KEYS)
+def cache_key_q(spark, sf_dir):
+    """cache key, key prefix and raw-text hash of every document."""
+    d = fx.read_table(spark, sf_dir, "documents")
+    k = _ck(F.col("text"), F.lit(fx.CACHE_MODEL))
+    return d.select("doc_id", k.alias("cache_key"), _kp(k).alias("key_prefix"),
+                    F.md5("text").alias("text_hash"))
+
+
+@register("j2_cache_probe", O.J2_PROBE)
+def cache_probe_q(spark, sf_dir):
+    """J2 + F13 + F14: hit / corrupt / miss per text."""
+    return _probed(spark, sf_dir).select("pos", "cache_key", "status")
+
+
+@register("j3_cache_misses", O.J3_MISSES)
+def cache_misses_q(spark, sf_dir):
+    """Distinct keys to embed."""
+    return C.misses(_probed(spark, sf_dir)).select("cache_key")
+
+
+@register("m6_corrupt_keys", O.M6_CORRUPT)
+def corrupt_q(spark, sf_dir):
+    """M6: keys whose fresh entry fails the integrity check."""
+    return C.corrupt_keys(_probed(spark, sf_dir))
+
+
+@register("e1_embed_with_cache", O.E1_EMBED)
+def embed_cache_q(spark, sf_dir):
+    """E1 + J4: vectors for every text, from the cache or the provider."""
+    out, _ = C.embed_with_cache(fx.text_batch(spark, sf_dir), fx.cache_table(spark, sf_dir),
+                                HashedTF(64), _as_of())
+    return out.select("pos", "status", "from_cache",
+                      F.size("embedding").cast("int").alias("dim"),
+                      F.round(F.aggregate("embedding", F.lit(0.0),
+                                          lambda a, x: a + x.cast("double")), 6).alias("vsum"))
+
+
+@register("m1_upsert", O.M1_UPSERT)
+def upsert_q(spark, sf_dir):
+    """M1: cache after writing the entries of the misses (last write wins)."""
+    cache = fx.cache_table(spark, sf_dir)
+    _, new = C.embed_with_cache(fx.text_batch(spark, sf_dir), cache, HashedTF(64), _as_of())
+    return C.upsert(cache, new).select("cache_key", _ts(F.col("cached_at")).alias("cached_at"),
+                                       "size_bytes")
+
+
+@register("m2_expire", O.M2_EXPIRE)
+def expire_q(spark, sf_dir):
+    """M2: entries still valid at as_of."""
+    return C.expire(fx.cache_table(spark, sf_dir), _as_of()).select(
+        "cache_key", _ts(F.col("cached_at")).alias("cached_at"), "size_bytes")
+
+
+@register("m3_evict", O.m3_evict_sql(M3_MAX_BYTES))
+def evict_q(spark, sf_dir):
+    """M3: oldest-first eviction down to 80 % of the size limit."""
+    return C.evict_oldest(fx.cache_table(spark, sf_dir), M3_MAX_BYTES).select(
+        "cache_key", "size_bytes", "evicted")
+
+
+@register("a5_cache_stats", O.A5_STATS)
+def cache_stats_q(spark, sf_dir):
+    """A5 + A6 + M4: hit rate, savings and size."""
+    return C.cache_stats(_probed(spark, sf_dir), fx.cache_table(spark, sf_dir))
+
+
+@register("m5_clear_report", O.M5_CLEAR)
+def clear_q(spark, sf_dir):
+    """M5: entries and bytes a clear removes."""
+    return C.clear_report(fx.cache_table(spark, sf_dir))

@@ -231,3 +231,40 @@ def op_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(et == "error", status.cast("int")).alias("status_code"),
         k.alias("k"),
     )
+
+
+# ---------------------------------------------------------------- cache fixture
+CACHE_MODEL = "hashed-tf-64"
+CACHE_EPOCH = "2024-01-01 00:00:00"
+CACHE_AS_OF = "2024-01-02 12:00:00"
+CACHE_CUTOFF = "1998-01-01"   # documents published before were embedded by an earlier run
+
+
+def cache_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding cache left by an earlier run: one entry per document
+    published before ``CACHE_CUTOFF``; ``cached_at`` spread over two days;
+    one entry in 50 carries a wrong text hash (corruption)."""
+    from tenderlake.functions.text import cache_key, key_prefix
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate") \
+        .filter(F.col("o_orderdate") < F.lit(CACHE_CUTOFF).cast("timestamp"))
+    d = docs.join(orders, docs.doc_id == orders.o_orderkey).select("doc_id", "text")
+    d = spread(d, docs, "doc_id")
+    t = F.col("text")
+    emb = hashed_tf(t, 64)
+    corrupt = F.pmod(F.col("doc_id"), F.lit(50)) == 7
+    return d.select(
+        cache_key(t, F.lit(CACHE_MODEL)).alias("cache_key"), t.alias("text"),
+        F.lit(CACHE_MODEL).alias("model"), emb.alias("embedding"),
+        F.when(corrupt, F.md5(F.concat(t, F.lit(" ")))).otherwise(F.md5(t)).alias("text_hash"),
+        F.lit(64).alias("embedding_dimension"),
+        (F.lit(CACHE_EPOCH).cast("timestamp")
+         + F.make_interval(mins=F.pmod(F.col("doc_id"), F.lit(2880)).cast("int"))).alias("cached_at"),
+        (F.lit(4 * 64) + F.octet_length(t)).cast("bigint").alias("size_bytes"),
+    ).withColumn("key_prefix", key_prefix(F.col("cache_key")))
+
+
+def text_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts to embed: every document, ``pos`` = doc_id."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(docs, docs, "doc_id").select(F.col("doc_id").alias("pos"), "text")
