@@ -326,3 +326,54 @@ SELECT total_requests, cache_hits, cache_misses, cache_errors,
 
 M5_CLEAR = f"""WITH {CACHE} SELECT count(*) AS cleared_entries,
   CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS cleared_bytes FROM cache"""
+
+
+# ---------------------------------------------------------------- ingestion
+INGEST_TS = "TIMESTAMP '2024-03-01 09:00:00'"
+BATCHES = f"""batches AS (
+  SELECT source || '/' || coll AS batch_id, coll AS collection, text AS content, doc_id AS source_doc, lang
+  FROM (SELECT *, {_lst(FIXTURE_COLLECTIONS)}[doc_id % 5 + 1] AS coll FROM documents)
+  UNION ALL
+  SELECT 'benchmark', 'benchmark', text, item_id, NULL FROM benchmark
+),
+verdict AS (SELECT batch_id, count(*) AS documents,
+  bool_and(NOT (content IS NULL OR regexp_matches(content, '^\\s*$'))) AS accepted FROM batches GROUP BY batch_id),
+good AS (SELECT b.* FROM batches b JOIN verdict v ON b.batch_id = v.batch_id WHERE v.accepted),
+ided AS (SELECT *, collection || '_' || CAST(epoch_ms({INGEST_TS}) AS VARCHAR) || '_' ||
+  CAST(row_number() OVER (PARTITION BY batch_id ORDER BY source_doc) - 1 AS VARCHAR) AS doc_id FROM good)"""
+
+S2_INGEST = f"""WITH {BATCHES}
+SELECT doc_id, collection, batch_id, CAST(length(content) AS INTEGER) AS document_length,
+  '{S.ENGINE_VERSION}' AS engine_version, strftime({INGEST_TS}, '%Y-%m-%d %H:%M:%S') AS added_at,
+  lang, NULL::VARCHAR AS meta_collection FROM ided"""
+
+S3_VERDICT = f"WITH {BATCHES} SELECT batch_id, documents, accepted FROM verdict"
+
+S7_SUMMARY = f"""WITH {BATCHES},
+g AS (SELECT collection, batch_id, count(*) AS documents_added,
+        CAST(sum(length(content)) AS BIGINT) AS total_characters,
+        sum(len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> ''))) AS words
+      FROM ided GROUP BY collection, batch_id)
+SELECT collection, batch_id, documents_added, total_characters,
+  CAST(floor(words::DOUBLE * 1.3::DOUBLE) AS BIGINT) AS estimated_tokens,
+  round(CAST(floor(words::DOUBLE * 1.3::DOUBLE) AS BIGINT)::DOUBLE / 1000.0::DOUBLE * 0.00013::DOUBLE, 9)
+    AS estimated_cost_usd
+FROM g"""
+
+DEFAULT_COLLECTIONS_SQL = "(VALUES " + ", ".join(
+    "('" + n + "', '" + d.replace("'", "''") + "', true)" for n, d in S.DEFAULT_COLLECTIONS) + \
+    ") AS dc(name, description, is_default)"
+
+S1_COLLECTIONS = f"""WITH {BATCHES},
+dc AS (SELECT * FROM {DEFAULT_COLLECTIONS_SQL}),
+new AS (SELECT DISTINCT collection AS name FROM batches WHERE collection NOT IN (SELECT name FROM dc))
+SELECT name, description, is_default FROM dc
+UNION ALL SELECT name, '' AS description, false AS is_default FROM new"""
+
+S9_COUNTS = f"""WITH {BATCHES},
+dc AS (SELECT * FROM {DEFAULT_COLLECTIONS_SQL}),
+reg AS (SELECT name, description FROM dc UNION ALL
+        SELECT DISTINCT collection, '' FROM batches WHERE collection NOT IN (SELECT name FROM dc)),
+cnt AS (SELECT collection, count(*) AS n FROM ided GROUP BY collection)
+SELECT r.name, r.description, CAST(coalesce(c.n, 0) AS BIGINT) AS document_count
+FROM reg r LEFT JOIN cnt c ON r.name = c.collection"""

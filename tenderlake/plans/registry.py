@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions.text import cache_key as _ck, key_prefix as _kp
 from tenderlake.operators import cache as C
+from tenderlake.operators import ingest as IG
 from tenderlake.operators import profile as PR
 from tenderlake.operators.providers import HashedTF
 from tenderlake.operators.search import SearchOptions, search
@@ -161,3 +162,56 @@ def cache_stats_q(spark, sf_dir):
 def clear_q(spark, sf_dir):
     """M5: entries and bytes a clear removes."""
     return C.clear_report(fx.cache_table(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ ingestion
+def _ingest_ts():
+    return F.lit(fx.INGEST_TS).cast("timestamp")
+
+
+def _all_batches(spark, sf_dir):
+    return fx.document_batches(spark, sf_dir).unionByName(
+        fx.benchmark_batches(spark, sf_dir), allowMissingColumns=True)
+
+
+def _ingested(spark, sf_dir):
+    rows, _ = IG.ingest(_all_batches(spark, sf_dir), None, _ingest_ts(), order_col="source_doc")
+    return rows
+
+
+@register("s2_ingest_documents", O.S2_INGEST)
+def ingest_q(spark, sf_dir):
+    """S2 + S4 + S5: accepted rows with generated ids and forced metadata."""
+    r = _ingested(spark, sf_dir)
+    return r.select("doc_id", "collection", "batch_id", "document_length", "engine_version",
+                    _ts(F.col("added_at")).alias("added_at"),
+                    F.try_element_at("extra", F.lit("lang")).alias("lang"),
+                    F.try_element_at("extra", F.lit("collection")).alias("meta_collection"))
+
+
+@register("s3_batch_validation", O.S3_VERDICT)
+def batch_validation_q(spark, sf_dir):
+    """S3: per-batch verdict (any blank document rejects the batch)."""
+    b = _all_batches(spark, sf_dir)
+    return b.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.bool_and(~C.is_blank(F.col("content"))).alias("accepted"))
+
+
+@register("s7_ingest_summary", O.S7_SUMMARY)
+def ingest_summary_q(spark, sf_dir):
+    """S7 + A4: documents, characters, tokens and cost per batch."""
+    return IG.ingest_summary(_ingested(spark, sf_dir), "text-embedding-3-large")
+
+
+@register("s1_register_collections", O.S1_COLLECTIONS)
+def collections_q(spark, sf_dir):
+    """Default collections plus every new name seen in the batches."""
+    return IG.register_collections(IG.default_collections(spark), _all_batches(spark, sf_dir))
+
+
+@register("s9_collection_counts", O.S9_COUNTS)
+def collection_counts_q(spark, sf_dir):
+    """Documents per registered collection (0 when empty)."""
+    reg = IG.register_collections(IG.default_collections(spark), _all_batches(spark, sf_dir))
+    return IG.collection_counts(reg, _ingested(spark, sf_dir))

@@ -268,3 +268,28 @@ def text_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts to embed: every document, ``pos`` = doc_id."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return spread(docs, docs, "doc_id").select(F.col("doc_id").alias("pos"), "text")
+
+
+# ---------------------------------------------------------------- ingestion fixture
+INGEST_TS = "2024-03-01 09:00:00"
+
+
+def document_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as add-documents calls: one batch per (source, collection),
+    ``pos`` = rank of the document inside its batch by doc_id."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    coll = _pick(FIXTURE_COLLECTIONS, F.pmod(F.col("doc_id"), F.lit(5)))
+    return spread(docs, docs, "doc_id").select(
+        F.concat_ws("/", F.col("source"), coll).alias("batch_id"),
+        coll.alias("collection"),
+        F.col("text").alias("content"),
+        F.col("doc_id").alias("source_doc"),
+        F.create_map(F.lit("lang"), F.col("lang"), F.lit("collection"), F.lit("user")).alias("extra"),
+    )
+
+
+def benchmark_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as one call into a new collection."""
+    b = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return b.select(F.lit("benchmark").alias("batch_id"), F.lit("benchmark").alias("collection"),
+                    F.col("text").alias("content"), F.col("item_id").alias("source_doc"))
