@@ -377,3 +377,128 @@ reg AS (SELECT name, description FROM dc UNION ALL
 cnt AS (SELECT collection, count(*) AS n FROM ided GROUP BY collection)
 SELECT r.name, r.description, CAST(coalesce(c.n, 0) AS BIGINT) AS document_count
 FROM reg r LEFT JOIN cnt c ON r.name = c.collection"""
+
+
+# ---------------------------------------------------------------- op log reports
+LOG_MODELS = ["text-embedding-3-large", "text-embedding-3-small", "text-embedding-ada-002",
+              "custom-embedder"]
+OP_LOG = f"""op_log AS (
+  SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type,
+    CASE WHEN event_type IN ('view', 'click') THEN 'rag_search' WHEN event_type = 'purchase' THEN 'embedding_call'
+         WHEN event_type = 'signup' THEN 'add_documents' ELSE 'failed_operation' END AS operation,
+    value AS duration_ms, event_type <> 'error' AS success,
+    CASE WHEN event_type = 'view' THEN true WHEN event_type = 'click' THEN false END AS cache_hit,
+    CASE WHEN event_type = 'purchase' THEN k END AS tokens,
+    CASE WHEN event_type = 'signup' THEN k END AS documents,
+    CASE WHEN event_type = 'error' THEN CAST([401, 403, 404, 429, 500, 503][k % 6 + 1] AS INTEGER) END AS status_code,
+    k, {_lst(LOG_MODELS)}[user_id % 4 + 1] AS model,
+    md5(CAST(event_id AS VARCHAR)) AS session_token
+  FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+)"""
+
+A1_STATS = f"""WITH {OP_LOG},
+a AS (SELECT count(*) FILTER (WHERE operation = 'rag_search') AS successful_searches,
+        count(*) FILTER (WHERE NOT success) AS failed_searches,
+        avg(CASE WHEN operation = 'rag_search' THEN duration_ms END) AS av,
+        count(*) FILTER (WHERE operation = 'rag_search' AND cache_hit) AS hits,
+        coalesce(sum(tokens), 0) AS tok, coalesce(sum(documents), 0) AS docs FROM op_log)
+SELECT successful_searches + failed_searches AS total_searches, successful_searches, failed_searches,
+  round(coalesce(av, 0.0), 6) AS avg_search_time_ms,
+  round(CASE WHEN successful_searches = 0 THEN NULL ELSE hits::DOUBLE / successful_searches END, 6)
+    AS cache_hit_rate,
+  round(tok::DOUBLE / 1000.0::DOUBLE * 0.00013::DOUBLE, 9) AS total_cost_usd,
+  round(tok::DOUBLE / 1000.0::DOUBLE * 0.00013::DOUBLE / greatest(1, successful_searches + failed_searches), 12)
+    AS avg_cost_per_search,
+  CAST(docs AS BIGINT) AS total_documents_added
+FROM a"""
+
+A3_STATS = f"""WITH {OP_LOG},
+a AS (SELECT count(*) FILTER (WHERE operation IN ('rag_search', 'embedding_call')) AS total_requests,
+        CAST(coalesce(sum(tokens), 0) AS BIGINT) AS total_tokens,
+        count(*) FILTER (WHERE coalesce(cache_hit, false)) AS cache_hits,
+        count(*) FILTER (WHERE operation = 'embedding_call') AS api_calls,
+        count(*) FILTER (WHERE NOT success) AS errors,
+        avg(CASE WHEN operation = 'embedding_call' THEN duration_ms END) AS lat FROM op_log)
+SELECT total_requests, total_tokens,
+  round(floor(total_tokens::DOUBLE) / 1000.0::DOUBLE * 0.00013::DOUBLE, 9) AS total_cost_usd,
+  cache_hits, api_calls, errors, round(coalesce(lat, 0.0), 6) AS avg_latency_ms,
+  round(CASE WHEN total_requests = 0 THEN NULL ELSE cache_hits::DOUBLE / total_requests END, 6) AS cache_hit_rate
+FROM a"""
+
+MODELS_SQL = "(VALUES " + ", ".join(f"('{m}', {d}, {p}::DOUBLE)" for m, d, p, _ in S.MODELS) + \
+    ") AS mt(model, dimension, price_per_1k)"
+
+A4_COST = f"""WITH {OP_LOG},
+g AS (SELECT model, count(*) AS calls, sum(tokens::DOUBLE) AS tok FROM op_log
+      WHERE operation = 'embedding_call' GROUP BY model)
+SELECT g.model, g.calls, CAST(floor(g.tok) AS BIGINT) AS tokens,
+  coalesce(mt.dimension, {S.UNKNOWN_MODEL_DIM}) AS dimension,
+  round(CAST(floor(g.tok) AS BIGINT)::DOUBLE / 1000.0::DOUBLE * coalesce(mt.price_per_1k, {S.UNKNOWN_MODEL_PRICE}::DOUBLE), 9)
+    AS cost_usd
+FROM g LEFT JOIN {MODELS_SQL} ON g.model = mt.model"""
+
+A8_TRIAGE = f"""WITH {OP_LOG}
+SELECT status_code, count(*) AS errors,
+  status_code >= 500 OR status_code = 429 AS is_retryable,
+  status_code IN (401, 403) AS is_authentication_error,
+  status_code = 429 AS is_rate_limited,
+  CASE WHEN status_code IN (401, 403) THEN 'API_AUTH_ERROR' WHEN status_code = 429 THEN 'API_RATE_LIMIT'
+       WHEN status_code >= 500 THEN 'API_SERVER_ERROR' ELSE 'API_CLIENT_ERROR' END AS error_class
+FROM op_log WHERE NOT success GROUP BY status_code"""
+
+S13_ERRORS = f"""WITH {OP_LOG}
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, 'APIError' AS error_type,
+  'HTTP_' || CAST(status_code AS VARCHAR) AS error_code, status_code,
+  'user_' || CAST(user_id AS VARCHAR) AS correlation_id
+FROM op_log WHERE NOT success"""
+
+A9_METRICS = f"""WITH {OP_LOG}
+SELECT operation, count(*) AS operations, count(*) FILTER (WHERE success) AS successes,
+  round(avg(duration_ms), 6) AS avg_duration_ms,
+  round(quantile_cont(duration_ms, 0.5), 6) AS p50_duration_ms,
+  round(quantile_cont(duration_ms, 0.95), 6) AS p95_duration_ms,
+  round(max(duration_ms), 2) AS max_duration_ms
+FROM op_log GROUP BY operation"""
+
+W4_RUNNING = f"""WITH {OP_LOG}
+SELECT event_id, operation,
+  round(sum(CAST(round(duration_ms * 100.0) AS BIGINT)) OVER (PARTITION BY operation ORDER BY ts, event_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE / (count(*) OVER (PARTITION BY operation
+        ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 100.0::DOUBLE), 6) AS running_avg_ms,
+  count(*) OVER (PARTITION BY operation ORDER BY ts, event_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n
+FROM op_log"""
+
+S12_LOG = f"""WITH {OP_LOG}
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, operation, duration_ms, success,
+  status_code, tokens, documents, cache_hit FROM op_log"""
+
+F15_MASK = f"""WITH {OP_LOG}
+SELECT event_id, 'user_' || CAST(user_id AS VARCHAR) AS user,
+  CASE WHEN length(session_token) > 8 THEN substr(session_token, 1, 4) || '...' || right(session_token, 4)
+       ELSE '***' END AS session_token,
+  CASE WHEN k IS NULL THEN NULL WHEN length(CAST(k AS VARCHAR)) > 8
+       THEN substr(CAST(k AS VARCHAR), 1, 4) || '...' || right(CAST(k AS VARCHAR), 4) ELSE '***' END AS auth_level,
+  event_type AS event
+FROM op_log"""
+
+A7_RATIO = f"""WITH {OP_LOG}
+SELECT CAST(coalesce(sum(documents), 0) AS BIGINT) AS total_documents_added,
+  CAST({len(S.DEFAULT_COLLECTIONS)} AS BIGINT) AS collections,
+  round(coalesce(sum(documents), 0)::DOUBLE / greatest(1, {len(S.DEFAULT_COLLECTIONS)}), 6) AS docs_per_collection
+FROM op_log"""
+
+F16_TOKENS = """SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS INTEGER) AS words,
+  round(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::DOUBLE * 1.3::DOUBLE, 6) AS token_estimate,
+  len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::DOUBLE * 1.3::DOUBLE > 8191 AS over_token_limit
+FROM documents"""
+
+A10_HEALTH = f"""WITH {OP_LOG},
+c AS (
+  SELECT 'documents' AS component, count(*) > 0 AND count(*) FILTER (WHERE text IS NULL OR regexp_matches(text, '^\\s*$')) = 0 AS healthy FROM documents
+  UNION ALL SELECT 'embeddings', count(*) > 0 AND bool_and(len(embedding) = 64) FROM embeddings
+  UNION ALL SELECT 'op_log_latency', coalesce(avg(duration_ms), 0) < {S.ALERT_LATENCY_MS}::DOUBLE FROM op_log
+  UNION ALL SELECT 'op_log_error_rate', count(*) FILTER (WHERE NOT success)::DOUBLE / greatest(1, count(*)) <= {S.ALERT_ERROR_RATE}::DOUBLE FROM op_log
+)
+SELECT component, CASE WHEN healthy THEN 'healthy' ELSE 'unhealthy' END AS status FROM c
+UNION ALL SELECT 'overall', CASE WHEN bool_and(healthy) THEN 'healthy' ELSE 'unhealthy' END FROM c"""

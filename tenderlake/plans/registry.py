@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tenderlake.functions.text import cache_key as _ck, key_prefix as _kp
 from tenderlake.operators import cache as C
 from tenderlake.operators import ingest as IG
+from tenderlake.operators import reports as RP
+from tenderlake.functions.text import word_count as _wc
 from tenderlake.operators import profile as PR
 from tenderlake.operators.providers import HashedTF
 from tenderlake.operators.search import SearchOptions, search
@@ -215,3 +217,100 @@ def collection_counts_q(spark, sf_dir):
     """Documents per registered collection (0 when empty)."""
     reg = IG.register_collections(IG.default_collections(spark), _all_batches(spark, sf_dir))
     return IG.collection_counts(reg, _ingested(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ reports over the operation log
+@register("a1_search_stats", O.A1_STATS)
+def search_stats_q(spark, sf_dir):
+    """A1 + A7: search totals (failures counted), mean time, hit rate, cost per search."""
+    return RP.search_stats(fx.op_log(spark, sf_dir), "text-embedding-3-large")
+
+
+@register("a3_embedding_stats", O.A3_STATS)
+def embedding_stats_q(spark, sf_dir):
+    """A3: embedding-service counters and hit rate."""
+    return RP.embedding_stats(fx.op_log(spark, sf_dir), "text-embedding-3-large")
+
+
+@register("a4_cost_by_model", O.A4_COST)
+def cost_by_model_q(spark, sf_dir):
+    """A4 + F17: tokens and cost per model through the 3-row model dimension."""
+    return RP.cost_by_model(fx.op_log(spark, sf_dir), IG.price_table(spark))
+
+
+@register("a7_docs_per_collection", O.A7_RATIO)
+def docs_per_collection_q(spark, sf_dir):
+    """Documents added per registered collection, max(1, n) guard."""
+    return RP.docs_per_collection(fx.op_log(spark, sf_dir), IG.default_collections(spark))
+
+
+@register("a8_error_triage", O.A8_TRIAGE)
+def error_triage_q(spark, sf_dir):
+    """Errors per status with retryable / auth / rate-limit classes."""
+    return RP.error_triage(fx.op_log(spark, sf_dir))
+
+
+@register("s13_error_records", O.S13_ERRORS)
+def error_records_q(spark, sf_dir):
+    """Failed operations as error rows."""
+    return RP.error_records(fx.op_log(spark, sf_dir))
+
+
+@register("a9_operation_metrics", O.A9_METRICS)
+def operation_metrics_q(spark, sf_dir):
+    """Per-operation count, successes, mean and percentile durations."""
+    return RP.operation_metrics(fx.op_log(spark, sf_dir))
+
+
+@register("w4_running_mean", O.W4_RUNNING)
+def running_mean_q(spark, sf_dir):
+    """Running mean duration per operation (distributed prefix sums)."""
+    return RP.running_mean_duration(fx.op_log(spark, sf_dir))
+
+
+@register("s12_op_log", O.S12_LOG)
+def op_log_q(spark, sf_dir):
+    """The operation log as typed rows."""
+    lg = fx.op_log(spark, sf_dir)
+    return lg.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
+                     "operation", "duration_ms", "success", "status_code", "tokens", "documents",
+                     "cache_hit")
+
+
+@register("f15_mask_context", O.F15_MASK)
+def mask_q(spark, sf_dir):
+    """sensitive keys of the log context masked."""
+    m = RP.mask_map(F.col("context"))
+    lg = fx.op_log(spark, sf_dir).select("event_id", m.alias("m"))
+    return lg.select("event_id", *[F.col("m")[k].alias(k) for k in
+                                   ("user", "session_token", "auth_level", "event")])
+
+
+@register("f16_token_estimate", O.F16_TOKENS)
+def token_estimate_q(spark, sf_dir):
+    """F16 + P12: words, token estimate (words x 1.3) and token-limit flag."""
+    d = fx.read_table(spark, sf_dir, "documents")
+    w = _wc(F.col("text"))
+    est = w.cast("double") * F.lit(1.3)
+    return d.select("doc_id", w.cast("int").alias("words"), F.round(est, 6).alias("token_estimate"),
+                    (est > 8191).alias("over_token_limit"))
+
+
+@register("a10_health", O.A10_HEALTH)
+def health_q(spark, sf_dir):
+    """A10: data health per component and overall."""
+    docs = fx.read_table(spark, sf_dir, "documents")
+    emb = fx.read_table(spark, sf_dir, "embeddings")
+    lg = fx.op_log(spark, sf_dir)
+    checks = [
+        ("documents", docs.agg((F.count(F.lit(1)) > 0)
+                               & (F.count_if(C.is_blank(F.col("text"))) == 0)).toDF("h"), F.col("h")),
+        ("embeddings", emb.agg((F.count(F.lit(1)) > 0)
+                               & F.bool_and(F.size("embedding") == 64)).toDF("h"), F.col("h")),
+        ("op_log_latency", lg.agg(F.coalesce(F.avg("duration_ms"), F.lit(0.0)) < 500.0).toDF("h"),
+         F.col("h")),
+        ("op_log_error_rate", lg.agg((F.count_if(~F.col("success")).cast("double")
+                                      / F.greatest(F.lit(1), F.count(F.lit(1)))) <= 0.05).toDF("h"),
+         F.col("h")),
+    ]
+    return RP.health_report(checks)

@@ -201,6 +201,11 @@ def tender_queries(spark: SparkSession, sf_dir: str, limit: int = S.DEFAULT_LIMI
     )
 
 
+# Model of an embedding call by user_id % 4 (the last name is not a known model).
+LOG_MODELS = ["text-embedding-3-large", "text-embedding-3-small", "text-embedding-ada-002",
+              "custom-embedder"]
+
+
 def op_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operation log mapped from ``events`` (ts cast to TIMESTAMP, UTC).
 
@@ -230,6 +235,11 @@ def op_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(et == "signup", k).alias("documents"),
         F.when(et == "error", status.cast("int")).alias("status_code"),
         k.alias("k"),
+        _pick(LOG_MODELS, F.pmod(F.col("user_id"), F.lit(4))).alias("model"),
+        F.create_map(F.lit("user"), F.concat(F.lit("user_"), F.col("user_id").cast("string")),
+                     F.lit("session_token"), F.md5(F.col("event_id").cast("string")),
+                     F.lit("auth_level"), k.cast("string"),
+                     F.lit("event"), et).alias("context"),
     )
 
 
