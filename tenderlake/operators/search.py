@@ -51,6 +51,8 @@ class SearchOptions:
     broadcast_budget_bytes: int = 64 * 1024 * 1024
     salt: int = 16
     max_limit: int | None = None      # literal bound for the top-k; computed if None
+    carry: list | None = None         # extra corpus columns to keep in the candidates
+    kernel: str = "block"             # "block" (matrix products in tasks) or "join"
 
 
 # ---------------------------------------------------------------- P1
@@ -144,6 +146,12 @@ def knn_candidates(requests: DataFrame, corpus: DataFrame, dim: int,
     k_lit = opts.candidate_factor * max_limit
 
     c = corpus.filter(filter_predicate(opts.filters)) if opts.filters else corpus
+    # Only the columns the ranking needs travel through the pair stream.
+    keep = ["doc_id", "collection", "embedding", "secteur", "type_ao", "fourchette_montant",
+            "domaine_technique", "organisme"] + [x for x in (opts.carry or []) if x in corpus.columns]
+    c = c.select(*keep)
+    if opts.kernel == "block":
+        return _block_path(requests, c, dim, opts, vec_col, overridden, max_limit, k_lit)
     c = c.withColumn("_vn", F.sqrt(sq_norm(F.col("embedding"), dim))) \
         if opts.metric == "cosine" else c
     c = _corpus_blocking(c, overridden)
@@ -183,6 +191,36 @@ def knn_candidates(requests: DataFrame, corpus: DataFrame, dim: int,
     return cands.drop(*drop)
 
 
+def _block_path(requests: DataFrame, c: DataFrame, dim: int, opts: SearchOptions, vec_col: str,
+                overridden: set[str], max_limit: int, k_lit: int) -> DataFrame:
+    from tenderlake.operators.knn_block import block_candidates, chunks_for
+    n = requests.count() if opts.max_limit is not None else None
+    q = requests.select("query_id", "collection", "limit", "min_similarity", "ctx",
+                        F.col(vec_col).alias("_qv"))
+    q = _request_blocking(q, overridden).withColumnRenamed("collection", "_q_collection")
+    domain_filter = "domaine_technique" not in overridden
+    q = q.withColumn("_doms", F.when(F.col("ctx").isNotNull(),
+                                     F.coalesce(F.col("ctx.technical_domains"),
+                                                F.array().cast("array<string>"))))
+    q = q.select("query_id", "_q_collection", "limit", "min_similarity", "_shape",
+                 *[f"_k_{k}" for k in CTX_KEYS], "_doms", "_qv")
+    rows = n if n is not None else _count(requests)
+    chunks = chunks_for(rows, dim, opts.broadcast_budget_bytes)
+    cands = block_candidates(q, c, dim, opts.metric, k_lit, _shape_keys(overridden),
+                             domain_filter, chunks)
+    cands = cands.withColumn("similarity", F.greatest(F.lit(0.0), F.lit(1.0) - F.col("distance")))
+    w = Window.partitionBy("query_id").orderBy(F.col("distance").asc(), F.col("doc_id").asc())
+    top = (cands.withColumn("cand_rank", F.row_number().over(w))
+           .filter(F.col("cand_rank") <= F.lit(k_lit))
+           .filter(F.col("cand_rank") <= F.col("limit") * opts.candidate_factor))
+    ctx = requests.select(F.col("query_id").alias("_qid"), "ctx")
+    return top.join(ctx, top.query_id == ctx._qid).drop("_qid")
+
+
+def _count(df: DataFrame) -> int:
+    return int(df.agg(F.count(F.lit(1))).first()[0])
+
+
 # ---------------------------------------------------------------- F2
 def contextual_relevance(sim: Column, ctx: Column) -> Column:
     """min(1, sim + bonus); bonuses added in a fixed order; sim without context."""
