@@ -92,39 +92,29 @@ def let(value: Column, body) -> Column:
 def hashed_tf(text: Column, n_buckets: int = 64) -> Column:
     """Dense L2-normalised term-frequency vector of hashed lower-case words.
 
-    Per row and shuffle-free: words are hashed to buckets and sorted; run
-    starts of equal buckets give (bucket, count) pairs, read into the dense
-    vector through a map of at most ``n_buckets`` keys.  Linear in words
-    apart from the sort.
+    Per row and shuffle-free.  Words are hashed to buckets once (one lambda
+    call per word); the count of bucket ``i`` is ``size(b) -
+    size(array_remove(b, i))``, a native scan, so the per-word cost is the
+    hash and the per-document cost adds ``n_buckets`` native passes.
     """
-    sorted_b = F.sort_array(F.transform(words(F.lower(F.coalesce(text, F.lit("")))),
-                                        lambda w: token_bucket(w, n_buckets)))
+    buckets = F.transform(words(F.lower(F.coalesce(text, F.lit("")))),
+                          lambda w: token_bucket(w, n_buckets))
 
-    def dense(mc: Column) -> Column:
-        m, norm = mc["m"], mc["norm"]
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(n_buckets - 1)),
-            lambda i: F.when(norm > 0, F.coalesce(F.try_element_at(m, i), F.lit(0))
-                             .cast("double") / norm).otherwise(F.lit(0.0)).cast("float"))
-
-    def with_sorted(b: Column) -> Column:
+    def with_buckets(b: Column) -> Column:
         n = F.size(b)
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                          lambda j: (n > 0) & ((j == 1) | (F.element_at(b, j) != F.element_at(b, j - 1))))
+        counts = F.transform(F.sequence(F.lit(0), F.lit(n_buckets - 1)),
+                             lambda i: n - F.size(F.array_remove(b, i)))
 
-        def with_starts(s: Column) -> Column:
-            ns = F.size(s)
-            keys = F.transform(s, lambda j: F.element_at(b, j))
-            counts = F.transform(s, lambda j, k: F.when(k + 1 < ns, F.element_at(s, k + 2))
-                                 .otherwise(n + 1) - j)
+        def with_counts(c: Column) -> Column:
+            norm = F.sqrt(F.aggregate(c, F.lit(0).cast("bigint"),
+                                      lambda acc, x: acc + (x * x).cast("bigint")).cast("double"))
 
-            def with_counts(c: Column) -> Column:
-                norm = F.sqrt(F.aggregate(c, F.lit(0).cast("bigint"),
-                                          lambda acc, x: acc + (x * x).cast("bigint")).cast("double"))
-                return let(F.struct(F.map_from_arrays(keys, c).alias("m"), norm.alias("norm")), dense)
+            def dense(nr: Column) -> Column:
+                return F.transform(c, lambda x: F.when(nr > 0, x.cast("double") / nr)
+                                   .otherwise(F.lit(0.0)).cast("float"))
 
-            return let(counts, with_counts)
+            return let(norm, dense)
 
-        return let(starts, with_starts)
+        return let(counts, with_counts)
 
-    return let(sorted_b, with_sorted)
+    return let(buckets, with_buckets)

@@ -52,7 +52,7 @@ class SearchOptions:
     salt: int = 16
     max_limit: int | None = None      # literal bound for the top-k; computed if None
     carry: list | None = None         # extra corpus columns to keep in the candidates
-    kernel: str = "block"             # "block" (matrix products in tasks) or "join"
+    kernel: str = "auto"              # "auto", "block" (matrix products in tasks) or "join"
 
 
 # ---------------------------------------------------------------- P1
@@ -119,11 +119,18 @@ def _corpus_blocking(c: DataFrame, overridden: set[str]) -> DataFrame:
     return c.withColumn("_b", F.explode(F.array(*variants))).select("*", "_b.*").drop("_b")
 
 
-def _size_check(requests: DataFrame, dim: int, budget: int, max_limit: int | None):
-    """(fits_broadcast, max_limit) from one small aggregate over the requests."""
-    row = requests.agg(F.count(F.lit(1)).alias("n"), F.max("limit").alias("m")).first()
-    n = int(row["n"] or 0)
-    m = int(row["m"] or 1) if max_limit is None else max_limit
+def _request_stats(requests: DataFrame) -> tuple[int, int, int]:
+    """(requests, requests with a context, max limit): one small aggregate."""
+    row = requests.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ctx").isNotNull()).alias("c"),
+                       F.max("limit").alias("m")).first()
+    return int(row["n"] or 0), int(row["c"] or 0), int(row["m"] or 1)
+
+
+def _size_check(requests: DataFrame, dim: int, budget: int, max_limit: int | None,
+                stats: tuple[int, int, int] | None = None):
+    """(fits_broadcast, max_limit) from the request statistics."""
+    n, _, m = stats or _request_stats(requests)
+    m = m if max_limit is None else max_limit
     row_bytes = 4 * dim + 512
     return n * row_bytes <= budget, max(1, min(m, S.LIMIT_MAX))
 
@@ -142,7 +149,27 @@ def knn_candidates(requests: DataFrame, corpus: DataFrame, dim: int,
     """
     opts = opts or SearchOptions()
     overridden = filter_keys(opts.filters)
-    fits, max_limit = _size_check(requests, dim, opts.broadcast_budget_bytes, opts.max_limit)
+    stats = _request_stats(requests)
+    n_req, n_ctx, _ = stats
+    if opts.kernel == "auto":
+        # Requests without a context block on the collection only (large
+        # groups): block matrix products.  Requests with a context block on
+        # collection + sector + type (+ bucket): selective hash join.
+        from dataclasses import replace
+        parts = []
+        if n_req - n_ctx > 0:
+            parts.append(knn_candidates(requests.filter(F.col("ctx").isNull()), corpus, dim,
+                                        replace(opts, kernel="block"), vec_col))
+        if n_ctx > 0:
+            parts.append(knn_candidates(requests.filter(F.col("ctx").isNotNull()), corpus, dim,
+                                        replace(opts, kernel="join"), vec_col))
+        if not parts:
+            parts.append(knn_candidates(requests, corpus, dim, replace(opts, kernel="join"), vec_col))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    fits, max_limit = _size_check(requests, dim, opts.broadcast_budget_bytes, opts.max_limit, stats)
     k_lit = opts.candidate_factor * max_limit
 
     c = corpus.filter(filter_predicate(opts.filters)) if opts.filters else corpus
@@ -151,7 +178,7 @@ def knn_candidates(requests: DataFrame, corpus: DataFrame, dim: int,
             "domaine_technique", "organisme"] + [x for x in (opts.carry or []) if x in corpus.columns]
     c = c.select(*keep)
     if opts.kernel == "block":
-        return _block_path(requests, c, dim, opts, vec_col, overridden, max_limit, k_lit)
+        return _block_path(requests, c, dim, opts, vec_col, overridden, max_limit, k_lit, n_req)
     c = c.withColumn("_vn", F.sqrt(sq_norm(F.col("embedding"), dim))) \
         if opts.metric == "cosine" else c
     c = _corpus_blocking(c, overridden)
@@ -192,9 +219,8 @@ def knn_candidates(requests: DataFrame, corpus: DataFrame, dim: int,
 
 
 def _block_path(requests: DataFrame, c: DataFrame, dim: int, opts: SearchOptions, vec_col: str,
-                overridden: set[str], max_limit: int, k_lit: int) -> DataFrame:
+                overridden: set[str], max_limit: int, k_lit: int, n_req: int) -> DataFrame:
     from tenderlake.operators.knn_block import block_candidates, chunks_for
-    n = requests.count() if opts.max_limit is not None else None
     q = requests.select("query_id", "collection", "limit", "min_similarity", "ctx",
                         F.col(vec_col).alias("_qv"))
     q = _request_blocking(q, overridden).withColumnRenamed("collection", "_q_collection")
@@ -204,8 +230,7 @@ def _block_path(requests: DataFrame, c: DataFrame, dim: int, opts: SearchOptions
                                                 F.array().cast("array<string>"))))
     q = q.select("query_id", "_q_collection", "limit", "min_similarity", "_shape",
                  *[f"_k_{k}" for k in CTX_KEYS], "_doms", "_qv")
-    rows = n if n is not None else _count(requests)
-    chunks = chunks_for(rows, dim, opts.broadcast_budget_bytes)
+    chunks = chunks_for(n_req, dim, opts.broadcast_budget_bytes)
     cands = block_candidates(q, c, dim, opts.metric, k_lit, _shape_keys(overridden),
                              domain_filter, chunks)
     cands = cands.withColumn("similarity", F.greatest(F.lit(0.0), F.lit(1.0) - F.col("distance")))
