@@ -28,6 +28,11 @@ def bucket_sql(x: str) -> str:
     return "CASE " + " ".join(parts) + f" ELSE '{S.AMOUNT_BUCKETS[-1][1]}' END"
 
 
+def srnd(x: str, k: int) -> str:
+    """Round like Spark: half-up on the shortest decimal form of the double."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,10)), {k}) AS DOUBLE)"
+
+
 def truthy_amount(x: str) -> str:
     return f"({x} IS NOT NULL AND {x} <> 0)"
 
@@ -135,7 +140,8 @@ def relevance_sql(has_ctx: str) -> str:
 
 
 def search_sql(requests_cte: str, metric: str = "l2sq", dim: int = 64, factor: int = 2,
-               with_ctx: bool = True) -> str:
+               with_ctx: bool = True, extra_ctes: str = "", corpus_where: str = "TRUE",
+               select: str | None = None) -> str:
     """Full search over ``requests(query_id, query, collection, limit, min_similarity,
     has_ctx, ao_type, sector, estimated_amount, technical_domains, organisme)``."""
     amt = "q.estimated_amount"
@@ -144,7 +150,7 @@ def search_sql(requests_cte: str, metric: str = "l2sq", dim: int = 64, factor: i
         AND (len(coalesce(q.technical_domains, []::VARCHAR[])) = 0
              OR list_contains(q.technical_domains, c.domaine_technique))))"""
     return f"""WITH {ORDER_META},
-{CORPUS},
+{CORPUS},{extra_ctes}
 {requests_cte},
 enriched AS (SELECT q.*, {enrich_sql('q.query', 'q.has_ctx')} AS enriched_query FROM requests q
   WHERE NOT (q.query IS NULL OR regexp_matches(q.query, '^\\s*$'))
@@ -155,7 +161,7 @@ pairs AS (
   SELECT q.query_id, q."limit", q.min_similarity, q.has_ctx, q.ao_type, q.sector,
          q.estimated_amount, q.organisme AS q_org, c.doc_id, c.collection, c.secteur, c.type_ao,
          c.fourchette_montant, c.organisme, {dist_sql(metric, 'qv.v', 'cv.v', dim)} AS distance
-  FROM enriched q JOIN corpus c ON q.collection = c.collection AND {block}
+  FROM enriched q JOIN (SELECT * FROM corpus WHERE {corpus_where}) c ON q.collection = c.collection AND {block}
   JOIN qvec qv ON qv.id = q.query_id JOIN cvec cv ON cv.id = c.doc_id
 ),
 scored AS (SELECT *, greatest(0.0::DOUBLE, 1.0::DOUBLE - distance) AS similarity FROM pairs),
@@ -170,7 +176,10 @@ ranked AS (
       coalesce(nullif(relevance_score, 0.0), similarity) DESC, distance, doc_id) AS rank FROM rel)
   WHERE rank <= "limit"
 )
-SELECT query_id, rank, doc_id, collection, round(similarity, 6) AS similarity_score,
+{select or RESULT_SELECT}"""
+
+
+RESULT_SELECT = """SELECT query_id, rank, doc_id, collection, round(similarity, 6) AS similarity_score,
   round(relevance_score, 6) AS relevance_score, type_ao AS ao_type, secteur AS sector,
   fourchette_montant AS amount_range, organisme,
   CASE WHEN similarity > 0.8 THEN 'Haute' WHEN similarity > 0.6 THEN 'Moyenne' ELSE 'Faible' END
@@ -502,3 +511,153 @@ c AS (
 )
 SELECT component, CASE WHEN healthy THEN 'healthy' ELSE 'unhealthy' END AS status FROM c
 UNION ALL SELECT 'overall', CASE WHEN bool_and(healthy) THEN 'healthy' ELSE 'unhealthy' END FROM c"""
+
+
+# ---------------------------------------------------------------- market
+AS_OF = "DATE '2001-08-01'"
+AWARDS = f"""{ORDER_META}, {TENDER_DOMAINS}, {TENDERS},
+bids AS (SELECT l_orderkey, l_suppkey,
+    CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(15,2)))) AS DOUBLE) AS price,
+    bool_or(l_returnflag <> 'R') AS won FROM lineitem GROUP BY l_orderkey, l_suppkey),
+awards AS (SELECT b.l_orderkey * 1000000 + b.l_suppkey AS bid_id, t.tender_id, b.l_suppkey AS supplier,
+    b.price, b.won, t.sector, {bucket_sql('t.estimated_amount')} AS amount_range, t.estimated_amount, t.published
+  FROM bids b JOIN tenders t ON b.l_orderkey = t.tender_id),
+recent12 AS (SELECT * FROM awards WHERE won AND published >= {AS_OF} - INTERVAL 12 MONTH),
+bench AS (SELECT sector, amount_range, count(*) AS n,
+    {", ".join(f"round(quantile_cont(price, {p}), 6) AS p{int(round(p * 100)):02d}" for p in [0.1, 0.2, 0.3, 0.5, 0.7, 0.9])}
+  FROM recent12 GROUP BY sector, amount_range),
+competition AS (SELECT sector, amount_range, count(DISTINCT supplier) AS competitors FROM awards
+  GROUP BY sector, amount_range),
+profiled AS (SELECT *, {bucket_sql('estimated_amount')} AS amount_range,
+    {formalism_sql('ao_type', 'estimated_amount')} AS formalism_level,
+    {PRICE_SENS} AS price_sensitivity,
+    {complexity_sql('technical_domains')} AS technical_complexity FROM tenders)"""
+
+B2_BENCH = f"WITH {AWARDS} SELECT * FROM bench"
+
+B4_COMPETITORS = f"""WITH {AWARDS},
+g AS (SELECT sector, amount_range, supplier, count(*) AS bids, count(*) FILTER (WHERE won) AS wins,
+        {srnd('CAST(sum(CAST(price AS DECIMAL(18,4))) AS DOUBLE) / count(*)', 6)} AS avg_price FROM awards
+      WHERE published >= {AS_OF} - INTERVAL 18 MONTH GROUP BY sector, amount_range, supplier)
+SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY sector, amount_range ORDER BY bids DESC) AS rank FROM g)
+WHERE rank <= 5"""
+
+TEMPLATE_USAGE = """usage AS (SELECT p.p_brand AS template, l.l_returnflag <> 'R' AS won,
+    l.l_quantity / 50.0::DOUBLE AS score, l.l_partkey FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"""
+
+B5_TEMPLATES = f"""WITH {TEMPLATE_USAGE},
+g AS (SELECT template, count(*) AS uses, avg(CASE WHEN won THEN 1.0 ELSE 0.0 END) AS wr, avg(score) AS sc
+      FROM usage GROUP BY template)
+SELECT template, uses, round(wr, 6) AS win_rate, round(sc, 6) AS avg_score,
+  row_number() OVER (ORDER BY wr DESC, sc DESC, template) AS rank
+FROM g WHERE wr > 0.3::DOUBLE AND uses >= 100"""
+
+B8_WEIGHTING = f"""WITH {TEMPLATE_USAGE},
+wr AS (SELECT template, avg(CASE WHEN won THEN 1.0 ELSE 0.0 END) AS wr FROM usage GROUP BY template)
+SELECT p.p_partkey, p.p_brand AS template,
+  round(p.p_retailprice * coalesce(wr.wr, 0.0), 6) AS weighted_score
+FROM part p LEFT JOIN wr ON p.p_brand = wr.template"""
+
+B3_POSITION = f"""WITH {AWARDS},
+seg AS (SELECT *, quantile_cont(competitors, 0.5) OVER () AS med FROM competition)
+SELECT t.tender_id, t.sector, t.amount_range, coalesce(s.competitors, 0) AS competitors,
+  CASE WHEN coalesce(t.criteria_weights['prix'], 0) > 60 AND coalesce(s.competitors >= s.med, false) THEN 'aggressive'
+       WHEN coalesce(t.criteria_weights['technique'], 0) > 50 AND t.technical_complexity = 'Élevée' THEN 'premium'
+       ELSE 'competitive' END AS positioning
+FROM profiled t LEFT JOIN seg s ON t.sector = s.sector AND t.amount_range = s.amount_range"""
+
+B6_GONOGO = f"""WITH {AWARDS},
+seg AS (SELECT *, max(competitors) OVER () AS mx FROM competition),
+sc AS (SELECT t.tender_id,
+  25.0::DOUBLE * (CASE WHEN t.estimated_amount IS NOT NULL AND t.estimated_amount <> 0 THEN 1.0 ELSE 0.0 END)
+  + 20.0::DOUBLE * (CASE WHEN t.technical_complexity = 'Élevée' THEN 0.5 ELSE 1.0 END)
+  + 20.0::DOUBLE * (1.0::DOUBLE - coalesce(s.competitors, 0)::DOUBLE / greatest(coalesce(s.mx, 1), 1))
+  + 15.0::DOUBLE * (1.0::DOUBLE - t.price_sensitivity)
+  + 10.0::DOUBLE * (CASE WHEN t.organisme IS NOT NULL AND t.organisme <> '' THEN 1.0 ELSE 0.0 END)
+  + 10.0::DOUBLE * (CASE WHEN t.formalism_level = 'Maximum' THEN 0.5 ELSE 1.0 END) AS score
+  FROM profiled t LEFT JOIN seg s ON t.sector = s.sector AND t.amount_range = s.amount_range)
+SELECT tender_id, round(score, 6) AS go_score, CASE WHEN score >= 50.0 THEN 'GO' ELSE 'NO-GO' END AS decision FROM sc"""
+
+B10_CONFIDENCE = f"""WITH {AWARDS}
+SELECT sector, amount_range, n, round(n::DOUBLE / (n + 10.0::DOUBLE), 6) AS confidence,
+  n::DOUBLE / (n + 10.0::DOUBLE) >= 0.5 AS reliable FROM bench"""
+
+B12_GAPS = f"""WITH {AWARDS}
+SELECT a.bid_id, a.tender_id, a.sector, a.amount_range,
+  round(a.price - a.estimated_amount, 6) AS gap_to_estimate,
+  round(a.price - b.p50, 6) AS gap_to_market,
+  round(CASE WHEN b.p50 = 0 THEN NULL ELSE (a.price - b.p50) / b.p50 END, 6) AS gap_to_market_ratio
+FROM awards a LEFT JOIN bench b ON a.sector = b.sector AND a.amount_range = b.amount_range WHERE a.won"""
+
+B13_PREDICTION = f"""WITH {AWARDS}
+SELECT r.sector, r.amount_range, count(*) AS n, round(avg(abs(b.p50 - r.price)), 6) AS mean_abs_gap
+FROM recent12 r JOIN bench b ON r.sector = b.sector AND r.amount_range = b.amount_range
+GROUP BY r.sector, r.amount_range"""
+
+B14_FRESHNESS = f"""WITH {ORDER_META}, {CORPUS}
+SELECT round(avg(datediff('day', date_publication, {AS_OF})), 6) AS mean_age_days,
+  count(DISTINCT (secteur, type_ao)) AS cells,
+  round(count(DISTINCT (secteur, type_ao)) / {float(len(S.SECTORS) * len(S.AO_TYPES))}::DOUBLE, 6) AS coverage
+FROM corpus"""
+
+
+def _route_sql() -> str:
+    hits = []
+    for mode, words in S.MODE_TRIGGERS:
+        h = " + ".join(f"(CASE WHEN contains(lower(text), '{w.lower()}') THEN 1 ELSE 0 END)" for w in words)
+        hits.append((mode, f"({h})"))
+    best = "greatest(" + ", ".join(h for _, h in hits) + ")"
+    case = "CASE " + " ".join(f"WHEN {h} = {best} AND {best} > 0 THEN '{m}'" for m, h in hits) + " END"
+    cols = ", ".join(f"{h} AS hits_{m.lower()}" for m, h in hits)
+    return f"""SELECT conv_id * 1000 + turn AS query_id, {cols}, {case} AS mode
+FROM conversations WHERE role = 'user'"""
+
+
+B11_ROUTE = _route_sql()
+
+B16_TOP_SECTORS = f"""WITH {ORDER_META}, {TENDER_DOMAINS}, {TENDERS},
+g AS (SELECT sector, count(*) AS requests FROM tenders GROUP BY sector)
+SELECT * FROM (SELECT *, dense_rank() OVER (ORDER BY requests DESC) AS rank FROM g) WHERE rank <= 3"""
+
+B16_PER_DAY = f"""WITH {OP_LOG}
+SELECT CAST(ts AS DATE) AS day, count(*) AS requests FROM op_log WHERE operation = 'rag_search' GROUP BY 1"""
+
+TENDER_REQUESTS = f"""requests AS (
+  SELECT tender_id AS query_id,
+    concat_ws(' - ', 'Appel d''offres ' || ao_type || ' secteur ' || sector,
+      CASE WHEN {truthy_amount('estimated_amount')} THEN 'montant ' || ({bucket_sql('estimated_amount')}) END,
+      CASE WHEN len(technical_domains) > 0 THEN 'domaines techniques: ' || array_to_string(technical_domains, ', ') END,
+      CASE WHEN organisme IS NOT NULL AND organisme <> '' THEN 'organisme: ' || organisme END,
+      CASE WHEN geographic_scope IS NOT NULL AND geographic_scope <> '' THEN 'périmètre: ' || geographic_scope END)
+      AS query,
+    '{S.DEFAULT_COLLECTION}' AS collection, {S.DEFAULT_LIMIT} AS "limit",
+    {S.DEFAULT_MIN_SIMILARITY}::DOUBLE AS min_similarity, true AS has_ctx,
+    ao_type, sector, estimated_amount, technical_domains, organisme
+  FROM tenders
+)"""
+
+B1_SIMILAR = search_sql(TENDER_REQUESTS, "l2sq", extra_ctes=f"\n{TENDER_DOMAINS},\n{TENDERS},",
+                        corpus_where=f"date_publication >= {AS_OF} - INTERVAL 24 MONTH")
+
+CROSS_REQUESTS = f"""requests AS (
+  SELECT doc_id AS query_id, content AS query, 'historique_ao' AS collection, {S.DEFAULT_LIMIT} AS "limit",
+    {S.DEFAULT_MIN_SIMILARITY}::DOUBLE AS min_similarity, false AS has_ctx, NULL::VARCHAR AS ao_type,
+    NULL::VARCHAR AS sector, NULL::BIGINT AS estimated_amount, NULL::VARCHAR[] AS technical_domains,
+    NULL::VARCHAR AS organisme
+  FROM corpus WHERE collection = 'reglementaire'
+)"""
+
+B17_CROSS = search_sql(CROSS_REQUESTS, "l2sq")
+
+B15_QUALITY = "WITH res AS (" + search_sql(DOC_REQUESTS, "l2sq") + """)
+SELECT collection, count(*) AS results,
+  round(avg(CASE WHEN similarity_score > 0.7 THEN 1.0 ELSE 0.0 END), 6) AS relevant_share
+FROM res GROUP BY collection"""
+
+B7_RECENCY = "WITH res AS (" + search_sql(DOC_REQUESTS, "l2sq", select="SELECT query_id, rank, doc_id, relevance_score FROM ranked") + f"""), {ORDER_META}, {CORPUS},
+b AS (SELECT r.query_id, r.doc_id, r.rank,
+        CASE WHEN c.date_publication >= {AS_OF} - INTERVAL 12 MONTH THEN r.relevance_score * 1.5::DOUBLE
+             ELSE r.relevance_score END AS bs
+      FROM res r JOIN corpus c ON r.doc_id = c.doc_id)
+SELECT query_id, doc_id, rank, {srnd('bs', 6)} AS boosted_score,
+  row_number() OVER (PARTITION BY query_id ORDER BY bs DESC, rank) AS boosted_rank FROM b"""

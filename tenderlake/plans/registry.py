@@ -16,6 +16,8 @@ from tenderlake.functions.text import cache_key as _ck, key_prefix as _kp
 from tenderlake.operators import cache as C
 from tenderlake.operators import ingest as IG
 from tenderlake.operators import reports as RP
+from tenderlake.operators import market as MK
+from tenderlake.operators.search import knn_candidates, prepare_requests, rerank, result_columns
 from tenderlake.functions.text import word_count as _wc
 from tenderlake.operators import profile as PR
 from tenderlake.operators.providers import HashedTF
@@ -314,3 +316,138 @@ def health_q(spark, sf_dir):
          F.col("h")),
     ]
     return RP.health_report(checks)
+
+
+# ------------------------------------------------------------------ market analytics
+def _mk_as_of():
+    return F.lit(fx.AS_OF_DATE).cast("date")
+
+
+def _profiled(spark, sf_dir):
+    return PR.profile_tenders(fx.tenders(spark, sf_dir))
+
+
+@register("b1_similar_tenders", O.B1_SIMILAR)
+def similar_tenders_q(spark, sf_dir):
+    """B1: every tender's similar history documents of the last 24 months."""
+    corp = fx.corpus(spark, sf_dir).filter(MK.within_months(F.col("date_publication"), _mk_as_of(), 24))
+    return search(fx.tender_queries(spark, sf_dir), corp)
+
+
+@register("b2_price_benchmark", O.B2_BENCH)
+def price_benchmark_q(spark, sf_dir):
+    """B2: winning-price percentile bands per segment, last 12 months (exact)."""
+    return MK.price_benchmark(fx.awards(spark, sf_dir), _mk_as_of())
+
+
+@register("b3_price_positioning", O.B3_POSITION)
+def positioning_q(spark, sf_dir):
+    """Aggressive / competitive / premium per tender."""
+    return MK.price_positioning(_profiled(spark, sf_dir),
+                                MK.segment_competition(fx.awards(spark, sf_dir)))
+
+
+@register("b4_likely_competitors", O.B4_COMPETITORS)
+def competitors_q(spark, sf_dir):
+    """Top suppliers per segment over the last 18 months."""
+    return MK.likely_competitors(fx.awards(spark, sf_dir), _mk_as_of())
+
+
+@register("b5_template_ranking", O.B5_TEMPLATES)
+def templates_q(spark, sf_dir):
+    """Templates with win rate > 30 % over at least 100 uses."""
+    return MK.template_ranking(fx.template_usage(spark, sf_dir))
+
+
+@register("b6_go_no_go", O.B6_GONOGO)
+def go_no_go_q(spark, sf_dir):
+    """Weighted go/no-go score per tender."""
+    return MK.go_no_go(_profiled(spark, sf_dir), MK.segment_competition(fx.awards(spark, sf_dir)))
+
+
+@register("b7_recency_boost", O.B7_RECENCY)
+def recency_q(spark, sf_dir):
+    """Results younger than 12 months boosted ×1.5, then reranked."""
+    good, _ = prepare_requests(fx.document_queries(spark, sf_dir), HashedTF())
+    cands = knn_candidates(good, fx.corpus(spark, sf_dir), 64, SearchOptions(carry=["date_publication"]))
+    r = rerank(cands)
+    res = r.select("query_id", "doc_id", "rank", "relevance_score", "date_publication")
+    out = MK.recency_boost(res, _mk_as_of())
+    return out.select("query_id", "doc_id", "rank", F.round("boosted_score", 6).alias("boosted_score"),
+                      "boosted_rank")
+
+
+@register("b8_success_weighting", O.B8_WEIGHTING)
+def success_weighting_q(spark, sf_dir):
+    """Part price weighted by its template's win rate."""
+    part = fx.read_table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_brand").alias("template"), "p_retailprice")
+    w = MK.success_weighting(part, fx.template_usage(spark, sf_dir), "p_retailprice")
+    return w.select("p_partkey", "template", F.round("weighted_score", 6).alias("weighted_score"))
+
+
+@register("b10_data_confidence", O.B10_CONFIDENCE)
+def confidence_q(spark, sf_dir):
+    """Confidence n / (n + 10) of each segment's benchmark."""
+    b = MK.price_benchmark(fx.awards(spark, sf_dir), _mk_as_of()).select("sector", "amount_range", "n")
+    return MK.data_confidence(b)
+
+
+@register("b11_route_requests", O.B11_ROUTE)
+def route_q(spark, sf_dir):
+    """Mode of each user request by trigger-word hits."""
+    return MK.route_requests(fx.conversation_queries(spark, sf_dir))
+
+
+@register("b12_price_gaps", O.B12_GAPS)
+def price_gaps_q(spark, sf_dir):
+    """Won price vs estimate and vs segment median."""
+    aw = fx.awards(spark, sf_dir)
+    return MK.price_gaps(aw, MK.price_benchmark(aw, _mk_as_of()))
+
+
+@register("b13_prediction_gap", O.B13_PREDICTION)
+def prediction_gap_q(spark, sf_dir):
+    """Segment median as prediction vs actual won prices."""
+    aw = fx.awards(spark, sf_dir)
+    bench = MK.price_benchmark(aw, _mk_as_of()).select("sector", "amount_range", F.col("p50"))
+    recent = aw.filter(F.col("won") & MK.within_months(F.col("published"), _mk_as_of(), 12))
+    pred = recent.join(bench, ["sector", "amount_range"]).select(
+        "sector", "amount_range", F.col("p50").alias("predicted"), F.col("price").alias("actual"))
+    return MK.prediction_gap(pred)
+
+
+@register("b14_freshness_coverage", O.B14_FRESHNESS)
+def freshness_q(spark, sf_dir):
+    """Mean document age and sector × procedure coverage."""
+    return MK.freshness_coverage(fx.corpus(spark, sf_dir, embedding="none"), _mk_as_of())
+
+
+@register("b15_search_quality", O.B15_QUALITY)
+def search_quality_q(spark, sf_dir):
+    """Share of results with similarity above 0.7 per collection."""
+    return MK.search_quality(search(fx.document_queries(spark, sf_dir), fx.corpus(spark, sf_dir)))
+
+
+@register("b16_top_sectors", O.B16_TOP_SECTORS)
+def top_sectors_q(spark, sf_dir):
+    """Most requested sectors (tender requests)."""
+    return MK.top_sectors(fx.tender_queries(spark, sf_dir))
+
+
+@register("b16_requests_per_day", O.B16_PER_DAY)
+def per_day_q(spark, sf_dir):
+    """Search requests per day."""
+    return MK.requests_per_day(fx.op_log(spark, sf_dir))
+
+
+@register("b17_cross_collection", O.B17_CROSS)
+def cross_collection_q(spark, sf_dir):
+    """Regulation documents linked to their nearest history documents."""
+    corp = fx.corpus(spark, sf_dir)
+    req = (fx.corpus(spark, sf_dir, embedding="none").filter(F.col("collection") == "reglementaire")
+           .select(F.col("doc_id").alias("query_id"), F.col("content").alias("query"),
+                   F.lit("historique_ao").alias("collection"), F.lit(5).alias("limit"),
+                   F.lit(0.5).alias("min_similarity"),
+                   F.lit(None).cast(fx.S.CONTEXT_TYPE).alias("ctx")))
+    return search(req, corp)

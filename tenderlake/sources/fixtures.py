@@ -303,3 +303,34 @@ def benchmark_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
     return b.select(F.lit("benchmark").alias("batch_id"), F.lit("benchmark").alias("collection"),
                     F.col("text").alias("content"), F.col("item_id").alias("source_doc"))
+
+
+# ---------------------------------------------------------------- market fixture
+def awards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One bid per (order, supplier): price = sum of discounted line prices
+    (exact decimal sum), won when any line is not returned; segment from the
+    tender (sector, amount bucket), ``published`` = order date."""
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_suppkey", "l_extendedprice", "l_discount", "l_returnflag")
+    dec = "decimal(15,2)"
+    line = F.col("l_extendedprice").cast(dec) * (F.lit(1).cast(dec) - F.col("l_discount").cast(dec))
+    bids = li.groupBy("l_orderkey", "l_suppkey").agg(
+        F.sum(line).cast("double").alias("price"),
+        F.bool_or(F.col("l_returnflag") != "R").alias("won"))
+    t = tenders(spark, sf_dir).select("tender_id", "sector", "estimated_amount", "published")
+    j = bids.join(t, bids.l_orderkey == t.tender_id)
+    return j.select(
+        (F.col("l_orderkey") * F.lit(1000000) + F.col("l_suppkey")).alias("bid_id"),
+        "tender_id", F.col("l_suppkey").alias("supplier"), "price", "won", "sector",
+        amount_bucket(F.col("estimated_amount")).alias("amount_range"), "estimated_amount", "published")
+
+
+def template_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Template (part brand) uses: one per line item; won when not returned,
+    score = quantity / 50."""
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    j = li.join(part, li.l_partkey == part.p_partkey)
+    return j.select(F.col("p_brand").alias("template"), (F.col("l_returnflag") != "R").alias("won"),
+                    (F.col("l_quantity") / F.lit(50.0)).alias("score"), "l_partkey")
