@@ -185,8 +185,11 @@ def mask_map(m: Column, keys: list[str] = S.SENSITIVE_KEYS) -> Column:
 # ---------------------------------------------------------------- A2
 def per_search_summary(requests: DataFrame, results: DataFrame, n_filters: Column) -> DataFrame:
     """A2: results count and mean similarity (0.0 when none) per request."""
-    g = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("results_count"),
-                                        F.avg("similarity_score").alias("_avg"))
+    # exact decimal sum and one division: the same double in any engine
+    g = results.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("results_count"),
+        (F.sum(F.col("similarity_score").cast("decimal(18,6)")).cast("double")
+         / F.count(F.lit(1))).alias("_avg"))
     return (requests.select("query_id", n_filters.alias("filters_applied"))
             .join(g, "query_id", "left")
             .select("query_id", F.coalesce(F.col("results_count"), F.lit(0)).alias("results_count"),

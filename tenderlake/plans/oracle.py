@@ -141,14 +141,21 @@ def relevance_sql(has_ctx: str) -> str:
 
 def search_sql(requests_cte: str, metric: str = "l2sq", dim: int = 64, factor: int = 2,
                with_ctx: bool = True, extra_ctes: str = "", corpus_where: str = "TRUE",
-               select: str | None = None) -> str:
+               select: str | None = None, overridden: tuple = ()) -> str:
     """Full search over ``requests(query_id, query, collection, limit, min_similarity,
     has_ctx, ao_type, sector, estimated_amount, technical_domains, organisme)``."""
     amt = "q.estimated_amount"
-    block = f"""(NOT q.has_ctx OR (c.secteur = q.sector AND c.type_ao = q.ao_type
-        AND (NOT {truthy_amount(amt)} OR c.fourchette_montant = ({bucket_sql(amt)}))
-        AND (len(coalesce(q.technical_domains, []::VARCHAR[])) = 0
-             OR list_contains(q.technical_domains, c.domaine_technique))))"""
+    conds = []
+    if "secteur" not in overridden:
+        conds.append("c.secteur = q.sector")
+    if "type_ao" not in overridden:
+        conds.append("c.type_ao = q.ao_type")
+    if "fourchette_montant" not in overridden:
+        conds.append(f"(NOT {truthy_amount(amt)} OR c.fourchette_montant = ({bucket_sql(amt)}))")
+    if "domaine_technique" not in overridden:
+        conds.append("""(len(coalesce(q.technical_domains, []::VARCHAR[])) = 0
+             OR list_contains(q.technical_domains, c.domaine_technique))""")
+    block = "(NOT q.has_ctx OR (" + (" AND ".join(conds) or "TRUE") + "))"
     return f"""WITH {ORDER_META},
 {CORPUS},{extra_ctes}
 {requests_cte},
@@ -661,3 +668,44 @@ b AS (SELECT r.query_id, r.doc_id, r.rank,
       FROM res r JOIN corpus c ON r.doc_id = c.doc_id)
 SELECT query_id, doc_id, rank, {srnd('bs', 6)} AS boosted_score,
   row_number() OVER (PARTITION BY query_id ORDER BY bs DESC, rank) AS boosted_rank FROM b"""
+
+
+# ---------------------------------------------------------------- search variants
+CONV_PARAM_REQUESTS = """SELECT conv_id * 1000 + turn AS query_id, text AS query, CAST(turn AS INTEGER) AS "limit",
+    (conv_id % 13) / 10.0::DOUBLE AS min_similarity FROM conversations WHERE role = 'user'"""
+
+P1_VALIDATE = f"""SELECT query_id, CASE WHEN query IS NULL OR regexp_matches(query, '^\\s*$') THEN 'EMPTY_QUERY'
+    WHEN "limit" IS NULL OR "limit" < {S.LIMIT_MIN} OR "limit" > {S.LIMIT_MAX} THEN 'VALUE_OUT_OF_RANGE:limit'
+    WHEN min_similarity IS NULL OR min_similarity < 0 OR min_similarity > 1 THEN 'VALUE_OUT_OF_RANGE:min_similarity'
+    END AS reject_reason
+FROM ({CONV_PARAM_REQUESTS})"""
+
+P3_ENRICH = f"""WITH {ORDER_META}, {TENDER_DOMAINS}, {TENDERS}, {TENDER_REQUESTS}
+SELECT q.query_id, {enrich_sql('q.query', 'q.has_ctx')} AS enriched_query FROM requests q"""
+
+J1_CANDIDATES = search_sql(DOC_REQUESTS, "l2sq", select="""SELECT query_id, doc_id, cand_rank,
+  round(similarity, 6) AS similarity, round(distance, 6) AS distance FROM cands""")
+
+OVERRIDE_FILTERS_SQL = "c_type_ao IN ('MAPA', 'Ouvert', 'Restreint') AND fourchette_montant <> '5M+'"
+P4_OVERRIDE = search_sql(DOC_REQUESTS, "l2sq",
+                         corpus_where="type_ao IN ('MAPA', 'Ouvert', 'Restreint') AND fourchette_montant <> '5M+'",
+                         overridden=("type_ao", "fourchette_montant"))
+
+F5_DISPLAY = "WITH res AS (" + search_sql(DOC_REQUESTS, "l2sq", select="""SELECT query_id, rank, doc_id,
+  similarity, type_ao FROM ranked""") + f"""), {ORDER_META}, {CORPUS}
+SELECT r.query_id, r.rank, r.doc_id,
+  '[' || CASE WHEN r.similarity > 0.8 THEN 'Haute' WHEN r.similarity > 0.6 THEN 'Moyenne' ELSE 'Faible' END
+  || '] ' || coalesce(r.type_ao, 'AO') || ' - ' || coalesce(c.organisme, 'Non spécifié') || chr(10)
+  || 'Montant: ' || coalesce(CAST(c.montant AS VARCHAR), 'Non spécifié') || ' € | Score: '
+  || printf('%.2f', {srnd('r.similarity', 2)}) || chr(10)
+  || 'Extrait: ' || CASE WHEN length(c.content) > 200 THEN substr(c.content, 1, 200) || '...' ELSE c.content END
+  AS display_summary
+FROM res r JOIN corpus c ON r.doc_id = c.doc_id"""
+
+A2_SUMMARY = "WITH res AS (" + search_sql(DOC_REQUESTS, "l2sq") + f"""), {ORDER_META}, {CORPUS}, {DOC_REQUESTS},
+g AS (SELECT query_id, count(*) AS n,
+        CAST(sum(CAST(similarity_score AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS av FROM res GROUP BY query_id)
+SELECT q.query_id, CAST(coalesce(g.n, 0) AS BIGINT) AS results_count,
+  {srnd('coalesce(g.av, 0.0)', 6)} AS avg_similarity,
+  CASE WHEN {truthy_amount('q.estimated_amount')} THEN 4 ELSE 3 END AS filters_applied
+FROM requests q LEFT JOIN g ON q.query_id = g.query_id"""

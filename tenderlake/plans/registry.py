@@ -17,7 +17,8 @@ from tenderlake.operators import cache as C
 from tenderlake.operators import ingest as IG
 from tenderlake.operators import reports as RP
 from tenderlake.operators import market as MK
-from tenderlake.operators.search import knn_candidates, prepare_requests, rerank, result_columns
+from tenderlake.operators.search import (display_summary, knn_candidates, prepare_requests, rerank,
+                                         result_columns, validate_requests)
 from tenderlake.functions.text import word_count as _wc
 from tenderlake.operators import profile as PR
 from tenderlake.operators.providers import HashedTF
@@ -451,3 +452,70 @@ def cross_collection_q(spark, sf_dir):
                    F.lit(0.5).alias("min_similarity"),
                    F.lit(None).cast(fx.S.CONTEXT_TYPE).alias("ctx")))
     return search(req, corp)
+
+
+# ------------------------------------------------------------------ search building blocks
+def _conv_param_requests(spark, sf_dir):
+    c = fx.read_table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+                    F.col("text").alias("query"), F.col("turn").cast("int").alias("limit"),
+                    (F.pmod(F.col("conv_id"), F.lit(13)) / F.lit(10.0)).alias("min_similarity"))
+
+
+@register("p1_validate_requests", O.P1_VALIDATE)
+def validate_q(spark, sf_dir):
+    """Reject reason per request (parameters taken from each user turn)."""
+    return validate_requests(_conv_param_requests(spark, sf_dir)).select("query_id", "reject_reason")
+
+
+@register("p3_enrich_query", O.P3_ENRICH)
+def enrich_q(spark, sf_dir):
+    """Request text enriched with the tender context."""
+    from tenderlake.functions.profile import enrich_query
+    q = fx.tender_queries(spark, sf_dir)
+    return q.select("query_id", enrich_query(F.col("query"), F.col("ctx")).alias("enriched_query"))
+
+
+@register("j1_w1_knn_candidates", O.J1_CANDIDATES)
+def candidates_q(spark, sf_dir):
+    """J1 + F1 + P6 + W1: the 2·limit nearest candidates per request."""
+    good, _ = prepare_requests(fx.document_queries(spark, sf_dir), HashedTF())
+    c = knn_candidates(good, fx.corpus(spark, sf_dir), 64)
+    return c.select("query_id", "doc_id", "cand_rank", F.round("similarity", 6).alias("similarity"),
+                    F.round("distance", 6).alias("distance"))
+
+
+OVERRIDE_FILTERS = {"type_ao": {"$in": ["MAPA", "Ouvert", "Restreint"]},
+                    "fourchette_montant": {"$ne": "5M+"}}
+
+
+@register("p4_p5_user_filter_override", O.P4_OVERRIDE)
+def override_q(spark, sf_dir):
+    """P4 + P5 + F2 + W2: user filters replace the context's type and amount
+    keys, so the type / amount bonuses vary across results."""
+    return search(fx.document_queries(spark, sf_dir), fx.corpus(spark, sf_dir),
+                  opts=SearchOptions(filters=OVERRIDE_FILTERS))
+
+
+@register("f5_display_summary", O.F5_DISPLAY)
+def display_q(spark, sf_dir):
+    """three-line display text of every result."""
+    good, _ = prepare_requests(fx.document_queries(spark, sf_dir), HashedTF())
+    corp = fx.corpus(spark, sf_dir)
+    r = rerank(knn_candidates(good, corp, 64))
+    docs = fx.corpus(spark, sf_dir, embedding="none").select(
+        F.col("doc_id").alias("_d"), F.col("content"), F.col("montant"))
+    j = r.join(docs, r.doc_id == docs._d)
+    return j.select("query_id", "rank", "doc_id",
+                    display_summary(F.col("similarity"), F.col("type_ao"), F.col("organisme"),
+                                    F.col("montant"), F.col("content")).alias("display_summary"))
+
+
+@register("a2_per_search_summary", O.A2_SUMMARY)
+def per_search_q(spark, sf_dir):
+    """A2: results count, mean similarity (0 when none), filters applied."""
+    from tenderlake.functions.profile import amount_present
+    req = fx.document_queries(spark, sf_dir)
+    res = search(req, fx.corpus(spark, sf_dir))
+    n_filters = F.when(amount_present(F.col("ctx.estimated_amount")), F.lit(4)).otherwise(F.lit(3))
+    return RP.per_search_summary(req, res, n_filters)
