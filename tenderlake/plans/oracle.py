@@ -709,3 +709,38 @@ SELECT q.query_id, CAST(coalesce(g.n, 0) AS BIGINT) AS results_count,
   {srnd('coalesce(g.av, 0.0)', 6)} AS avg_similarity,
   CASE WHEN {truthy_amount('q.estimated_amount')} THEN 4 ELSE 3 END AS filters_applied
 FROM requests q LEFT JOIN g ON q.query_id = g.query_id"""
+
+
+# ---------------------------------------------------------------- streaming (same results as batch)
+T1_INGEST = f"""WITH {BATCHES.replace("UNION ALL\n  SELECT 'benchmark', 'benchmark', text, item_id, NULL FROM benchmark", "")}
+SELECT doc_id, collection, batch_id, CAST(length(content) AS INTEGER) AS document_length,
+  '{S.ENGINE_VERSION}' AS engine_version, strftime({INGEST_TS}, '%Y-%m-%d %H:%M:%S') AS added_at,
+  lang, NULL::VARCHAR AS meta_collection FROM ided"""
+
+T2_DEDUP = f"SELECT DISTINCT {cache_key_sql('text')} AS cache_key FROM documents"
+
+T3_KPI = f"""WITH {OP_LOG},
+d AS (SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day,
+        count(*) FILTER (WHERE operation = 'rag_search') AS requests,
+        sum(CASE WHEN operation = 'rag_search' THEN CAST(round(duration_ms * 100.0) AS BIGINT) END) AS lat_c,
+        count(*) FILTER (WHERE cache_hit) AS hits, coalesce(sum(tokens), 0) AS tok,
+        count(*) FILTER (WHERE NOT success) AS err, count(*) AS n
+      FROM op_log GROUP BY 1),
+k AS (SELECT day, requests,
+        CASE WHEN requests = 0 THEN NULL ELSE lat_c::DOUBLE / (requests * 100.0::DOUBLE) END AS lat,
+        CASE WHEN requests = 0 THEN NULL ELSE hits::DOUBLE / requests END AS hit,
+        tok::DOUBLE / 1000.0::DOUBLE * 0.00013::DOUBLE AS cost, err::DOUBLE / n AS er FROM d)
+SELECT day, requests, round(lat, 6) AS avg_latency_ms, round(hit, 6) AS cache_hit_rate,
+  round(cost, 9) AS daily_cost_usd, round(er, 6) AS error_rate,
+  (lat > {S.ALERT_LATENCY_MS}::DOUBLE OR hit < {S.ALERT_MIN_HIT_RATE}::DOUBLE
+   OR cost > {S.ALERT_DAILY_COST_USD}::DOUBLE OR er > {S.ALERT_ERROR_RATE}::DOUBLE) AS alert
+FROM k"""
+
+T5_SESSIONS = f"""WITH {OP_LOG},
+s AS (SELECT user_id, ts FROM op_log WHERE operation = 'rag_search'),
+m AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
+        OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS ns FROM s),
+g AS (SELECT *, sum(ns) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM m)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
+  strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS session_end, count(*) AS events
+FROM g GROUP BY user_id, sid"""

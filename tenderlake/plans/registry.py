@@ -17,6 +17,7 @@ from tenderlake.operators import cache as C
 from tenderlake.operators import ingest as IG
 from tenderlake.operators import reports as RP
 from tenderlake.operators import market as MK
+from tenderlake.streaming import streams as ST
 from tenderlake.operators.search import (display_summary, knn_candidates, prepare_requests, rerank,
                                          result_columns, validate_requests)
 from tenderlake.functions.text import word_count as _wc
@@ -519,3 +520,41 @@ def per_search_q(spark, sf_dir):
     res = search(req, fx.corpus(spark, sf_dir))
     n_filters = F.when(amount_present(F.col("ctx.estimated_amount")), F.lit(4)).otherwise(F.lit(3))
     return RP.per_search_summary(req, res, n_filters)
+
+
+# ------------------------------------------------------------------ streaming (availableNow runs)
+@register("t1_stream_ingest", O.T1_INGEST)
+def stream_ingest_q(spark, sf_dir):
+    """Documents streamed through the ingestion job (foreachBatch)."""
+    docs = fx.batches_from(ST.table_stream(spark, sf_dir, "documents"))
+    path = ST.stream_ingest(spark, docs, HashedTF(), fx.INGEST_TS)
+    r = spark.read.parquet(path)
+    return r.select("doc_id", "collection", "batch_id", "document_length", "engine_version",
+                    _ts(F.col("added_at")).alias("added_at"),
+                    F.try_element_at("extra", F.lit("lang")).alias("lang"),
+                    F.try_element_at("extra", F.lit("collection")).alias("meta_collection"))
+
+
+@register("t2_stream_dedup", O.T2_DEDUP)
+def stream_dedup_q(spark, sf_dir):
+    """Repeated texts dropped within the 24 h watermark (cache as state)."""
+    return ST.run_dedup(spark, sf_dir, fx.CACHE_MODEL).select("cache_key")
+
+
+@register("t3_stream_kpi", O.T3_KPI)
+def stream_kpi_q(spark, sf_dir):
+    """Daily KPI windows with alert flags, streamed from events."""
+    return ST.run_kpi(spark, sf_dir)
+
+
+@register("t4_stream_alerts", O.search_sql(O.CONV_REQUESTS, "cosine"))
+def stream_alerts_q(spark, sf_dir):
+    """T4: streamed documents matched against saved searches (user turns)."""
+    return ST.run_alerts(spark, sf_dir, fx.conversation_queries(spark, sf_dir),
+                         SearchOptions(metric="cosine"))
+
+
+@register("t5_sessions", O.T5_SESSIONS)
+def sessions_q(spark, sf_dir):
+    """T5: search sessions per user (30-minute gap session windows)."""
+    return ST.sessions(fx.op_log(spark, sf_dir))

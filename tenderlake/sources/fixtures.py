@@ -75,7 +75,13 @@ def corpus(spark: SparkSession, sf_dir: str, embedding: str = "hashed_tf",
     (the ``embeddings`` table joined by ``vec_id = doc_id``; documents without
     a vector are dropped) or ``none``.
     """
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return corpus_from(spark, sf_dir, read_table(spark, sf_dir, "documents"), embedding, n_buckets)
+
+
+def corpus_from(spark: SparkSession, sf_dir: str, documents: DataFrame, embedding: str = "hashed_tf",
+                n_buckets: int = 64) -> DataFrame:
+    """``corpus`` over any documents frame (a table or a stream)."""
+    docs = documents.select("doc_id", "text")
     meta = _order_meta(spark, sf_dir)
     df = docs.join(meta, docs.doc_id == meta.o_orderkey)
     d = F.col("doc_id")
@@ -91,7 +97,9 @@ def corpus(spark: SparkSession, sf_dir: str, embedding: str = "hashed_tf",
         "date_publication", "zone_geo",
     )
     if embedding == "hashed_tf":
-        df = spread(df, docs, "doc_id").withColumn("embedding", hashed_tf(F.col("content"), n_buckets))
+        if not df.isStreaming:
+            df = spread(df, documents, "doc_id")
+        df = df.withColumn("embedding", hashed_tf(F.col("content"), n_buckets))
     elif embedding == "precomputed":
         emb = read_table(spark, sf_dir, "embeddings").select(
             F.col("vec_id"), F.col("embedding"))
@@ -213,8 +221,12 @@ def op_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     embedding call (tokens = props.k), signup → documents added (count =
     props.k), error → failed operation with status from props.k % 6.
     """
-    ev = read_table(spark, sf_dir, "events").select(
-        "event_id", "ts", "user_id", "event_type", "value", "props")
+    return op_log_from(read_table(spark, sf_dir, "events"))
+
+
+def op_log_from(events: DataFrame) -> DataFrame:
+    """``op_log`` over any events frame (a table or a stream)."""
+    ev = events.select("event_id", "ts", "user_id", "event_type", "value", "props")
     k = F.get_json_object(F.col("props"), "$.k").cast("bigint")
     et = F.col("event_type")
     status = _pick([401, 403, 404, 429, 500, 503], F.pmod(k, F.lit(6)))
@@ -287,9 +299,15 @@ INGEST_TS = "2024-03-01 09:00:00"
 def document_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as add-documents calls: one batch per (source, collection),
     ``pos`` = rank of the document inside its batch by doc_id."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    docs = read_table(spark, sf_dir, "documents")
+    return batches_from(spread(docs, docs, "doc_id"))
+
+
+def batches_from(documents: DataFrame) -> DataFrame:
+    """``document_batches`` over any documents frame (a table or a stream)."""
+    docs = documents.select("doc_id", "text", "source", "lang")
     coll = _pick(FIXTURE_COLLECTIONS, F.pmod(F.col("doc_id"), F.lit(5)))
-    return spread(docs, docs, "doc_id").select(
+    return docs.select(
         F.concat_ws("/", F.col("source"), coll).alias("batch_id"),
         coll.alias("collection"),
         F.col("text").alias("content"),
