@@ -558,3 +558,24 @@ def stream_alerts_q(spark, sf_dir):
 def sessions_q(spark, sf_dir):
     """T5: search sessions per user (30-minute gap session windows)."""
     return ST.sessions(fx.op_log(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ approximate join (no SQL oracle)
+@register("j6_approx_knn")
+def approx_knn_q(spark, sf_dir):
+    """LSH candidates (exactly re-scored) for every document request."""
+    from tenderlake.operators.ann import approx_candidates
+    good, _ = prepare_requests(fx.document_queries(spark, sf_dir), HashedTF())
+    return approx_candidates(good, fx.corpus(spark, sf_dir), 64, k=10).select(
+        "query_id", "doc_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@register("j6_recall")
+def approx_recall_q(spark, sf_dir):
+    """Recall of the LSH join against the exact candidates (l2sq ≤ 0.5)."""
+    from tenderlake.operators.ann import approx_candidates, recall_at_k
+    good, _ = prepare_requests(fx.document_queries(spark, sf_dir), HashedTF())
+    corp = fx.corpus(spark, sf_dir)
+    exact = knn_candidates(good, corp, 64, SearchOptions(kernel="block"))
+    exact = exact.filter(F.col("cand_rank") <= 10)
+    return recall_at_k(approx_candidates(good, corp, 64, k=10), exact)
