@@ -187,9 +187,12 @@ def price_gaps(awards: DataFrame, medians: DataFrame) -> DataFrame:
 
 def prediction_gap(pred: DataFrame) -> DataFrame:
     """Mean absolute gap between predicted and actual per segment."""
-    return pred.groupBy("sector", "amount_range").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(F.abs(F.col("predicted") - F.col("actual"))), 6).alias("mean_abs_gap"))
+    gap = F.abs(F.col("predicted") - F.col("actual")).cast("decimal(20,6)")
+    g = pred.groupBy("sector", "amount_range").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(gap).alias("_s"))
+    # exact decimal sum, one division: the same double in any engine
+    return g.select("sector", "amount_range", "n",
+                    F.round(F.col("_s").cast("double") / F.col("n"), 6).alias("mean_abs_gap"))
 
 
 def freshness_coverage(corpus: DataFrame, as_of: Column) -> DataFrame:

@@ -597,7 +597,8 @@ SELECT a.bid_id, a.tender_id, a.sector, a.amount_range,
 FROM awards a LEFT JOIN bench b ON a.sector = b.sector AND a.amount_range = b.amount_range WHERE a.won"""
 
 B13_PREDICTION = f"""WITH {AWARDS}
-SELECT r.sector, r.amount_range, count(*) AS n, round(avg(abs(b.p50 - r.price)), 6) AS mean_abs_gap
+SELECT r.sector, r.amount_range, count(*) AS n,
+  {srnd('CAST(sum(CAST(abs(b.p50 - r.price) AS DECIMAL(20,6))) AS DOUBLE) / count(*)', 6)} AS mean_abs_gap
 FROM recent12 r JOIN bench b ON r.sector = b.sector AND r.amount_range = b.amount_range
 GROUP BY r.sector, r.amount_range"""
 
