@@ -119,17 +119,20 @@ def _corpus_blocking(c: DataFrame, overridden: set[str]) -> DataFrame:
     return c.withColumn("_b", F.explode(F.array(*variants))).select("*", "_b.*").drop("_b")
 
 
-def _request_stats(requests: DataFrame) -> tuple[int, int, int]:
-    """(requests, requests with a context, max limit): one small aggregate."""
+def _request_stats(requests: DataFrame) -> tuple[int, int, int, list]:
+    """(requests, requests with a context, max limit, requested collections):
+    one small aggregate; the collection set is bounded by the collection
+    catalogue."""
     row = requests.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ctx").isNotNull()).alias("c"),
-                       F.max("limit").alias("m")).first()
-    return int(row["n"] or 0), int(row["c"] or 0), int(row["m"] or 1)
+                       F.max("limit").alias("m"),
+                       F.collect_set("collection").alias("cs")).first()
+    return int(row["n"] or 0), int(row["c"] or 0), int(row["m"] or 1), sorted(row["cs"] or [])
 
 
 def _size_check(requests: DataFrame, dim: int, budget: int, max_limit: int | None,
                 stats: tuple[int, int, int] | None = None):
     """(fits_broadcast, max_limit) from the request statistics."""
-    n, _, m = stats or _request_stats(requests)
+    n, _, m, _ = stats or _request_stats(requests)
     m = m if max_limit is None else max_limit
     row_bytes = 4 * dim + 512
     return n * row_bytes <= budget, max(1, min(m, S.LIMIT_MAX))
@@ -150,7 +153,10 @@ def knn_candidates(requests: DataFrame, corpus: DataFrame, dim: int,
     opts = opts or SearchOptions()
     overridden = filter_keys(opts.filters)
     stats = _request_stats(requests)
-    n_req, n_ctx, _ = stats
+    n_req, n_ctx, _, colls = stats
+    # Only the requested collections are read (partition pruning on a
+    # collection-partitioned corpus, and no embedding work for the others).
+    corpus = corpus.filter(F.col("collection").isin(colls))
     if opts.kernel == "auto":
         # Requests without a context block on the collection only (large
         # groups): block matrix products.  Requests with a context block on
@@ -191,8 +197,14 @@ def knn_candidates(requests: DataFrame, corpus: DataFrame, dim: int,
 
     on = [c["_shape"] == q["_shape"], c["collection"] == q["_q_collection"]] + \
          [c[f"_k_{k}"] == q[f"_k_{k}"] for k in CTX_KEYS]
+    corpus_fits = False
+    if not fits:
+        n_docs = int(c.select("doc_id").agg(F.count(F.lit(1))).first()[0])
+        corpus_fits = 3 * n_docs * (4 * dim + 512) <= opts.broadcast_budget_bytes
     if fits:
         q = F.broadcast(q)
+    elif corpus_fits:
+        c = F.broadcast(c)   # the filtered corpus side is the small one
     else:
         c = c.withColumn("_salt", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(opts.salt)))
         q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(opts.salt - 1))))

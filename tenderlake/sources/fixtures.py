@@ -127,6 +127,7 @@ def tender_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tender per order with the 12 context fields."""
     meta = _order_meta(spark, sf_dir)
+    meta = spread(meta, read_table(spark, sf_dir, "orders"), "o_orderkey")
     k = F.col("o_orderkey")
     dom = tender_domains(spark, sf_dir)
     df = meta.join(dom, meta.o_orderkey == dom.l_orderkey, "left")
@@ -180,7 +181,8 @@ def conversation_queries(spark: SparkSession, sf_dir: str, collection: str = S.D
                          limit: int = S.DEFAULT_LIMIT,
                          min_similarity: float = S.DEFAULT_MIN_SIMILARITY) -> DataFrame:
     """Every user turn of ``conversations`` as a free-text request, no context."""
-    conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    raw = read_table(spark, sf_dir, "conversations")
+    conv = spread(raw.select("conv_id", "turn", "role", "text"), raw, "conv_id")
     return conv.filter(F.col("role") == "user").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
         F.col("text").alias("query"),
