@@ -83,3 +83,21 @@ class ArrowProvider(Provider):
                                                      names=part.schema.names + [out_col])
 
         return df.mapInArrow(run, schema)
+
+
+def hashed_tf_numpy(texts: list, dim: int = 64) -> np.ndarray:
+    """The hashed term-frequency vectors of ``HashedTF`` computed in numpy
+    (a stand-in for a user model behind ``ArrowProvider``)."""
+    import hashlib
+    import re
+    ws = re.compile(r"\s+")
+    out = np.zeros((len(texts), dim), dtype=np.float32)
+    for i, t in enumerate(texts):
+        counts = np.zeros(dim, dtype=np.int64)
+        for w in ws.split((t or "").lower()):
+            if w:
+                counts[int(hashlib.md5(w.encode("utf-8")).hexdigest()[6:8], 16) % dim] += 1
+        norm = float(np.sqrt(float((counts * counts).sum())))
+        if norm > 0:
+            out[i] = (counts.astype(np.float64) / norm).astype(np.float32)
+    return out

@@ -745,3 +745,21 @@ g AS (SELECT *, sum(ns) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PR
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
   strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS session_end, count(*) AS events
 FROM g GROUP BY user_id, sid"""
+
+
+# ---------------------------------------------------------------- checks
+E2_ARROW = f"""WITH {hashed_tf_cte('vec', 'documents', 'doc_id', 'text', 64)}
+SELECT d.doc_id AS pos, CAST(coalesce(len(v.v), 64) AS INTEGER) AS dim,
+  round(coalesce(list_reduce(list_transform(v.v, lambda x: x::DOUBLE), lambda a, x: a + x), 0.0), 6) AS vsum
+FROM documents d LEFT JOIN vec v ON v.id = d.doc_id"""
+
+P11_DIMENSION = """SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dimension,
+  len(embedding) <> 64 AS dimension_mismatch FROM embeddings"""
+
+P13_OVERSIZE = f"""SELECT {cache_key_sql('text')} AS cache_key, CAST(256 + strlen(text) AS BIGINT) AS size_bytes,
+  CAST(256 + strlen(text) AS BIGINT) > {S.CACHE_ENTRY_MAX_BYTES} AS oversize FROM documents"""
+
+P7_SCORES = "WITH res AS (" + search_sql(DOC_REQUESTS, "l2sq") + """)
+SELECT count(*) AS results,
+  count(*) FILTER (WHERE similarity_score < 0 OR similarity_score > 1 OR relevance_score < 0
+                   OR relevance_score > 1) AS out_of_domain FROM res"""

@@ -25,15 +25,28 @@ from tenderlake.operators import profile as PR
 from tenderlake.operators.providers import HashedTF
 from tenderlake.operators.search import SearchOptions, search
 from tenderlake.plans import oracle as O
+from tenderlake.session import ensure_checkpoint_dir
 from tenderlake.sources import fixtures as fx
 
 Job = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Job, str | None]] = {}
 
 
+def prepare_session(spark: SparkSession) -> None:
+    """Results are defined in UTC; the checkpoint folder comes from the
+    cluster (``spark.checkpoint.dir``) and is only set here when missing."""
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: Job) -> Job:
-        REGISTRY[name] = (fn, sql)
+        def job(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare_session(spark)
+            return fn(spark, sf_dir)
+        job.__name__, job.__doc__ = fn.__name__, fn.__doc__
+        REGISTRY[name] = (job, sql)
         return fn
     return deco
 
@@ -579,3 +592,43 @@ def approx_recall_q(spark, sf_dir):
     exact = knn_candidates(good, corp, 64, SearchOptions(kernel="block"))
     exact = exact.filter(F.col("cand_rank") <= 10)
     return recall_at_k(approx_candidates(good, corp, 64, k=10), exact)
+
+
+# ------------------------------------------------------------------ checks and user providers
+@register("e2_arrow_provider", O.E2_ARROW)
+def arrow_provider_q(spark, sf_dir):
+    """E2 + E3: a user model over Arrow batches of 100 texts (here the numpy
+    form of the hashed TF vectors), run by Spark tasks."""
+    from tenderlake.operators.providers import ArrowProvider, hashed_tf_numpy
+    docs = fx.text_batch(spark, sf_dir)
+    out = ArrowProvider(hashed_tf_numpy, 64, "hashed-tf-64-numpy", batch_rows=100).embed(docs, "text")
+    return out.select("pos", F.size("embedding").cast("int").alias("dim"),
+                      F.round(F.aggregate("embedding", F.lit(0.0),
+                                          lambda a, x: a + x.cast("double")), 6).alias("vsum"))
+
+
+@register("p11_dimension_check", O.P11_DIMENSION)
+def dimension_q(spark, sf_dir):
+    """Stored vectors whose dimension differs from the model's."""
+    e = fx.read_table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.size("embedding").cast("int").alias("dimension"),
+                    (F.size("embedding") != 64).alias("dimension_mismatch"))
+
+
+@register("p13_entry_size_cap", O.P13_OVERSIZE)
+def oversize_q(spark, sf_dir):
+    """Cache entries above the 10 MB per-entry cap."""
+    d = fx.read_table(spark, sf_dir, "documents").select("text")
+    e = C.make_entries(d.withColumn("embedding", F.array_repeat(F.lit(0.0).cast("float"), 64)),
+                       fx.CACHE_MODEL, _as_of())
+    return e.select("cache_key", "size_bytes",
+                    (F.col("size_bytes") > fx.S.CACHE_ENTRY_MAX_BYTES).alias("oversize"))
+
+
+@register("p7_score_domain", O.P7_SCORES)
+def score_domain_q(spark, sf_dir):
+    """Results outside [0, 1] (similarity or relevance)."""
+    r = search(fx.document_queries(spark, sf_dir), fx.corpus(spark, sf_dir))
+    bad = ((F.col("similarity_score") < 0) | (F.col("similarity_score") > 1)
+           | (F.col("relevance_score") < 0) | (F.col("relevance_score") > 1))
+    return r.agg(F.count(F.lit(1)).alias("results"), F.count_if(bad).alias("out_of_domain"))
