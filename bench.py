@@ -22,7 +22,7 @@ from tenderlake.session import local_session  # noqa: E402
 HEADLINE = [
     "search_documents", "search_conversations", "b1_similar_tenders", "b17_cross_collection",
     "e1_embed_with_cache", "m3_evict", "f6_f9_profile_tenders", "s7_ingest_summary",
-    "a9_operation_metrics", "w4_running_mean", "b2_price_benchmark", "t3_stream_kpi",
+    "a9_operation_metrics", "w4_running_mean", "b2_price_benchmark", "t3_stream_kpi", "b9_hybrid_search",
 ]
 
 

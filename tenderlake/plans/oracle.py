@@ -763,3 +763,36 @@ P7_SCORES = "WITH res AS (" + search_sql(DOC_REQUESTS, "l2sq") + """)
 SELECT count(*) AS results,
   count(*) FILTER (WHERE similarity_score < 0 OR similarity_score > 1 OR relevance_score < 0
                    OR relevance_score > 1) AS out_of_domain FROM res"""
+
+
+# ---------------------------------------------------------------- B9 hybrid search
+CONV_REQUESTS_ANY = CONV_REQUESTS.replace(f"{S.DEFAULT_MIN_SIMILARITY}::DOUBLE AS min_similarity",
+                                          "0.0::DOUBLE AS min_similarity")
+_WORDS = "list_filter(string_split_regex(lower(coalesce({x}, '')), '\\s+'), lambda w: w <> '')"
+
+B9_HYBRID = "WITH vec AS (" + search_sql(CONV_REQUESTS_ANY, "cosine",
+                                        select="SELECT query_id, doc_id, cand_rank FROM cands") + f"""),
+{ORDER_META}, {CORPUS}, {CONV_REQUESTS_ANY},
+req_terms AS (SELECT DISTINCT query_id, collection, unnest({_WORDS.format(x='query')}) AS term FROM requests),
+ccorp AS (SELECT * FROM corpus WHERE collection IN (SELECT collection FROM requests)),
+ctoks AS (SELECT doc_id, collection, unnest({_WORDS.format(x='content')}) AS term FROM ccorp),
+tf AS (SELECT doc_id, collection, term, count(*) AS tf FROM ctoks GROUP BY doc_id, collection, term),
+dl AS (SELECT doc_id, len({_WORDS.format(x='content')}) AS dl FROM ccorp),
+stats AS (SELECT c.collection, count(*) AS n_docs, avg(dl.dl) AS avgdl FROM dl JOIN ccorp c ON dl.doc_id = c.doc_id
+          GROUP BY c.collection),
+tfv AS (SELECT * FROM tf WHERE term IN (SELECT term FROM req_terms)),
+dfs AS (SELECT collection, term, count(*) AS df FROM tfv GROUP BY collection, term),
+w AS (SELECT tfv.doc_id, tfv.collection, tfv.term,
+        ln(1.0::DOUBLE + (s.n_docs - dfs.df + 0.5::DOUBLE) / (dfs.df + 0.5::DOUBLE)) * tfv.tf * 2.2::DOUBLE
+        / (tfv.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.dl / s.avgdl)) AS w
+      FROM tfv JOIN dfs ON tfv.collection = dfs.collection AND tfv.term = dfs.term
+      JOIN dl ON tfv.doc_id = dl.doc_id JOIN stats s ON tfv.collection = s.collection),
+sc AS (SELECT r.query_id, w.doc_id, round(sum(w.w), 9) AS bm25 FROM req_terms r
+       JOIN w ON r.term = w.term AND r.collection = w.collection GROUP BY r.query_id, w.doc_id),
+bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS bm25_rank
+                      FROM sc WHERE bm25 > 0) WHERE bm25_rank <= 10),
+u AS (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + bm25_rank) AS s FROM bm
+      UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (60 + cand_rank) FROM vec),
+g AS (SELECT query_id, doc_id, sum(s) AS rrf FROM u GROUP BY query_id, doc_id)
+SELECT query_id, rank, doc_id, round(rrf, 9) AS rrf_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank FROM g) WHERE rank <= 5"""

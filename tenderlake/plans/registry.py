@@ -632,3 +632,16 @@ def score_domain_q(spark, sf_dir):
     bad = ((F.col("similarity_score") < 0) | (F.col("similarity_score") > 1)
            | (F.col("relevance_score") < 0) | (F.col("relevance_score") > 1))
     return r.agg(F.count(F.lit(1)).alias("results"), F.count_if(bad).alias("out_of_domain"))
+
+
+# ------------------------------------------------------------------ hybrid search
+@register("b9_hybrid_search", O.B9_HYBRID)
+def hybrid_q(spark, sf_dir):
+    """BM25 top 10 and vector top 10 (cosine) fused by reciprocal rank (k = 60), top 5."""
+    from tenderlake.operators.hybrid import bm25_top, reciprocal_rank_fusion
+    req = fx.conversation_queries(spark, sf_dir, min_similarity=0.0)
+    corp = fx.corpus(spark, sf_dir)
+    bm = bm25_top(req, fx.corpus(spark, sf_dir, embedding="none"), 10)
+    good, _ = prepare_requests(req, HashedTF())
+    vec = knn_candidates(good, corp, 64, SearchOptions(metric="cosine"))
+    return reciprocal_rank_fusion(bm, vec, 5)
