@@ -9,7 +9,7 @@ as a whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake import schemas as S
@@ -97,8 +97,11 @@ def assign_ids(docs: DataFrame, batch_ts: Column, order_col: str = "content") ->
     is the index inside the batch (computed per batch by ``order_col`` when
     the rows do not carry it already)."""
     if "pos" not in docs.columns:
-        w = Window.partitionBy("batch_id").orderBy(order_col)
-        docs = docs.withColumn("pos", F.row_number().over(w) - 1)
+        # distributed per-batch numbering: a batch holding a third of the rows
+        # is spread over range partitions instead of one window task
+        from tenderlake.operators.running import running_totals
+        docs = (running_totals(docs.withColumn("_one", F.lit(1.0)), ["batch_id"], [order_col], "_one")
+                .withColumnRenamed("before_count", "pos").drop("before_sum", "_one"))
     gen = F.concat_ws("_", F.col("collection"), F.unix_millis(batch_ts).cast("string"),
                       F.col("pos").cast("string"))
     given = F.col("doc_id").cast("string") if "doc_id" in docs.columns else F.lit(None).cast("string")
