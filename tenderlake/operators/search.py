@@ -342,3 +342,13 @@ def search(requests: DataFrame, corpus: DataFrame, provider: Provider | None = N
     good, _ = prepare_requests(requests, provider)
     cands = knn_candidates(good, corpus, provider.dim, opts)
     return result_columns(rerank(cands))
+
+
+def export_results(results: DataFrame, path: str | None = None) -> DataFrame:
+    """Results with their derived fields as one JSON document per row;
+    written as JSON lines when ``path`` is given."""
+    out = results.select("query_id", "rank", F.to_json(F.struct(*[F.col(c) for c in results.columns]))
+                         .alias("json"))
+    if path:
+        out.select("json").write.mode("overwrite").text(path)
+    return out

@@ -796,3 +796,12 @@ u AS (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + bm25_rank) AS s FROM bm
 g AS (SELECT query_id, doc_id, sum(s) AS rrf FROM u GROUP BY query_id, doc_id)
 SELECT query_id, rank, doc_id, round(rrf, 9) AS rrf_score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank FROM g) WHERE rank <= 5"""
+
+
+S6_S8_APPEND_READ = f"""WITH {BATCHES}
+SELECT doc_id, collection, CAST(length(content) AS INTEGER) AS document_length FROM ided
+WHERE collection = 'historique_ao'"""
+
+P2_BLANK = """SELECT conv_id, count(*) AS texts,
+  count(*) FILTER (WHERE text IS NULL OR regexp_matches(text, '^\\s*$')) > 0 AS rejected
+FROM conversations GROUP BY conv_id"""

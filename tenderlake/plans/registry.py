@@ -645,3 +645,40 @@ def hybrid_q(spark, sf_dir):
     good, _ = prepare_requests(req, HashedTF())
     vec = knn_candidates(good, corp, 64, SearchOptions(metric="cosine"))
     return reciprocal_rank_fusion(bm, vec, 5)
+
+
+# ------------------------------------------------------------------ sinks
+@register("s6_s8_append_read_collection", O.S6_S8_APPEND_READ)
+def append_read_q(spark, sf_dir):
+    """S6 + S8: append the ingested rows (partitioned by collection), append
+    the same ids again (first write wins: nothing new is written), then read
+    one collection back (partition pruning)."""
+    import uuid
+    from tenderlake.session import scratch_path
+    path = scratch_path(spark, f"corpus-{uuid.uuid4().hex}")
+    rows = _ingested(spark, sf_dir).select("doc_id", "collection", "document_length")
+    IG.append_to_corpus(rows, path)
+    again = IG.dedupe_against(rows, spark.read.parquet(path))
+    IG.append_to_corpus(again, path)
+    return IG.read_collection(spark, path, "historique_ao").select("doc_id", "collection",
+                                                                   "document_length")
+
+
+@register("p2_blank_texts", O.P2_BLANK)
+def blank_texts_q(spark, sf_dir):
+    """A conversation (one embedding call) with any blank text is rejected."""
+    c = fx.read_table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("texts"),
+                                    (F.count_if(C.is_blank(F.col("text"))) > 0).alias("rejected"))
+
+
+@register("s10_export_results")
+def export_q(spark, sf_dir):
+    """Search results as JSON documents (written to the shared folder)."""
+    import uuid
+    from tenderlake.operators.search import export_results
+    from tenderlake.session import scratch_path
+    res = search(fx.document_queries(spark, sf_dir), fx.corpus(spark, sf_dir))
+    path = scratch_path(spark, f"results-{uuid.uuid4().hex}")
+    export_results(res, path)
+    return spark.read.text(path).withColumnRenamed("value", "json")
