@@ -48,7 +48,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as is.  Only when it is missing (local tests) a fresh scratch folder is
     created.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (remote session: the server owns the setting)
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        return d
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = sc.getCheckpointDir()
