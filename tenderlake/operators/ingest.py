@@ -92,6 +92,19 @@ def validate_batches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # ---------------------------------------------------------------- S4 / S5
+def with_submission_time(docs: DataFrame, base_ts: Column, order_col: str) -> DataFrame:
+    """Give every batch (one add-documents call) its own submission time,
+    ``base_ts`` plus the smallest ``order_col`` of the batch in milliseconds,
+    so generated ids of different calls never collide.  One aggregate row
+    per batch joined back on ``batch_id``."""
+    first = docs.groupBy("batch_id").agg(F.min(order_col).alias("_first"))
+    return (docs.join(first, "batch_id")
+            .withColumn("submitted_at",
+                        F.timestamp_millis(F.unix_millis(base_ts) + F.col("_first").cast("bigint")))
+            .drop("_first"))
+
+
+
 def assign_ids(docs: DataFrame, batch_ts: Column, order_col: str = "content") -> DataFrame:
     """``{collection}_{epoch_ms}_{pos}`` where no id was given; ``pos``
     is the index inside the batch (computed per batch by ``order_col`` when

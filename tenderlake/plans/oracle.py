@@ -355,12 +355,14 @@ BATCHES = f"""batches AS (
 verdict AS (SELECT batch_id, count(*) AS documents,
   bool_and(NOT (content IS NULL OR regexp_matches(content, '^\\s*$'))) AS accepted FROM batches GROUP BY batch_id),
 good AS (SELECT b.* FROM batches b JOIN verdict v ON b.batch_id = v.batch_id WHERE v.accepted),
-ided AS (SELECT *, collection || '_' || CAST(epoch_ms({INGEST_TS}) AS VARCHAR) || '_' ||
-  CAST(row_number() OVER (PARTITION BY batch_id ORDER BY source_doc) - 1 AS VARCHAR) AS doc_id FROM good)"""
+ided AS (SELECT *, collection || '_' || CAST(epoch_ms({INGEST_TS}) + first_doc AS VARCHAR) || '_' ||
+  CAST(row_number() OVER (PARTITION BY batch_id ORDER BY source_doc) - 1 AS VARCHAR) AS doc_id,
+  epoch_ms(epoch_ms({INGEST_TS}) + first_doc) AS submitted_at
+  FROM (SELECT *, min(source_doc) OVER (PARTITION BY batch_id) AS first_doc FROM good))"""
 
 S2_INGEST = f"""WITH {BATCHES}
 SELECT doc_id, collection, batch_id, CAST(length(content) AS INTEGER) AS document_length,
-  '{S.ENGINE_VERSION}' AS engine_version, strftime({INGEST_TS}, '%Y-%m-%d %H:%M:%S') AS added_at,
+  '{S.ENGINE_VERSION}' AS engine_version, strftime(submitted_at, '%Y-%m-%d %H:%M:%S') AS added_at,
   lang, NULL::VARCHAR AS meta_collection FROM ided"""
 
 S3_VERDICT = f"WITH {BATCHES} SELECT batch_id, documents, accepted FROM verdict"
@@ -715,7 +717,7 @@ FROM requests q LEFT JOIN g ON q.query_id = g.query_id"""
 # ---------------------------------------------------------------- streaming (same results as batch)
 T1_INGEST = f"""WITH {BATCHES.replace("UNION ALL\n  SELECT 'benchmark', 'benchmark', text, item_id, NULL FROM benchmark", "")}
 SELECT doc_id, collection, batch_id, CAST(length(content) AS INTEGER) AS document_length,
-  '{S.ENGINE_VERSION}' AS engine_version, strftime({INGEST_TS}, '%Y-%m-%d %H:%M:%S') AS added_at,
+  '{S.ENGINE_VERSION}' AS engine_version, strftime(submitted_at, '%Y-%m-%d %H:%M:%S') AS added_at,
   lang, NULL::VARCHAR AS meta_collection FROM ided"""
 
 T2_DEDUP = f"SELECT DISTINCT {cache_key_sql('text')} AS cache_key FROM documents"

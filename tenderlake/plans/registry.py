@@ -194,7 +194,8 @@ def _all_batches(spark, sf_dir):
 
 
 def _ingested(spark, sf_dir):
-    rows, _ = IG.ingest(_all_batches(spark, sf_dir), None, _ingest_ts(), order_col="source_doc")
+    docs = IG.with_submission_time(_all_batches(spark, sf_dir), _ingest_ts(), "source_doc")
+    rows, _ = IG.ingest(docs, None, F.col("submitted_at"), order_col="source_doc")
     return rows
 
 
