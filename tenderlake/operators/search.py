@@ -109,10 +109,11 @@ def _request_blocking(q: DataFrame, overridden: set[str]) -> DataFrame:
     return q
 
 
-def _corpus_blocking(c: DataFrame, overridden: set[str]) -> DataFrame:
+def _corpus_blocking(c: DataFrame, overridden: set[str], shapes=(0, 1, 2)) -> DataFrame:
+    """One row per corpus row and request shape present (at most three)."""
     keys = _shape_keys(overridden)
     variants = []
-    for s in (0, 1, 2):
+    for s in shapes:
         variants.append(F.struct(
             F.lit(s).alias("_shape"),
             *[(F.col(k) if k in keys[s] else F.lit("")).alias(f"_k_{k}") for k in CTX_KEYS]))
@@ -187,7 +188,10 @@ def knn_candidates(requests: DataFrame, corpus: DataFrame, dim: int,
         return _block_path(requests, c, dim, opts, vec_col, overridden, max_limit, k_lit, n_req)
     c = c.withColumn("_vn", F.sqrt(sq_norm(F.col("embedding"), dim))) \
         if opts.metric == "cosine" else c
-    c = _corpus_blocking(c, overridden)
+    # request shapes present: no context → 0 (routed to the block kernel by
+    # "auto"), context → 1 or 2 (amount set)
+    shapes = (0, 1, 2) if n_ctx < n_req else (1, 2)
+    c = _corpus_blocking(c, overridden, shapes)
 
     q = requests.select("query_id", "collection", "limit", "min_similarity", "ctx",
                         F.col(vec_col).alias("_qv"))
