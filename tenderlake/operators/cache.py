@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tenderlake import schemas as S
 from tenderlake.functions.text import cache_key, is_blank, key_prefix, word_count
@@ -170,44 +169,17 @@ def evict_oldest(cache: DataFrame, max_bytes: int = S.CACHE_MAX_BYTES,
     ``ratio * max_bytes``.
 
     An entry is evicted iff ``total > max`` and ``total - size of strictly
-    older entries > target``.  The running sum is distributed: the table is
-    range-partitioned on (cached_at, cache_key), each partition computes its
-    local exclusive prefix in one pass (rows sorted inside the partition),
-    and partition totals (one row per partition, a proven bound) give the
-    offsets.  No global single-task window, robust to a skewed timestamp.
+    older entries > target``.  The prefix sums are distributed
+    (``running_totals``: range partitions, per-partition prefix, partition
+    offsets), so no global single-task window is used.
     """
-    spark = cache.sparkSession
-    n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = (cache.repartitionByRange(n, "cached_at", "cache_key")
-         .sortWithinPartitions("cached_at", "cache_key")
-         .withColumn("_pid", F.spark_partition_id()))
-    # Fix the partition assignment once (reused by two branches).
-    r = r.checkpoint()
-    schema = T.StructType(r.schema.fields + [T.StructField("_local", T.LongType())])
-
-    def local_prefix(batches):
-        carry = {}
-        for pdf in batches:
-            for pid in pdf["_pid"].unique():
-                m = pdf["_pid"] == pid
-                sizes = pdf.loc[m, "size_bytes"].fillna(0).astype("int64")
-                start = carry.get(pid, 0)
-                csum = sizes.cumsum()
-                pdf.loc[m, "_local"] = (csum - sizes + start).values
-                carry[pid] = start + int(sizes.sum())
-            pdf["_local"] = pdf["_local"].astype("int64")
-            yield pdf
-
-    local = r.mapInPandas(local_prefix, schema)
-    parts = r.groupBy("_pid").agg(F.sum("size_bytes").alias("_ptot"))
-    wp = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("_pid", F.coalesce(F.sum("_ptot").over(wp), F.lit(0)).alias("_off"),
-                           F.sum("_ptot").over(Window.partitionBy()).alias("_total"))
+    from tenderlake.operators.running import running_totals
+    r = running_totals(cache, [], ["cached_at", "cache_key"], "size_bytes", n_ranges,
+                       with_total=True)
     target = float(max_bytes) * ratio
-    out = local.join(F.broadcast(offsets), "_pid")
-    before = F.col("_off") + F.col("_local")
-    evicted = (F.col("_total") > F.lit(max_bytes)) & ((F.col("_total") - before) > F.lit(target))
-    return out.withColumn("evicted", evicted).drop("_pid", "_local", "_off", "_total")
+    evicted = (F.col("group_total") > F.lit(max_bytes)) & \
+        ((F.col("group_total") - F.col("before_sum")) > F.lit(target))
+    return r.withColumn("evicted", evicted).drop("before_sum", "before_count", "group_total")
 
 
 # ---------------------------------------------------------------- A5/A6/M4/M5

@@ -4,12 +4,15 @@
 ``partitionBy(group)`` does the same for a hot group.  Here the table is
 range-partitioned on (group, order) columns, so partitions are balanced by
 sampling even when one group holds a third of the rows; each partition
-computes its local prefix in one sorted pass, and the totals of earlier
-partitions (one row per partition and group) are added back.
+computes its local prefix in one sorted pass and the result is written once
+to the shared checkpoint folder (lineage cut, and both branches below read
+the same partition assignment); the totals of earlier partitions (one row
+per partition and group) are then added back.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import pandas as pd
@@ -17,19 +20,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenderlake.session import scratch_path
+
 
 def running_totals(df: DataFrame, by: list[str], order: list[str], value: str,
-                   n_ranges: int | None = None) -> DataFrame:
+                   n_ranges: int | None = None, with_total: bool = False) -> DataFrame:
     """Add ``before_sum`` (sum of ``value`` over strictly earlier rows of the
-    same group) and ``before_count``.  Order columns must make rows unique
-    within a group for the result to be deterministic."""
+    same group) and ``before_count``; with ``with_total`` also the group's
+    ``group_total``.  Order columns must make rows unique within a group for
+    the result to be deterministic."""
     spark = df.sparkSession
     n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = by + order
     r = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
          .withColumn("_pid", F.spark_partition_id()))
-    # Fix the partition assignment once: two branches read it.
-    r = r.checkpoint()
     schema = T.StructType(r.schema.fields + [T.StructField("_lsum", T.DoubleType()),
                                              T.StructField("_lcnt", T.LongType())])
 
@@ -53,16 +57,24 @@ def running_totals(df: DataFrame, by: list[str], order: list[str], value: str,
                 carry[k] = (s0 + float(row["sum"]), c0 + int(row["count"]))
             yield pdf
 
-    loc = r.mapInPandas(local, schema)
-    tot = r.groupBy("_pid", *by).agg(F.sum(F.col(value).cast("double")).alias("_ps"),
-                                     F.count(F.lit(1)).alias("_pc"))
+    path = scratch_path(spark, f"running-{uuid.uuid4().hex}")
+    r.mapInPandas(local, schema).write.mode("overwrite").parquet(path)
+    loc = spark.read.parquet(path)
+    tot = loc.groupBy("_pid", *by).agg(F.sum(F.col(value).cast("double")).alias("_ps"),
+                                       F.count(F.lit(1)).alias("_pc"))
+    # one row per (partition, group): bounded by partitions + groups
     w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) \
         if by else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    wall = Window.partitionBy(*by) if by else Window.partitionBy()
     off = tot.select(F.col("_pid").alias("_opid"), *[F.col(b).alias("_o_" + b) for b in by],
                      F.coalesce(F.sum("_ps").over(w), F.lit(0.0)).alias("_os"),
-                     F.coalesce(F.sum("_pc").over(w), F.lit(0)).alias("_oc"))
+                     F.coalesce(F.sum("_pc").over(w), F.lit(0)).alias("_oc"),
+                     F.sum("_ps").over(wall).alias("_gt"))
     cond = [loc["_pid"] == off["_opid"]] + [loc[b].eqNullSafe(off["_o_" + b]) for b in by]
     out = loc.join(off, reduce(lambda a, b: a & b, cond))
-    return (out.withColumn("before_sum", F.col("_os") + F.col("_lsum"))
-            .withColumn("before_count", (F.col("_oc") + F.col("_lcnt")).cast("bigint"))
-            .drop("_pid", "_opid", "_lsum", "_lcnt", "_os", "_oc", *["_o_" + b for b in by]))
+    out = (out.withColumn("before_sum", F.col("_os") + F.col("_lsum"))
+           .withColumn("before_count", (F.col("_oc") + F.col("_lcnt")).cast("bigint")))
+    if with_total:
+        out = out.withColumn("group_total", F.col("_gt"))
+    return out.drop("_pid", "_opid", "_lsum", "_lcnt", "_os", "_oc", "_gt",
+                    *["_o_" + b for b in by])
