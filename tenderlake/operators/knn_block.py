@@ -170,5 +170,8 @@ def block_candidates(requests_blocked: DataFrame, corpus_proj: DataFrame, dim: i
     return out
 
 
-def chunks_for(n_requests: int, dim: int, budget_bytes: int) -> int:
-    return max(1, math.ceil(n_requests * (8 * dim + 256) / max(1, budget_bytes)))
+def chunks_for(n_requests: int, dim: int, budget_bytes: int, min_rows: int = 1024) -> int:
+    """Request chunks so that one chunk's vectors fit ``budget_bytes``
+    (at least ``min_rows`` requests per chunk)."""
+    per_chunk = max(min_rows, budget_bytes // (8 * dim + 256))
+    return max(1, math.ceil(n_requests / per_chunk))

@@ -210,8 +210,7 @@ def knn_candidates(requests: DataFrame, corpus: DataFrame, dim: int,
     elif corpus_fits:
         c = F.broadcast(c)   # the filtered corpus side is the small one
     else:
-        c = c.withColumn("_salt", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(opts.salt)))
-        q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(opts.salt - 1))))
+        c, q = _salt_hot_keys(c, q, opts.salt)
         on.append(c["_salt"] == q["_salt"])
     pairs = c.join(q, on)
     if "domaine_technique" not in overridden:
@@ -258,6 +257,31 @@ def _block_path(requests: DataFrame, c: DataFrame, dim: int, opts: SearchOptions
     return top.join(ctx, top.query_id == ctx._qid).drop("_qid")
 
 
+def _salt_hot_keys(c: DataFrame, q: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
+    """Shuffle-join skew handling: blocking keys holding more than a
+    partition's share of the corpus are split into ``salt`` sub-keys (corpus
+    rows by doc id, requests replicated to every sub-key); other keys keep
+    one sub-key, so only hot keys pay the replication.  The hot-key list has
+    at most ``spark.sql.shuffle.partitions`` entries by construction."""
+    spark = c.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keycols = ["_shape", "collection"] + [f"_k_{k}" for k in CTX_KEYS]
+    counts = c.groupBy(*keycols).agg(F.count(F.lit(1)).alias("_n"))
+    total = int(counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+    hot = (counts.filter(F.col("_n") > F.lit(max(1, total // parts)))
+           .select(*[F.col(k).alias("_h" + k) for k in keycols]).withColumn("_hot", F.lit(True)))
+    ch = c.join(F.broadcast(hot), [c[k].eqNullSafe(hot["_h" + k]) for k in keycols], "left")
+    c = ch.withColumn("_salt", F.when(F.col("_hot").isNotNull(),
+                                      F.pmod(F.xxhash64(F.col("doc_id")), F.lit(salt)))
+                      .otherwise(F.lit(0).cast("long"))).drop("_hot", *["_h" + k for k in keycols])
+    qcols = ["_shape", "_q_collection"] + [f"_k_{k}" for k in CTX_KEYS]
+    qh = q.join(F.broadcast(hot), [q[a].eqNullSafe(hot["_h" + b]) for a, b in zip(qcols, keycols)], "left")
+    q = qh.withColumn("_salt", F.explode(
+        F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long")))
+        .otherwise(F.array(F.lit(0).cast("long"))))).drop("_hot", *["_h" + k for k in keycols])
+    return c, q
+
+
 def _count(df: DataFrame) -> int:
     return int(df.agg(F.count(F.lit(1))).first()[0])
 
