@@ -380,3 +380,15 @@ def export_results(results: DataFrame, path: str | None = None) -> DataFrame:
     if path:
         out.select("json").write.mode("overwrite").text(path)
     return out
+
+
+def search_vectors(requests: DataFrame, corpus: DataFrame, dim: int,
+                   opts: SearchOptions | None = None, vec_col: str = "q_vec") -> DataFrame:
+    """Search with request vectors given directly (no text to enrich or
+    embed): limit and min_similarity are validated, then the same
+    candidates, rerank and result columns as ``search``."""
+    r = with_defaults(requests)
+    lim, ms = F.col("limit"), F.col("min_similarity")
+    r = r.filter(lim.between(S.LIMIT_MIN, S.LIMIT_MAX) & ms.between(0.0, 1.0)
+                 & F.col(vec_col).isNotNull())
+    return result_columns(rerank(knn_candidates(r, corpus, dim, opts, vec_col)))

@@ -807,3 +807,24 @@ WHERE collection = 'historique_ao'"""
 P2_BLANK = """SELECT conv_id, count(*) AS texts,
   count(*) FILTER (WHERE text IS NULL OR regexp_matches(text, '^\\s*$')) > 0 AS rejected
 FROM conversations GROUP BY conv_id"""
+
+
+# ---------------------------------------------------------------- precomputed vectors (E3 a)
+VEC_SEARCH = f"""WITH {ORDER_META}, {CORPUS},
+cv AS (SELECT c.*, e.embedding AS v FROM corpus c JOIN embeddings e ON e.vec_id = c.doc_id),
+requests AS (SELECT e.vec_id AS query_id, c.collection, e.embedding AS qv FROM embeddings e
+             JOIN corpus c ON c.doc_id = e.vec_id),
+pairs AS (SELECT q.query_id, c.doc_id, c.collection, c.secteur, c.type_ao, c.fourchette_montant, c.organisme,
+            {dist_sql('cosine', 'q.qv', 'c.v', 64)} AS distance
+          FROM requests q JOIN cv c ON q.collection = c.collection),
+scored AS (SELECT *, greatest(0.0::DOUBLE, 1.0::DOUBLE - distance) AS similarity FROM pairs),
+cands AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS cand_rank
+                         FROM scored) WHERE cand_rank <= 10),
+ranked AS (SELECT *, similarity AS relevance_score, row_number() OVER (PARTITION BY query_id ORDER BY
+             coalesce(nullif(similarity, 0.0), similarity) DESC, distance, doc_id) AS rank FROM cands)
+SELECT query_id, rank, doc_id, collection, round(similarity, 6) AS similarity_score,
+  round(relevance_score, 6) AS relevance_score, type_ao AS ao_type, secteur AS sector,
+  fourchette_montant AS amount_range, organisme,
+  CASE WHEN similarity > 0.8 THEN 'Haute' WHEN similarity > 0.6 THEN 'Moyenne' ELSE 'Faible' END AS confidence_level,
+  similarity > 0.8 AS is_highly_relevant
+FROM ranked WHERE rank <= 5"""

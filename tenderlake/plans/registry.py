@@ -683,3 +683,18 @@ def export_q(spark, sf_dir):
     path = scratch_path(spark, f"results-{uuid.uuid4().hex}")
     export_results(res, path)
     return spark.read.text(path).withColumnRenamed("value", "json")
+
+
+# ------------------------------------------------------------------ precomputed vectors
+@register("e3_precomputed_vector_search", O.VEC_SEARCH)
+def vector_search_q(spark, sf_dir):
+    """E3 (precomputed provider): every stored vector searches its document's
+    collection (cosine, min similarity 0) among documents with stored vectors."""
+    from tenderlake.operators.search import search_vectors
+    corp = fx.corpus(spark, sf_dir, embedding="precomputed")
+    emb = fx.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    docs = fx.corpus(spark, sf_dir, embedding="none").select("doc_id", "collection")
+    req = emb.join(docs, emb.vec_id == docs.doc_id).select(
+        F.col("vec_id").alias("query_id"), "collection", F.col("embedding").alias("q_vec"),
+        F.lit(5).alias("limit"), F.lit(0.0).alias("min_similarity"))
+    return search_vectors(req, corp, 64, SearchOptions(metric="cosine"))
