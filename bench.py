@@ -3,8 +3,9 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
 Each query is fully executed through the ``noop`` sink (every row is
-produced, nothing is collected to the driver).  ``value`` is the sum of
-the per-query wall-clock seconds after one warm-up run of the flagship.
+produced, nothing is collected to the driver).  After one warm-up run of the
+flagship, every query runs ``BENCH_REPEAT`` times (default 2) and its best
+wall-clock time is kept; ``value`` is the sum over the queries.
 """
 
 from __future__ import annotations
@@ -36,11 +37,16 @@ def main() -> None:
         names = only
     # warm-up (JIT, codegen caches) on the flagship
     REGISTRY[names[0]][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     times = {}
     for n in names:
-        t0 = time.time()
-        REGISTRY[n][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[n] = round(time.time() - t0, 3)
+        best = None
+        for _ in range(repeat):
+            t0 = time.time()
+            REGISTRY[n][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            dt = time.time() - t0
+            best = dt if best is None else min(best, dt)
+        times[n] = round(best, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": sf}))
