@@ -21,6 +21,7 @@ import math
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
@@ -64,6 +65,8 @@ def make_kernel(qpath: str, dim: int, metric: str, k: int, shape_keys: dict,
         qkey = list(zip(qd["_q_collection"], qd["_shape"], *[qd[f"_k_{c}"] for c in KEY_COLS]))
         groups: dict = {}
         for i, key in enumerate(qkey):
+            if any(k is None or (isinstance(k, float) and k != k) for k in key):
+                continue
             groups.setdefault(key, []).append(i)
         groups = {key: np.asarray(v) for key, v in groups.items()}
 
@@ -78,12 +81,15 @@ def make_kernel(qpath: str, dim: int, metric: str, k: int, shape_keys: dict,
             doc_ids = cols["doc_id"]
             out_q, out_d, out_dist = [], [], []
             for s, keys in shape_keys.items():
-                ck = [cols["collection"]] + [cols[c] if c in keys else np.full(n, "", dtype=object)
-                                             for c in KEY_COLS]
-                rows_by_key: dict = {}
-                for r, key in enumerate(zip(*ck)):
-                    rows_by_key.setdefault(key, []).append(r)
+                kdf = pd.DataFrame({"c": cols["collection"], **{
+                    f"k{i}": (cols[c] if c in keys else np.full(n, "", dtype=object))
+                    for i, c in enumerate(KEY_COLS)}})
+                # vectorised grouping of the batch rows by blocking key
+                rows_by_key = kdf.groupby(list(kdf.columns), sort=False, dropna=False).indices
                 for key, rows in rows_by_key.items():
+                    key = key if isinstance(key, tuple) else (key,)
+                    if any(k is None or (isinstance(k, float) and k != k) for k in key):
+                        continue  # a NULL key never equals anything (SQL semantics)
                     qidx = groups.get((key[0], s) + tuple(key[1:]))
                     if qidx is None:
                         continue
