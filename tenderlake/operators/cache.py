@@ -59,8 +59,8 @@ def make_entries(texts: DataFrame, model: str, cached_at: Column,
 
 # ---------------------------------------------------------------- M1
 def latest_entries(cache: DataFrame) -> DataFrame:
-    """Newest version per key (last write wins)."""
-    w = Window.partitionBy("cache_key").orderBy(F.col("cached_at").desc())
+    """Newest version per key (last write wins; equal times: larger hash)."""
+    w = Window.partitionBy("cache_key").orderBy(F.col("cached_at").desc(), F.col("text_hash").desc())
     return cache.withColumn("_v", F.row_number().over(w)).filter("_v = 1").drop("_v")
 
 
