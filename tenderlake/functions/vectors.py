@@ -93,28 +93,35 @@ def hashed_tf(text: Column, n_buckets: int = 64) -> Column:
     """Dense L2-normalised term-frequency vector of hashed lower-case words.
 
     Per row and shuffle-free.  Words are hashed to buckets once (one lambda
-    call per word); the count of bucket ``i`` is ``size(b) -
-    size(array_remove(b, i))``, a native scan, so the per-word cost is the
-    hash and the per-document cost adds ``n_buckets`` native passes.
+    call per word); the count of each bucket present is ``size(b) -
+    size(array_remove(b, k))``, a native scan, so the per-word cost is the
+    hash and the per-document cost adds one native pass per distinct bucket.
     """
     buckets = F.transform(words(F.lower(F.coalesce(text, F.lit("")))),
                           lambda w: token_bucket(w, n_buckets))
 
     def with_buckets(b: Column) -> Column:
         n = F.size(b)
-        counts = F.transform(F.sequence(F.lit(0), F.lit(n_buckets - 1)),
-                             lambda i: n - F.size(F.array_remove(b, i)))
 
-        def with_counts(c: Column) -> Column:
-            norm = F.sqrt(F.aggregate(c, F.lit(0).cast("bigint"),
-                                      lambda acc, x: acc + (x * x).cast("bigint")).cast("double"))
+        def with_keys(ks: Column) -> Column:
+            # counts of the buckets present only (native scans of b)
+            counts = F.transform(ks, lambda k: n - F.size(F.array_remove(b, k)))
 
-            def dense(nr: Column) -> Column:
-                return F.transform(c, lambda x: F.when(nr > 0, x.cast("double") / nr)
-                                   .otherwise(F.lit(0.0)).cast("float"))
+            def with_counts(c: Column) -> Column:
+                norm = F.sqrt(F.aggregate(c, F.lit(0).cast("bigint"),
+                                          lambda acc, x: acc + (x * x).cast("bigint")).cast("double"))
 
-            return let(norm, dense)
+                def dense(mc: Column) -> Column:
+                    m, nr = mc["m"], mc["nr"]
+                    return F.transform(
+                        F.sequence(F.lit(0), F.lit(n_buckets - 1)),
+                        lambda i: F.when(nr > 0, F.coalesce(F.try_element_at(m, i), F.lit(0))
+                                         .cast("double") / nr).otherwise(F.lit(0.0)).cast("float"))
 
-        return let(counts, with_counts)
+                return let(F.struct(F.map_from_arrays(ks, c).alias("m"), norm.alias("nr")), dense)
+
+            return let(counts, with_counts)
+
+        return let(F.array_distinct(b), with_keys)
 
     return let(buckets, with_buckets)
