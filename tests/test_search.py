@@ -97,3 +97,23 @@ def test_shuffle_join_with_hot_key_salting_matches(spark, sf):
     b = search(req, corp, opts=SearchOptions(kernel="join", broadcast_budget_bytes=1, salt=4))
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(a) == key(b) and len(key(a)) > 0
+
+
+def test_block_kernel_request_chunks_match(spark, sf):
+    """Requests split over several chunks (one corpus pass each) give the
+    same candidates as a single chunk."""
+    from tenderlake.operators.knn_block import block_candidates
+    from tenderlake.operators.search import _request_blocking, _shape_keys
+    corp = fx.corpus(spark, sf).select("doc_id", "collection", "embedding", "secteur", "type_ao",
+                                       "fourchette_montant", "domaine_technique", "organisme")
+    good, _ = prepare_requests(fx.conversation_queries(spark, sf, min_similarity=0.0), HashedTF())
+    q = _request_blocking(good.select("query_id", "collection", "limit", "min_similarity", "ctx",
+                                      F.col("q_vec").alias("_qv")), set())
+    q = q.withColumnRenamed("collection", "_q_collection").withColumn(
+        "_doms", F.lit(None).cast("array<string>")).select(
+        "query_id", "_q_collection", "limit", "min_similarity", "_shape", "_k_secteur", "_k_type_ao",
+        "_k_fourchette_montant", "_doms", "_qv")
+    one = block_candidates(q, corp, 64, "cosine", 10, _shape_keys(set()), True, 1)
+    three = block_candidates(q, corp, 64, "cosine", 10, _shape_keys(set()), True, 3)
+    key = lambda df: sorted((r.query_id, r.doc_id, round(r.distance, 12)) for r in df.collect())
+    assert key(one) == key(three) and len(key(one)) > 0
