@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tenderlake.llm.common import read_table
 from tenderlake.llm.mixing import mix_sources
+from tenderlake.llm.packing import pack_documents
+from tenderlake.llm.secrets import scan_documents
+from tenderlake.llm.tokens import count_tokens
+from tenderlake.session import scratch_path
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: base patterns and entropy spans."""
+    return scan_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents.  Every call starts a cache of its own,
+    so that its work does not depend on earlier calls."""
+    return count_tokens(read_table(spark, sf_dir, "documents"), scratch_path(spark, f"token-cache-{uuid.uuid4().hex}"))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +37,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_secret_scans": op5_secret_scans,
+    "op6_token_counts": op6_token_counts,
     "op10_source_mixing": op10_source_mixing,
 }
 LLM_SQL: dict[str, str] = {}
