@@ -11,6 +11,7 @@ from tenderlake.llm.common import read_table
 from tenderlake.llm.mixing import mix_sources
 from tenderlake.llm.packing import pack_documents
 from tenderlake.llm.secrets import scan_documents
+from tenderlake.llm.simhash import simhash_classes
 from tenderlake.llm.tokens import count_tokens
 from tenderlake.session import scratch_path
 
@@ -31,6 +32,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), scratch_path(spark, f"token-cache-{uuid.uuid4().hex}"))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, linked at 2 or fewer differing bits."""
+    return simhash_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 5, 2, 1 (repeating) of their sources."""
     return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -40,6 +46,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scans": op5_secret_scans,
     "op6_token_counts": op6_token_counts,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
 LLM_SQL: dict[str, str] = {}
