@@ -10,7 +10,9 @@ of a special token go to the library whole.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,10 @@ from pyspark.sql.utils import AnalysisException
 from tenderlake.llm.common import as_text, map_batches, utf8, written
 
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces whose ids a Python worker keeps.
-CACHE_PIECES = 400_000
+#: Pieces, and words, whose ids a Python worker keeps (about 200 bytes each).
+CACHE_PIECES = 600_000
+#: Punctuation that ends pieces; after a letter it is a token run of its own.
+TAIL = b".,;:!?|*%&$#"
 LIMIT = 2048
 #: Longest piece that is kept; longer ones hardly come twice.
 LONGEST_KEPT = 64
@@ -53,37 +57,80 @@ class TokenIds:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.name = name
         self.tok = Tokenizer.from_file(tokenizer_path(name))
         norm = self.tok.normalizer
         # lower-casing and dropped white space: pieces of either case share their ids
         self.by_piece = norm is not None and "Lowercase" in repr(norm) and norm.normalize_str(" A\t\n") in (" a ", "a")
-        self.kept: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.plain = None
+        state = json.loads(self.tok.to_str())
+        suffix = state["model"].get("end_of_word_suffix")
+        if self.by_piece and suffix:
+            # lower-case words of letters need no normalising and no pattern: one token in
+            # the vocabulary's word-end form closes each, so many can be given at once
+            self.ends = np.zeros(max(state["model"]["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in state["model"]["vocab"].items() if t.endswith(suffix)]] = True
+            state |= {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {
+                "type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {
+                    "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+            self.plain = Tokenizer.from_str(json.dumps(state))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces without white space."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        letters = [self.plain is not None and t.isalpha() and t == t.lower() and is_normalized("NFC", t) for t in texts]
+        out: dict[bytes, bytes] = {}
+        rest = [i for i, x in enumerate(letters) if not x]
+        plain = [i for i, x in enumerate(letters) if x]
+        if plain:
+            joined = [" ".join([texts[i] for i in plain[j:j + 500]]) for j in range(0, len(plain), 500)]
+            ids = np.concatenate([np.asarray(e.ids, "<u4") for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)])
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == len(plain):
+                body, cuts = ids.tobytes(), [0, *(4 * at).tolist()]
+                out.update((words[i], body[a:b]) for i, a, b in zip(plain, cuts, cuts[1:], strict=False))
+            else:
+                rest += plain
+        for j in range(0, len(rest), 20_000):
+            part = rest[j:j + 20_000]
+            out.update(zip([words[i] for i in part], self._library([texts[i] for i in part]), strict=True))
+        return out
+
+    def _new(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces; punctuation after a letter is a part of its own."""
+        cut, need = {}, set()
+        for p in pieces:
+            head = p.rstrip(TAIL)
+            if head and len(head) < len(p) and (97 <= head[-1] <= 122 or head.decode("utf-8", "replace").lower()[-1].isalpha()):
+                cut[p] = head, p[len(head):]
+                need.update(cut[p])
+            else:
+                need.add(p)
+        known = self.words
+        fresh = self._words(list(need.difference(known)))
+        if len(known) + len(fresh) <= CACHE_PIECES:
+            known.update((k, v) for k, v in fresh.items() if len(k) <= LONGEST_KEPT)
+
+        def ids(word: bytes) -> bytes:
+            return known[word] if word in known else fresh[word]
+
+        return {p: ids(cut[p][0]) + ids(cut[p][1]) if p in cut else ids(p) for p in pieces}
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if not self.by_piece or b"<|" in t]
-        special = set(whole)
+        special = {i for i, t in enumerate(texts) if not self.by_piece or b"<|" in t}
         pieces = [[] if i in special else t.lower().split() for i, t in enumerate(texts)]
-        kept = self.kept
-        new = set().union(*pieces).difference(kept)
-        extra = {}
-        if new:
-            new = list(new)
-            for i in range(0, len(new), 20_000):
-                part = new[i:i + 20_000]
-                extra.update(zip(part, self._library([p.decode("utf-8", "replace") for p in part]), strict=True))
-            if len(kept) + len(extra) <= CACHE_PIECES:
-                kept.update((k, v) for k, v in extra.items() if len(k) <= LONGEST_KEPT)
-        out = []
-        for p in pieces:
-            try:
-                out.append(b"".join([kept[x] for x in p]))
-            except KeyError:
-                out.append(b"".join([kept.get(x) or extra.get(x, b"") for x in p]))
-        if whole:
+        kept = self.pieces
+        fresh = self._new(set().union(*pieces).difference(kept)) if pieces else {}
+        if len(kept) + len(fresh) <= CACHE_PIECES:
+            kept.update((k, v) for k, v in fresh.items() if len(k) <= LONGEST_KEPT)
+        find = kept.get
+        out = [b"".join([find(x) or fresh.get(x, b"") for x in p]) for p in pieces]
+        if special:
+            whole = sorted(special)
             for i, ids in zip(whole, self._library([texts[i].decode("utf-8", "replace") for i in whole]), strict=True):
                 out[i] = ids
         return out
@@ -153,7 +200,8 @@ def count_tokens(docs: DataFrame, cache: str, *, id_col: str = "doc_id", text_co
 
     (map_batches(misses.select("digest", "text"), encode, "digest binary, n_tokens bigint")
      .withColumn("version", F.lit(version)).write.mode("append").parquet(cache))
-    counts = read_cache(spark, cache, version)
+    # written, so that a hot digest's rows can be split where they are joined
+    counts = written(read_cache(spark, cache, version), "token-counts")
     a, b = lean.alias("a"), counts.alias("b")
     return a.join(b, F.col("a.digest") == F.col("b.digest")).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
