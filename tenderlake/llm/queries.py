@@ -6,16 +6,36 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tenderlake.llm.common import read_table
+from tenderlake.llm.embedding_dedup import near_duplicates
+from tenderlake.llm.language import identify
 from tenderlake.llm.mixing import mix_sources
 from tenderlake.llm.packing import pack_documents
+from tenderlake.llm.quality import score_quality
 from tenderlake.llm.secrets import scan_documents
 from tenderlake.llm.simhash import simhash_classes
 from tenderlake.llm.tokens import count_tokens
+from tenderlake.llm.topk import exact_topk
 from tenderlake.session import scratch_path
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels not held out."""
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 or more between all vectors of equal label."""
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by rank-order profiles."""
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return pack_documents(read_table(spark, sf_dir, "documents"))
@@ -37,16 +57,25 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every 50th vector with all others."""
+    return exact_topk(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 5, 2, 1 (repeating) of their sources."""
     return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scans": op5_secret_scans,
     "op6_token_counts": op6_token_counts,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_exact_topk": op9_exact_topk,
     "op10_source_mixing": op10_source_mixing,
 }
 LLM_SQL: dict[str, str] = {}
