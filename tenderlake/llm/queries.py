@@ -16,6 +16,7 @@ from tenderlake.llm.packing import pack_documents
 from tenderlake.llm.quality import score_quality
 from tenderlake.llm.secrets import scan_documents
 from tenderlake.llm.simhash import simhash_classes
+from tenderlake.llm.suffix_dedup import remove_repeats
 from tenderlake.llm.tokens import count_tokens
 from tenderlake.llm.topk import exact_topk
 from tenderlake.session import scratch_path
@@ -57,6 +58,11 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that 400-byte repeats cover."""
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best inner products of every 50th vector with all others."""
     return exact_topk(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -75,6 +81,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scans": op5_secret_scans,
     "op6_token_counts": op6_token_counts,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_exact_topk": op9_exact_topk,
     "op10_source_mixing": op10_source_mixing,
 }
