@@ -100,13 +100,15 @@ def apportion(rows: DataFrame, group: Sequence[str], key: Sequence[str], votes:
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, *, id_col: str = "doc_id", text_col: str = "text",
                 source_col: str = "source", block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS,
-                max_repeats: int = MAX_REPEATS, seed: int = SEED, keep: Sequence[str] = ()) -> DataFrame:
+                max_repeats: int = MAX_REPEATS, seed: int = SEED, row: bool = False) -> DataFrame:
     """A row a document: id, size, source_size, target, taken, and where the
     partial copy lies: ``full`` whole copies plus the words [part_start,
     part_start + part_words) (counted on a circle: it may pass the end of a
-    document that fills its shard).  ``keep`` names further columns to carry."""
+    document that fills its shard).  ``row`` carries the document's columns as a
+    struct of that name."""
+    keep = ["row"] if row else []
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"),
-                    F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_h"), *[F.col(c).alias(c) for c in keep])
+                    F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_h"), *([F.struct(*docs.columns).alias("row")] if row else []))
     d = written(d, "mix-sizes")
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = source_targets(sizes, weights, max_repeats)

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tenderlake.llm.common import as_text, chunks, held_out, utf8, written
 
@@ -230,9 +231,9 @@ def probability(model: dict, x: np.ndarray) -> np.ndarray:
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
                   mod: int = 5, rest: int = 0, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN, buckets: int = BUCKETS,
-                  dim: int = DIM, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row a document: doc_id, held_out, score, predicted, and the columns
-    named in ``keep``."""
+                  dim: int = DIM, seed: int = SEED, row: bool = False) -> DataFrame:
+    """A row a document: doc_id, held_out, score, predicted; with ``row`` also
+    the document's columns as a struct ``row``."""
     spark = docs.sparkSession
     vectors, counts = context_vectors(docs, text_col, buckets, dim, seed)
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
@@ -249,11 +250,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
                 texts = utf8(batch)
                 ids, ends = pieces_of(buckets).rows(texts)
                 x = pooled(ids, ends, unit, weight, np.array([len(t) for t in texts]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width).cast(pa.list_(pa.float32()))], ["doc_id", "x"])
-
-    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), as_text(text_col).alias("text"))
-    rows = written(d.mapInArrow(features, "doc_id bigint, x array<float>").withColumn("held_out", held_out("doc_id", mod, rest)), "quality-rows")
+                x = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width).cast(pa.list_(pa.float32()))
+                carried = [c for c in batch.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), x], [*carried, "x"])
+
+    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), as_text(text_col).alias("text"), *([F.struct(*docs.columns).alias("row")] if row else []))
+    carried = T.StructType([f for f in d.schema.fields if f.name != "text"])
+    rows = d.mapInArrow(features, T.StructType([*carried.fields, T.StructField("x", T.ArrayType(T.FloatType()))]))
+    rows = written(rows.withColumn("held_out", held_out("doc_id", mod, rest)), "quality-rows")
     known = (labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
              .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("doc_id", mod, rest))
              .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).filter("y = top")
@@ -275,7 +279,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
                 s = np.full(n, flat)
             else:
                 s = probability(fitted, np.asarray(batch.column("x").flatten(), np.float64).reshape(n, width))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s),
-                                              pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            more = [batch.column("row")] if row else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), *more],
+                                             ["doc_id", "held_out", "score", "predicted", "row"][:4 + row])
 
-    return rows.mapInArrow(scores, "doc_id bigint, held_out boolean, score double, predicted int")
+    out = T.StructType.fromDDL("doc_id bigint, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(scores, T.StructType([*out.fields, *([d.schema["row"]] if row else [])]))

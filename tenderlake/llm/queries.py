@@ -55,7 +55,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles, linked at 2 or fewer differing bits."""
-    return simhash_classes(read_table(spark, sf_dir, "documents"))
+    return simhash_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
