@@ -65,14 +65,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                 seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint as the signed long of the same bits."""
+                 seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the long columns of ``keep``: the fingerprint as the
+    signed long of the same bits."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(t, shingle, seed) for t in utf8(batch)], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp), *(batch.column(c) for c in keep)], ["doc_id", "fp", *keep])
 
-    return map_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), as_text(text_col).alias("text")), run,
-                       "doc_id bigint, fp bigint")
+    return map_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), as_text(text_col).alias("text"), *keep), run,
+                       ", ".join(f"{c} bigint" for c in ("doc_id", "fp", *keep)))
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -200,15 +201,17 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, n_parts: int = N_PARTS,
 
 
 def simhash_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
-    """A row a document: doc_id, fingerprint (16 hex digits), component_id."""
-    d = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed), "simhash-docs")
+                    max_bits: int = MAX_BITS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row a document: doc_id, fingerprint (16 hex digits), component_id,
+    class_fp (the least fingerprint of its class), and the long columns of ``keep``."""
+    d = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed, keep=keep), "simhash-docs")
     fps = written(d.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")
     member = written(components(near_links(fps.select("fp"), max_bits)), "simhash-members")
     least = (fps.join(member, fps["fp"] == member["node"]).groupBy("component").agg(F.min("least").alias("component_id")))
-    linked = member.join(least, "component").select(F.col("node").alias("fp"), "component_id")
+    linked = member.join(least, "component").select(F.col("node").alias("fp"), "component_id", F.col("component").alias("class_fp"))
     # one row a fingerprint: alone, its least document is the component
-    named = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    named = fps.join(linked, "fp", "left").select(
+        "fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("class_fp", "fp").alias("class_fp"))
     a, b = d.alias("a"), named.alias("b")
     return a.join(b, F.col("a.fp") == F.col("b.fp")).select(
-        "a.doc_id", F.lower(F.lpad(F.hex("a.fp"), 16, "0")).alias("fingerprint"), "b.component_id")
+        "a.doc_id", F.lower(F.lpad(F.hex("a.fp"), 16, "0")).alias("fingerprint"), "b.component_id", "b.class_fp", *[f"a.{c}" for c in keep])
