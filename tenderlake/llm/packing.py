@@ -9,9 +9,10 @@
 3. Partitions whose count exceeds their bound hand all their pieces to the
    next round, the certified ones only those of their emptiest sequence (what
    a cut into partitions wastes).  The pieces of a round are dealt anew and
-   packed again, and a round is kept if it saves sequences.  Rounds end when
-   the count meets the bound of the whole table, when one partition held all
-   that was exchanged, or when a round saves nothing.
+   packed again; a round is kept if it saves sequences, else the next one
+   opens more of the emptiest sequences.  Rounds end when the count meets the
+   bound of the whole table, when one partition held all that was exchanged,
+   or after ``MAX_ROUNDS``.
 
 Defined results: a null or empty text is one piece of length 1 (the end id);
 null ids and rows that repeat are documents of their own; an empty table gives
@@ -161,28 +162,27 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     current = written(pack_partitions(pool, n_parts, 0, capacity), "pack-round")
     bins, _ = stats(current)
     settled = []  # what earlier rounds placed and later rounds leave in place
-    kept_bins = 0
+    kept_bins, width, widest = 0, 1, 0
 
     def rows(df: DataFrame, level: int) -> DataFrame:
         return df.select("doc_id", "piece", "start", "length", "ids_crc32",
                          (F.lit(level << 56) + F.col("part") * (1 << 32) + F.col("bin")).alias("sequence_id"), "offset")
 
     for level in range(1, max_rounds + 1):
-        if kept_bins + bins <= need or n_parts == 1:
+        if kept_bins + bins <= need or n_parts == 1 or width > 2 * widest > 0:
             break
-        leaves = (F.col("n_bins") > F.col("bound")) | (F.col("bin") == F.col("n_bins") - 1)
+        leaves = (F.col("n_bins") > F.col("bound")) | (F.col("bin") >= F.col("n_bins") - width)
         leaving = current.filter(leaves)
-        count = leaving.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("part", "bin").alias("b")).first()
-        n_next = parts_of(count["n"])
+        count = leaving.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("part", "bin").alias("b"), F.max("n_bins").alias("w")).first()
+        n_next, widest = parts_of(count["n"]), count["w"]
         trial = written(pack_partitions(leaving, n_next, level, capacity), "pack-round")
         trial_bins, _ = stats(trial)
         if trial_bins >= count["b"]:
-            break
-        settled.append(rows(current.filter(~leaves), level - 1))
+            width *= 4  # more sequences are opened again
+            continue
+        settled.append(rows(current.filter(~leaves), len(settled)))
         kept_bins += bins - count["b"]
-        current, bins, n_parts = trial, trial_bins, n_next
-    else:
-        level = max_rounds + 1
+        current, bins, n_parts, width, widest = trial, trial_bins, n_next, 1, 0
     out = full.unionByName(rows(current, len(settled)))
     for s in settled:
         out = out.unionByName(s)

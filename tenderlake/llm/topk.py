@@ -103,7 +103,8 @@ def block_topk(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarra
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     ids = table.column("vec_id").to_numpy()
     flat = table.column("q").combine_chunks()
-    x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0), np.int64)
+    width = table.column("dim")[0].as_py() if len(ids) else 0
+    x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), width)
     if len(np.unique(ids)) < len(ids):  # rows that repeat count once
         both = np.unique(np.concatenate([ids[:, None], x], axis=1), axis=0)
         ids, x = both[:, 0], both[:, 1:]
