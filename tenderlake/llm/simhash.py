@@ -209,9 +209,10 @@ def simhash_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     member = written(components(near_links(fps.select("fp"), max_bits)), "simhash-members")
     least = (fps.join(member, fps["fp"] == member["node"]).groupBy("component").agg(F.min("least").alias("component_id")))
     linked = member.join(least, "component").select(F.col("node").alias("fp"), "component_id", F.col("component").alias("class_fp"))
-    # one row a fingerprint: alone, its least document is the component
-    named = fps.join(linked, "fp", "left").select(
-        "fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("class_fp", "fp").alias("class_fp"))
+    # one row a fingerprint: alone, its least document is the component; written, so
+    # that a hot fingerprint's documents can be split where they are joined
+    named = written(fps.join(linked, "fp", "left").select(
+        "fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("class_fp", "fp").alias("class_fp")), "simhash-named")
     a, b = d.alias("a"), named.alias("b")
     return a.join(b, F.col("a.fp") == F.col("b.fp")).select(
         "a.doc_id", F.lower(F.lpad(F.hex("a.fp"), 16, "0")).alias("fingerprint"), "b.component_id", "b.class_fp", *[f"a.{c}" for c in keep])
