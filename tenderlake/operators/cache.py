@@ -59,9 +59,11 @@ def make_entries(texts: DataFrame, model: str, cached_at: Column,
 
 # ---------------------------------------------------------------- M1
 def latest_entries(cache: DataFrame) -> DataFrame:
-    """Newest version per key (last write wins; equal times: larger hash)."""
-    w = Window.partitionBy("cache_key").orderBy(F.col("cached_at").desc(), F.col("text_hash").desc())
-    return cache.withColumn("_v", F.row_number().over(w)).filter("_v = 1").drop("_v")
+    """Newest version per key (last write wins; equal times: larger hash): an
+    aggregate, so that the versions of a hot key combine in their tasks."""
+    rest = [c for c in cache.columns if c != "cache_key"]
+    newest = F.max_by(F.struct(*rest), F.struct("cached_at", "text_hash")).alias("_e")
+    return cache.groupBy("cache_key").agg(newest).select("cache_key", "_e.*").select(*cache.columns)
 
 
 def upsert(cache: DataFrame, new_entries: DataFrame) -> DataFrame:
@@ -104,11 +106,11 @@ def probe(texts: DataFrame, cache: DataFrame, model: str, as_of: Column,
             .drop("_ck", "_model", "_hash", "_emb"))
 
 
-def misses(probed: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct texts to embed (one per cache key)."""
-    return (probed.filter(F.col("status") != "hit")
-            .select("cache_key", text_col)
-            .dropDuplicates(["cache_key"]))
+def misses(probed: DataFrame, text_col: str = "text", id_col: str = "pos") -> DataFrame:
+    """Distinct texts to embed: per cache key the raw text of the first
+    row (texts that differ in white space share a key)."""
+    return (probed.filter(F.col("status") != "hit").groupBy("cache_key")
+            .agg(F.min_by(text_col, id_col).alias(text_col)))
 
 
 def corrupt_keys(probed: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def embed_with_cache(texts: DataFrame, cache: DataFrame, provider: Provider, as_
     """
     valid = texts.filter(~is_blank(F.col(text_col)))
     pr = probe(valid, cache, provider.model, as_of, ttl_hours, text_col)
-    todo = misses(pr, text_col)
+    todo = misses(pr, text_col, id_col)
     fresh = provider.embed(todo, text_col, "embedding")
     new_entries = make_entries(fresh.select(text_col, "embedding"), provider.model, as_of,
                                text_col, "embedding")
@@ -164,9 +166,9 @@ def compact(cache: DataFrame, as_of: Column, bad_keys: DataFrame | None = None,
 # ---------------------------------------------------------------- M3
 def evict_oldest(cache: DataFrame, max_bytes: int = S.CACHE_MAX_BYTES,
                  ratio: float = S.CACHE_TARGET_RATIO, n_ranges: int | None = None) -> DataFrame:
-    """M3: mark ``evicted`` entries when the total exceeds ``max_bytes``:
-    oldest first (cached_at, then key) until the total is at most
-    ``ratio * max_bytes``.
+    """M3: (cached_at, cache_key, size_bytes, evicted); entries are evicted when
+    the total exceeds ``max_bytes``, oldest first (cached_at, then key), until
+    it is at most ``ratio * max_bytes``.  Texts and vectors do not move.
 
     An entry is evicted iff ``total > max`` and ``total - size of strictly
     older entries > target``.  The prefix sums are distributed
@@ -179,7 +181,7 @@ def evict_oldest(cache: DataFrame, max_bytes: int = S.CACHE_MAX_BYTES,
     target = float(max_bytes) * ratio
     evicted = (F.col("group_total") > F.lit(max_bytes)) & \
         ((F.col("group_total") - F.col("before_sum")) > F.lit(target))
-    return r.withColumn("evicted", evicted).drop("before_sum", "before_count", "group_total")
+    return r.select("cached_at", "cache_key", "size_bytes", evicted.alias("evicted"))
 
 
 # ---------------------------------------------------------------- A5/A6/M4/M5

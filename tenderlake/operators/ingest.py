@@ -9,11 +9,12 @@ as a whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenderlake import schemas as S
 from tenderlake.functions.text import is_blank, word_count
+from tenderlake.operators.blocks import checked_broadcast
 from tenderlake.operators.providers import Provider
 
 
@@ -78,14 +79,19 @@ def explode_batches(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, bad
 
 
+def batch_verdicts(docs: DataFrame) -> DataFrame:
+    """S3: a row a batch: its documents, and whether none of them is blank."""
+    return docs.groupBy("batch_id").agg(F.count(F.lit(1)).alias("documents"),
+                                        F.bool_and(~is_blank(F.col("content"))).alias("accepted"))
+
+
 def validate_batches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """S3: a batch with any blank document (or none at all) is rejected as
     a whole.  The verdict is one aggregate row per batch joined back with a
     semi join (no window over a possibly huge batch)."""
-    verdict = (docs.groupBy("batch_id")
-               .agg(F.bool_and(~is_blank(F.col("content"))).alias("_ok")))
-    good_ids = verdict.filter("_ok").select("batch_id")
-    bad_ids = verdict.filter(~F.col("_ok")).select("batch_id")
+    verdict = batch_verdicts(docs)
+    good_ids = checked_broadcast(verdict.filter("accepted").select("batch_id"), 200)
+    bad_ids = checked_broadcast(verdict.filter("not accepted").select("batch_id"), 200)
     return (docs.join(good_ids, "batch_id", "left_semi"),
             docs.join(bad_ids, "batch_id", "left_semi")
             .withColumn("reject_reason", F.lit("EMPTY_DOCUMENT_IN_BATCH")))
@@ -97,7 +103,7 @@ def with_submission_time(docs: DataFrame, base_ts: Column, order_col: str) -> Da
     ``base_ts`` plus the smallest ``order_col`` of the batch in milliseconds,
     so generated ids of different calls never collide.  One aggregate row
     per batch joined back on ``batch_id``."""
-    first = docs.groupBy("batch_id").agg(F.min(order_col).alias("_first"))
+    first = checked_broadcast(docs.groupBy("batch_id").agg(F.min(order_col).alias("_first")), 200)
     return (docs.join(first, "batch_id")
             .withColumn("submitted_at",
                         F.timestamp_millis(F.unix_millis(base_ts) + F.col("_first").cast("bigint")))
@@ -110,11 +116,12 @@ def assign_ids(docs: DataFrame, batch_ts: Column, order_col: str = "content") ->
     is the index inside the batch (computed per batch by ``order_col`` when
     the rows do not carry it already)."""
     if "pos" not in docs.columns:
-        # distributed per-batch numbering: a batch holding a third of the rows
-        # is spread over range partitions instead of one window task
+        # distributed per-batch numbering of (batch, order) alone: a batch holding a
+        # third of the rows is spread over range partitions, no text is moved
         from tenderlake.operators.running import running_totals
-        docs = (running_totals(docs.withColumn("_one", F.lit(1.0)), ["batch_id"], [order_col], "_one")
-                .withColumnRenamed("before_count", "pos").drop("before_sum", "_one"))
+        at = (running_totals(docs.select("batch_id", order_col).withColumn("_one", F.lit(1.0)), ["batch_id"], [order_col], "_one")
+              .select(F.col("batch_id").alias("_b"), F.col(order_col).alias("_o"), F.col("before_count").alias("pos")))
+        docs = docs.join(at, docs["batch_id"].eqNullSafe(at["_b"]) & (docs[order_col] == at["_o"])).drop("_b", "_o")
     gen = F.concat_ws("_", F.col("collection"), F.unix_millis(batch_ts).cast("string"),
                       F.col("pos").cast("string"))
     given = F.col("doc_id").cast("string") if "doc_id" in docs.columns else F.lit(None).cast("string")
@@ -140,8 +147,13 @@ def enrich_metadata(docs: DataFrame, batch_ts: Column) -> DataFrame:
 
 
 # ---------------------------------------------------------------- S6 / S7
-def dedupe_against(new_docs: DataFrame, existing: DataFrame | None) -> DataFrame:
-    """S6 policy: the first write of an id wins (left anti join on doc_id)."""
+def dedupe_against(new_docs: DataFrame, existing: DataFrame | None,
+                   order: list[str] | None = None) -> DataFrame:
+    """S6 policy: the first write of an id wins: of equal new ids the first by
+    ``order``, and none that ``existing`` has (left anti join on doc_id)."""
+    if order:
+        w = Window.partitionBy("doc_id").orderBy(*order)
+        new_docs = new_docs.withColumn("_first", F.row_number().over(w)).filter("_first = 1").drop("_first")
     if existing is None:
         return new_docs
     return new_docs.join(existing.select("doc_id"), "doc_id", "left_anti")
@@ -154,7 +166,8 @@ def ingest(docs: DataFrame, provider: Provider | None, batch_ts: Column,
     leaves the embedding to a later job."""
     good, bad = validate_batches(docs)
     rows = enrich_metadata(assign_ids(good, batch_ts, order_col), batch_ts)
-    rows = dedupe_against(rows, existing)
+    # generated ids are unique; ids that callers gave may come twice
+    rows = dedupe_against(rows, existing, ["added_at", order_col] if "doc_id" in docs.columns else None)
     if provider is not None:
         rows = provider.embed(rows, "content", "embedding")
     return rows, bad

@@ -1,183 +1,136 @@
-"""Exact k-NN by block matrix products over corpus partitions.
-
-The request side (query vectors + blocking keys) is written once, by a
-distributed Spark write, to the shared checkpoint folder; every corpus task
-reads it (it is size-checked, like a broadcast) and streams its Arrow
-batches through numpy: for each blocking key present in the batch, one
-``Q_key × V_key`` product gives all distances, the min-similarity cut and
-the per-request top-K are applied in the task, and only ≤ K rows per
-request and batch leave it.  Request/document pairs are never emitted as
-rows, the corpus is read once per request chunk, and hot keys are just
-larger matrix products inside the tasks that hold their rows.
-
-When the request vectors exceed the budget they are split into chunks by
-hash of the request id and the corpus is streamed once per chunk (block
-nested loop), so memory per task stays bounded.
+"""Exact k-NN over blocks of requests and documents.
+
+Requests and documents that share a blocking key are dealt to blocks
+(``blocks.block_join``).  Within a pair of blocks one matrix product gives all
+distances up to rounding noise; what may lie inside the similarity cut and the
+k best, with a slack that covers the noise, is computed again term by term in
+the order of ``functions.vectors.distance`` and cut exactly.  So only ≤ k
+rows a request and block pair leave a task, and they carry the same distances
+as the join kernel.
 """
 
 from __future__ import annotations
 
-import math
-import uuid
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tenderlake.session import scratch_path
-
-META_COLS = ["collection", "secteur", "type_ao", "fourchette_montant", "domaine_technique",
-             "organisme"]
-KEY_COLS = ["secteur", "type_ao", "fourchette_montant"]
-
+from tenderlake.operators.blocks import block_join
 
-def _read_requests(path: str):
-    """The request chunk (None when the chunk received no request)."""
-    fs, p = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-    if fs.get_file_info(p).type == pafs.FileType.NotFound:
-        return None
-    return pq.read_table(p, filesystem=fs).to_pandas()
+REQUEST_BLOCK = 1024
+CORPUS_BLOCK = 4096
+#: Relative slack of the first cut; the noise of a product of 10^4 terms is
+#: about 10^-12 of the norms.
+SLACK = 1e-9
 
 
-def _vectors(col: pa.Array, dim: int) -> np.ndarray:
-    flat = col.flatten().to_numpy(zero_copy_only=False)
+def _matrix(table: pa.Table, name: str, dim: int) -> np.ndarray:
+    flat = table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return flat.astype(np.float64).reshape(-1, dim)
 
 
-def make_kernel(qpath: str, dim: int, metric: str, k: int, shape_keys: dict,
-                domain_filter: bool, out_schema: T.StructType):
+def _left_sum(terms) -> np.ndarray:
+    acc = None
+    for t in terms:
+        acc = t if acc is None else acc + t
+    return acc
+
+
+def exact_distance(metric: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Distances of row pairs, summed left to right like the Spark expression."""
+    dims = range(q.shape[1])
+    if metric in ("l2sq", "l2"):
+        d = _left_sum((q[:, i] - v[:, i]) * (q[:, i] - v[:, i]) for i in dims)
+        return np.sqrt(d) if metric == "l2" else d
+    dot = _left_sum(q[:, i] * v[:, i] for i in dims)
+    if metric == "ip":
+        return 1.0 - dot
+    den = (np.sqrt(_left_sum(q[:, i] * q[:, i] for i in dims))
+           * np.sqrt(_left_sum(v[:, i] * v[:, i] for i in dims)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(den == 0, 1.0, 1.0 - dot / den)
+
+
+def _approximate(metric: str, q: np.ndarray, v: np.ndarray, min_sim: np.ndarray):
+    """(order value, its cut per request, its slack): l2 is compared squared."""
+    qn, vn = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", v, v)
+    dots = q @ v.T
+    if metric in ("l2sq", "l2"):
+        value = qn[:, None] + vn[None, :] - 2.0 * dots
+        limit = 1.0 - min_sim
+        cut = np.where(min_sim > 0, limit * limit if metric == "l2" else limit, np.inf)
+        return value, cut, SLACK * (1.0 + qn[:, None] + vn[None, :])
+    if metric == "ip":
+        return 1.0 - dots, np.where(min_sim > 0, 1.0 - min_sim, np.inf), SLACK * (1.0 + np.sqrt(qn)[:, None] * np.sqrt(vn)[None, :])
+    den = np.sqrt(qn)[:, None] * np.sqrt(vn)[None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        value = np.where(den == 0, 1.0, 1.0 - dots / den)
+    return value, np.where(min_sim > 0, 1.0 - min_sim, np.inf), np.full((1, 1), SLACK)
+
+
+def make_pair(dim: int, metric: str, k: int, domain_filter: bool, out_schema: T.StructType):
     arrow_schema = to_arrow_schema(out_schema)
 
-    def kernel(batches):
-        qd = _read_requests(qpath)
-        if qd is None or len(qd) == 0:
-            return
-        qmat = np.stack(qd["_qv"].to_numpy()).astype(np.float64).reshape(-1, dim)
-        qn2 = np.einsum("ij,ij->i", qmat, qmat)
-        qmin = qd["min_similarity"].to_numpy(dtype=np.float64)
-        qdoms = qd["_doms"].to_numpy() if domain_filter else None
-        qkey = list(zip(qd["_q_collection"], qd["_shape"], *[qd[f"_k_{c}"] for c in KEY_COLS]))
-        groups: dict = {}
-        for i, key in enumerate(qkey):
-            if any(k is None or (isinstance(k, float) and k != k) for k in key):
-                continue
-            groups.setdefault(key, []).append(i)
-        groups = {key: np.asarray(v) for key, v in groups.items()}
-
-        for rb in batches:
-            n = rb.num_rows
-            if n == 0:
-                continue
-            cols = {name: rb.column(name).to_numpy(zero_copy_only=False)
-                    for name in rb.schema.names if name != "embedding"}
-            vmat = _vectors(rb.column("embedding"), dim)
-            vn2 = np.einsum("ij,ij->i", vmat, vmat)
-            doc_ids = cols["doc_id"]
-            out_q, out_d, out_dist = [], [], []
-            for s, keys in shape_keys.items():
-                kdf = pd.DataFrame({"c": cols["collection"], **{
-                    f"k{i}": (cols[c] if c in keys else np.full(n, "", dtype=object))
-                    for i, c in enumerate(KEY_COLS)}})
-                # vectorised grouping of the batch rows by blocking key
-                rows_by_key = kdf.groupby(list(kdf.columns), sort=False, dropna=False).indices
-                for key, rows in rows_by_key.items():
-                    key = key if isinstance(key, tuple) else (key,)
-                    if any(k is None or (isinstance(k, float) and k != k) for k in key):
-                        continue  # a NULL key never equals anything (SQL semantics)
-                    qidx = groups.get((key[0], s) + tuple(key[1:]))
-                    if qidx is None:
-                        continue
-                    rows = np.asarray(rows)
-                    dots = qmat[qidx] @ vmat[rows].T
-                    if metric == "cosine":
-                        den = np.sqrt(qn2[qidx])[:, None] * np.sqrt(vn2[rows])[None, :]
-                        with np.errstate(divide="ignore", invalid="ignore"):
-                            dist = np.where(den == 0, 1.0, 1.0 - dots / den)
-                    elif metric == "ip":
-                        dist = 1.0 - dots
-                    else:
-                        dist = np.maximum(qn2[qidx][:, None] + vn2[rows][None, :] - 2.0 * dots, 0.0)
-                        if metric == "l2":
-                            dist = np.sqrt(dist)
-                    sim = np.maximum(0.0, 1.0 - dist)
-                    mask = sim >= qmin[qidx][:, None]
-                    if domain_filter and s > 0:
-                        dom = cols["domaine_technique"][rows]
-                        for j, qi in enumerate(qidx):
-                            ds = qdoms[qi]
-                            if ds is not None and len(ds) > 0:
-                                mask[j] &= np.isin(dom, list(ds))
-                    for j, qi in enumerate(qidx):
-                        cand = np.nonzero(mask[j])[0]
-                        if cand.size == 0:
-                            continue
-                        dj = dist[j, cand]
-                        if cand.size > k:
-                            t = np.partition(dj, k - 1)[k - 1]
-                            keep = dj <= t
-                            cand, dj = cand[keep], dj[keep]
-                        order = np.lexsort((doc_ids[rows[cand]], dj))[:k]
-                        out_q.extend([qi] * len(order))
-                        out_d.extend(rows[cand[order]].tolist())
-                        out_dist.extend(dj[order].tolist())
-            if not out_q:
-                continue
-            qi = np.asarray(out_q)
-            ri = np.asarray(out_d)
-            data = {"query_id": qd["query_id"].to_numpy()[qi],
-                    "limit": qd["limit"].to_numpy()[qi],
-                    "min_similarity": qmin[qi],
-                    "distance": np.asarray(out_dist, dtype=np.float64)}
-            for name in out_schema.names:
-                if name not in data:
-                    data[name] = cols[name][ri]
-            arrays = [pa.array(data[f.name], type=f.type) for f in arrow_schema]
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
-
-    return kernel
-
-
-def block_candidates(requests_blocked: DataFrame, corpus_proj: DataFrame, dim: int, metric: str,
-                     k: int, shape_keys: dict, domain_filter: bool, n_chunks: int) -> DataFrame:
-    """≤ k nearest rows per request and corpus batch (distance, doc metadata).
-
-    ``requests_blocked``: query_id, _q_collection, limit, min_similarity,
-    _shape, _k_*, _doms, _qv.  ``corpus_proj``: doc_id, embedding, META_COLS.
+    def pair(requests, corpus):
+        if not requests.num_rows or not corpus.num_rows:
+            return arrow_schema.empty_table()
+        q, v = _matrix(requests, "_qv", dim), _matrix(corpus, "embedding", dim)
+        min_sim = requests.column("min_similarity").to_numpy().astype(np.float64)
+        value, cut, slack = _approximate(metric, q, v, min_sim)
+        ok = value <= cut[:, None] + slack
+        if domain_filter:
+            names = corpus.column("domaine_technique").combine_chunks().dictionary_encode()
+            known = {x: i for i, x in enumerate(names.dictionary.to_pylist())}
+            allowed = np.ones((len(q), len(known) + 1), bool)  # the last column: no domain
+            for i, wanted in enumerate(requests.column("_doms").to_pylist()):
+                if wanted:
+                    allowed[i] = False
+                    allowed[i, [known[w] for w in wanted if w in known]] = True
+            code = names.indices.fill_null(len(known)).to_numpy()
+            ok &= allowed[:, code]
+        if v.shape[0] > k:
+            reach = np.partition(np.where(ok, value + slack, np.inf), k - 1, axis=1)[:, k - 1]
+            ok &= value - slack <= reach[:, None]
+        qi, ci = np.nonzero(ok)
+        dist = np.empty(len(qi))
+        for at in range(0, len(qi), 1 << 16):  # bounded gathers
+            part = slice(at, at + (1 << 16))
+            dist[part] = exact_distance(metric, q[qi[part]], v[ci[part]])
+        good = np.maximum(0.0, 1.0 - dist) >= min_sim[qi]
+        qi, ci, dist = qi[good], ci[good], dist[good]
+        ids = corpus.column("doc_id").to_numpy()
+        order = np.lexsort((ids[ci], dist, qi))
+        qi, ci, dist = qi[order], ci[order], dist[order]
+        best = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+        qi, ci, dist = pa.array(qi[best]), pa.array(ci[best]), dist[best]
+        cols = []
+        for f in arrow_schema:
+            if f.name == "distance":
+                cols.append(pa.array(dist))
+            elif f.name in ("query_id", "limit", "min_similarity"):
+                cols.append(requests.column(f.name).take(qi))
+            else:
+                cols.append(corpus.column(f.name).take(ci))
+        return pa.Table.from_arrays(cols, schema=arrow_schema)
+
+    return pair
+
+
+def block_candidates(requests: DataFrame, corpus: DataFrame, dim: int, metric: str, k: int, domain_filter: bool,
+                     request_block: int = REQUEST_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
+    """≤ k nearest rows per request and pair of blocks, cut at the request's
+    min_similarity.
+
+    ``requests``: query_id, _key, limit, min_similarity, _qv (and _doms for
+    the domain filter); ``corpus``: doc_id, _key, embedding and columns to
+    carry along.  Both sides' vectors have ``dim`` components.
     """
-    spark = requests_blocked.sparkSession
-    path = scratch_path(spark, f"knn-requests-{uuid.uuid4().hex}")
-    (requests_blocked.withColumn("_chunk", F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)))
-     .write.mode("overwrite").partitionBy("_chunk").parquet(path))
-    qf = {f.name: f for f in requests_blocked.schema.fields}
-    cf = {f.name: f for f in corpus_proj.schema.fields}
-    out_schema = T.StructType([
-        T.StructField("query_id", qf["query_id"].dataType),
-        T.StructField("limit", qf["limit"].dataType),
-        T.StructField("min_similarity", T.DoubleType()),
-        T.StructField("distance", T.DoubleType()),
-        T.StructField("doc_id", cf["doc_id"].dataType),
-    ] + [T.StructField(c, cf[c].dataType) for c in corpus_proj.columns
-         if c not in ("doc_id", "embedding")])
-    corpus_proj = corpus_proj.filter(F.size("embedding") == dim)
-    parts = []
-    for chunk in range(n_chunks):
-        kern = make_kernel(f"{path}/_chunk={chunk}", dim, metric, k, shape_keys, domain_filter,
-                           out_schema)
-        parts.append(corpus_proj.mapInArrow(kern, out_schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def chunks_for(n_requests: int, dim: int, budget_bytes: int, min_rows: int = 1024) -> int:
-    """Request chunks so that one chunk's vectors fit ``budget_bytes``
-    (at least ``min_rows`` requests per chunk)."""
-    per_chunk = max(min_rows, budget_bytes // (8 * dim + 256))
-    return max(1, math.ceil(n_requests / per_chunk))
+    types = {f.name: f.dataType for f in requests.schema.fields} | {f.name: f.dataType for f in corpus.schema.fields}
+    out = T.StructType([T.StructField("query_id", types["query_id"]), T.StructField("limit", types["limit"]),
+                        T.StructField("min_similarity", T.DoubleType()), T.StructField("distance", T.DoubleType()),
+                        *[T.StructField(c, types[c]) for c in corpus.columns if c not in ("_key", "embedding")]])
+    requests = requests.withColumn("min_similarity", requests["min_similarity"].cast("double"))
+    return block_join(requests, corpus, "_key", "query_id", "doc_id", make_pair(dim, metric, k, domain_filter, out), out,
+                      request_block, corpus_block)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderlake import schemas as S
+from tenderlake.operators.blocks import checked_broadcast
 from tenderlake.operators.running import running_totals
 
 BANDS = [0.1, 0.2, 0.3, 0.5, 0.7, 0.9]
@@ -31,32 +32,29 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, tie: str,
     """Exact linear-interpolated percentiles of ``value`` per ``by`` group
     (same definition as ``percentile_cont``), one column ``p<NN>`` each.
 
-    Ranks come from distributed running counts; the rows at the two ranks
-    around each probability are picked with an equi-join against a small
-    (groups × probabilities) table.
+    Ranks come from distributed running counts; one pass keeps the rows at
+    the two ranks around each probability (an equi-join against a table of
+    groups × probabilities × 2 rows, broadcast after a check of its size).
     """
+    df = df.filter(F.col(value).isNotNull())
     ranked = running_totals(df.select(*by, value, tie).withColumn("_one", F.lit(1.0)),
                             by, [value, tie], "_one").select(*by, value, F.col("before_count").alias("_r"))
     n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     ps = F.array(*[F.lit(float(p)) for p in probs])
-    wanted = (n.select(*by, "_n", F.explode(ps).alias("_p"))
+    wanted = (n.select(*[F.col(b).alias("_w_" + b) for b in by], "_n", F.explode(ps).alias("_p"))
               .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("_p"))
-              .withColumn("_lo", F.floor("_h").cast("bigint"))
-              .withColumn("_hi", F.ceil("_h").cast("bigint")))
-    lo = ranked.select(*[F.col(b).alias("_l_" + b) for b in by], F.col("_r").alias("_lr"),
-                       F.col(value).alias("_lv"))
-    hi = ranked.select(*[F.col(b).alias("_h_" + b) for b in by], F.col("_r").alias("_hr"),
-                       F.col(value).alias("_hv"))
-    j = wanted.join(lo, reduce(lambda a, b: a & b, [wanted[b].eqNullSafe(lo["_l_" + b]) for b in by]
-                               + [wanted["_lo"] == lo["_lr"]]))
-    j = j.join(hi, reduce(lambda a, b: a & b, [j[b].eqNullSafe(hi["_h_" + b]) for b in by]
-                          + [j["_hi"] == hi["_hr"]]))
-    j = j.withColumn("_v", F.col("_lv") + (F.col("_h") - F.col("_lo")) * (F.col("_hv") - F.col("_lv")))
-    pivot = j.groupBy(*by).agg(
+              .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h"))))))
+    wanted = checked_broadcast(wanted, 200)
+    on = [ranked[b].eqNullSafe(wanted["_w_" + b]) for b in by] + [ranked["_r"] == wanted["_rank"]]
+    lo = F.max(F.when(F.col("_rank") == F.floor("_h"), F.col(value)))
+    hi = F.max(F.when(F.col("_rank") == F.ceil("_h"), F.col(value)))
+    picked = (ranked.join(wanted, reduce(lambda a, b: a & b, on)).groupBy(*by, "_n", "_p", "_h")
+              .agg(lo.alias("_lv"), hi.alias("_hv")))
+    picked = picked.withColumn("_v", F.col("_lv") + (F.col("_h") - F.floor("_h")) * (F.col("_hv") - F.col("_lv")))
+    return picked.groupBy(*by).agg(
         F.first("_n").alias("n"),
         *[F.round(F.max(F.when(F.col("_p") == p, F.col("_v"))), 6).alias(f"p{int(round(p * 100)):02d}")
           for p in probs])
-    return pivot
 
 
 def price_benchmark(awards: DataFrame, as_of: Column, months: int = 12) -> DataFrame:
@@ -66,6 +64,12 @@ def price_benchmark(awards: DataFrame, as_of: Column, months: int = 12) -> DataF
     return exact_percentiles(w, ["sector", "amount_range"], "price", "bid_id")
 
 
+def segment_counts(awards: DataFrame, as_of: Column, months: int = 12) -> DataFrame:
+    """Won awards per segment over the last ``months``: the ``n`` of B2."""
+    w = awards.filter(F.col("won") & within_months(F.col("published"), as_of, months) & F.col("price").isNotNull())
+    return w.groupBy("sector", "amount_range").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- B4
 def likely_competitors(awards: DataFrame, as_of: Column, months: int = 18, top: int = 5) -> DataFrame:
     """Per segment, suppliers by number of bids in the last ``months``
@@ -100,7 +104,7 @@ def template_ranking(usage: DataFrame, min_win_rate: float = 0.3, min_uses: int
 def success_weighting(items: DataFrame, usage: DataFrame, score_col: str) -> DataFrame:
     """Multiply a score by the win rate of the item's template."""
     wr = usage.groupBy("template").agg(F.avg(F.col("won").cast("double")).alias("_wr"))
-    return (items.join(wr, "template", "left")
+    return (items.join(checked_broadcast(wr, 200), "template", "left")
             .withColumn("weighted_score", F.col(score_col) * F.coalesce(F.col("_wr"), F.lit(0.0)))
             .drop("_wr"))
 
@@ -119,7 +123,7 @@ def price_positioning(profiled: DataFrame, competition: DataFrame) -> DataFrame:
     high technical complexity), else competitive."""
     # median over the segment table (one row per segment: a bounded domain)
     seg = competition.withColumn("_med", F.percentile("competitors", 0.5).over(Window.partitionBy()))
-    t = profiled.join(F.broadcast(seg), ["sector", "amount_range"], "left")
+    t = profiled.join(checked_broadcast(seg, 200), ["sector", "amount_range"], "left")
     w = F.coalesce(F.col("criteria_weights"), F.create_map().cast("map<string,int>"))
     prix = F.coalesce(F.try_element_at(w, F.lit("prix")), F.lit(0))
     tech = F.coalesce(F.try_element_at(w, F.lit("technique")), F.lit(0))
@@ -139,7 +143,7 @@ def go_no_go(profiled: DataFrame, competition: DataFrame, threshold: float = 50.
     (1 - price sensitivity), relationship (buyer known), timeline
     (formalism not maximal → 1, else 0.5)."""
     seg = competition.withColumn("_max", F.max("competitors").over(Window.partitionBy()))
-    t = profiled.join(F.broadcast(seg), ["sector", "amount_range"], "left")
+    t = profiled.join(checked_broadcast(seg, 200), ["sector", "amount_range"], "left")
     comp = F.coalesce(F.col("competitors"), F.lit(0)).cast("double")
     crit = {
         "budget_confirme": F.when(F.col("estimated_amount").isNotNull()
@@ -176,8 +180,8 @@ def data_confidence(counts: DataFrame, n0: float = 10.0, minimum: float = 0.5) -
 
 def price_gaps(awards: DataFrame, medians: DataFrame) -> DataFrame:
     """Award price minus the tender estimate, and minus the segment median."""
-    j = awards.filter("won").join(medians.select("sector", "amount_range", F.col("p50").alias("_med")),
-                                  ["sector", "amount_range"], "left")
+    med = checked_broadcast(medians.select("sector", "amount_range", F.col("p50").alias("_med")), 200)
+    j = awards.filter("won").join(med, ["sector", "amount_range"], "left")
     return j.select("bid_id", "tender_id", "sector", "amount_range",
                     F.round(F.col("price") - F.col("estimated_amount"), 6).alias("gap_to_estimate"),
                     F.round(F.col("price") - F.col("_med"), 6).alias("gap_to_market"),

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderlake import schemas as S
+from tenderlake.operators.blocks import checked_broadcast
+from tenderlake.operators.market import exact_percentiles
 from tenderlake.operators.running import running_totals
 
 
@@ -127,15 +129,19 @@ def error_records(log: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- A9 / W4
 def operation_metrics(log: DataFrame) -> DataFrame:
-    """Per operation count, success count, mean / p50 / p95 duration."""
+    """Per operation count, success count, mean / p50 / p95 duration
+    (exact percentiles by distributed ranks: no buffer of an operation's values)."""
     d = F.col("duration_ms")
-    return log.groupBy("operation").agg(
+    counts = log.groupBy("operation").agg(
         F.count(F.lit(1)).alias("operations"),
         F.count_if(F.col("success")).alias("successes"),
         F.round(F.avg(d), 6).alias("avg_duration_ms"),
-        F.round(F.percentile(d, 0.5), 6).alias("p50_duration_ms"),
-        F.round(F.percentile(d, 0.95), 6).alias("p95_duration_ms"),
         F.round(F.max(d), 2).alias("max_duration_ms"))
+    p = exact_percentiles(log, ["operation"], "duration_ms", "event_id", [0.5, 0.95]).select(
+        F.col("operation").alias("_op"), "p50", "p95")
+    j = counts.join(checked_broadcast(p, 100), counts["operation"].eqNullSafe(p["_op"]), "left")
+    return j.select("operation", "operations", "successes", "avg_duration_ms", F.col("p50").alias("p50_duration_ms"),
+                    F.col("p95").alias("p95_duration_ms"), "max_duration_ms")
 
 
 def running_mean_duration(log: DataFrame) -> DataFrame:

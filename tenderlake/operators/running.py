@@ -1,13 +1,14 @@
 """Distributed running totals (prefix sums) without a single-task window.
 
 ``Window.orderBy(...)`` without a partition moves every row into one task;
-``partitionBy(group)`` does the same for a hot group.  Here the table is
-range-partitioned on (group, order) columns, so partitions are balanced by
-sampling even when one group holds a third of the rows; each partition
-computes its local prefix in one sorted pass and the result is written once
-to the shared checkpoint folder (lineage cut, and both branches below read
-the same partition assignment); the totals of earlier partitions (one row
-per partition and group) are then added back.
+``partitionBy(group)`` does the same for a hot group.  Here the keys and the
+value alone are range-partitioned on (group, order) columns, so partitions are
+balanced by sampling even when one group holds a third of the rows, and written
+once with their partition's number to the shared checkpoint folder (the
+assignment is then fixed for everything that reads it).  A window inside
+(partition, group) gives the local prefix; the totals of earlier partitions
+(one row per partition and group) are added back.  Other columns never move:
+callers join the result to them on the order columns.
 """
 
 from __future__ import annotations
@@ -15,66 +16,41 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tenderlake.session import scratch_path
 
 
 def running_totals(df: DataFrame, by: list[str], order: list[str], value: str,
-                   n_ranges: int | None = None, with_total: bool = False) -> DataFrame:
-    """Add ``before_sum`` (sum of ``value`` over strictly earlier rows of the
-    same group) and ``before_count``; with ``with_total`` also the group's
-    ``group_total``.  Order columns must make rows unique within a group for
-    the result to be deterministic."""
+                   n_ranges: int | None = None, with_total: bool = False,
+                   keep: list[str] | None = None) -> DataFrame:
+    """Columns ``by``, ``order``, ``value`` and ``keep`` with ``before_sum`` (sum of
+    ``value`` over strictly earlier rows of the same group) and ``before_count``;
+    with ``with_total`` also the group's ``group_total``.  A NULL group is a group;
+    a NULL value counts as 0.  Order columns must make rows unique within a
+    group for the result to be deterministic."""
     spark = df.sparkSession
     n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = by + order
-    r = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-         .withColumn("_pid", F.spark_partition_id()))
-    schema = T.StructType(r.schema.fields + [T.StructField("_lsum", T.DoubleType()),
-                                             T.StructField("_lcnt", T.LongType())])
-
-    def local(batches):
-        carry: dict = {}
-        for pdf in batches:
-            v = pdf[value].astype("float64").fillna(0.0)
-            if by:
-                g = pdf[by].astype(str).agg("\x1f".join, axis=1) if len(by) > 1 else pdf[by[0]].astype(str)
-            else:
-                g = pd.Series([""] * len(pdf), index=pdf.index)
-            base_s = g.map(lambda k: carry.get(k, (0.0, 0))[0]).astype("float64")
-            base_c = g.map(lambda k: carry.get(k, (0.0, 0))[1]).astype("int64")
-            cs = v.groupby(g, sort=False).cumsum() - v
-            cc = v.groupby(g, sort=False).cumcount()
-            pdf["_lsum"] = (base_s + cs).values
-            pdf["_lcnt"] = (base_c + cc).astype("int64").values
-            tot = v.groupby(g, sort=False).agg(["sum", "count"])
-            for k, row in tot.iterrows():
-                s0, c0 = carry.get(k, (0.0, 0))
-                carry[k] = (s0 + float(row["sum"]), c0 + int(row["count"]))
-            yield pdf
-
+    cols = list(dict.fromkeys([*by, *order, value, *(keep or [])]))
     path = scratch_path(spark, f"running-{uuid.uuid4().hex}")
-    r.mapInPandas(local, schema).write.mode("overwrite").parquet(path)
-    loc = spark.read.parquet(path)
-    tot = loc.groupBy("_pid", *by).agg(F.sum(F.col(value).cast("double")).alias("_ps"),
-                                       F.count(F.lit(1)).alias("_pc"))
+    (df.select(*cols).repartitionByRange(n, *by, *order).withColumn("_pid", F.spark_partition_id())
+     .write.mode("overwrite").parquet(path))
+    r = spark.read.parquet(path)
+    v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    inside = Window.partitionBy("_pid", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    loc = (r.withColumn("_lsum", F.coalesce(F.sum(v).over(inside), F.lit(0.0)))
+           .withColumn("_lcnt", F.count(F.lit(1)).over(inside)))
+    tot = r.groupBy("_pid", *by).agg(F.sum(v).alias("_ps"), F.count(F.lit(1)).alias("_pc"))
     # one row per (partition, group): bounded by partitions + groups
-    w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) \
-        if by else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy(*by) if by else Window.partitionBy()
+    w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    wall = Window.partitionBy(*by)
     off = tot.select(F.col("_pid").alias("_opid"), *[F.col(b).alias("_o_" + b) for b in by],
                      F.coalesce(F.sum("_ps").over(w), F.lit(0.0)).alias("_os"),
                      F.coalesce(F.sum("_pc").over(w), F.lit(0)).alias("_oc"),
                      F.sum("_ps").over(wall).alias("_gt"))
     cond = [loc["_pid"] == off["_opid"]] + [loc[b].eqNullSafe(off["_o_" + b]) for b in by]
     out = loc.join(off, reduce(lambda a, b: a & b, cond))
-    out = (out.withColumn("before_sum", F.col("_os") + F.col("_lsum"))
-           .withColumn("before_count", (F.col("_oc") + F.col("_lcnt")).cast("bigint")))
-    if with_total:
-        out = out.withColumn("group_total", F.col("_gt"))
-    return out.drop("_pid", "_opid", "_lsum", "_lcnt", "_os", "_oc", "_gt",
-                    *["_o_" + b for b in by])
+    return out.select(*cols, (F.col("_os") + F.col("_lsum")).alias("before_sum"),
+                      (F.col("_oc") + F.col("_lcnt")).cast("bigint").alias("before_count"),
+                      *([F.col("_gt").alias("group_total")] if with_total else []))

@@ -1,26 +1,24 @@
 """Batch contextual search: many requests against a collection-partitioned corpus.
 
-Plan (one job, at most two shuffles keyed by ``query_id``):
+Plan:
 
     requests ─ validate (P1) ─ enrich text (P3) ─ embed ─┐
-    corpus ─ user filters (P4/P5, pushed to the scan) ─ explode blocking
-        shapes ─ equi-join on (shape, collection, context keys) ─ distance (F1)
-        ─ min-similarity cut (P6, before the top-k) ─ per-query top 2·limit
-        (W1, WindowGroupLimit partial before the shuffle) ─ contextual
-        relevance (F2) ─ rerank top limit (W2) ─ result columns (P8, F3, F4)
+    corpus ─ dimension check (P11) ─ user filters (P4/P5, pushed to the scan)
+        ─ blocking key per request shape ─ pairs of blocks (knn_block) ─
+        ≤ k rows a request and block ─ per-request top 2·limit (W1,
+        WindowGroupLimit partial before the shuffle) ─ contextual relevance
+        (F2) ─ rerank top limit (W2) ─ result columns (P8, F3, F4)
 
 Blocking: a request filters on ``collection`` and, with a context, on
 ``secteur``/``type_ao`` (and ``fourchette_montant`` when the amount is
-set).  Each corpus row is emitted once per request *shape* (no context /
-context / context + amount) with the matching key tuple, so every request
-finds its candidates through a hash join instead of a nested loop, and the
-corpus is scanned once.  ``domaine_technique IN (...)`` stays a residual.
-
-The request side is broadcast only after a size check (row count × row
-bytes ≤ budget).  Beyond it, both sides are shuffled on the blocking key
-plus a salt: the corpus row goes to one of ``salt`` buckets by doc id and
-each request is replicated to all of them, so a hot key (one collection or
-sector holding a third of the rows) spreads over ``salt`` tasks.
+set).  Each corpus row is emitted once per request *shape* that is present (no
+context / context / context + amount) with the matching key, so every request
+finds its candidates through an equi-join.  ``domaine_technique IN (...)`` is
+tested inside the blocks.  Rows of a key, hot or not, are dealt to blocks of
+bounded size; request/document pairs are never rows.
+
+``kernel="join"`` states the same search as one DataFrame join (every pair a
+row); tests hold the two against each other.
 """
 
 from __future__ import annotations
@@ -34,7 +32,8 @@ from tenderlake import schemas as S
 from tenderlake.functions.predicates import filter_keys, filter_predicate
 from tenderlake.functions.profile import amount_bucket, amount_present, enrich_query
 from tenderlake.functions.text import is_blank
-from tenderlake.functions.vectors import distance, sq_norm
+from tenderlake.functions.vectors import distance
+from tenderlake.operators.knn_block import CORPUS_BLOCK, REQUEST_BLOCK, block_candidates
 from tenderlake.operators.providers import HashedTF, Provider
 
 CTX_KEYS = ("secteur", "type_ao", "fourchette_montant")
@@ -48,11 +47,10 @@ class SearchOptions:
     metric: str = "l2sq"
     candidate_factor: int = S.CANDIDATE_FACTOR
     filters: dict | None = None
-    broadcast_budget_bytes: int = 64 * 1024 * 1024
-    salt: int = 16
-    max_limit: int | None = None      # literal bound for the top-k; computed if None
     carry: list | None = None         # extra corpus columns to keep in the candidates
-    kernel: str = "auto"              # "auto", "block" (matrix products in tasks) or "join"
+    kernel: str = "block"             # "block" (matrix products of blocks) or "join"
+    request_block: int = REQUEST_BLOCK
+    corpus_block: int = CORPUS_BLOCK
 
 
 # ---------------------------------------------------------------- P1
@@ -120,23 +118,15 @@ def _corpus_blocking(c: DataFrame, overridden: set[str], shapes=(0, 1, 2)) -> Da
     return c.withColumn("_b", F.explode(F.array(*variants))).select("*", "_b.*").drop("_b")
 
 
-def _request_stats(requests: DataFrame) -> tuple[int, int, int, list]:
-    """(requests, requests with a context, max limit, requested collections):
-    one small aggregate; the collection set is bounded by the collection
-    catalogue."""
-    row = requests.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ctx").isNotNull()).alias("c"),
-                       F.max("limit").alias("m"),
-                       F.collect_set("collection").alias("cs")).first()
-    return int(row["n"] or 0), int(row["c"] or 0), int(row["m"] or 1), sorted(row["cs"] or [])
+def wrong_dimension(corpus: DataFrame, dim: int, vec_col: str = "embedding") -> DataFrame:
+    """Rows whose vector is missing or has not ``dim`` components; the
+    search leaves them out."""
+    return corpus.filter(F.col(vec_col).isNull() | (F.size(vec_col) != dim))
 
 
-def _size_check(requests: DataFrame, dim: int, budget: int, max_limit: int | None,
-                stats: tuple[int, int, int] | None = None):
-    """(fits_broadcast, max_limit) from the request statistics."""
-    n, _, m, _ = stats or _request_stats(requests)
-    m = m if max_limit is None else max_limit
-    row_bytes = 4 * dim + 512
-    return n * row_bytes <= budget, max(1, min(m, S.LIMIT_MAX))
+def _key(side: list[str]):
+    """One string of the blocking values; NULL when any of them is."""
+    return F.concat(*[x for c in side for x in (F.col(c).cast("string"), F.lit("\x1f"))])
 
 
 # ---------------------------------------------------------------- J1 + W1
@@ -153,137 +143,60 @@ def knn_candidates(requests: DataFrame, corpus: DataFrame, dim: int,
     """
     opts = opts or SearchOptions()
     overridden = filter_keys(opts.filters)
-    stats = _request_stats(requests)
-    n_req, n_ctx, _, colls = stats
-    # Only the requested collections are read (partition pruning on a
-    # collection-partitioned corpus, and no embedding work for the others).
-    corpus = corpus.filter(F.col("collection").isin(colls))
-    if opts.kernel == "auto":
-        # Requests without a context block on the collection only (large
-        # groups): block matrix products.  Requests with a context block on
-        # collection + sector + type (+ bucket): selective hash join.
-        from dataclasses import replace
-        parts = []
-        if n_req - n_ctx > 0:
-            parts.append(knn_candidates(requests.filter(F.col("ctx").isNull()), corpus, dim,
-                                        replace(opts, kernel="block"), vec_col))
-        if n_ctx > 0:
-            parts.append(knn_candidates(requests.filter(F.col("ctx").isNotNull()), corpus, dim,
-                                        replace(opts, kernel="join"), vec_col))
-        if not parts:
-            parts.append(knn_candidates(requests, corpus, dim, replace(opts, kernel="join"), vec_col))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    fits, max_limit = _size_check(requests, dim, opts.broadcast_budget_bytes, opts.max_limit, stats)
-    k_lit = opts.candidate_factor * max_limit
+    # one small aggregate: the largest limit and the request shapes present
+    row = requests.agg(F.max("limit").alias("m"), F.bool_or(F.col("ctx").isNull()).alias("plain"),
+                       F.bool_or(F.col("ctx").isNotNull()).alias("ctx")).first()
+    max_limit = int(row["m"] or 1)
+    if max_limit > S.LIMIT_MAX:
+        raise ValueError(f"limit {max_limit} is above {S.LIMIT_MAX}: validate the requests first")
+    k = opts.candidate_factor * max_limit
+    shapes = ([0] if row["plain"] else []) + ([1, 2] if row["ctx"] else [])
 
     c = corpus.filter(filter_predicate(opts.filters)) if opts.filters else corpus
-    # Only the columns the ranking needs travel through the pair stream.
+    c = c.filter(F.size("embedding") == dim)
+    # Only the columns the ranking needs travel with the vectors.
     keep = ["doc_id", "collection", "embedding", "secteur", "type_ao", "fourchette_montant",
             "domaine_technique", "organisme"] + [x for x in (opts.carry or []) if x in corpus.columns]
-    c = c.select(*keep)
-    if opts.kernel == "block":
-        return _block_path(requests, c, dim, opts, vec_col, overridden, max_limit, k_lit, n_req)
-    c = c.withColumn("_vn", F.sqrt(sq_norm(F.col("embedding"), dim))) \
-        if opts.metric == "cosine" else c
-    # request shapes present: no context → 0 (routed to the block kernel by
-    # "auto"), context → 1 or 2 (amount set)
-    shapes = (0, 1, 2) if n_ctx < n_req else (1, 2)
-    c = _corpus_blocking(c, overridden, shapes)
-
-    q = requests.select("query_id", "collection", "limit", "min_similarity", "ctx",
-                        F.col(vec_col).alias("_qv"))
-    if opts.metric == "cosine":
-        q = q.withColumn("_qn", F.sqrt(sq_norm(F.col("_qv"), dim)))
+    c = _corpus_blocking(c.select(*keep), overridden, shapes or [0])
+    q = requests.select("query_id", "collection", "limit", "min_similarity", "ctx", F.col(vec_col).alias("_qv"))
     q = _request_blocking(q, overridden).withColumnRenamed("collection", "_q_collection")
-
-    on = [c["_shape"] == q["_shape"], c["collection"] == q["_q_collection"]] + \
-         [c[f"_k_{k}"] == q[f"_k_{k}"] for k in CTX_KEYS]
-    corpus_fits = False
-    if not fits:
-        n_docs = int(c.select("doc_id").agg(F.count(F.lit(1))).first()[0])
-        corpus_fits = 3 * n_docs * (4 * dim + 512) <= opts.broadcast_budget_bytes
-    if fits:
-        q = F.broadcast(q)
-    elif corpus_fits:
-        c = F.broadcast(c)   # the filtered corpus side is the small one
+    domain_filter = "domaine_technique" not in overridden
+    keys = [f"_k_{x}" for x in CTX_KEYS]
+    if opts.kernel == "join":
+        cands = _pair_join(q, c, dim, opts.metric, keys, domain_filter)
     else:
-        c, q = _salt_hot_keys(c, q, opts.salt)
-        on.append(c["_salt"] == q["_salt"])
+        cc = c.withColumn("_key", _key(["_shape", "collection", *keys])).select("_key", *keep)
+        qq = q.withColumn("_key", _key(["_shape", "_q_collection", *keys])).select(
+            "_key", "query_id", "limit", "min_similarity", "_qv",
+            *([F.col("ctx.technical_domains").alias("_doms")] if domain_filter else []))
+        cands = block_candidates(qq, cc, dim, opts.metric, k, domain_filter, opts.request_block, opts.corpus_block)
+        # the context of a request comes back to its few candidates
+        ctx = requests.select(F.col("query_id").alias("_qid"), "ctx")
+        cands = _top(cands, k, opts.candidate_factor)
+        return cands.join(ctx, cands["query_id"] == ctx["_qid"]).drop("_qid") if row["ctx"] \
+            else cands.withColumn("ctx", F.lit(None).cast(S.CONTEXT_TYPE))
+    return _top(cands, k, opts.candidate_factor)
+
+
+def _top(cands: DataFrame, k: int, factor: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.col("distance").asc(), F.col("doc_id").asc())
+    return (cands.withColumn("similarity", F.greatest(F.lit(0.0), F.lit(1.0) - F.col("distance")))
+            .withColumn("cand_rank", F.row_number().over(w))
+            .filter(F.col("cand_rank") <= F.lit(k)).filter(F.col("cand_rank") <= F.col("limit") * factor))
+
+
+def _pair_join(q: DataFrame, c: DataFrame, dim: int, metric: str, keys: list[str], domain_filter: bool) -> DataFrame:
+    """The search as one equi-join: a row for every pair of a blocking key."""
+    on = [c["_shape"] == q["_shape"], c["collection"] == q["_q_collection"]] + [c[k] == q[k] for k in keys]
     pairs = c.join(q, on)
-    if "domaine_technique" not in overridden:
+    if domain_filter:
         doms = F.coalesce(F.col("ctx.technical_domains"), F.array().cast("array<string>"))
         pairs = pairs.filter((F.col("ctx").isNull()) | (F.size(doms) == 0)
                              | F.array_contains(doms, F.col("domaine_technique")))
-
-    d = distance(opts.metric, F.col("_qv"), F.col("embedding"), dim,
-                 F.col("_qn") if opts.metric == "cosine" else None,
-                 F.col("_vn") if opts.metric == "cosine" else None)
-    pairs = pairs.withColumn("distance", d) \
-        .withColumn("similarity", F.greatest(F.lit(0.0), F.lit(1.0) - F.col("distance")))
+    pairs = pairs.withColumn("distance", distance(metric, F.col("_qv"), F.col("embedding"), dim))
     # P6 before the top-k: similarity is non-increasing in distance.
-    pairs = pairs.filter(F.col("similarity") >= F.col("min_similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.col("distance").asc(), F.col("doc_id").asc())
-    cands = (pairs.withColumn("cand_rank", F.row_number().over(w))
-             .filter(F.col("cand_rank") <= F.lit(k_lit))
-             .filter(F.col("cand_rank") <= F.col("limit") * opts.candidate_factor))
-    drop = [x for x in cands.columns if x.startswith("_")] + ["embedding"]
-    return cands.drop(*drop)
-
-
-def _block_path(requests: DataFrame, c: DataFrame, dim: int, opts: SearchOptions, vec_col: str,
-                overridden: set[str], max_limit: int, k_lit: int, n_req: int) -> DataFrame:
-    from tenderlake.operators.knn_block import block_candidates, chunks_for
-    q = requests.select("query_id", "collection", "limit", "min_similarity", "ctx",
-                        F.col(vec_col).alias("_qv"))
-    q = _request_blocking(q, overridden).withColumnRenamed("collection", "_q_collection")
-    domain_filter = "domaine_technique" not in overridden
-    q = q.withColumn("_doms", F.when(F.col("ctx").isNotNull(),
-                                     F.coalesce(F.col("ctx.technical_domains"),
-                                                F.array().cast("array<string>"))))
-    q = q.select("query_id", "_q_collection", "limit", "min_similarity", "_shape",
-                 *[f"_k_{k}" for k in CTX_KEYS], "_doms", "_qv")
-    chunks = chunks_for(n_req, dim, opts.broadcast_budget_bytes)
-    cands = block_candidates(q, c, dim, opts.metric, k_lit, _shape_keys(overridden),
-                             domain_filter, chunks)
-    cands = cands.withColumn("similarity", F.greatest(F.lit(0.0), F.lit(1.0) - F.col("distance")))
-    w = Window.partitionBy("query_id").orderBy(F.col("distance").asc(), F.col("doc_id").asc())
-    top = (cands.withColumn("cand_rank", F.row_number().over(w))
-           .filter(F.col("cand_rank") <= F.lit(k_lit))
-           .filter(F.col("cand_rank") <= F.col("limit") * opts.candidate_factor))
-    ctx = requests.select(F.col("query_id").alias("_qid"), "ctx")
-    return top.join(ctx, top.query_id == ctx._qid).drop("_qid")
-
-
-def _salt_hot_keys(c: DataFrame, q: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
-    """Shuffle-join skew handling: blocking keys holding more than a
-    partition's share of the corpus are split into ``salt`` sub-keys (corpus
-    rows by doc id, requests replicated to every sub-key); other keys keep
-    one sub-key, so only hot keys pay the replication.  The hot-key list has
-    at most ``spark.sql.shuffle.partitions`` entries by construction."""
-    spark = c.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keycols = ["_shape", "collection"] + [f"_k_{k}" for k in CTX_KEYS]
-    counts = c.groupBy(*keycols).agg(F.count(F.lit(1)).alias("_n"))
-    total = int(counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
-    hot = (counts.filter(F.col("_n") > F.lit(max(1, total // parts)))
-           .select(*[F.col(k).alias("_h" + k) for k in keycols]).withColumn("_hot", F.lit(True)))
-    ch = c.join(F.broadcast(hot), [c[k].eqNullSafe(hot["_h" + k]) for k in keycols], "left")
-    c = ch.withColumn("_salt", F.when(F.col("_hot").isNotNull(),
-                                      F.pmod(F.xxhash64(F.col("doc_id")), F.lit(salt)))
-                      .otherwise(F.lit(0).cast("long"))).drop("_hot", *["_h" + k for k in keycols])
-    qcols = ["_shape", "_q_collection"] + [f"_k_{k}" for k in CTX_KEYS]
-    qh = q.join(F.broadcast(hot), [q[a].eqNullSafe(hot["_h" + b]) for a, b in zip(qcols, keycols)], "left")
-    q = qh.withColumn("_salt", F.explode(
-        F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long")))
-        .otherwise(F.array(F.lit(0).cast("long"))))).drop("_hot", *["_h" + k for k in keycols])
-    return c, q
-
-
-def _count(df: DataFrame) -> int:
-    return int(df.agg(F.count(F.lit(1))).first()[0])
+    pairs = pairs.filter(F.greatest(F.lit(0.0), F.lit(1.0) - F.col("distance")) >= F.col("min_similarity"))
+    return pairs.drop("embedding", *[x for x in pairs.columns if x.startswith("_")])
 
 
 # ---------------------------------------------------------------- F2

@@ -314,7 +314,7 @@ newe AS (SELECT DISTINCT cache_key, {CACHE_AS_OF} AS cached_at, md5(text) AS tex
          FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY pos) AS r
                FROM probed WHERE status <> 'hit') WHERE r = 1),
 u AS (SELECT cache_key, cached_at, text_hash, size_bytes FROM cache UNION ALL SELECT * FROM newe)
-SELECT cache_key, strftime(cached_at, '%Y-%m-%d %H:%M:%S') AS cached_at, size_bytes FROM (
+SELECT cache_key, strftime(cached_at, '%Y-%m-%d %H:%M:%S') AS cached_at, size_bytes, text_hash FROM (
   SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY cached_at DESC, text_hash DESC) AS v FROM u)
 WHERE v = 1"""
 

@@ -25,7 +25,8 @@ from tenderlake.operators import profile as PR
 from tenderlake.operators.providers import HashedTF
 from tenderlake.operators.search import SearchOptions, search
 from tenderlake.plans import oracle as O
-from tenderlake.session import ensure_checkpoint_dir
+from tenderlake.operators.blocks import checked_broadcast
+from tenderlake.session import ensure_checkpoint_dir, written
 from tenderlake.sources import fixtures as fx
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -154,7 +155,7 @@ def upsert_q(spark, sf_dir):
     cache = fx.cache_table(spark, sf_dir)
     _, new = C.embed_with_cache(fx.text_batch(spark, sf_dir), cache, HashedTF(64), _as_of())
     return C.upsert(cache, new).select("cache_key", _ts(F.col("cached_at")).alias("cached_at"),
-                                       "size_bytes")
+                                       "size_bytes", "text_hash")
 
 
 @register("m2_expire", O.M2_EXPIRE)
@@ -212,16 +213,14 @@ def ingest_q(spark, sf_dir):
 @register("s3_batch_validation", O.S3_VERDICT)
 def batch_validation_q(spark, sf_dir):
     """S3: per-batch verdict (any blank document rejects the batch)."""
-    b = _all_batches(spark, sf_dir)
-    return b.groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("documents"),
-        F.bool_and(~C.is_blank(F.col("content"))).alias("accepted"))
+    return IG.batch_verdicts(_all_batches(spark, sf_dir))
 
 
 @register("s7_ingest_summary", O.S7_SUMMARY)
 def ingest_summary_q(spark, sf_dir):
     """S7 + A4: documents, characters, tokens and cost per batch."""
-    return IG.ingest_summary(_ingested(spark, sf_dir), "text-embedding-3-large")
+    good, _ = IG.validate_batches(_all_batches(spark, sf_dir))
+    return IG.ingest_summary(good, "text-embedding-3-large")
 
 
 @register("s1_register_collections", O.S1_COLLECTIONS)
@@ -234,7 +233,8 @@ def collections_q(spark, sf_dir):
 def collection_counts_q(spark, sf_dir):
     """Documents per registered collection (0 when empty)."""
     reg = IG.register_collections(IG.default_collections(spark), _all_batches(spark, sf_dir))
-    return IG.collection_counts(reg, _ingested(spark, sf_dir))
+    good, _ = IG.validate_batches(_all_batches(spark, sf_dir))
+    return IG.collection_counts(reg, good)
 
 
 # ------------------------------------------------------------------ reports over the operation log
@@ -405,8 +405,7 @@ def success_weighting_q(spark, sf_dir):
 @register("b10_data_confidence", O.B10_CONFIDENCE)
 def confidence_q(spark, sf_dir):
     """Confidence n / (n + 10) of each segment's benchmark."""
-    b = MK.price_benchmark(fx.awards(spark, sf_dir), _mk_as_of()).select("sector", "amount_range", "n")
-    return MK.data_confidence(b)
+    return MK.data_confidence(MK.segment_counts(fx.awards(spark, sf_dir), _mk_as_of()))
 
 
 @register("b11_route_requests", O.B11_ROUTE)
@@ -418,15 +417,15 @@ def route_q(spark, sf_dir):
 @register("b12_price_gaps", O.B12_GAPS)
 def price_gaps_q(spark, sf_dir):
     """Won price vs estimate and vs segment median."""
-    aw = fx.awards(spark, sf_dir)
+    aw = written(fx.awards(spark, sf_dir), "awards")
     return MK.price_gaps(aw, MK.price_benchmark(aw, _mk_as_of()))
 
 
 @register("b13_prediction_gap", O.B13_PREDICTION)
 def prediction_gap_q(spark, sf_dir):
     """Segment median as prediction vs actual won prices."""
-    aw = fx.awards(spark, sf_dir)
-    bench = MK.price_benchmark(aw, _mk_as_of()).select("sector", "amount_range", F.col("p50"))
+    aw = written(fx.awards(spark, sf_dir), "awards")
+    bench = checked_broadcast(MK.price_benchmark(aw, _mk_as_of()).select("sector", "amount_range", F.col("p50")), 200)
     recent = aw.filter(F.col("won") & MK.within_months(F.col("published"), _mk_as_of(), 12))
     pred = recent.join(bench, ["sector", "amount_range"]).select(
         "sector", "amount_range", F.col("p50").alias("predicted"), F.col("price").alias("actual"))

@@ -1,16 +1,18 @@
 """Session helpers.
 
 The library never creates its own cluster settings when a session already
-exists; ``ensure_checkpoint_dir`` only sets a checkpoint folder when the
-cluster has not named one in ``spark.checkpoint.dir`` (tests, local runs).
+exists; ``ensure_checkpoint_dir`` only sets a checkpoint folder in a local
+session whose ``spark.checkpoint.dir`` is unset (tests, local runs).
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -42,11 +44,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset.
+    """The shared checkpoint folder, named in ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is missing (local tests) a fresh scratch folder is
-    created.
+    Where it is unset, a local session (driver and executors in one process,
+    as in tests) gets a folder of its own; any other session is refused, since
+    executors would not see each other's files.
     """
     try:
         sc = spark.sparkContext
@@ -55,17 +57,47 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not d:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         return d
-    d = sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = sc.getCheckpointDir()
+    d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tenderlake-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
+    ship_code(spark)
     return d
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that
+    jobs run where it is not installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="tenderlake-code-")), "tenderlake.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.join("tenderlake", os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under the shared folder and read back, for tables
+    that a job needs more than once."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

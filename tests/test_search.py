@@ -1,5 +1,6 @@
 """Search: validation, enrichment, relevance, kernels and result properties."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tenderlake import schemas as S
@@ -7,7 +8,7 @@ from tenderlake.functions.profile import enrich_query
 from tenderlake.operators.providers import HashedTF
 from tenderlake.operators.search import (SearchOptions, contextual_relevance, knn_candidates,
                                          prepare_requests, rerank, result_columns, search,
-                                         validate_requests)
+                                         validate_requests, wrong_dimension)
 from tenderlake.sources import fixtures as fx
 
 CTX = "struct<ao_type:string,sector:string,estimated_amount:bigint,technical_domains:array<string>,organisme:string>"
@@ -88,32 +89,54 @@ def test_user_filter_overrides_context(spark, sf):
     assert all(r.ao_type in S.AO_TYPES[:3] for r in res)
 
 
-def test_shuffle_join_with_hot_key_salting_matches(spark, sf):
-    """Beyond the broadcast budget the join shuffles with salted hot keys;
-    the results must not change."""
+def _candidates(df):
+    return sorted((r.query_id, r.doc_id, r.cand_rank, r.distance) for r in df.select("query_id", "doc_id", "cand_rank", "distance").collect())
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "l2", "cosine", "ip"])
+def test_kernels_give_the_same_rows_on_copies(spark, sf, metric):
+    """Exact copies of vectors at an inclusive cut and at ties: the pair join,
+    the blocks, and many small blocks agree to the last bit."""
     corp = fx.corpus(spark, sf)
-    req = fx.document_queries(spark, sf)
-    a = search(req, corp, opts=SearchOptions(kernel="join"))
-    b = search(req, corp, opts=SearchOptions(kernel="join", broadcast_budget_bytes=1, salt=4))
-    key = lambda df: sorted(tuple(r) for r in df.collect())
-    assert key(a) == key(b) and len(key(a)) > 0
-
-
-def test_block_kernel_request_chunks_match(spark, sf):
-    """Requests split over several chunks (one corpus pass each) give the
-    same candidates as a single chunk."""
-    from tenderlake.operators.knn_block import block_candidates
-    from tenderlake.operators.search import _request_blocking, _shape_keys
-    corp = fx.corpus(spark, sf).select("doc_id", "collection", "embedding", "secteur", "type_ao",
-                                       "fourchette_montant", "domaine_technique", "organisme")
-    good, _ = prepare_requests(fx.conversation_queries(spark, sf, min_similarity=0.0), HashedTF())
-    q = _request_blocking(good.select("query_id", "collection", "limit", "min_similarity", "ctx",
-                                      F.col("q_vec").alias("_qv")), set())
-    q = q.withColumnRenamed("collection", "_q_collection").withColumn(
-        "_doms", F.lit(None).cast("array<string>")).select(
-        "query_id", "_q_collection", "limit", "min_similarity", "_shape", "_k_secteur", "_k_type_ao",
-        "_k_fourchette_montant", "_doms", "_qv")
-    one = block_candidates(q, corp, 64, "cosine", 10, _shape_keys(set()), True, 1)
-    three = block_candidates(q, corp, 64, "cosine", 10, _shape_keys(set()), True, 3)
-    key = lambda df: sorted((r.query_id, r.doc_id, round(r.distance, 12)) for r in df.collect())
-    assert key(one) == key(three) and len(key(one)) > 0
+    three = corp.unionByName(corp.withColumn("doc_id", F.col("doc_id") + 100000)).unionByName(
+        corp.withColumn("doc_id", F.col("doc_id") + 200000))
+    plain = fx.corpus(spark, sf).select(F.col("doc_id").alias("query_id"), "collection", F.col("embedding").alias("q_vec"),
+                                        F.lit(2).alias("limit"), F.lit(None).cast(S.CONTEXT_TYPE).alias("ctx"))
+    for cut in (1.0, 0.9, 0.0):
+        req = plain.withColumn("min_similarity", F.lit(cut))
+        join = _candidates(knn_candidates(req, three, 64, SearchOptions(metric=metric, kernel="join")))
+        assert join == _candidates(knn_candidates(req, three, 64, SearchOptions(metric=metric)))
+        assert join == _candidates(knn_candidates(req, three, 64, SearchOptions(metric=metric, request_block=7, corpus_block=11)))
+        assert len(join) > 0 or metric == "ip" or metric == "cosine"
+    if metric == "l2sq":
+        full = knn_candidates(plain.withColumn("min_similarity", F.lit(1.0)), three, 64, SearchOptions())
+        assert full.filter("distance > 0").count() == 0 and full.count() >= 3 * plain.count()
+
+
+def test_contexts_in_small_blocks(spark, sf):
+    good, _ = prepare_requests(fx.document_queries(spark, sf), HashedTF())
+    corp = fx.corpus(spark, sf)
+    a = _candidates(knn_candidates(good, corp, 64, SearchOptions(kernel="join")))
+    assert a == _candidates(knn_candidates(good, corp, 64, SearchOptions(request_block=2, corpus_block=3))) and a
+
+
+def test_limits_and_dimensions(spark, sf):
+    corp = fx.corpus(spark, sf)
+    req = fx.conversation_queries(spark, sf, limit=100, min_similarity=0.0)
+    good, _ = prepare_requests(req, HashedTF())
+    n = corp.filter(F.col("collection") == S.DEFAULT_COLLECTION).count()
+    c = knn_candidates(good, corp, 64)
+    assert c.count() == min(200, n) * good.count()
+    with pytest.raises(ValueError):
+        knn_candidates(good.withColumn("limit", F.lit(120)), corp, 64)
+    short = corp.withColumn("embedding", F.when(F.col("doc_id") % 2 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")))
+    for kernel in ("block", "join"):
+        assert knn_candidates(good, short, 64, SearchOptions(kernel=kernel)).filter("doc_id % 2 = 0").count() == 0
+    assert wrong_dimension(short, 64).count() == corp.filter("doc_id % 2 = 0").count()
+
+
+def test_requests_with_null_keys_meet_nothing(spark, sf):
+    corp = fx.corpus(spark, sf).withColumn("secteur", F.lit(None).cast("string"))
+    good, _ = prepare_requests(fx.document_queries(spark, sf), HashedTF())
+    assert knn_candidates(good, corp, 64).count() == 0
+    assert knn_candidates(good.limit(0), corp, 64).count() == 0
