@@ -30,11 +30,17 @@ def ttl_valid(cached_at: Column, as_of: Column, ttl_hours: int = S.CACHE_TTL_HOU
     return as_of < cached_at + F.make_interval(hours=F.lit(ttl_hours))
 
 
+def content_hash(text: Column, normalize_hash: bool = False) -> Column:
+    """md5 of the raw text, or of the text with white space collapsed (as the
+    cache key collapses it)."""
+    return F.md5(F.trim(F.regexp_replace(text, r"\s+", " ")) if normalize_hash else text)
+
+
 def integrity_ok(text: Column, model: Column, e_model: Column, e_hash: Column,
-                 e_embedding: Column) -> Column:
-    """model equal, md5(raw text) equal, vector present and non-empty."""
+                 e_embedding: Column, normalize_hash: bool = False) -> Column:
+    """model equal, content hash equal, vector present and non-empty."""
     return (F.coalesce(e_model == model, F.lit(False))
-            & F.coalesce(F.md5(text) == e_hash, F.lit(False))
+            & F.coalesce(content_hash(text, normalize_hash) == e_hash, F.lit(False))
             & e_embedding.isNotNull() & (F.size(e_embedding) > 0))
 
 
@@ -44,13 +50,13 @@ def entry_size(text: Column, embedding: Column) -> Column:
 
 
 def make_entries(texts: DataFrame, model: str, cached_at: Column,
-                 text_col: str = "text", vec_col: str = "embedding") -> DataFrame:
+                 text_col: str = "text", vec_col: str = "embedding", normalize_hash: bool = False) -> DataFrame:
     """Cache rows for ``texts`` that already carry vectors (M1 input)."""
     t = F.col(text_col)
     return texts.select(
         cache_key(t, F.lit(model)).alias("cache_key"),
         t.alias("text"), F.lit(model).alias("model"),
-        F.col(vec_col).alias("embedding"), F.md5(t).alias("text_hash"),
+        F.col(vec_col).alias("embedding"), content_hash(t, normalize_hash).alias("text_hash"),
         F.size(F.col(vec_col)).cast("int").alias("embedding_dimension"),
         cached_at.alias("cached_at"),
         entry_size(t, F.col(vec_col)).alias("size_bytes"),
@@ -79,14 +85,14 @@ def write_cache(entries: DataFrame, path: str, mode: str = "append") -> None:
     entries.write.mode(mode).partitionBy("key_prefix").parquet(path)
 
 
-def oversize_entries(entries: DataFrame) -> DataFrame:
+def oversize_entries(entries: DataFrame, max_bytes: int = S.CACHE_ENTRY_MAX_BYTES) -> DataFrame:
     """Entries rejected by the per-entry size cap."""
-    return entries.filter(F.col("size_bytes") > S.CACHE_ENTRY_MAX_BYTES)
+    return entries.filter(F.col("size_bytes") > max_bytes)
 
 
 # ---------------------------------------------------------------- J2/J3
 def probe(texts: DataFrame, cache: DataFrame, model: str, as_of: Column,
-          ttl_hours: int = S.CACHE_TTL_HOURS, text_col: str = "text") -> DataFrame:
+          ttl_hours: int = S.CACHE_TTL_HOURS, text_col: str = "text", normalize_hash: bool = False) -> DataFrame:
     """Every input text with ``cache_key`` and ``status`` in
     {hit, corrupt, miss}; hits carry the cached vector.
 
@@ -98,7 +104,7 @@ def probe(texts: DataFrame, cache: DataFrame, model: str, as_of: Column,
         .select(F.col("cache_key").alias("_ck"), F.col("model").alias("_model"),
                 F.col("text_hash").alias("_hash"), F.col("embedding").alias("_emb"))
     j = t.join(fresh, t.cache_key == fresh._ck, "left")
-    ok = integrity_ok(F.col(text_col), F.lit(model), F.col("_model"), F.col("_hash"), F.col("_emb"))
+    ok = integrity_ok(F.col(text_col), F.lit(model), F.col("_model"), F.col("_hash"), F.col("_emb"), normalize_hash)
     status = (F.when(F.col("_ck").isNull(), F.lit("miss"))
               .when(ok, F.lit("hit")).otherwise(F.lit("corrupt")))
     return (j.withColumn("status", status)

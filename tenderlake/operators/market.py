@@ -237,6 +237,21 @@ def search_quality(results: DataFrame, threshold: float = 0.7) -> DataFrame:
         .alias("relevant_share"))
 
 
+def precision_recall(results: DataFrame, corpus: DataFrame, judgements: DataFrame) -> DataFrame:
+    """Per collection, precision@k (relevant results of the judged ones)
+    and recall@k (relevant documents found at least once, of all relevant
+    ones).  ``judgements``: (doc_id, relevant), a row a document."""
+    judged = results.join(judgements, "doc_id")
+    p = judged.groupBy("collection").agg(F.count(F.lit(1)).alias("judged"), F.count_if("relevant").alias("_relevant"))
+    # one row a found document first: no distinct set of a collection in one place
+    found = judged.filter("relevant").select("collection", "doc_id").distinct().groupBy("collection").agg(F.count(F.lit(1)).alias("_found"))
+    wanted = corpus.join(judgements.filter("relevant"), "doc_id").groupBy("collection").agg(F.count(F.lit(1)).alias("_wanted"))
+    j = wanted.join(p, "collection", "left").join(found, "collection", "left")
+    return j.select("collection", F.coalesce("judged", F.lit(0)).alias("judged"),
+                    F.round(F.try_divide(F.col("_relevant").cast("double"), F.col("judged")), 6).alias("precision_at_k"),
+                    F.round(F.coalesce("_found", F.lit(0)).cast("double") / F.col("_wanted"), 6).alias("recall_at_k"))
+
+
 def top_sectors(requests: DataFrame, top: int = 3) -> DataFrame:
     """Requests per sector ranked (dense rank, top ``top``)."""
     g = requests.filter(F.col("ctx").isNotNull()).groupBy(F.col("ctx.sector").alias("sector")) \

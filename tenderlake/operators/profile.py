@@ -62,3 +62,8 @@ def split_valid_tenders(profiled: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (profiled.filter(F.col("weights_valid")),
             profiled.filter(~F.col("weights_valid"))
             .withColumn("reject_reason", F.lit("CRITERIA_WEIGHTS_OVER_100")))
+
+
+def export_tenders(profiled: DataFrame, path: str) -> None:
+    """Profiled tenders as JSON lines (all columns, lists and maps nested)."""
+    profiled.write.mode("overwrite").json(path)

@@ -117,14 +117,49 @@ def error_triage(log: DataFrame) -> DataFrame:
         .otherwise(F.lit("API_CLIENT_ERROR")).alias("error_class"))
 
 
-def error_records(log: DataFrame) -> DataFrame:
-    """One row per failed operation (type, code, status, context)."""
-    st = F.col("status_code")
-    return log.filter(~F.col("success")).select(
-        "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
-        F.lit("APIError").alias("error_type"),
-        F.concat(F.lit("HTTP_"), st.cast("string")).alias("error_code"), "status_code",
-        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("correlation_id"))
+def error_records(errors: DataFrame) -> DataFrame:
+    """One row per failed operation: type, code, status, masked context,
+    correlation id."""
+    e = classify_errors(errors)
+    return e.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "error_type", "error_code", "status_code",
+                    F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("correlation_id"),
+                    mask_map(F.col("context")).alias("context"))
+
+
+def classify_errors(errors: DataFrame) -> DataFrame:
+    """A8 + S13: (kind, code, config_key, status_code, ...) rows with their
+    ``error_type``, ``error_code`` and one flag a class.  Provider codes are
+    mapped to classes; unknown ones are ``API_UNKNOWN``."""
+    kind, code, st = F.col("kind"), F.col("code"), F.col("status_code")
+    api = kind == "api"
+    known = F.create_map(*[F.lit(x) for pair in S.PROVIDER_ERROR_CODES for x in pair])
+    types = F.create_map(*[F.lit(x) for x in ("api", "APIError", "cache", "CacheError", "config", "ConfigurationError",
+                                              "vector_store", "VectorStoreError")])
+    error_code = F.when(api, F.coalesce(F.try_element_at(known, code), F.lit("API_UNKNOWN"))).otherwise(code)
+
+    def flag(c: Column) -> Column:
+        return F.coalesce(c, F.lit(False))
+
+    return errors.withColumns({
+        "error_type": F.coalesce(F.try_element_at(types, kind), F.lit("Error")),
+        "error_code": error_code,
+        "is_retryable": flag(api & ((st >= S.RETRYABLE_STATUS_MIN) | (st == S.STATUS_RATE_LIMITED))),
+        "is_quota_exceeded": flag(api & (code == "insufficient_quota")),
+        "is_context_too_long": flag(api & (code == "context_length_exceeded")),
+        "is_recoverable": flag((kind == "cache") & code.isin(S.RECOVERABLE_CACHE_CODES)),
+        "is_authentication_config": flag((kind == "config") & F.lower("config_key").rlike("|".join(S.AUTH_CONFIG_WORDS))),
+        "is_connection_error": flag((kind == "vector_store") & (code == "CONNECTION_FAILED")),
+        "is_collection_error": flag((kind == "vector_store") & (code == "COLLECTION_NOT_FOUND")),
+    })
+
+
+ERROR_FLAGS = ["is_retryable", "is_quota_exceeded", "is_context_too_long", "is_recoverable", "is_authentication_config",
+               "is_connection_error", "is_collection_error"]
+
+
+def error_classes(classified: DataFrame) -> DataFrame:
+    """Classified errors per kind, code and flags."""
+    return classified.groupBy("kind", "error_code", *ERROR_FLAGS).agg(F.count(F.lit(1)).alias("errors"))
 
 
 # ---------------------------------------------------------------- A9 / W4

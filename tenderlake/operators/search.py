@@ -285,6 +285,37 @@ def search(requests: DataFrame, corpus: DataFrame, provider: Provider | None = N
     return result_columns(rerank(cands))
 
 
+METADATA = ["secteur", "type_ao", "fourchette_montant", "domaine_technique", "organisme", "zone_geo"]
+
+
+def attach_documents(results: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Results with ``content`` and ``metadata`` (a struct) of their
+    documents, joined by id after the top-k (only ids and texts of the corpus
+    are read)."""
+    docs = corpus.select(F.col("doc_id").alias("_id"), "content", F.struct(*[c for c in METADATA if c in corpus.columns]).alias("metadata"))
+    return results.join(docs, results["doc_id"] == docs["_id"]).drop("_id")
+
+
+def score_violations(results: DataFrame) -> DataFrame:
+    """Results whose similarity or relevance lies outside [0, 1]."""
+    ok = F.col("similarity_score").between(0.0, 1.0) & F.col("relevance_score").between(0.0, 1.0)
+    return results.filter(~F.coalesce(ok, F.lit(False)))
+
+
+def applied_filters(ctx: Column, filters: dict | None = None) -> Column:
+    """A2: number of filter keys that a request's search applies: its context
+    keys (those the user filters replace not counted) and the user's own."""
+    own = filter_keys(filters)
+    size = F.size(F.coalesce(ctx["technical_domains"], F.array().cast("array<string>")))
+    context = {"type_ao": F.lit(True), "secteur": F.lit(True),
+               "fourchette_montant": amount_present(ctx["estimated_amount"]), "domaine_technique": size > 0}
+    n = F.lit(len(filters or {}))
+    for key, present in context.items():
+        if key not in own:
+            n = n + F.when(ctx.isNotNull() & F.coalesce(present, F.lit(False)), 1).otherwise(0)
+    return n
+
+
 def export_results(results: DataFrame, path: str | None = None) -> DataFrame:
     """Results with their derived fields as one JSON document per row;
     written as JSON lines when ``path`` is given."""
@@ -295,6 +326,15 @@ def export_results(results: DataFrame, path: str | None = None) -> DataFrame:
     return out
 
 
+def matches_above(requests: DataFrame, corpus: DataFrame, dim: int, metric: str = "cosine", vec_col: str = "q_vec") -> DataFrame:
+    """Every (request, document) of a collection whose similarity reaches the
+    request's min_similarity, however many: (query_id, doc_id, similarity)."""
+    q = requests.select("query_id", F.col("collection").alias("_key"), F.col("limit"), "min_similarity", F.col(vec_col).alias("_qv"))
+    c = corpus.filter(F.size("embedding") == dim).select("doc_id", F.col("collection").alias("_key"), "embedding")
+    hits = block_candidates(q, c, dim, metric, 1 << 31, False)
+    return hits.select("query_id", "doc_id", F.greatest(F.lit(0.0), F.lit(1.0) - F.col("distance")).alias("similarity"))
+
+
 def search_vectors(requests: DataFrame, corpus: DataFrame, dim: int,
                    opts: SearchOptions | None = None, vec_col: str = "q_vec") -> DataFrame:
     """Search with request vectors given directly (no text to enrich or

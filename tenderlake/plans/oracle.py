@@ -8,7 +8,7 @@ cast to DOUBLE; lambdas use the ``lambda x: ...`` form.
 from __future__ import annotations
 
 from tenderlake import schemas as S
-from tenderlake.sources.fixtures import (FIXTURE_AMOUNT_FACTORS, FIXTURE_COLLECTIONS,
+from tenderlake.sources.fixtures import (ERROR_CODES, ERROR_KINDS, FIXTURE_AMOUNT_FACTORS, FIXTURE_COLLECTIONS,
                                          FIXTURE_ORG_KINDS)
 
 
@@ -305,7 +305,10 @@ SELECT p.pos, p.status, p.status = 'hit' AS from_cache, CAST(len(v.v) AS INTEGER
   round(list_reduce(list_transform(v.v, lambda x: x::DOUBLE), lambda a, x: a + x), 6) AS vsum
 FROM probed p JOIN vec v ON v.id = p.pos"""
 
-M2_EXPIRE = f"""WITH {CACHE} SELECT cache_key, strftime(cached_at, '%Y-%m-%d %H:%M:%S') AS cached_at, size_bytes
+CACHE_ALL = CACHE.replace("FROM documents d JOIN orders o ON d.doc_id = o.o_orderkey\n  WHERE o.o_orderdate < TIMESTAMP '1998-01-01'",
+                          "FROM documents d")
+
+M2_EXPIRE = f"""WITH {CACHE_ALL} SELECT cache_key, strftime(cached_at, '%Y-%m-%d %H:%M:%S') AS cached_at, size_bytes
 FROM cache WHERE {CACHE_AS_OF} < cached_at + INTERVAL 24 HOUR"""
 
 M1_UPSERT = f"""WITH {CACHE},
@@ -320,7 +323,7 @@ WHERE v = 1"""
 
 
 def m3_evict_sql(max_bytes: int, ratio: float = 0.8) -> str:
-    return f"""WITH {CACHE},
+    return f"""WITH {CACHE_ALL},
 s AS (SELECT cache_key, size_bytes, sum(size_bytes) OVER () AS total,
         coalesce(sum(size_bytes) OVER (ORDER BY cached_at, cache_key
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM cache)
@@ -340,7 +343,7 @@ SELECT total_requests, cache_hits, cache_misses, cache_errors,
   round(cache_hits::DOUBLE / total_requests, 6) AS hit_rate, round(sv, 9) AS total_savings_usd,
   cache_size_bytes, entries FROM st, sz"""
 
-M5_CLEAR = f"""WITH {CACHE} SELECT count(*) AS cleared_entries,
+M5_CLEAR = f"""WITH {CACHE_ALL} SELECT count(*) AS cleared_entries,
   CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS cleared_bytes FROM cache"""
 
 
@@ -464,11 +467,15 @@ SELECT status_code, count(*) AS errors,
        WHEN status_code >= 500 THEN 'API_SERVER_ERROR' ELSE 'API_CLIENT_ERROR' END AS error_class
 FROM op_log WHERE NOT success GROUP BY status_code"""
 
-S13_ERRORS = f"""WITH {OP_LOG}
-SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, 'APIError' AS error_type,
-  'HTTP_' || CAST(status_code AS VARCHAR) AS error_code, status_code,
-  'user_' || CAST(user_id AS VARCHAR) AS correlation_id
-FROM op_log WHERE NOT success"""
+S13_ERRORS = f"""WITH {OP_LOG},
+e AS (SELECT *, {_lst(ERROR_KINDS)}[k % 12 + 1] AS kind, {_lst(ERROR_CODES)}[k % 12 + 1] AS code FROM op_log WHERE NOT success)
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp,
+  CASE kind WHEN 'api' THEN 'APIError' WHEN 'cache' THEN 'CacheError' WHEN 'config' THEN 'ConfigurationError'
+    ELSE 'VectorStoreError' END AS error_type,
+  CASE WHEN kind <> 'api' THEN code ELSE CASE code
+    {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in S.PROVIDER_ERROR_CODES)} ELSE 'API_UNKNOWN' END END AS error_code, status_code,
+  'user_' || CAST(user_id AS VARCHAR) AS correlation_id,
+  substr(session_token, 1, 4) || '...' || right(session_token, 4) AS session_token FROM e"""
 
 A9_METRICS = f"""WITH {OP_LOG}
 SELECT operation, count(*) AS operations, count(*) FILTER (WHERE success) AS successes,
@@ -650,11 +657,10 @@ B1_SIMILAR = search_sql(TENDER_REQUESTS, "l2sq", extra_ctes=f"\n{TENDER_DOMAINS}
                         corpus_where=f"date_publication >= {AS_OF} - INTERVAL 24 MONTH")
 
 CROSS_REQUESTS = f"""requests AS (
-  SELECT doc_id AS query_id, content AS query, 'historique_ao' AS collection, {S.DEFAULT_LIMIT} AS "limit",
-    {S.DEFAULT_MIN_SIMILARITY}::DOUBLE AS min_similarity, false AS has_ctx, NULL::VARCHAR AS ao_type,
-    NULL::VARCHAR AS sector, NULL::BIGINT AS estimated_amount, NULL::VARCHAR[] AS technical_domains,
-    NULL::VARCHAR AS organisme
-  FROM corpus WHERE collection = 'reglementaire'
+  SELECT c.doc_id * 10 + t.i AS query_id, c.content AS query, t.name AS collection, 5 AS "limit", 0.5::DOUBLE AS min_similarity,
+    false AS has_ctx, NULL::VARCHAR AS ao_type, NULL::VARCHAR AS sector, NULL::BIGINT AS estimated_amount,
+    NULL::VARCHAR[] AS technical_domains, NULL::VARCHAR AS organisme
+  FROM corpus c JOIN (SELECT i, {_lst(FIXTURE_COLLECTIONS)}[i + 1] AS name FROM range(5) r(i)) t ON t.name <> c.collection
 )"""
 
 B17_CROSS = search_sql(CROSS_REQUESTS, "l2sq")

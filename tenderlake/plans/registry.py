@@ -18,7 +18,7 @@ from tenderlake.operators import ingest as IG
 from tenderlake.operators import reports as RP
 from tenderlake.operators import market as MK
 from tenderlake.streaming import streams as ST
-from tenderlake.operators.search import (display_summary, knn_candidates, prepare_requests, rerank,
+from tenderlake.operators.search import (applied_filters, display_summary, knn_candidates, prepare_requests, rerank,
                                          result_columns, validate_requests)
 from tenderlake.functions.text import word_count as _wc
 from tenderlake.operators import profile as PR
@@ -161,14 +161,14 @@ def upsert_q(spark, sf_dir):
 @register("m2_expire", O.M2_EXPIRE)
 def expire_q(spark, sf_dir):
     """M2: entries still valid at as_of."""
-    return C.expire(fx.cache_table(spark, sf_dir), _as_of()).select(
+    return C.expire(fx.cache_table(spark, sf_dir, cutoff=None), _as_of()).select(
         "cache_key", _ts(F.col("cached_at")).alias("cached_at"), "size_bytes")
 
 
 @register("m3_evict", O.m3_evict_sql(M3_MAX_BYTES))
 def evict_q(spark, sf_dir):
     """M3: oldest-first eviction down to 80 % of the size limit."""
-    return C.evict_oldest(fx.cache_table(spark, sf_dir), M3_MAX_BYTES).select(
+    return C.evict_oldest(fx.cache_table(spark, sf_dir, cutoff=None), M3_MAX_BYTES).select(
         "cache_key", "size_bytes", "evicted")
 
 
@@ -181,7 +181,7 @@ def cache_stats_q(spark, sf_dir):
 @register("m5_clear_report", O.M5_CLEAR)
 def clear_q(spark, sf_dir):
     """M5: entries and bytes a clear removes."""
-    return C.clear_report(fx.cache_table(spark, sf_dir))
+    return C.clear_report(fx.cache_table(spark, sf_dir, cutoff=None))
 
 
 # ------------------------------------------------------------------ ingestion
@@ -271,7 +271,9 @@ def error_triage_q(spark, sf_dir):
 @register("s13_error_records", O.S13_ERRORS)
 def error_records_q(spark, sf_dir):
     """Failed operations as error rows."""
-    return RP.error_records(fx.op_log(spark, sf_dir))
+    e = RP.error_records(fx.typed_errors(spark, sf_dir))
+    return e.select("event_id", "timestamp", "error_type", "error_code", "status_code", "correlation_id",
+                    F.col("context")["session_token"].alias("session_token"))
 
 
 @register("a9_operation_metrics", O.A9_METRICS)
@@ -458,13 +460,14 @@ def per_day_q(spark, sf_dir):
 
 @register("b17_cross_collection", O.B17_CROSS)
 def cross_collection_q(spark, sf_dir):
-    """Regulation documents linked to their nearest history documents."""
+    """Every document linked to its nearest documents in every other collection."""
     corp = fx.corpus(spark, sf_dir)
-    req = (fx.corpus(spark, sf_dir, embedding="none").filter(F.col("collection") == "reglementaire")
-           .select(F.col("doc_id").alias("query_id"), F.col("content").alias("query"),
-                   F.lit("historique_ao").alias("collection"), F.lit(5).alias("limit"),
-                   F.lit(0.5).alias("min_similarity"),
-                   F.lit(None).cast(fx.S.CONTEXT_TYPE).alias("ctx")))
+    names = F.array(*[F.lit(c) for c in fx.FIXTURE_COLLECTIONS])
+    req = (fx.corpus(spark, sf_dir, embedding="none")
+           .select("doc_id", F.col("content").alias("query"), F.col("collection").alias("_own"), F.posexplode(names).alias("_i", "collection"))
+           .filter(F.col("collection") != F.col("_own"))
+           .select((F.col("doc_id") * 10 + F.col("_i")).alias("query_id"), "query", "collection", F.lit(5).alias("limit"),
+                   F.lit(0.5).alias("min_similarity"), F.lit(None).cast(fx.S.CONTEXT_TYPE).alias("ctx")))
     return search(req, corp)
 
 
@@ -528,11 +531,9 @@ def display_q(spark, sf_dir):
 @register("a2_per_search_summary", O.A2_SUMMARY)
 def per_search_q(spark, sf_dir):
     """A2: results count, mean similarity (0 when none), filters applied."""
-    from tenderlake.functions.profile import amount_present
     req = fx.document_queries(spark, sf_dir)
     res = search(req, fx.corpus(spark, sf_dir))
-    n_filters = F.when(amount_present(F.col("ctx.estimated_amount")), F.lit(4)).otherwise(F.lit(3))
-    return RP.per_search_summary(req, res, n_filters)
+    return RP.per_search_summary(req, res, applied_filters(F.col("ctx")))
 
 
 # ------------------------------------------------------------------ streaming (availableNow runs)
@@ -697,3 +698,6 @@ def vector_search_q(spark, sf_dir):
         F.col("vec_id").alias("query_id"), "collection", F.col("embedding").alias("q_vec"),
         F.lit(5).alias("limit"), F.lit(0.0).alias("min_similarity"))
     return search_vectors(req, corp, 64, SearchOptions(metric="cosine"))
+
+
+from tenderlake.plans import more  # noqa: E402,F401  (registers further queries)

@@ -102,6 +102,17 @@ GO_NOGO_WEIGHTS = [
     ("margin_potential", 15), ("relationship_access", 10), ("timeline_realistic", 10),
 ]
 
+# Error codes of the embedding provider and their class.
+PROVIDER_ERROR_CODES = [
+    ("insufficient_quota", "API_QUOTA_EXCEEDED"), ("rate_limit_exceeded", "API_RATE_LIMIT"),
+    ("invalid_api_key", "API_AUTH_ERROR"), ("model_not_found", "API_MODEL_ERROR"),
+    ("context_length_exceeded", "API_CONTEXT_ERROR"),
+]
+# Cache errors after which the entry can be rebuilt.
+RECOVERABLE_CACHE_CODES = ["CACHE_CORRUPTED_DATA", "CACHE_EXPIRED_ENTRY", "CACHE_INVALID_KEY", "CACHE_READ_FAILED"]
+# Words of configuration keys that concern authentication.
+AUTH_CONFIG_WORDS = ["api_key", "secret", "token", "password", "auth"]
+
 # ---------------------------------------------------------------------------
 # Schemas
 # ---------------------------------------------------------------------------

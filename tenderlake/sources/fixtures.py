@@ -257,6 +257,24 @@ def op_log_from(events: DataFrame) -> DataFrame:
     )
 
 
+# Error of a failed operation by k % 12: where it arose, its code, and the
+# configuration key it names.
+ERROR_KINDS = ["api", "api", "api", "api", "api", "api", "cache", "cache", "config", "config", "vector_store", "vector_store"]
+ERROR_CODES = ["insufficient_quota", "rate_limit_exceeded", "invalid_api_key", "model_not_found", "context_length_exceeded", "",
+               "CACHE_CORRUPTED_DATA", "CACHE_WRITE_FAILED", "CONFIG_MISSING", "CONFIG_INVALID", "CONNECTION_FAILED", "COLLECTION_NOT_FOUND"]
+ERROR_CONFIG_KEYS = ["", "", "", "", "", "", "", "", "PROVIDER_API_KEY", "log_level", "", ""]
+
+
+def typed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed operations with the kind, code and configuration key of their error."""
+    log = op_log(spark, sf_dir).filter(~F.col("success"))
+    case = F.pmod("k", F.lit(12))
+    none = F.lit(None).cast("string")
+    return log.select("event_id", "ts", "user_id", "status_code", "context", _pick(ERROR_KINDS, case).alias("kind"),
+                      F.coalesce(F.nullif(_pick(ERROR_CODES, case), F.lit("")), none).alias("code"),
+                      F.coalesce(F.nullif(_pick(ERROR_CONFIG_KEYS, case), F.lit("")), none).alias("config_key"))
+
+
 # ---------------------------------------------------------------- cache fixture
 CACHE_MODEL = "hashed-tf-64"
 CACHE_EPOCH = "2024-01-01 00:00:00"
@@ -264,15 +282,17 @@ CACHE_AS_OF = "2024-01-02 12:00:00"
 CACHE_CUTOFF = "1998-01-01"   # documents published before were embedded by an earlier run
 
 
-def cache_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cache_table(spark: SparkSession, sf_dir: str, cutoff: str | None = CACHE_CUTOFF) -> DataFrame:
     """Embedding cache left by an earlier run: one entry per document
-    published before ``CACHE_CUTOFF``; ``cached_at`` spread over two days;
-    one entry in 50 carries a wrong text hash (corruption)."""
+    published before ``cutoff`` (with none: per document); ``cached_at`` spread
+    over two days; one entry in 50 carries a wrong text hash (corruption)."""
     from tenderlake.functions.text import cache_key, key_prefix
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate") \
-        .filter(F.col("o_orderdate") < F.lit(CACHE_CUTOFF).cast("timestamp"))
-    d = docs.join(orders, docs.doc_id == orders.o_orderkey).select("doc_id", "text")
+    d = docs
+    if cutoff is not None:
+        orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate") \
+            .filter(F.col("o_orderdate") < F.lit(cutoff).cast("timestamp"))
+        d = docs.join(orders, docs.doc_id == orders.o_orderkey).select("doc_id", "text")
     d = spread(d, docs, "doc_id")
     t = F.col("text")
     emb = hashed_tf(t, 64)
