@@ -726,7 +726,15 @@ SELECT doc_id, collection, batch_id, CAST(length(content) AS INTEGER) AS documen
   '{S.ENGINE_VERSION}' AS engine_version, strftime(submitted_at, '%Y-%m-%d %H:%M:%S') AS added_at,
   lang, NULL::VARCHAR AS meta_collection FROM ided"""
 
-T2_DEDUP = f"SELECT DISTINCT {cache_key_sql('text')} AS cache_key FROM documents"
+T2_DEDUP = f"""WITH RECURSIVE e AS (SELECT doc_id, {cache_key_sql('text')} AS cache_key FROM documents),
+kept AS (
+  SELECT min(doc_id) AS doc_id, cache_key FROM e GROUP BY cache_key
+  UNION ALL
+  SELECT doc_id, cache_key FROM (
+    SELECT e.doc_id, k.cache_key, row_number() OVER (PARTITION BY k.cache_key ORDER BY e.doc_id) AS r
+    FROM kept k JOIN e ON e.cache_key = k.cache_key AND e.doc_id >= k.doc_id + 1440) WHERE r = 1
+)
+SELECT doc_id, cache_key FROM kept"""
 
 T3_KPI = f"""WITH {OP_LOG},
 d AS (SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day,
@@ -834,3 +842,7 @@ SELECT query_id, rank, doc_id, collection, round(similarity, 6) AS similarity_sc
   CASE WHEN similarity > 0.8 THEN 'Haute' WHEN similarity > 0.6 THEN 'Moyenne' ELSE 'Faible' END AS confidence_level,
   similarity > 0.8 AS is_highly_relevant
 FROM ranked WHERE rank <= 5"""
+
+T4_ALERTS = search_sql(CONV_REQUESTS.replace(f"{S.DEFAULT_MIN_SIMILARITY}::DOUBLE AS min_similarity", "0.8::DOUBLE AS min_similarity"),
+                       "cosine", select="""SELECT query_id, doc_id, round(similarity, 6) AS similarity
+FROM scored WHERE similarity >= min_similarity""")

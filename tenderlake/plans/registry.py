@@ -541,8 +541,8 @@ def per_search_q(spark, sf_dir):
 def stream_ingest_q(spark, sf_dir):
     """Documents streamed through the ingestion job (foreachBatch)."""
     docs = fx.batches_from(ST.table_stream(spark, sf_dir, "documents"))
-    path = ST.stream_ingest(spark, docs, HashedTF(), fx.INGEST_TS)
-    r = spark.read.parquet(path)
+    path = ST.stream_ingest(spark, docs, HashedTF())
+    r = ST.read_ingested(spark, path, fx.INGEST_TS)
     return r.select("doc_id", "collection", "batch_id", "document_length", "engine_version",
                     _ts(F.col("added_at")).alias("added_at"),
                     F.try_element_at("extra", F.lit("lang")).alias("lang"),
@@ -551,8 +551,8 @@ def stream_ingest_q(spark, sf_dir):
 
 @register("t2_stream_dedup", O.T2_DEDUP)
 def stream_dedup_q(spark, sf_dir):
-    """Repeated texts dropped within the 24 h watermark (cache as state)."""
-    return ST.run_dedup(spark, sf_dir, fx.CACHE_MODEL).select("cache_key")
+    """Repeats of a text within 24 h of its last kept event are dropped."""
+    return ST.run_dedup(spark, sf_dir, fx.CACHE_MODEL).select("doc_id", "cache_key")
 
 
 @register("t3_stream_kpi", O.T3_KPI)
@@ -561,17 +561,17 @@ def stream_kpi_q(spark, sf_dir):
     return ST.run_kpi(spark, sf_dir)
 
 
-@register("t4_stream_alerts", O.search_sql(O.CONV_REQUESTS, "cosine"))
+@register("t4_stream_alerts", O.T4_ALERTS)
 def stream_alerts_q(spark, sf_dir):
-    """T4: streamed documents matched against saved searches (user turns)."""
-    return ST.run_alerts(spark, sf_dir, fx.conversation_queries(spark, sf_dir),
-                         SearchOptions(metric="cosine"))
+    """T4: streamed documents × saved searches (user turns), cosine 0.8 or more."""
+    out = ST.run_alerts(spark, sf_dir, fx.conversation_queries(spark, sf_dir, min_similarity=0.8))
+    return out.select("query_id", "doc_id", F.round("similarity", 6).alias("similarity"))
 
 
 @register("t5_sessions", O.T5_SESSIONS)
 def sessions_q(spark, sf_dir):
-    """T5: search sessions per user (30-minute gap session windows)."""
-    return ST.sessions(fx.op_log(spark, sf_dir))
+    """T5: streamed search sessions per user (30-minute gap), open ones closed at the end."""
+    return ST.run_sessions(spark, sf_dir)
 
 
 # ------------------------------------------------------------------ approximate join (no SQL oracle)

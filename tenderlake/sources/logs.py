@@ -42,5 +42,6 @@ def stream_log(spark: SparkSession, path: str, max_files: int = 100) -> DataFram
 
 
 def split_corrupt(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(parsed rows, lines that did not parse)."""
-    return log.filter(F.col("_corrupt").isNull()).drop("_corrupt"), log.filter(F.col("_corrupt").isNotNull()).select("_corrupt")
+    """(parsed rows, lines that did not parse; Spark reads the latter column
+    only beside another)."""
+    return log.filter(F.col("_corrupt").isNull()).drop("_corrupt"), log.filter(F.col("_corrupt").isNotNull()).select("_corrupt", "correlation_id")
