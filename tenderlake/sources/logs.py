@@ -29,19 +29,18 @@ def write_log(log: DataFrame, path: str, component: str = "rag_engine", system:
 
 
 def _typed(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("ts", F.to_timestamp("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).drop("timestamp")
+    rows = lines.select(F.from_json("value", LOG_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}).alias("j")).select("j.*")
+    return rows.withColumn("ts", F.to_timestamp("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).drop("timestamp")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return _typed(spark.read.schema(LOG_SCHEMA).option("columnNameOfCorruptRecord", "_corrupt").json(path))
+    return _typed(spark.read.text(path))
 
 
 def stream_log(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    return _typed(spark.readStream.schema(LOG_SCHEMA).option("columnNameOfCorruptRecord", "_corrupt")
-                  .option("maxFilesPerTrigger", max_files).json(path))
+    return _typed(spark.readStream.option("maxFilesPerTrigger", max_files).text(path))
 
 
 def split_corrupt(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(parsed rows, lines that did not parse; Spark reads the latter column
-    only beside another)."""
-    return log.filter(F.col("_corrupt").isNull()).drop("_corrupt"), log.filter(F.col("_corrupt").isNotNull()).select("_corrupt", "correlation_id")
+    """(parsed rows, lines that did not parse)."""
+    return log.filter(F.col("_corrupt").isNull()).drop("_corrupt"), log.filter(F.col("_corrupt").isNotNull()).select("_corrupt")
