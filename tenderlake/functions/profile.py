@@ -103,7 +103,3 @@ def enrich_query(query: Column, ctx: Column) -> Column:
         F.when(org.isNotNull() & (org != ""), F.concat(F.lit("organisme "), org)),
     )
     return F.when(ctx.isNull(), query).otherwise(enriched)
-
-
-def sum_columns(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, cols)

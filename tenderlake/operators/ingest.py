@@ -39,13 +39,6 @@ def register_collections(existing: DataFrame, names: DataFrame) -> DataFrame:
     return existing.unionByName(new)
 
 
-def ensure_default_collections(spark: SparkSession, existing: DataFrame | None = None) -> DataFrame:
-    d = default_collections(spark)
-    if existing is None:
-        return d
-    return register_collections(existing, d.select(F.col("name").alias("collection")))
-
-
 def collection_counts(collections: DataFrame, corpus: DataFrame) -> DataFrame:
     """Document count per registered collection (0 when empty)."""
     counts = corpus.groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
@@ -193,10 +186,6 @@ def model_price(model: str) -> float:
     return next((p for m, _, p, _ in S.MODELS if m == model), S.UNKNOWN_MODEL_PRICE)
 
 
-def model_dimension(model: str) -> int:
-    return next((d for m, d, _, _ in S.MODELS if m == model), S.UNKNOWN_MODEL_DIM)
-
-
 def ingest_summary(rows: DataFrame, model: str) -> DataFrame:
     """S7 + A4: per (collection, batch): documents, characters, token
     estimate (words × 1.3, truncated once on the batch total) and cost."""

@@ -89,15 +89,17 @@ def likely_competitors(awards: DataFrame, as_of: Column, months: int = 18, top:
 # ---------------------------------------------------------------- B5 / B8
 def template_ranking(usage: DataFrame, min_win_rate: float = 0.3, min_uses: int = 100) -> DataFrame:
     """Templates with win rate > ``min_win_rate`` over at least
-    ``min_uses`` uses, ranked by win rate then mean score."""
+    ``min_uses`` uses, ranked by win rate, mean score, mean feedback, name."""
     g = usage.groupBy("template").agg(
         F.count(F.lit(1)).alias("uses"), F.avg(F.col("won").cast("double")).alias("_wr"),
-        F.avg("score").alias("_sc"))
+        F.avg("score").alias("_sc"),
+        # integer sum, one division: the same double in any engine
+        (F.sum("feedback").cast("double") / F.count("feedback")).alias("_fb"))
     ok = g.filter((F.col("_wr") > min_win_rate) & (F.col("uses") >= min_uses))
-    w = Window.orderBy(F.col("_wr").desc(), F.col("_sc").desc(), F.col("template"))
+    w = Window.orderBy(F.col("_wr").desc(), F.col("_sc").desc(), F.col("_fb").desc(), F.col("template"))
     # one row per template: the ranked set is bounded by the template catalogue
     return ok.select("template", "uses", F.round("_wr", 6).alias("win_rate"),
-                     F.round("_sc", 6).alias("avg_score"),
+                     F.round("_sc", 6).alias("avg_score"), F.round("_fb", 6).alias("avg_feedback"),
                      F.row_number().over(w).alias("rank"))
 
 

@@ -559,13 +559,13 @@ SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY sector, amount_range OR
 WHERE rank <= 5"""
 
 TEMPLATE_USAGE = """usage AS (SELECT p.p_brand AS template, l.l_returnflag <> 'R' AS won,
-    l.l_quantity / 50.0::DOUBLE AS score, l.l_partkey FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"""
+    l.l_quantity / 50.0::DOUBLE AS score, l.l_partkey, CAST(l.l_linenumber % 5 + 1 AS BIGINT) AS feedback FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"""
 
 B5_TEMPLATES = f"""WITH {TEMPLATE_USAGE},
-g AS (SELECT template, count(*) AS uses, avg(CASE WHEN won THEN 1.0 ELSE 0.0 END) AS wr, avg(score) AS sc
-      FROM usage GROUP BY template)
-SELECT template, uses, round(wr, 6) AS win_rate, round(sc, 6) AS avg_score,
-  row_number() OVER (ORDER BY wr DESC, sc DESC, template) AS rank
+g AS (SELECT template, count(*) AS uses, avg(CASE WHEN won THEN 1.0 ELSE 0.0 END) AS wr, avg(score) AS sc,
+        CAST(sum(feedback) AS DOUBLE) / count(feedback) AS fb FROM usage GROUP BY template)
+SELECT template, uses, round(wr, 6) AS win_rate, round(sc, 6) AS avg_score, round(fb, 6) AS avg_feedback,
+  row_number() OVER (ORDER BY wr DESC, sc DESC, fb DESC, template) AS rank
 FROM g WHERE wr > 0.3::DOUBLE AND uses >= 100"""
 
 B8_WEIGHTING = f"""WITH {TEMPLATE_USAGE},
@@ -843,6 +843,33 @@ SELECT query_id, rank, doc_id, collection, round(similarity, 6) AS similarity_sc
   similarity > 0.8 AS is_highly_relevant
 FROM ranked WHERE rank <= 5"""
 
+def _signatures(name: str, source: str, dim: int = 64, bands: int = 16, bits: int = 6) -> str:
+    return f"""(SELECT id, b, string_agg(bit, '' ORDER BY t) AS sig FROM (
+    SELECT x.id, p.b, p.t, CASE WHEN sum(p.s * CAST(floor(x.v[p.i + 1]::DOUBLE * 1048576.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)) >= 0
+             THEN '1' ELSE '0' END AS bit
+    FROM {source} x, (SELECT b, t, i, CASE WHEN substr(md5(b || ':' || t || ':' || i), 1, 1) < '8' THEN 1 ELSE -1 END AS s
+                      FROM range({bands}) rb(b), range({bits}) rt(t), range({dim}) ri(i)) p GROUP BY ALL) GROUP BY id, b) {name}"""
+
+
+_APPROX = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM (
+    SELECT pr.query_id, pr.doc_id, {dist_sql('l2sq', 'qv.v', 'cv.v', 64)} AS distance FROM (
+      SELECT DISTINCT q.query_id, c.doc_id FROM enriched q JOIN {_signatures('qs', 'qvec')} ON qs.id = q.query_id
+        JOIN {_signatures('cs', 'cvec')} ON cs.b = qs.b AND cs.sig = qs.sig
+        JOIN corpus c ON c.doc_id = cs.id AND c.collection = q.collection) pr
+      JOIN qvec qv ON qv.id = pr.query_id JOIN cvec cv ON cv.id = pr.doc_id)
+    WHERE greatest(0.0::DOUBLE, 1.0::DOUBLE - distance) >= 0.5::DOUBLE) WHERE rank <= 10)"""
+
+J6_APPROX = search_sql(DOC_REQUESTS, "l2sq", select=f"""SELECT query_id, doc_id, rank,
+  round(greatest(0.0::DOUBLE, 1.0::DOUBLE - distance), 6) AS similarity FROM {_APPROX}""")
+
+J6_RECALL = search_sql(DOC_REQUESTS, "l2sq", select=f"""SELECT count(*) AS exact_pairs, count(a.doc_id) AS found,
+  round(count(a.doc_id)::DOUBLE / count(*), 6) AS recall FROM (
+    SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS r FROM (
+      SELECT q.query_id, c.doc_id, q.min_similarity, {dist_sql('l2sq', 'qv.v', 'cv.v', 64)} AS distance
+      FROM enriched q JOIN corpus c ON c.collection = q.collection JOIN qvec qv ON qv.id = q.query_id JOIN cvec cv ON cv.id = c.doc_id)
+      WHERE greatest(0.0::DOUBLE, 1.0::DOUBLE - distance) >= min_similarity) WHERE r <= {2 * S.DEFAULT_LIMIT}) e
+  LEFT JOIN {_APPROX} a ON a.query_id = e.query_id AND a.doc_id = e.doc_id""")
+
 T4_ALERTS = search_sql(CONV_REQUESTS.replace(f"{S.DEFAULT_MIN_SIMILARITY}::DOUBLE AS min_similarity", "0.8::DOUBLE AS min_similarity"),
                        "cosine", select="""SELECT query_id, doc_id, round(similarity, 6) AS similarity
 FROM scored WHERE similarity >= min_similarity""")

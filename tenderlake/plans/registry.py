@@ -22,7 +22,7 @@ from tenderlake.operators.search import (applied_filters, display_summary, knn_c
                                          result_columns, validate_requests)
 from tenderlake.functions.text import word_count as _wc
 from tenderlake.operators import profile as PR
-from tenderlake.operators.providers import HashedTF
+from tenderlake.operators.providers import HashedTF, Precomputed
 from tenderlake.operators.search import SearchOptions, search
 from tenderlake.plans import oracle as O
 from tenderlake.operators.blocks import checked_broadcast
@@ -574,8 +574,8 @@ def sessions_q(spark, sf_dir):
     return ST.run_sessions(spark, sf_dir)
 
 
-# ------------------------------------------------------------------ approximate join (no SQL oracle)
-@register("j6_approx_knn")
+# ------------------------------------------------------------------ approximate join
+@register("j6_approx_knn", O.J6_APPROX)
 def approx_knn_q(spark, sf_dir):
     """LSH candidates (exactly re-scored) for every document request."""
     from tenderlake.operators.ann import approx_candidates
@@ -584,7 +584,7 @@ def approx_knn_q(spark, sf_dir):
         "query_id", "doc_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-@register("j6_recall")
+@register("j6_recall", O.J6_RECALL)
 def approx_recall_q(spark, sf_dir):
     """Recall of the LSH join against the exact candidates (l2sq ≤ 0.5)."""
     from tenderlake.operators.ann import approx_candidates, recall_at_k
@@ -692,11 +692,10 @@ def vector_search_q(spark, sf_dir):
     collection (cosine, min similarity 0) among documents with stored vectors."""
     from tenderlake.operators.search import search_vectors
     corp = fx.corpus(spark, sf_dir, embedding="precomputed")
-    emb = fx.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    docs = fx.corpus(spark, sf_dir, embedding="none").select("doc_id", "collection")
-    req = emb.join(docs, emb.vec_id == docs.doc_id).select(
-        F.col("vec_id").alias("query_id"), "collection", F.col("embedding").alias("q_vec"),
-        F.lit(5).alias("limit"), F.lit(0.0).alias("min_similarity"))
+    stored = Precomputed(fx.read_table(spark, sf_dir, "embeddings"), "vec_id")
+    docs = fx.corpus(spark, sf_dir, embedding="none").select(
+        F.col("doc_id").alias("query_id"), "collection", F.lit(5).alias("limit"), F.lit(0.0).alias("min_similarity"))
+    req = stored.embed(docs, "", "q_vec", id_col="query_id")
     return search_vectors(req, corp, 64, SearchOptions(metric="cosine"))
 
 

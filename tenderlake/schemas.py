@@ -119,25 +119,6 @@ AUTH_CONFIG_WORDS = ["api_key", "secret", "token", "password", "auth"]
 
 EMBEDDING_TYPE = T.ArrayType(T.FloatType())
 
-CORPUS_SCHEMA = T.StructType([
-    T.StructField("doc_id", T.StringType(), False),
-    T.StructField("collection", T.StringType(), False),
-    T.StructField("content", T.StringType(), True),
-    T.StructField("embedding", EMBEDDING_TYPE, True),
-    T.StructField("secteur", T.StringType(), True),
-    T.StructField("type_ao", T.StringType(), True),
-    T.StructField("fourchette_montant", T.StringType(), True),
-    T.StructField("domaine_technique", T.StringType(), True),
-    T.StructField("organisme", T.StringType(), True),
-    T.StructField("montant", T.DoubleType(), True),
-    T.StructField("date_publication", T.DateType(), True),
-    T.StructField("zone_geo", T.StringType(), True),
-    T.StructField("extra", T.MapType(T.StringType(), T.StringType()), True),
-    T.StructField("added_at", T.TimestampType(), True),
-    T.StructField("document_length", T.IntegerType(), True),
-    T.StructField("engine_version", T.StringType(), True),
-])
-
 CONTEXT_TYPE = T.StructType([
     T.StructField("ao_type", T.StringType(), True),
     T.StructField("sector", T.StringType(), True),
@@ -145,27 +126,3 @@ CONTEXT_TYPE = T.StructType([
     T.StructField("technical_domains", T.ArrayType(T.StringType()), True),
     T.StructField("organisme", T.StringType(), True),
 ])
-
-CACHE_SCHEMA = T.StructType([
-    T.StructField("cache_key", T.StringType(), False),
-    T.StructField("text", T.StringType(), True),
-    T.StructField("model", T.StringType(), True),
-    T.StructField("embedding", EMBEDDING_TYPE, True),
-    T.StructField("text_hash", T.StringType(), True),
-    T.StructField("embedding_dimension", T.IntegerType(), True),
-    T.StructField("cached_at", T.TimestampType(), True),
-    T.StructField("size_bytes", T.LongType(), True),
-    T.StructField("key_prefix", T.StringType(), True),
-])
-
-OP_LOG_SCHEMA = T.StructType([
-    T.StructField("ts", T.TimestampType(), True),
-    T.StructField("operation", T.StringType(), True),
-    T.StructField("duration_ms", T.DoubleType(), True),
-    T.StructField("success", T.BooleanType(), True),
-    T.StructField("error_type", T.StringType(), True),
-    T.StructField("error_code", T.StringType(), True),
-    T.StructField("status_code", T.IntegerType(), True),
-    T.StructField("metrics", T.MapType(T.StringType(), T.DoubleType()), True),
-    T.StructField("context", T.MapType(T.StringType(), T.StringType()), True),
-])

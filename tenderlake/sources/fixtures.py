@@ -367,10 +367,11 @@ def awards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def template_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Template (part brand) uses: one per line item; won when not returned,
-    score = quantity / 50."""
+    score = quantity / 50, feedback 1 to 5 by line number."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     j = li.join(part, li.l_partkey == part.p_partkey)
     return j.select(F.col("p_brand").alias("template"), (F.col("l_returnflag") != "R").alias("won"),
-                    (F.col("l_quantity") / F.lit(50.0)).alias("score"), "l_partkey")
+                    (F.col("l_quantity") / F.lit(50.0)).alias("score"), "l_partkey",
+                    (F.pmod("l_linenumber", F.lit(5)) + 1).cast("bigint").alias("feedback"))

@@ -19,12 +19,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    """Register every table as a temp view of the same name (for spark.sql)."""
-    for t in TABLES:
-        read_table(spark, sf_dir, t).createOrReplaceTempView(t)
-
-
 def spread(df: DataFrame, probe: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition ``df`` on ``keys`` when the source scan ``probe`` gives
     fewer partitions than the cluster has cores (few large row groups), so
