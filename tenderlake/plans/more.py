@@ -16,7 +16,7 @@ from tenderlake.operators import market as MK
 from tenderlake.operators import profile as PR
 from tenderlake.operators import reports as RP
 from tenderlake.operators.providers import HashedTF
-from tenderlake.operators.search import (attach_documents, knn_candidates, prepare_requests, score_violations, search,
+from tenderlake.operators.search import (SearchOptions, attach_documents, knn_candidates, prepare_requests, score_violations, search,
                                          wrong_dimension)
 from tenderlake.plans import oracle as O
 from tenderlake.plans.registry import _as_of, _ingest_ts, _ts, register
@@ -53,6 +53,15 @@ def limit_100(spark, sf_dir):
     return c.select("query_id", "doc_id", "cand_rank", F.round("similarity", 6).alias("similarity"))
 
 
+@register("search_stored_corpus", O.search_sql(O.CONV_REQUESTS, "cosine"))
+def search_stored_corpus(spark, sf_dir):
+    """S6 + S8 + J1: vectors are embedded once, at ingestion; the search reads
+    the stored, collection-partitioned corpus."""
+    path = scratch_path(spark, f"corpus-{uuid.uuid4().hex}")
+    IG.append_to_corpus(fx.corpus(spark, sf_dir), path)
+    return search(fx.conversation_queries(spark, sf_dir), spark.read.parquet(path), opts=SearchOptions(metric="cosine"))
+
+
 # ------------------------------------------------------------------ checks on rows that violate them
 @register("p7_score_violations", "WITH res AS (" + O.search_sql(O.DOC_REQUESTS, "l2sq") + """)
 SELECT query_id, rank, doc_id FROM res WHERE query_id % 7 = 0 OR query_id % 7 = 1""")
