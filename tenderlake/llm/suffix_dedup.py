@@ -41,10 +41,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import as_text, drop_written, utf8, written
+from tenderlake.llm.common import as_text, drop_written, release_cache, utf8, written
 
 LENGTH = 400
 HEAD = 64
@@ -52,9 +53,9 @@ BATCHES = 4
 HOT = 1000
 SEED = 7
 #: Bytes that a task hashes at once (positions take 24 bits).
-SEGMENT = 6 << 20
+SEGMENT = 1 << 19
 #: Contexts that a task compares at once.
-TASK_ROWS = 8_000
+TASK_ROWS = 2_000
 
 ENTRY = ["key", "ctx", "left", "span"]
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -81,7 +82,7 @@ class Rolling:
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         if len(data) + 1 > len(self.up):
-            n = max(len(data) + 1, 1 << 20)
+            n = len(data) + 1
             self.up, self.down = _powers(BASE, n), _powers(INVERSE, n)
         p = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.table[data] * self.up[:len(data)], out=p[1:])
@@ -153,8 +154,11 @@ def _lists(counts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.List
 
 
 def scanned(docs: DataFrame, length: int, head: int, seed: int) -> DataFrame:
-    """A row a document: id, digest, bytes, SHA-256, and the anchors as lists."""
+    """A row a document: a number (by task and place, which a task that runs
+    again repeats), id, digest, bytes, SHA-256, and the anchors as lists."""
     def run(batches):
+        release_cache()
+        rid = TaskContext.get().partitionId() << 36
         for batch in batches:
             ids, texts = batch.column("doc_id"), utf8(batch)
             at = 0
@@ -172,18 +176,27 @@ def scanned(docs: DataFrame, length: int, head: int, seed: int) -> DataFrame:
                     counts = np.bincount(d, minlength=len(part))
                 sha = [hashlib.sha256(t).digest() for t in part]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, to - at), pa.array([x[:16] for x in sha], pa.binary()), pa.array([len(t) for t in part], pa.int64()),
+                    [pa.array(np.arange(rid, rid + to - at)), ids.slice(at, to - at), pa.array([x[:16] for x in sha], pa.binary()), pa.array([len(t) for t in part], pa.int64()),
                      pa.array([x.hex() for x in sha]), _lists(counts, key.view(np.int64), pa.int64()), _lists(counts, ctx.view(np.int64), pa.int64()),
                      _lists(counts, lo, pa.int64()), _lists(counts, a - lo, pa.int32()), _lists(counts, hi - lo, pa.int32())],
-                    ["doc_id", "digest", "n_bytes", "sha256", "key", "ctx", "lo", "left", "span"])
-                at = to
+                    ["rid", "doc_id", "digest", "n_bytes", "sha256", "key", "ctx", "lo", "left", "span"])
+                rid, at = rid + to - at, to
+                pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, "doc_id bigint, digest binary, n_bytes bigint, sha256 string, key array<bigint>, ctx array<bigint>, "
+    return docs.mapInArrow(run, "rid bigint, doc_id bigint, digest binary, n_bytes bigint, sha256 string, key array<bigint>, ctx array<bigint>, "
                                 "lo array<bigint>, left array<int>, span array<int>")
 
 
 def _entries(scan: DataFrame) -> DataFrame:
-    return scan.select("digest", F.explode(F.arrays_zip("key", "ctx", "left", "span", "lo")).alias("e")).select("digest", "e.*")
+    return scan.select("rid", F.explode(F.arrays_zip("key", "ctx", "left", "span", "lo")).alias("e")).select("rid", "e.*")
+
+
+#: A place in a document as one number, so that its minimum is a hash aggregate.
+PLACE = 1 << 40
+
+
+def _place(rid: str, lo: str):
+    return F.col(rid).cast("decimal(38,0)") * F.lit(PLACE).cast("decimal(14,0)") + F.col(lo)
 
 
 def suffix_array(entries: DataFrame) -> DataFrame:
@@ -265,6 +278,7 @@ def repeated_windows(contexts: DataFrame, length: int, seed: int) -> DataFrame:
         rows = rows.filter(pa.array(~same))
         cols = [c[~same] for c in cols]
         row, p, h = _windows(rows, length, seed)
+        pa.default_memory_pool().release_unused()
         _, which, n = np.unique(h, return_inverse=True, return_counts=True)
         at, first, last = _runs(n[which] > 1, row, p)
         return pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in cols), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
@@ -294,10 +308,8 @@ def repeated_windows(contexts: DataFrame, length: int, seed: int) -> DataFrame:
 def hot_windows(contexts: DataFrame, length: int, seed: int) -> DataFrame:
     """The same for heads with many contexts, a row a window."""
     def rows(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
+        for part in (b.slice(i, TASK_ROWS) for b in batches for i in range(0, b.num_rows, TASK_ROWS)):
+            t = pa.Table.from_batches([part])
             row, p, h = _windows(t, length, seed)
             yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks().take(pa.array(row)) for c in ENTRY), pa.array(p.astype(np.int32)), pa.array(h.view(np.int64))],
                                              [*ENTRY, "p", "h"])
@@ -325,7 +337,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     family, shared = IndexFamily(), None
     for b in range(batches):
         batch = _entries(scan.filter(F.pmod(F.xxhash64("digest"), F.lit(batches)) == b)).select(
-            *ENTRY, F.lit(1).cast("bigint").alias("n"), F.struct("digest", "lo").alias("place"))
+            *ENTRY, F.lit(1).cast("bigint").alias("n"), _place("rid", "lo").cast("decimal(38,0)").alias("place"))
         more = family.add(batch)
         shared = more if shared is None else shared.unionAll(more)
     found = written(family.entries().join(shared.distinct(), "key", "left_semi").groupBy(*ENTRY).agg(
@@ -337,8 +349,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # heads with different contexts: fetch one text for each context
     heads = written(found.groupBy("key").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1"), "suffix-heads")
     reps = written(scan.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "suffix-reps")
-    unclear = found.join(heads, "key").select(*ENTRY, "place.digest", "place.lo", (F.col("contexts") > hot).alias("hot"))
-    wanted = unclear.groupBy("digest").agg(*[F.collect_list(F.struct(*ENTRY, "lo", "hot")).alias("e")]).join(reps, "digest")
+    rid = F.floor(F.col("place") / F.lit(PLACE).cast("decimal(14,0)")).cast("bigint")
+    unclear = found.join(heads, "key").select(
+        *ENTRY, rid.alias("rid"), (F.col("place") % F.lit(PLACE).cast("decimal(14,0)")).cast("bigint").alias("lo"), (F.col("contexts") > hot).alias("hot"))
+    unclear = unclear.groupBy("rid").agg(F.collect_list(F.struct(*ENTRY, "lo", "hot")).alias("e")).join(scan.select("rid", "digest"), "rid").drop("rid")
+    wanted = unclear.join(reps, "digest")
 
     def contexts(batches):
         for batch in batches:
@@ -357,11 +372,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     hits = written(found.filter("n > 1").select(*ENTRY, F.array(F.struct(F.lit(0).alias("first"), F.col("span").alias("last"))).alias("runs"))
                    .unionByName(runs.join(found.filter("n > 1").select(*ENTRY), ENTRY, "left_anti")), "suffix-hits")
 
-    # back to the documents: runs of window starts; a text whose copies are many is one row here
-    starts = (_entries(scan).join(hits, ENTRY).select("digest", F.explode(F.transform("runs", lambda r: F.struct(
+    # back to the documents: runs of window starts
+    # one row a text
+    texts = scan.join(scan.groupBy("digest").agg(F.min("rid").alias("rid")).select("rid"), "rid", "left_semi")
+    starts = (_entries(texts).join(hits, ENTRY).select("rid", F.explode(F.transform("runs", lambda r: F.struct(
         (F.col("lo") + r["first"]).alias("first"), (F.col("lo") + r["last"]).alias("last")))).alias("r"))
-        .groupBy("digest").agg(F.collect_set("r").alias("r")))
-    gone = written(starts.join(reps, "digest"), "suffix-gone")
+        .groupBy("rid").agg(F.collect_list("r").alias("r")))
+    gone = written(starts.join(scan.select("rid", "digest"), "rid").drop("rid").join(reps, "digest"), "suffix-gone")
 
     def cut(batches):
         for batch in batches:
