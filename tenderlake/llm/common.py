@@ -11,14 +11,23 @@ from pyspark.sql import functions as F
 
 from tenderlake.session import ensure_checkpoint_dir, scratch_path
 
-#: A text of this many bytes is worth a batch of its own inside a task.
+#: Texts that a task works on at once.
 BATCH_BYTES = 8 << 20
+#: Arrow batches between the JVM and Python; long texts make the default of
+#: 10,000 rows large.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: White space of the word rules in the contracts: space and \\t \\n \\v \\f \\r.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """The shared folder, and Arrow batches that do not exceed a task's own."""
     ensure_checkpoint_dir(spark)
+    spark.conf.set(ARROW_BYTES, str(BATCH_BYTES // 2))
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -73,10 +82,29 @@ def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
-                text: str = "text") -> DataFrame:
+_HELD: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], object]):
+    """What an operator keeps between batches and tasks in a Python worker.
+    Workers are used again, by other operators too: each holds one cache, and
+    an operator that asks for its own drops the one before."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def release_cache() -> None:
+    _HELD.clear()
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, text: str = "text",
+                keeps_cache: bool = False) -> DataFrame:
     """``fn`` over the pieces of every batch."""
     def run(batches):
+        if not keeps_cache:
+            release_cache()
         for batch in batches:
             for piece in chunks(batch, text):
                 yield fn(piece)

@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import as_text, chunks, held_out, utf8, written
+from tenderlake.llm.common import as_text, chunks, held_out, utf8, worker_cache, written
 
 PROFILE = 400
 LONGEST = 3
 MAX_LANGUAGES = 2000
 UNKNOWN = "und"
 #: Pieces whose n-grams a Python worker keeps, and n-grams it numbers.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 500_000
 MAX_GRAMS = 1_000_000
 SALTS = 8
 
@@ -89,13 +89,8 @@ class Grams:
             self.clear()
 
 
-_GRAMS: dict[int, Grams] = {}
-
-
 def grams_of(longest: int) -> Grams:
-    if longest not in _GRAMS:
-        _GRAMS[longest] = Grams(longest)
-    return _GRAMS[longest]
+    return worker_cache(f"grams {longest}", lambda: Grams(longest))
 
 
 def profiles(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", profile: int = PROFILE,
@@ -142,7 +137,11 @@ def rank_document(ids: np.ndarray, g: Grams, profile: int) -> np.ndarray:
         n = n[seen]
     else:
         seen, n = np.unique(ids, return_counts=True)
-    return seen[np.lexsort((g.order()[seen], -n))[:profile]]
+    key = (n.astype(np.int64) << 32) - g.order()[seen]  # by count, then by place
+    if len(key) > profile:
+        best = np.argpartition(key, len(key) - profile)[len(key) - profile:]
+        seen, key = seen[best], key[best]
+    return seen[np.argsort(-key)]
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, rest: int = 2,

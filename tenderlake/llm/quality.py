@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenderlake.llm.common import as_text, chunks, held_out, utf8, written
+from tenderlake.llm.common import as_text, chunks, held_out, utf8, worker_cache, written
 
 BUCKETS = 1 << 14
 DIM = 48
@@ -48,7 +48,9 @@ MAX_TRAIN = 20_000
 HIDDEN = 32
 THRESHOLD = 0.3
 #: Pieces whose buckets a Python worker keeps.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 400_000
+#: Words whose neighbours a task adds up at once.
+TASK_WORDS = 2_000_000
 N_SHAPES = 8
 
 _SPLIT = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff]+")
@@ -88,13 +90,8 @@ class Pieces:
         return np.frombuffer(b"".join(joined), "<i4"), np.cumsum([len(j) // 4 for j in joined])
 
 
-_PIECES: dict[int, Pieces] = {}
-
-
 def pieces_of(buckets: int) -> Pieces:
-    if buckets not in _PIECES:
-        _PIECES[buckets] = Pieces(buckets)
-    return _PIECES[buckets]
+    return worker_cache(f"pieces {buckets}", lambda: Pieces(buckets))
 
 
 def context_vectors(docs: DataFrame, text_col: str, buckets: int, dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,22 +99,33 @@ def context_vectors(docs: DataFrame, text_col: str, buckets: int, dim: int, seed
     def run(batches):
         place, sign = index_vectors(buckets, dim, seed=seed)
         total, count = np.zeros(buckets * dim), np.zeros(buckets, np.int64)
+
+        def add(held: list[np.ndarray]) -> None:
+            """Texts are set apart by as many -1 as the reach, so no pair spans two."""
+            nonlocal total, count
+            ids = np.concatenate(held)
+            count += np.bincount(ids[ids >= 0], minlength=buckets)
+            for away in range(1, REACH + 1):
+                left, right = ids[:-away], ids[away:]
+                same = (left >= 0) & (right >= 0)
+                left, right = left[same].astype(np.int64), right[same].astype(np.int64)
+                for a, b in ((left, right), (right, left)):
+                    for j in range(NONZERO):
+                        total += np.bincount(a * dim + place[b, j], weights=sign[b, j], minlength=buckets * dim)
+
+        held, n = [], 0
+        gap = np.full(REACH, -1, "<i4")
         for whole in batches:
             for batch in chunks(whole):
                 ids, ends = pieces_of(buckets).rows(utf8(batch))
-                if not len(ids):
-                    continue
-                doc = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
-                count += np.bincount(ids, minlength=buckets)
-                for away in range(1, REACH + 1):
-                    same = doc[away:] == doc[:-away]
-                    left, right = ids[:-away][same], ids[away:][same]
-                    # distinct neighbours, with their number
-                    pair, n = np.unique(left.astype(np.int64) * buckets + right, return_counts=True)
-                    left, right = pair // buckets, pair % buckets
-                    for a, b in ((left, right), (right, left)):
-                        for j in range(NONZERO):
-                            total += np.bincount(a * dim + place[b, j], weights=sign[b, j] * n, minlength=buckets * dim)
+                for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                    held += [ids[a:b], gap]
+                n += len(ids)
+                if n > TASK_WORDS:
+                    add(held)
+                    held, n = [], 0
+        if n:
+            add(held)
         if count.any():
             total, blocks = total.reshape(-1, BLOCK * dim), np.arange(buckets // BLOCK)
             yield pa.RecordBatch.from_arrays(

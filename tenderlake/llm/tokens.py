@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tenderlake.llm.common import as_text, map_batches, utf8, written
+from tenderlake.llm.common import as_text, map_batches, utf8, worker_cache, written
 
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces, and words, whose ids a Python worker keeps (about 200 bytes each).
-CACHE_PIECES = 600_000
+CACHE_PIECES = 500_000
 #: Punctuation that ends pieces; after a letter it is a token run of its own.
 TAIL = b".,;:!?|*%&$#"
 LIMIT = 2048
@@ -136,14 +136,9 @@ class TokenIds:
         return out
 
 
-_OPEN: dict[str, TokenIds] = {}
-
-
 def token_ids(name: str) -> TokenIds:
-    """One per Python worker: workers are used again, and keep their pieces."""
-    if name not in _OPEN:
-        _OPEN[name] = TokenIds(name)
-    return _OPEN[name]
+    """One per Python worker."""
+    return worker_cache(f"tokens {name}", lambda: TokenIds(name))
 
 
 def normalised(text, tokenizer: str = TOKENIZER):
@@ -198,7 +193,7 @@ def count_tokens(docs: DataFrame, cache: str, *, id_col: str = "doc_id", text_co
         ids = token_ids(tokenizer).encode(utf8(batch))
         return pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([len(x) // 4 for x in ids], pa.int64())], ["digest", "n_tokens"])
 
-    (map_batches(misses.select("digest", "text"), encode, "digest binary, n_tokens bigint")
+    (map_batches(misses.select("digest", "text"), encode, "digest binary, n_tokens bigint", keeps_cache=True)
      .withColumn("version", F.lit(version)).write.mode("append").parquet(cache))
     # written, so that a hot digest's rows can be split where they are joined
     counts = written(read_cache(spark, cache, version), "token-counts")
