@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import WORD, written
+from tenderlake.llm.common import WORD, as_text, written
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 32
@@ -38,6 +38,15 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def _hash(seed: int, *parts: Column) -> Column:
+    """md5 of the seed and the parts, which other engines have too."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
+
+
+def _number(h: Column) -> Column:
+    return F.conv(F.substring(h, 1, 12), 16, 10).cast("bigint")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS,
                    max_repeats: int = MAX_REPEATS) -> DataFrame:
     """``sizes``: (source, source_size, n_docs), a row a source.  Adds
@@ -100,15 +109,14 @@ def apportion(rows: DataFrame, group: Sequence[str], key: Sequence[str], votes:
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, *, id_col: str = "doc_id", text_col: str = "text",
                 source_col: str = "source", block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS,
-                max_repeats: int = MAX_REPEATS, seed: int = SEED, row: bool = False) -> DataFrame:
+                max_repeats: int = MAX_REPEATS, seed: int = SEED, keep: Sequence[str] = ()) -> DataFrame:
     """A row a document: id, size, source_size, target, taken, and where the
     partial copy lies: ``full`` whole copies plus the words [part_start,
     part_start + part_words) (counted on a circle: it may pass the end of a
-    document that fills its shard).  ``row`` carries the document's columns as a
-    struct of that name."""
-    keep = ["row"] if row else []
+    document that fills its shard).  ``keep`` names further columns to carry;
+    keep them narrow."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"),
-                    F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_h"), *([F.struct(*docs.columns).alias("row")] if row else []))
+                    _hash(seed, F.coalesce(F.col(id_col).cast("string"), F.lit("null")), as_text(text_col)).alias("_h"), *keep)
     d = written(d, "mix-sizes")
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = source_targets(sizes, weights, max_repeats)
@@ -123,7 +131,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, *, id_col: st
     a, b = d.alias("d"), blocks.alias("b")
     d = (a.join(b, F.col("d.source").eqNullSafe(F.col("b.source")))
          .select("d.*", "b.source_size", "b.target", "b.source_blocks",
-                 F.pmod(F.col("d._h"), F.col("b.n_shards")).alias("shard")))
+                 (_number(F.col("d._h")) % F.col("b.n_shards")).alias("shard")))
     shards = d.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_blocks").alias("source_blocks"))
     quotas = apportion(shards, ["source"], ["shard"], "shard_size", "source_blocks", "quota")
     quotas = quotas.select(
@@ -133,7 +141,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, *, id_col: st
     quotas = quotas.select(
         "source", "shard", "shard_size", F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0).cast("bigint").alias("full"),
         F.when(F.col("shard_size") > 0, F.col("words") % F.col("shard_size")).otherwise(0).cast("bigint").alias("rest"),
-        (F.when(F.col("shard_size") > 0, F.floor(F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.col("shard_size")) / block_words)).otherwise(0)
+        (F.when(F.col("shard_size") > 0, F.floor(_number(_hash(seed, F.coalesce("source", F.lit("null")), F.col("shard").cast("string"))) % F.col("shard_size") / block_words)).otherwise(0)
          * block_words).cast("bigint").alias("begin"))
     w = Window.partitionBy("source", "shard").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))

@@ -85,4 +85,40 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_topk": op9_exact_topk,
     "op10_source_mixing": op10_source_mixing,
 }
-LLM_SQL: dict[str, str] = {}
+#: Quotas by listing every quotient; 20, 32, 1000 and 3 are the operator's seed,
+#: block, shard and repeat parameters.
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5('20:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM w GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM s),
+s2 AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][i % 3 + 1] AS wt, source_size::DOUBLE * 3 AS cap FROM s1),
+s3 AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / wt, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / (sum(wt) OVER () - coalesce(sum(wt) OVER (ORDER BY cap / wt, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lv FROM s2),
+t AS (SELECT source, i, source_size, n_docs, least(cap, coalesce((SELECT lv FROM s3 WHERE cap >= lv * wt ORDER BY cap / wt, i LIMIT 1) * wt, cap)) AS target FROM s3),
+n AS (SELECT CAST(round(sum(target) / 32) AS BIGINT) AS blocks FROM t),
+won AS (SELECT i, count(*) AS blocks FROM (
+    SELECT i, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, i) AS r FROM t, n, unnest(range(n.blocks)) u(k) WHERE target > 0), n
+  WHERE r <= n.blocks GROUP BY i),
+b AS (SELECT t.*, least(coalesce(won.blocks, 0), CAST(ceil(source_size * 3 / 32.0) AS BIGINT)) AS source_blocks,
+        CAST(ceil(n_docs / 1000.0) AS BIGINT) AS n_shards FROM t LEFT JOIN won USING (i)),
+d AS (SELECT w.*, b.i, b.source_size, b.target, b.source_blocks, ('0x' || substr(w.h, 1, 12))::BIGINT % b.n_shards AS shard
+      FROM w JOIN b ON w.source IS NOT DISTINCT FROM b.source),
+sh AS (SELECT i, source, shard, CAST(sum(size) AS BIGINT) AS shard_size, max(source_blocks) AS source_blocks FROM d GROUP BY ALL),
+quota AS (SELECT i, shard, count(*) AS q FROM (
+    SELECT i, shard, source_blocks, row_number() OVER (PARTITION BY i ORDER BY shard_size::DOUBLE / (2 * k + 1) DESC, shard) AS r
+    FROM sh, unnest(range(sh.source_blocks)) u(k) WHERE shard_size > 0) WHERE r <= source_blocks GROUP BY i, shard),
+p AS (SELECT sh.i, sh.shard, shard_size, least(coalesce(q, 0) * 32, shard_size * 3) AS words,
+        CASE WHEN shard_size > 0 THEN (('0x' || substr(md5('20:' || coalesce(source, 'null') || ':' || shard), 1, 12))::BIGINT % shard_size) // 32 * 32 ELSE 0 END AS b
+      FROM sh LEFT JOIN quota USING (i, shard)),
+o AS (SELECT d.*, p.shard_size, p.b AS begin_, CASE WHEN shard_size > 0 THEN words // shard_size ELSE 0 END AS full_,
+        CASE WHEN shard_size > 0 THEN words % shard_size ELSE 0 END AS rest_,
+        coalesce(sum(size) OVER (PARTITION BY d.i, d.shard ORDER BY h, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_
+      FROM d JOIN p USING (i, shard))
+SELECT doc_id, size, source_size, target, CAST(full_ * size
+    + greatest(0, least(before_ + size, least(begin_ + rest_, shard_size)) - greatest(before_, begin_))
+    + greatest(0, least(before_ + size, begin_ + rest_ - shard_size) - before_) AS BIGINT) AS taken FROM o
+"""
+
+LLM_SQL: dict[str, str] = {"op10_source_mixing": OP10_SQL}

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import WORD, read_table, written
+from tenderlake.llm.common import WORD, prepare, read_table, written
 from tenderlake.llm.mixing import mix_sources
 from tenderlake.llm.packing import pack_documents
 from tenderlake.llm.quality import score_quality
@@ -24,6 +24,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def keep_one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that of the least id (null ids last, then by
     the text's hash); of rows that repeat id and text one stays."""
+    prepare(spark)
     keys = ["_k1", "_k2"]
     keyed = docs.withColumns({"_k1": F.xxhash64("doc_id", "text"), "_k2": F.xxhash64(F.lit(1), "text", "doc_id")})
     classes = simhash_classes(keyed, shingle=SHINGLE, max_bits=MAX_BITS, keep=tuple(keys))
@@ -33,24 +34,36 @@ def keep_one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark."""
+    prepare(spark)
     return redact_documents(docs)
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for every whole copy of a document that it takes, and one
-    for the run of words it takes besides (single-spaced)."""
-    m = written(mix_sources(docs, row=True).filter("taken > 0").select("size", "full", "part_start", "part_words", "row"), "stage-mixed")
-    words = F.regexp_extract_all("row.text", F.lit(f"({WORD})"))
+    for the run of words it takes besides (single-spaced).  The mix is decided
+    on narrow rows; texts move once, to meet their decision."""
+    prepare(spark)
+    keys = ["_k1", "_k2"]
+    keyed = docs.withColumns({"_k1": F.xxhash64("doc_id", "text"), "_k2": F.xxhash64(F.lit(1), "text", "doc_id")})
+    m = mix_sources(keyed, keep=keys).filter("taken > 0")
+    all_words = F.col("part_words") == F.col("size")
+    # rows that repeat id and text are one decision: their whole copies, and the few runs at a shard's edge
+    m = m.groupBy(*keys).agg(
+        F.sum(F.col("full") + F.when(all_words, 1).otherwise(0)).cast("int").alias("_whole"),
+        F.array_sort(F.collect_list(F.when(~all_words & (F.col("part_words") > 0), F.struct(
+            (F.col("part_start") + 1).cast("int").alias("start"), F.col("part_words").cast("int").alias("words"))))).alias("_runs"))
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
     # a run on the circle may pass the document's end and go on at its start
-    cut = F.when(F.col("part_words") == F.col("size"), F.col("row.text")).otherwise(
-        F.concat_ws(" ", F.slice(F.concat(words, words), (F.col("part_start") + 1).cast("int"), F.col("part_words").cast("int"))))
-    whole = m.filter("full > 0").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("full")))).select("row.*")
-    part = m.filter("part_words > 0").select("row.*", cut.alias("_cut")).drop("text").withColumnRenamed("_cut", "text")
+    cut = F.transform("_runs", lambda r: F.concat_ws(" ", F.slice(F.concat(words, words), r["start"], r["words"])))
+    texts = F.when(F.size("_runs") > 0, F.concat(F.array_repeat("text", F.col("_whole")), cut)).otherwise(F.array_repeat("text", F.col("_whole")))
+    out = (keyed.join(written(m, "stage-mix"), keys).dropDuplicates(keys)
+           .withColumn("_copy", F.explode(texts)).drop("text").withColumnRenamed("_copy", "text"))
     if "n_chars" in docs.columns:
-        part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(part.select(*docs.columns))
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
+    prepare(spark)
     return pack_documents(docs)
