@@ -40,7 +40,7 @@ from tenderlake.llm.common import as_text, chunks, held_out, utf8, worker_cache,
 
 BUCKETS = 1 << 14
 DIM = 48
-NONZERO = 4
+NONZERO = 2
 REACH = 2
 BLOCK = 128
 SEED = 5
