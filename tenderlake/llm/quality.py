@@ -2,7 +2,9 @@
 a two-layer numpy network with temperature-calibrated probabilities.
 
 1. Words (lower-case letters, other signs, and the shape of the piece) fall
-   into ``BUCKETS`` hashed buckets.  Every bucket has a fixed sparse index
+   into ``BUCKETS`` hashed buckets.  All words of a piece count, whatever its
+   length; a run of letters over ``LONG`` bytes (prose without spaces, encoded
+   data) is read as short consecutive grams that cover it.  Every bucket has a fixed sparse index
    vector of a few +1 and -1; the context vector of a bucket is the sum of the
    index vectors of its neighbours over all documents.  Each task adds up one
    matrix; the matrices are summed by blocks of buckets, so the model's size
@@ -29,6 +31,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +57,22 @@ KEPT_PIECES = 400_000
 TASK_WORDS = 2_000_000
 N_SHAPES = 8
 
+#: Bytes of a run of letters that is one word; longer runs are cut into grams.
+LONG = 64
+
 _SPLIT = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff]+")
+#: Grams of a long run: two characters beyond ASCII, or eight ASCII signs.
+_GRAM = re.compile(rb"[a-z0-9]{1,8}|(?:[\xc0-\xff][\x80-\xbf]*|[\x80-\xbf]){1,2}")
+
+
+def _words(low: bytes) -> Iterator[bytes]:
+    """The words of a long piece, one at a time."""
+    for m in _SPLIT.finditer(low):
+        w = m.group()
+        if len(w) > LONG and _GRAM.match(w):
+            yield from (g.group() for g in _GRAM.finditer(w))
+        else:
+            yield w
 
 
 def index_vectors(buckets: int = BUCKETS, dim: int = DIM, nonzero: int = NONZERO, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -72,11 +91,11 @@ class Pieces:
 
     def _of(self, piece: bytes) -> bytes:
         low = piece.lower()
-        words = _SPLIT.findall(low)[:64] if len(piece) <= 4096 else [low[:64], b"\x00long"]
+        words = _SPLIT.findall(low) if len(low) <= LONG else _words(low)
         text = piece.decode("utf-8", "replace")
         shape = (text.isupper() and len(text) > 1) + 2 * any(c.isdigit() for c in text) + 4 * (not text[-1:].isalnum())
-        ids = [N_SHAPES + zlib.crc32(w) % (self.buckets - N_SHAPES) for w in words]
-        return np.array([*ids, shape], "<i4").tobytes()
+        n = self.buckets - N_SHAPES
+        return np.fromiter(chain((N_SHAPES + zlib.crc32(w) % n for w in words), (shape,)), "<i4").tobytes()
 
     def rows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All buckets of the texts, one after the other, and the end of each text."""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenderlake.llm.language import Grams, identify, rank_document
-from tenderlake.llm.quality import BUCKETS, NONZERO, Pieces, fit, index_vectors, pooled, probability, score_quality, context_vectors
+from tenderlake.llm.quality import BUCKETS, NONZERO, Pieces, _words, fit, index_vectors, pooled, probability, score_quality, context_vectors
 
 SF = "/root/testdata/sf0.01"
 
@@ -70,6 +70,22 @@ def test_context_vectors_are_sums_over_neighbours(spark):
     assert {i: n for i, n in enumerate(counts.tolist()) if n} == seen
 
 
+def test_whole_pieces_are_read(spark):
+    """Texts without spaces that differ only after byte 4096, or after 64 words."""
+    for start, a, b in (("\u6f22\u5b57" * 1000, "\u732b\u72ac" * 50, "\u9ce5\u9b5a" * 50), ("x" * 5000, "cat" * 50, "dog" * 50), ("key:1," * 900, "cat,cow", "dog,hen"),
+                        ("un\u00a0mot\u00a0" * 700, "chat\u00a0noir", "chien\u00a0roux"), ("a,b;" * 40, "cat", "dog")):
+        x, y = (Pieces().rows([(start + end).encode()])[0] for end in (a, b))
+        assert not np.array_equal(x, y)
+        assert len(x) > len((start + a).encode()) // 9  # grams cover the runs
+        va, vb = (context_vectors(spark.createDataFrame([(start + end,)], "text string"), "text", BUCKETS, 48, 5) for end in (a, b))
+        assert not np.array_equal(va[0], vb[0]) and not np.array_equal(va[1], vb[1])
+    short = b"abc,def-1"
+    assert len(Pieces().rows([short])[0]) == 6  # five words and the shape
+    cut = "\u6f22\u5b57\u4eee" * 30 + "A1" * 40
+    low = cut.encode().lower()
+    assert b"".join(_words(low)) == low
+
+
 def test_network_is_calibrated():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(6000, 6))
