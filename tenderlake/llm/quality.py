@@ -44,7 +44,7 @@ from tenderlake.llm.common import as_text, chunks, held_out, utf8, worker_cache,
 
 BUCKETS = 1 << 14
 DIM = 48
-NONZERO = 2
+NONZERO = 4
 REACH = 2
 BLOCK = 128
 SEED = 5
@@ -118,19 +118,27 @@ def context_vectors(docs: DataFrame, text_col: str, buckets: int, dim: int, seed
     def run(batches):
         place, sign = index_vectors(buckets, dim, seed=seed)
         total, count = np.zeros(buckets * dim), np.zeros(buckets, np.int64)
+        key = np.int32 if buckets * buckets < 1 << 31 else np.int64
 
         def add(held: list[np.ndarray]) -> None:
             """Texts are set apart by as many -1 as the reach, so no pair spans two."""
             nonlocal total, count
             ids = np.concatenate(held)
             count += np.bincount(ids[ids >= 0], minlength=buckets)
+            pairs = []
             for away in range(1, REACH + 1):
                 left, right = ids[:-away], ids[away:]
                 same = (left >= 0) & (right >= 0)
-                left, right = left[same].astype(np.int64), right[same].astype(np.int64)
-                for a, b in ((left, right), (right, left)):
-                    for j in range(NONZERO):
-                        total += np.bincount(a * dim + place[b, j], weights=sign[b, j], minlength=buckets * dim)
+                left, right = left[same].astype(key), right[same].astype(key)
+                pairs.append(np.minimum(left, right) * buckets + np.maximum(left, right))
+            # every pair of neighbours once, with its count
+            pairs = np.sort(np.concatenate(pairs))
+            first = np.flatnonzero(np.diff(pairs, prepend=-1))
+            times = np.diff(first, append=len(pairs))
+            left, right = np.divmod(pairs[first].astype(np.int64), buckets)
+            for a, b in ((left, right), (right, left)):
+                for j in range(NONZERO):
+                    total += np.bincount(a * dim + place[b, j], weights=sign[b, j] * times, minlength=buckets * dim)
 
         held, n = [], 0
         gap = np.full(REACH, -1, "<i4")

@@ -70,6 +70,13 @@ def test_context_vectors_are_sums_over_neighbours(spark):
     assert {i: n for i, n in enumerate(counts.tolist()) if n} == seen
 
 
+def test_index_vectors_tell_buckets_apart():
+    place, sign = index_vectors()
+    vectors = np.zeros((BUCKETS, 48), np.int8)
+    np.put_along_axis(vectors, place, sign.astype(np.int8), axis=1)
+    assert len(np.unique(vectors, axis=0)) > 0.99 * BUCKETS
+
+
 def test_whole_pieces_are_read(spark):
     """Texts without spaces that differ only after byte 4096, or after 64 words."""
     for start, a, b in (("\u6f22\u5b57" * 1000, "\u732b\u72ac" * 50, "\u9ce5\u9b5a" * 50), ("x" * 5000, "cat" * 50, "dog" * 50), ("key:1," * 900, "cat,cow", "dog,hen"),
