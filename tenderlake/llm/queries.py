@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake.llm.common import read_table
+from tenderlake.llm.conversation_repair import repair_conversations
 from tenderlake.llm.embedding_dedup import near_duplicates
 from tenderlake.llm.language import identify
 from tenderlake.llm.mixing import mix_sources
@@ -73,6 +74,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged by rule, their faults, and the cheapest repair."""
+    return repair_conversations(read_table(spark, sf_dir, "conversations"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -84,6 +90,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_exact_topk": op9_exact_topk,
     "op10_source_mixing": op10_source_mixing,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 #: Quotas by listing every quotient; 20, 32, 1000 and 3 are the operator's seed,
 #: block, shard and repeat parameters.
