@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenderlake.llm.collocations import collocations
 from tenderlake.llm.common import read_table
 from tenderlake.llm.conversation_repair import repair_conversations
 from tenderlake.llm.embedding_dedup import near_duplicates
@@ -74,6 +75,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best two- and three-word phrases of each language over all documents."""
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations damaged by rule, their faults, and the cheapest repair."""
     return repair_conversations(read_table(spark, sf_dir, "conversations"))
@@ -90,6 +96,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_exact_topk": op9_exact_topk,
     "op10_source_mixing": op10_source_mixing,
+    "op12_collocations": op12_collocations,
     "op13_conversation_repair": op13_conversation_repair,
 }
 #: Quotas by listing every quotient; 20, 32, 1000 and 3 are the operator's seed,
@@ -128,4 +135,29 @@ SELECT doc_id, size, source_size, target, CAST(full_ * size
     + greatest(0, least(before_ + size, begin_ + rest_ - shard_size) - before_) AS BIGINT) AS taken FROM o
 """
 
-LLM_SQL: dict[str, str] = {"op10_source_mixing": OP10_SQL}
+OP12_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+f1 AS (SELECT lang, p, count(*) AS f FROM (SELECT lang, unnest(w) AS p FROM w) GROUP BY ALL),
+f2 AS (SELECT lang, p[1] AS x, p[2] AS y, count(*) AS a FROM (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS p FROM w)
+       GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, p[1] AS x, p[2] AS y, p[3] AS z, count(*) AS a
+       FROM (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: [w[i], w[i + 1], w[i + 2]])) AS p FROM w) GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang),
+held AS (SELECT lang, x, y, max(a) AS m FROM (SELECT lang, x, y, a FROM f3 UNION ALL SELECT lang, y, z, a FROM f3) GROUP BY ALL),
+c AS (
+  SELECT f2.lang, f2.x || ' ' || f2.y AS phrase, f2.a, l.f AS l, r.f AS r, 1000000::HUGEINT * f2.a * f2.a // (l.f::HUGEINT * r.f) AS score
+  FROM f2 JOIN f1 l ON l.lang = f2.lang AND l.p = f2.x JOIN f1 r ON r.lang = f2.lang AND r.p = f2.y
+    LEFT JOIN held h ON h.lang = f2.lang AND h.x = f2.x AND h.y = f2.y WHERE h.m IS NULL OR 100 * h.m < 50 * f2.a
+  UNION ALL
+  SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM (
+    SELECT *, 1000000::HUGEINT * a * a // (l1::HUGEINT * r1) AS s1, 1000000::HUGEINT * a * a // (l2::HUGEINT * r2) AS s2 FROM (
+      SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z AS phrase, f3.a, l.f AS l1, r.a AS r1, b.a AS l2, z.f AS r2
+      FROM f3 JOIN f1 l ON l.lang = f3.lang AND l.p = f3.x JOIN f1 z ON z.lang = f3.lang AND z.p = f3.z
+        JOIN f2 b ON b.lang = f3.lang AND b.x = f3.x AND b.y = f3.y JOIN f2 r ON r.lang = f3.lang AND r.x = f3.y AND r.y = f3.z))),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM c)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+LLM_SQL: dict[str, str] = {"op10_source_mixing": OP10_SQL, "op12_collocations": OP12_SQL}
