@@ -16,6 +16,7 @@ from tenderlake.llm.language import identify
 from tenderlake.llm.mixing import mix_sources
 from tenderlake.llm.packing import pack_documents
 from tenderlake.llm.quality import score_quality
+from tenderlake.llm.sanitise import sanitise
 from tenderlake.llm.secrets import scan_documents
 from tenderlake.llm.simhash import simhash_classes
 from tenderlake.llm.suffix_dedup import remove_repeats
@@ -75,6 +76,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents, and the terms that disclose it."""
+    return sanitise(read_table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best two- and three-word phrases of each language over all documents."""
     return collocations(read_table(spark, sf_dir, "documents"))
@@ -96,6 +102,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_exact_topk": op9_exact_topk,
     "op10_source_mixing": op10_source_mixing,
+    "op11_pii_sanitisation": op11_pii_sanitisation,
     "op12_collocations": op12_collocations,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -160,4 +167,48 @@ o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o JOIN n USING (lang) WHERE rank <= 2000
 """
 
-LLM_SQL: dict[str, str] = {"op10_source_mixing": OP10_SQL, "op12_collocations": OP12_SQL}
+#: The operator's parameters: contexts of 60 code points, 3 documents, shares 0.7 and 0.9.
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+raw AS (
+  SELECT rid, 0 AS kind, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS m, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS g FROM d
+  UNION ALL SELECT rid, 1, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), string_split_regex(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM d
+  UNION ALL SELECT rid, 2, regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), string_split_regex(t, '[0-9]([\x20-]?[0-9])+') FROM d
+  UNION ALL SELECT rid, 3, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM d),
+hit AS (SELECT rid, kind, unnest(range(1, len(m) + 1)) AS i, m, g FROM raw WHERE len(m) > 0),
+placed AS (SELECT rid, kind, m[i] AS v, g[i] AS b, g[i + 1] AS n, CAST(list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS s FROM hit),
+dig AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS dg FROM placed),
+base AS (SELECT rid, kind, s, s + len(v) AS e, right(b, 60) AS before_, left(n, 60) AS after_, len(b) > 60 AS cut_b, len(n) > 60 AS cut_a,
+    kind || ':' || CASE kind WHEN 0 THEN lower(v) WHEN 1 THEN v ELSE dg END AS entity
+  FROM dig WHERE CASE kind WHEN 0 THEN true
+    WHEN 1 THEN len(list_filter(string_split(v, '.'), lambda p: len(ltrim(p, '0')) > 3 OR (len(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255'))) = 0
+    WHEN 2 THEN len(dg) BETWEEN 16 AND 19 AND list_sum(list_transform(range(len(dg)), lambda j: CASE WHEN j % 2 = 0 THEN CAST(dg[len(dg) - j] AS INT)
+      ELSE (CAST(dg[len(dg) - j] AS INT) * 2) % 10 + (CAST(dg[len(dg) - j] AS INT) * 2) // 10 END)) % 10 = 0
+    ELSE len(dg) BETWEEN 8 AND 15 END),
+often AS (SELECT entity, count(DISTINCT rid) AS d_e FROM base GROUP BY entity HAVING d_e >= 3),
+side AS (SELECT rid, entity, d_e, before_ AS c, s - len(before_) AS origin, cut_b AS cut_l, false AS cut_r FROM base JOIN often USING (entity)
+  UNION ALL SELECT rid, entity, d_e, after_, e, false, cut_a FROM base JOIN often USING (entity)),
+word AS (SELECT rid, entity, d_e, origin, cut_l, cut_r, len(c) AS size, unnest(range(1, len(w) + 1)) AS i, w, g
+  FROM (SELECT *, regexp_extract_all(c, '[^\x20\x09-\x0D]+') AS w, string_split_regex(c, '[^\x20\x09-\x0D]+') AS g FROM side)),
+word_at AS (SELECT *, w[i] AS word, list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: len(x))), 0) AS p FROM word),
+near AS (SELECT rid, entity, d_e, lower(regexp_extract(word, '^(["''(\[]*)(\pL{3,})["'')\].,;:!?]*$', 2)) AS term,
+    CAST(origin + p + len(regexp_extract(word, '^(["''(\[]*)(\pL{3,})["'')\].,;:!?]*$', 1)) AS BIGINT) AS s, len(regexp_extract(word, '^(["''(\[]*)(\pL{3,})["'')\].,;:!?]*$', 2)) AS n
+  FROM word_at WHERE regexp_matches(word, '^(["''(\[]*)(\pL{3,})["'')\].,;:!?]*$') AND NOT (cut_l AND p = 0) AND NOT (cut_r AND p + len(word) = size)),
+pairs AS (SELECT term, entity, count(DISTINCT rid) AS d_te, max(d_e) AS d_e FROM near GROUP BY ALL HAVING d_te >= 3),
+docs_of AS (SELECT term, count(DISTINCT rid) AS d_t FROM (
+    SELECT rid, lower(regexp_extract(unnest(list_distinct(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))), '^(["''(\[]*)(\pL{3,})["'')\].,;:!?]*$', 2)) AS term FROM d) GROUP BY term),
+n AS (SELECT count(*)::DOUBLE AS n FROM d),
+told AS (SELECT term, entity, ln(n * d_te / (d_t * d_e)) / ln(n / d_e) AS share FROM pairs JOIN docs_of USING (term), n WHERE d_e < n),
+spans AS (SELECT rid, kind, s, e FROM base
+  UNION ALL SELECT rid, max(CASE WHEN share >= 0.9 THEN 5 ELSE 4 END), s, s + n FROM near JOIN told USING (term, entity) WHERE share >= 0.7 GROUP BY rid, s, n),
+listed AS (SELECT rid, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+    count(*) FILTER (kind = 4) AS n_generalise, count(*) FILTER (kind = 5) AS n_remove,
+    coalesce(string_agg(['email', 'ip', 'card', 'phone'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY kind, s) FILTER (kind < 4), '') AS base,
+    string_agg(['email', 'ip', 'card', 'phone', 'generalise', 'remove'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY kind, s) AS spans
+  FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_generalise, 0) AS n_generalise, coalesce(n_remove, 0) AS n_remove
+FROM d LEFT JOIN listed USING (rid)
+"""
+
+LLM_SQL: dict[str, str] = {"op10_source_mixing": OP10_SQL, "op11_pii_sanitisation": OP11_SQL, "op12_collocations": OP12_SQL}
