@@ -39,16 +39,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import as_text, chunks, prepare, release_cache, utf8, written
+from tenderlake.llm.common import BATCH_BYTES, as_text, chunks, prepare, release_cache, utf8, written
 from tenderlake.operators.running import running_totals
 
 MIN_COUNT = 10
 TOP = 2000
 DROP_PERCENT = 50
 #: N-gram occurrences for each range of quotients.
-RANGE_ENTRIES = 1 << 20
+RANGE_ENTRIES = 1 << 18
 #: Entries that a task gathers before it hands over its filters.
 HELD_ENTRIES = 1 << 20
+#: Parts of a language that are ranked by themselves before the whole.
+RANK_PARTS = 64
 
 # fixed values: the characters that end a piece, and that part words
 BREAKS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -174,25 +176,37 @@ def chunked(docs: DataFrame) -> DataFrame:
     def run(batches):
         release_cache()
         number = TaskContext.get().partitionId() << 32
+        by: dict[str, list[bytes]] = {}
+        size = 0
         for batch in (piece for b in batches for piece in chunks(b)):
-            by: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch), strict=True):
                 by.setdefault(lang, []).append(text)
-            for lang, texts in sorted(by.items()):
-                ids = _Numbers({b"": 0, b"\n": 1})
-                words = b"\n".join(texts).translate(_TO).replace(b"\n", b" \n ").split(b" ")
-                codes = np.fromiter(map(ids.__getitem__, words), np.uint32, len(words))
-                codes = codes[codes > 0]
-                counts = np.bincount(codes, minlength=len(ids))[2:]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.array([lang]), pa.array([int(counts.sum())], pa.int64()),
-                     pa.array([[w.decode() for w in list(ids)[2:]]], pa.list_(pa.string())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([codes.tobytes()], pa.binary())],
-                    ["chunk", "lang", "n_words", "words", "counts", "codes"])
-                number += 1
+                size += len(text)
+            # a language that fills a chunk goes, and all go when together they fill two
+            for lang in sorted(by):
+                own = sum(map(len, by[lang]))
+                if own >= BATCH_BYTES // 2 or size >= 2 * BATCH_BYTES:
+                    yield one_chunk(number, lang, by.pop(lang))
+                    number, size = number + 1, size - own
+        for lang in sorted(by):
+            yield one_chunk(number, lang, by[lang])
+            number += 1
 
     return docs.mapInArrow(run, CHUNK)
 
 
+def one_chunk(number: int, lang: str, texts: list[bytes]) -> pa.RecordBatch:
+    ids = _Numbers({b"": 0, b"\n": 1})
+    words = b"\n".join(texts).translate(_TO).replace(b"\n", b" \n ").split(b" ")
+    codes = np.fromiter(map(ids.__getitem__, words), np.uint32, len(words))
+    codes = codes[codes > 0]
+    counts = np.bincount(codes, minlength=len(ids))[2:]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number], pa.int64()), pa.array([lang]), pa.array([int(counts.sum())], pa.int64()),
+         pa.array([[w.decode() for w in list(ids)[2:]]], pa.list_(pa.string())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([codes.tobytes()], pa.binary())],
+        ["chunk", "lang", "n_words", "words", "counts", "codes"])
+
+
 def phrase_filters(coded: DataFrame, bits: int, prefix: int) -> DataFrame:
     """Filters of all two- and three-word phrases: rows (range, filter).
     ``coded`` has codes and the ids of the chunk's words (position, id)."""
@@ -292,7 +306,11 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     scored = best.select("lang", F.concat_ws(" ", "x12", "x3").alias("phrase"), "a", F.when(early, F.col("f1")).otherwise(F.col("a12")).alias("l"),
                          F.when(early, F.col("a23")).otherwise(F.col("f3")).alias("r"), F.least("s1", "s2").alias("score"))
     every = kept.select("lang", "phrase", "a", "l", "r", "score").unionByName(scored)
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc())
+    best = (F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc())
+    # first the best of each of many parts of a language, so that one large language is no single task
+    part = Window.partitionBy("lang", "part").orderBy(*best)
+    some = every.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))).withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top)
+    order = Window.partitionBy("lang").orderBy(*best)
     totals = made.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    return (every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).join(totals, "lang")
+    return (some.drop("rank", "part").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).join(totals, "lang")
             .select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
