@@ -21,10 +21,15 @@ the next level is taken, the two are merged into one of twice the size.  A
 batch is thus rewritten a logarithmic number of times.
 
 Contexts with a count over 1 repeat as a whole.  Different contexts with the
-same head are compared window by window: their texts are fetched, tasks hash
-all windows of a head's contexts and find the equal ones at equal places.  A
-head with over ``hot`` different contexts is not gathered in a task: its
-windows become rows and are counted by a grouped aggregate.
+same head are compared by longer and longer strings.  The places of the head in
+a window are cut into intervals.  All windows of one interval hold the same
+bytes around the head, the interval's core; a context's own windows of the
+interval together cover its hull.  Contexts that differ in the core share no
+window of the interval.  Contexts with equal hulls share all of them, and one of
+them stands for all.  What is left, equal cores with different hulls, goes on
+with the interval's parts, until an interval is one place and the hull is the
+window.  Contexts are counted by grouped aggregates with two rows each at the
+first level, so that no group is ever gathered, whatever shares a head.
 
 Hashes have 64 bits; two windows count as equal if the hashes of their heads,
 their places and the hashes of all their bytes agree.
@@ -50,11 +55,10 @@ from tenderlake.llm.common import as_text, drop_written, release_cache, utf8, wr
 LENGTH = 400
 HEAD = 64
 BATCHES = 4
-HOT = 1000
 SEED = 7
 #: Bytes that a task hashes at once (positions take 24 bits).
 SEGMENT = 1 << 19
-#: Contexts that a task compares at once.
+#: Contexts that a task hashes at once.
 TASK_ROWS = 2_000
 
 ENTRY = ["key", "ctx", "left", "span"]
@@ -237,86 +241,67 @@ class IndexFamily:
         return out
 
 
-def _runs(hit: np.ndarray, row: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first, last) of runs of hit windows."""
-    row, p = row[hit], p[hit]
-    if not len(row):
-        return row, p, p
-    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (p[1:] != p[:-1] + 1)])
-    return row[new], p[new], p[np.r_[new[1:] - 1, len(row) - 1]]
-
-
-def _windows(rows: pa.Table, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place in the row, and hash of every window of the contexts; the
-    hash takes in the head and the place of the anchor in the window."""
-    body = rows.column("body").to_pylist()
-    data = np.frombuffer(b"".join(body), np.uint8)
-    start = np.r_[0, np.cumsum([len(b) for b in body])[:-1]].astype(np.int64)
-    count = rows.column("span").to_numpy().astype(np.int64) + 1
-    row = np.repeat(np.arange(len(body)), count)
-    p = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    r = rolling(seed)
-    s = start[row] + p
-    h = r.hashes(r.prefix(data), s, s + length)
-    place = (rows.column("left").to_numpy().astype(np.int64)[row] - p).astype(np.uint64)
-    return row, p, h ^ _mix(rows.column("key").to_numpy().view(np.uint64)[row] * BASE + place)
-
-
-def repeated_windows(contexts: DataFrame, length: int, seed: int) -> DataFrame:
-    """``contexts``: rows of ``ENTRY`` and ``body``, all of a head in one
-    partition and sorted.  (entry, first, last) of runs of windows that other
-    contexts of the head have too."""
-    out = "key bigint, ctx bigint, left int, span int, first int, last int"
-
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        cols = [rows.column(c).to_numpy() for c in ENTRY]
-        # the same context may have been fetched from rows that repeat
-        same = np.ones(rows.num_rows, bool)
-        same[0] = False
-        for c in cols:
-            same[1:] &= c[1:] == c[:-1]
-        rows = rows.filter(pa.array(~same))
-        cols = [c[~same] for c in cols]
-        row, p, h = _windows(rows, length, seed)
-        pa.default_memory_pool().release_unused()
-        _, which, n = np.unique(h, return_inverse=True, return_counts=True)
-        at, first, last = _runs(n[which] > 1, row, p)
-        return pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in cols), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                                          [x.split()[0] for x in out.split(", ")])
+def interval_steps(length: int, head: int) -> list[int]:
+    """Places in an interval, by level: two intervals first, one place last."""
+    places = length - head + 1
+    small = max(1, round((places / 2) ** 0.5))
+    large = -(-(places + 1) // 2 // small) * small
+    return list(dict.fromkeys((large, small, 1)))
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n < TASK_ROWS:
-                continue
-            t = pa.Table.from_batches(held)
-            key = t.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))  # the last head may go on
-            if cut:
-                yield compare(t.slice(0, cut))
-                t = t.slice(cut)
-            held, n = t.to_batches(), t.num_rows
-        if n:
-            yield compare(pa.Table.from_batches(held))
-
-    return contexts.mapInArrow(run, out)
-
-
-def hot_windows(contexts: DataFrame, length: int, seed: int) -> DataFrame:
-    """The same for heads with many contexts, a row a window."""
+
+INTERVAL = "cid bigint, part int, first int, last int, core bigint, hull bigint"
+
+
+def interval_hashes(contexts: DataFrame, step: int, parent: int | None, length: int, head: int, seed: int) -> DataFrame:
+    """The intervals of ``step`` places of every context (cid, key, left, span,
+    body; with ``parent``, only those inside its intervals ``parts`` of that
+    size): its windows there, first to last, and the hashes of core and hull."""
     def rows(batches):
-        for part in (b.slice(i, TASK_ROWS) for b in batches for i in range(0, b.num_rows, TASK_ROWS)):
-            t = pa.Table.from_batches([part])
-            row, p, h = _windows(t, length, seed)
-            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks().take(pa.array(row)) for c in ENTRY), pa.array(p.astype(np.int32)), pa.array(h.view(np.int64))],
-                                             [*ENTRY, "p", "h"])
+        release_cache()
+        r = rolling(seed)
+        for t in (b.slice(i, TASK_ROWS) for b in batches for i in range(0, b.num_rows, TASK_ROWS)):
+            body = t.column("body").to_pylist()
+            data = np.frombuffer(b"".join(body), np.uint8)
+            start = np.r_[0, np.cumsum([len(x) for x in body])[:-1]].astype(np.int64)
+            left, span = (t.column(c).to_numpy().astype(np.int64) for c in ("left", "span"))
+            key, cid = t.column("key").to_numpy().view(np.uint64), t.column("cid").to_numpy()
+            row, low, high = np.arange(len(body)), left - span, left
+            if parent is not None:
+                lists = t.column("parts")
+                row = np.repeat(row, lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+                at = lists.flatten().to_numpy().astype(np.int64) * parent
+                low, high = np.maximum(low[row], at), np.minimum(high[row], at + parent - 1)
+            n = high // step - low // step + 1
+            part = np.repeat(low // step, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row, low, high = (np.repeat(x, n) for x in (row, low, high))
+            low, high = np.maximum(low, part * step), np.minimum(high, part * step + step - 1)
+            end = np.minimum(part * step + step - 1, length - head)
+            p, a = r.prefix(data), start[row] + left[row]
+            label = _mix(key[row] * BASE + part.astype(np.uint64))
+            core = r.hashes(p, a - part * step, a + length - end) ^ label
+            hull = r.hashes(p, a - high, a - low + length) ^ _mix(label + (low * length + high).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cid[row]), pa.array(part.astype(np.int32)), pa.array((left[row] - high).astype(np.int32)), pa.array((left[row] - low).astype(np.int32)),
+                 pa.array(core.view(np.int64)), pa.array(hull.view(np.int64))], [x.split()[0] for x in INTERVAL.split(", ")])
+
+    return contexts.mapInArrow(rows, INTERVAL)
 
-    w = written(contexts.mapInArrow(rows, "key bigint, ctx bigint, left int, span int, p int, h bigint"), "suffix-windows")
-    twice = written(w.groupBy("h").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).filter("a <> b").select("h"), "suffix-twice")
-    return w.join(twice, "h", "left_semi").select(*ENTRY, F.col("p").alias("first"), F.col("p").alias("last"))
+
+def repeated_windows(contexts: DataFrame, length: int, head: int, seed: int) -> DataFrame:
+    """(cid, first, last): runs of windows of a context that another context
+    of its head has at the same places; rows of ``contexts`` may repeat."""
+    out, parent = None, None
+    for step in interval_steps(length, head):
+        rows = written(interval_hashes(contexts, step, parent, length, head, seed), "suffix-intervals")
+        hulls = written(rows.groupBy("core", "hull", "part").agg(F.min("cid").alias("cid"), F.max("cid").alias("other")), "suffix-hulls")
+        equal = hulls.filter("cid <> other").select("core", "hull")
+        found = rows.join(equal, ["core", "hull"], "left_semi").select("cid", "first", "last")
+        out = found if out is None else out.unionByName(found)
+        mixed = hulls.groupBy("core").agg(F.min("hull").alias("a"), F.max("hull").alias("b")).filter("a <> b").select("core")
+        onward = hulls.join(mixed, "core", "left_semi").groupBy("cid").agg(F.collect_set("part").alias("parts"))
+        contexts = contexts.drop("parts").join(onward, "cid")
+        parent = step
+    return out
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, schema: str, cut) -> DataFrame:
@@ -329,10 +314,9 @@ def fetched(docs: DataFrame, wanted: DataFrame, schema: str, cut) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, head: int = HEAD,
-                   batches: int = BATCHES, hot: int = HOT, seed: int = SEED) -> DataFrame:
-    """A row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+                   batches: int = BATCHES, seed: int = SEED) -> DataFrame:
+    """A row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), as_text(text_col).alias("text"))
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scan = written(scanned(docs, length, head, seed), "suffix-scan")
     family, shared = IndexFamily(), None
     for b in range(batches):
@@ -351,31 +335,28 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     reps = written(scan.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "suffix-reps")
     rid = F.floor(F.col("place") / F.lit(PLACE).cast("decimal(14,0)")).cast("bigint")
     unclear = found.join(heads, "key").select(
-        *ENTRY, rid.alias("rid"), (F.col("place") % F.lit(PLACE).cast("decimal(14,0)")).cast("bigint").alias("lo"), (F.col("contexts") > hot).alias("hot"))
-    unclear = unclear.groupBy("rid").agg(F.collect_list(F.struct(*ENTRY, "lo", "hot")).alias("e")).join(scan.select("rid", "digest"), "rid").drop("rid")
+        *ENTRY, rid.alias("rid"), (F.col("place") % F.lit(PLACE).cast("decimal(14,0)")).cast("bigint").alias("lo"))
+    unclear = unclear.groupBy("rid").agg(F.collect_list(F.struct(F.xxhash64(*ENTRY).alias("cid"), "key", "left", "span", "lo")).alias("e")).join(scan.select("rid", "digest"), "rid").drop("rid")
     wanted = unclear.join(reps, "digest")
 
     def contexts(batches):
         for batch in batches:
             rows = []
             for text, entries in zip(utf8(batch), batch.column("e").to_pylist(), strict=True):
-                rows += [(e["key"], e["ctx"], e["left"], e["span"], e["hot"], text[e["lo"]:e["lo"] + e["span"] + length]) for e in entries]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()), strict=True)],
-                [*ENTRY, "hot", "body"])
+                rows += [(e["cid"], e["key"], e["left"], e["span"], text[e["lo"]:e["lo"] + e["span"] + length]) for e in entries]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
+                                             ["cid", "key", "left", "span", "body"])
 
-    bodies = written(fetched(docs, wanted, "key bigint, ctx bigint, left int, span int, hot boolean, body binary", contexts), "suffix-bodies")
-    part = repeated_windows(bodies.filter("not hot").drop("hot").repartition(n_parts, "key").sortWithinPartitions(*ENTRY), length, seed)
-    part = written(part.unionByName(hot_windows(bodies.filter("hot").drop("hot"), length, seed)), "suffix-part")
-    runs = part.groupBy(*ENTRY).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    hits = written(found.filter("n > 1").select(*ENTRY, F.array(F.struct(F.lit(0).alias("first"), F.col("span").alias("last"))).alias("runs"))
-                   .unionByName(runs.join(found.filter("n > 1").select(*ENTRY), ENTRY, "left_anti")), "suffix-hits")
+    bodies = written(fetched(docs, wanted, "cid bigint, key bigint, left int, span int, body binary", contexts), "suffix-bodies")
+    runs = repeated_windows(bodies, length, head, seed).groupBy("cid").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    whole = found.filter("n > 1").select(F.xxhash64(*ENTRY).alias("cid"), F.array(F.struct(F.lit(0).alias("first"), F.col("span").alias("last"))).alias("runs"))
+    hits = written(whole.unionByName(runs.join(whole, "cid", "left_anti")), "suffix-hits")
 
     # back to the documents: runs of window starts
     # one row a text
     texts = scan.join(scan.groupBy("digest").agg(F.min("rid").alias("rid")).select("rid"), "rid", "left_semi")
-    starts = (_entries(texts).join(hits, ENTRY).select("rid", F.explode(F.transform("runs", lambda r: F.struct(
+    starts = (_entries(texts).withColumn("cid", F.xxhash64(*ENTRY)).join(hits, "cid").select("rid", F.explode(F.transform("runs", lambda r: F.struct(
         (F.col("lo") + r["first"]).alias("first"), (F.col("lo") + r["last"]).alias("last")))).alias("r"))
         .groupBy("rid").agg(F.collect_list("r").alias("r")))
     gone = written(starts.join(scan.select("rid", "digest"), "rid").drop("rid").join(reps, "digest"), "suffix-gone")
@@ -404,4 +385,4 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     zero = F.lit(0).cast("bigint")
     return a.join(b, F.col("a.digest") == F.col("b.digest"), "left").select(
         "a.doc_id", "a.n_bytes", F.coalesce("b.n_removed", zero).alias("n_removed"), F.coalesce("b.n_spans", zero).alias("n_spans"),
-        F.coalesce("b.kept_sha256", "a.sha256").alias("kept_sha256"))
+        F.coalesce("b.kept_sha256", "a.sha256").alias("kept_sha256"), (F.col("a.n_bytes") - F.coalesce("b.n_removed", zero)).alias("n_kept"))

@@ -39,20 +39,35 @@ def made_texts():
     return out
 
 
-@pytest.mark.parametrize(("hot", "batches"), [(1000, 4), (1, 3), (2, 1)])
-def test_removal_against_brute_force(spark, hot, batches):
-    texts = made_texts()
+def check_removal(spark, texts, length, head, batches):
     rows = [(i if i % 9 else None, t, 1, "c") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, key int, digest string").repartition(5)
-    got = remove_repeats(docs, length=40, head=8, hot=hot, batches=batches).collect()
-    want = [(r[0], *x) for r, x in zip(rows, plain_removal([(t or "").encode() for t in texts], 40), strict=True)]
+    got = remove_repeats(docs, length=length, head=head, batches=batches).collect()
+    want = [(r[0], *x, x[0] - x[1]) for r, x in zip(rows, plain_removal([(t or "").encode() for t in texts], length), strict=True)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize(("length", "head", "batches"), [(40, 8, 4), (40, 8, 1), (41, 39, 3), (30, 30, 2), (64, 5, 2)])
+def test_removal_against_brute_force(spark, length, head, batches):
+    check_removal(spark, made_texts(), length, head, batches)
+
+
+def test_every_context_under_one_head(spark):
+    """One head in every document, with left and right sides that agree for
+    different lengths: all contexts meet in one group."""
+    rng = random.Random(2)
+    sides = ["".join(rng.choice("xyz") for _ in range(60)) for _ in range(3)]
+    texts = []
+    for i in range(400):
+        a, b, n, m = rng.choice(sides), rng.choice(sides), rng.randrange(45), rng.randrange(45)
+        texts.append("".join(rng.choice("pqrs") for _ in range(50)) + a[60 - n:] + "\x00" * 8 + b[:m] + "".join(rng.choice("tuvw") for _ in range(50)))
+    check_removal(spark, texts, 40, 8, 2)
+
+
 def test_removal_edges(edge_docs, no_docs):
     got = remove_repeats(edge_docs).collect()
     texts = [(r.doc_id, (r.text or "").encode()) for r in edge_docs.collect()]
-    assert sorted(map(str, map(tuple, got))) == sorted(str((i, *x)) for (i, _), x in zip(texts, plain_removal([t for _, t in texts], 400), strict=True))
+    assert sorted(map(str, map(tuple, got))) == sorted(str((i, *x, x[0] - x[1])) for (i, _), x in zip(texts, plain_removal([t for _, t in texts], 400), strict=True))
     assert remove_repeats(no_docs).collect() == []
 
 
