@@ -83,8 +83,8 @@ def validate_batches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     a whole.  The verdict is one aggregate row per batch joined back with a
     semi join (no window over a possibly huge batch)."""
     verdict = batch_verdicts(docs)
-    good_ids = checked_broadcast(verdict.filter("accepted").select("batch_id"), 200)
-    bad_ids = checked_broadcast(verdict.filter("not accepted").select("batch_id"), 200)
+    good_ids = checked_broadcast(verdict.filter("accepted").select("batch_id"))
+    bad_ids = checked_broadcast(verdict.filter("not accepted").select("batch_id"))
     return (docs.join(good_ids, "batch_id", "left_semi"),
             docs.join(bad_ids, "batch_id", "left_semi")
             .withColumn("reject_reason", F.lit("EMPTY_DOCUMENT_IN_BATCH")))
@@ -96,7 +96,7 @@ def with_submission_time(docs: DataFrame, base_ts: Column, order_col: str) -> Da
     ``base_ts`` plus the smallest ``order_col`` of the batch in milliseconds,
     so generated ids of different calls never collide.  One aggregate row
     per batch joined back on ``batch_id``."""
-    first = checked_broadcast(docs.groupBy("batch_id").agg(F.min(order_col).alias("_first")), 200)
+    first = checked_broadcast(docs.groupBy("batch_id").agg(F.min(order_col).alias("_first")))
     return (docs.join(first, "batch_id")
             .withColumn("submitted_at",
                         F.timestamp_millis(F.unix_millis(base_ts) + F.col("_first").cast("bigint")))

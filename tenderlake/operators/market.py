@@ -44,7 +44,7 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, tie: str,
     wanted = (n.select(*[F.col(b).alias("_w_" + b) for b in by], "_n", F.explode(ps).alias("_p"))
               .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("_p"))
               .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h"))))))
-    wanted = checked_broadcast(wanted, 200)
+    wanted = checked_broadcast(wanted)
     on = [ranked[b].eqNullSafe(wanted["_w_" + b]) for b in by] + [ranked["_r"] == wanted["_rank"]]
     lo = F.max(F.when(F.col("_rank") == F.floor("_h"), F.col(value)))
     hi = F.max(F.when(F.col("_rank") == F.ceil("_h"), F.col(value)))
@@ -106,7 +106,7 @@ def template_ranking(usage: DataFrame, min_win_rate: float = 0.3, min_uses: int
 def success_weighting(items: DataFrame, usage: DataFrame, score_col: str) -> DataFrame:
     """Multiply a score by the win rate of the item's template."""
     wr = usage.groupBy("template").agg(F.avg(F.col("won").cast("double")).alias("_wr"))
-    return (items.join(checked_broadcast(wr, 200), "template", "left")
+    return (items.join(checked_broadcast(wr), "template", "left")
             .withColumn("weighted_score", F.col(score_col) * F.coalesce(F.col("_wr"), F.lit(0.0)))
             .drop("_wr"))
 
@@ -125,7 +125,7 @@ def price_positioning(profiled: DataFrame, competition: DataFrame) -> DataFrame:
     high technical complexity), else competitive."""
     # median over the segment table (one row per segment: a bounded domain)
     seg = competition.withColumn("_med", F.percentile("competitors", 0.5).over(Window.partitionBy()))
-    t = profiled.join(checked_broadcast(seg, 200), ["sector", "amount_range"], "left")
+    t = profiled.join(checked_broadcast(seg), ["sector", "amount_range"], "left")
     w = F.coalesce(F.col("criteria_weights"), F.create_map().cast("map<string,int>"))
     prix = F.coalesce(F.try_element_at(w, F.lit("prix")), F.lit(0))
     tech = F.coalesce(F.try_element_at(w, F.lit("technique")), F.lit(0))
@@ -145,7 +145,7 @@ def go_no_go(profiled: DataFrame, competition: DataFrame, threshold: float = 50.
     (1 - price sensitivity), relationship (buyer known), timeline
     (formalism not maximal → 1, else 0.5)."""
     seg = competition.withColumn("_max", F.max("competitors").over(Window.partitionBy()))
-    t = profiled.join(checked_broadcast(seg, 200), ["sector", "amount_range"], "left")
+    t = profiled.join(checked_broadcast(seg), ["sector", "amount_range"], "left")
     comp = F.coalesce(F.col("competitors"), F.lit(0)).cast("double")
     crit = {
         "budget_confirme": F.when(F.col("estimated_amount").isNotNull()
@@ -182,7 +182,7 @@ def data_confidence(counts: DataFrame, n0: float = 10.0, minimum: float = 0.5) -
 
 def price_gaps(awards: DataFrame, medians: DataFrame) -> DataFrame:
     """Award price minus the tender estimate, and minus the segment median."""
-    med = checked_broadcast(medians.select("sector", "amount_range", F.col("p50").alias("_med")), 200)
+    med = checked_broadcast(medians.select("sector", "amount_range", F.col("p50").alias("_med")))
     j = awards.filter("won").join(med, ["sector", "amount_range"], "left")
     return j.select("bid_id", "tender_id", "sector", "amount_range",
                     F.round(F.col("price") - F.col("estimated_amount"), 6).alias("gap_to_estimate"),

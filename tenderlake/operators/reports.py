@@ -174,7 +174,7 @@ def operation_metrics(log: DataFrame) -> DataFrame:
         F.round(F.max(d), 2).alias("max_duration_ms"))
     p = exact_percentiles(log, ["operation"], "duration_ms", "event_id", [0.5, 0.95]).select(
         F.col("operation").alias("_op"), "p50", "p95")
-    j = counts.join(checked_broadcast(p, 100), counts["operation"].eqNullSafe(p["_op"]), "left")
+    j = counts.join(checked_broadcast(p), counts["operation"].eqNullSafe(p["_op"]), "left")
     return j.select("operation", "operations", "successes", "avg_duration_ms", F.col("p50").alias("p50_duration_ms"),
                     F.col("p95").alias("p95_duration_ms"), "max_duration_ms")
 

@@ -35,6 +35,7 @@ from tenderlake.functions.text import is_blank
 from tenderlake.functions.vectors import distance
 from tenderlake.operators.knn_block import CORPUS_BLOCK, REQUEST_BLOCK, block_candidates
 from tenderlake.operators.providers import HashedTF, Provider
+from tenderlake.session import written
 
 CTX_KEYS = ("secteur", "type_ao", "fourchette_montant")
 RESULT_COLUMNS = ["query_id", "rank", "doc_id", "collection", "similarity_score",
@@ -51,6 +52,7 @@ class SearchOptions:
     kernel: str = "block"             # "block" (matrix products of blocks) or "join"
     request_block: int = REQUEST_BLOCK
     corpus_block: int = CORPUS_BLOCK
+    stored: bool = False              # the corpus is a stored table that is cheap to read again
 
 
 # ---------------------------------------------------------------- P1
@@ -140,9 +142,14 @@ def knn_candidates(requests: DataFrame, corpus: DataFrame, dim: int,
     requests: query_id, collection, limit, min_similarity, ctx, <vec_col>
     corpus:   doc_id, collection, embedding, secteur, type_ao,
               fourchette_montant, domaine_technique, organisme, ...
+
+    Vectors are computed once: the requests and, unless ``opts.stored``, the
+    columns of the corpus that the ranking needs are written to the shared
+    folder first; sizes of keys, checks and the join read those tables.
     """
     opts = opts or SearchOptions()
     overridden = filter_keys(opts.filters)
+    requests = written(requests.select("query_id", "collection", "limit", "min_similarity", "ctx", vec_col), "search-requests")
     # one small aggregate: the largest limit and the request shapes present
     row = requests.agg(F.max("limit").alias("m"), F.bool_or(F.col("ctx").isNull()).alias("plain"),
                        F.bool_or(F.col("ctx").isNotNull()).alias("ctx")).first()
@@ -153,11 +160,14 @@ def knn_candidates(requests: DataFrame, corpus: DataFrame, dim: int,
     shapes = ([0] if row["plain"] else []) + ([1, 2] if row["ctx"] else [])
 
     c = corpus.filter(filter_predicate(opts.filters)) if opts.filters else corpus
-    c = c.filter(F.size("embedding") == dim)
     # Only the columns the ranking needs travel with the vectors.
     keep = ["doc_id", "collection", "embedding", "secteur", "type_ao", "fourchette_montant",
             "domaine_technique", "organisme"] + [x for x in (opts.carry or []) if x in corpus.columns]
-    c = _corpus_blocking(c.select(*keep), overridden, shapes or [0])
+    c = c.select(*keep)
+    if not opts.stored:
+        c = written(c, "search-corpus")
+    c = c.filter(F.size("embedding") == dim)
+    c = _corpus_blocking(c, overridden, shapes or [0])
     q = requests.select("query_id", "collection", "limit", "min_similarity", "ctx", F.col(vec_col).alias("_qv"))
     q = _request_blocking(q, overridden).withColumnRenamed("collection", "_q_collection")
     domain_filter = "domaine_technique" not in overridden
@@ -330,7 +340,7 @@ def matches_above(requests: DataFrame, corpus: DataFrame, dim: int, metric: str
     """Every (request, document) of a collection whose similarity reaches the
     request's min_similarity, however many: (query_id, doc_id, similarity)."""
     q = requests.select("query_id", F.col("collection").alias("_key"), F.col("limit"), "min_similarity", F.col(vec_col).alias("_qv"))
-    c = corpus.filter(F.size("embedding") == dim).select("doc_id", F.col("collection").alias("_key"), "embedding")
+    c = written(corpus.select("doc_id", F.col("collection").alias("_key"), "embedding"), "alert-corpus").filter(F.size("embedding") == dim)
     hits = block_candidates(q, c, dim, metric, 1 << 31, False)
     return hits.select("query_id", "doc_id", F.greatest(F.lit(0.0), F.lit(1.0) - F.col("distance")).alias("similarity"))
 

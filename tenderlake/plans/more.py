@@ -59,7 +59,7 @@ def search_stored_corpus(spark, sf_dir):
     the stored, collection-partitioned corpus."""
     path = scratch_path(spark, f"corpus-{uuid.uuid4().hex}")
     IG.append_to_corpus(fx.corpus(spark, sf_dir), path)
-    return search(fx.conversation_queries(spark, sf_dir), spark.read.parquet(path), opts=SearchOptions(metric="cosine"))
+    return search(fx.conversation_queries(spark, sf_dir), spark.read.parquet(path), opts=SearchOptions(metric="cosine", stored=True))
 
 
 # ------------------------------------------------------------------ checks on rows that violate them

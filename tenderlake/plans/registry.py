@@ -427,7 +427,7 @@ def price_gaps_q(spark, sf_dir):
 def prediction_gap_q(spark, sf_dir):
     """Segment median as prediction vs actual won prices."""
     aw = written(fx.awards(spark, sf_dir), "awards")
-    bench = checked_broadcast(MK.price_benchmark(aw, _mk_as_of()).select("sector", "amount_range", F.col("p50")), 200)
+    bench = checked_broadcast(MK.price_benchmark(aw, _mk_as_of()).select("sector", "amount_range", F.col("p50")))
     recent = aw.filter(F.col("won") & MK.within_months(F.col("published"), _mk_as_of(), 12))
     pred = recent.join(bench, ["sector", "amount_range"]).select(
         "sector", "amount_range", F.col("p50").alias("predicted"), F.col("price").alias("actual"))
@@ -461,14 +461,16 @@ def per_day_q(spark, sf_dir):
 @register("b17_cross_collection", O.B17_CROSS)
 def cross_collection_q(spark, sf_dir):
     """Every document linked to its nearest documents in every other collection."""
-    corp = fx.corpus(spark, sf_dir)
+    from tenderlake.operators.search import search_vectors
+    # a document's vector is both sides': computed once, then it asks every other collection
+    corp = written(fx.corpus(spark, sf_dir), "cross-corpus")
     names = F.array(*[F.lit(c) for c in fx.FIXTURE_COLLECTIONS])
-    req = (fx.corpus(spark, sf_dir, embedding="none")
-           .select("doc_id", F.col("content").alias("query"), F.col("collection").alias("_own"), F.posexplode(names).alias("_i", "collection"))
+    req = (corp.filter(~C.is_blank(F.col("content")))
+           .select("doc_id", F.col("embedding").alias("q_vec"), F.col("collection").alias("_own"), F.posexplode(names).alias("_i", "collection"))
            .filter(F.col("collection") != F.col("_own"))
-           .select((F.col("doc_id") * 10 + F.col("_i")).alias("query_id"), "query", "collection", F.lit(5).alias("limit"),
+           .select((F.col("doc_id") * 10 + F.col("_i")).alias("query_id"), "q_vec", "collection", F.lit(5).alias("limit"),
                    F.lit(0.5).alias("min_similarity"), F.lit(None).cast(fx.S.CONTEXT_TYPE).alias("ctx")))
-    return search(req, corp)
+    return search_vectors(req, corp.drop("content"), 64, SearchOptions(stored=True))
 
 
 # ------------------------------------------------------------------ search building blocks

@@ -64,6 +64,6 @@ def test_block_join_meets_every_pair_once(spark):
 
 
 def test_broadcast_only_below_the_budget(spark):
-    df = spark.range(1000)
-    assert "broadcast" in checked_broadcast(df, 8)._jdf.queryExecution().toString().lower()
-    assert "broadcast" not in checked_broadcast(df, 8, budget=100)._jdf.queryExecution().toString().lower()
+    df = spark.range(1000)  # 16 bytes a row are counted
+    assert "broadcast" in checked_broadcast(df)._jdf.queryExecution().toString().lower()
+    assert "broadcast" not in checked_broadcast(df, budget=100)._jdf.queryExecution().toString().lower()
