@@ -640,13 +640,20 @@ def score_domain_q(spark, sf_dir):
 # ------------------------------------------------------------------ hybrid search
 @register("b9_hybrid_search", O.B9_HYBRID)
 def hybrid_q(spark, sf_dir):
-    """BM25 top 10 and vector top 10 (cosine) fused by reciprocal rank (k = 60), top 5."""
-    from tenderlake.operators.hybrid import bm25_top, reciprocal_rank_fusion
+    """BM25 top 10 and vector top 10 (cosine) fused by reciprocal rank (k = 60), top 5.
+    The corpus is stored with its vectors, and indexed in two batches."""
+    import uuid
+    from tenderlake.operators.hybrid import reciprocal_rank_fusion
+    from tenderlake.operators.inverted import append_index, bm25_search, read_index
+    from tenderlake.session import scratch_path
     req = fx.conversation_queries(spark, sf_dir, min_similarity=0.0)
-    corp = fx.corpus(spark, sf_dir)
-    bm = bm25_top(req, fx.corpus(spark, sf_dir, embedding="none"), 10)
+    corp = written(fx.corpus(spark, sf_dir), "hybrid-corpus")
+    path = scratch_path(spark, f"bm25-{uuid.uuid4().hex}")
+    for part in (0, 1):
+        append_index(corp.filter(F.pmod("doc_id", F.lit(2)) == part), path)
+    bm = bm25_search(req, read_index(spark, path), 10)
     good, _ = prepare_requests(req, HashedTF())
-    vec = knn_candidates(good, corp, 64, SearchOptions(metric="cosine"))
+    vec = knn_candidates(good, corp.drop("content"), 64, SearchOptions(metric="cosine", stored=True))
     return reciprocal_rank_fusion(bm, vec, 5)
 
 
