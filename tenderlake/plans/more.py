@@ -23,6 +23,7 @@ from tenderlake.plans.registry import _as_of, _ingest_ts, _ts, register
 from tenderlake.session import scratch_path
 from tenderlake.sources import fixtures as fx
 from tenderlake.sources.logs import read_log, write_log
+from tenderlake.streaming import streams as ST
 
 # ------------------------------------------------------------------ search limits
 PLAIN_REQUESTS = """requests AS (
@@ -272,6 +273,38 @@ def precision_recall(spark, sf_dir):
                                labels.select("doc_id", (F.col("quality") == 1).alias("relevant")))
 
 
+# ------------------------------------------------------------------ streams with late rows
+ARRIVALS = f"""{O.OP_LOG},
+a AS (SELECT *, ts + CASE WHEN event_id % 50 = 7 THEN INTERVAL 3 DAY ELSE INTERVAL 0 DAY END AS arrival FROM op_log),
+b AS (SELECT *, (row_number() OVER (ORDER BY arrival, event_id) - 1) // ((SELECT count(*) + {ST.LATE_BATCHES - 1} FROM op_log) // {ST.LATE_BATCHES}) AS batch FROM a),
+m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS mark FROM b GROUP BY batch),
+j AS (SELECT b.*, mark, coalesce(ts < mark, false) AS late FROM b JOIN m USING (batch))"""
+
+
+@register("t3_late_rows", f"""WITH {ARRIVALS}
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, strftime(mark, '%Y-%m-%d %H:%M:%S.%f') AS watermark FROM j WHERE late""")
+def late_rows(spark, sf_dir):
+    """Rows behind the watermark are set aside with it, not dropped in silence."""
+    _, late = ST.run_late_arrivals(spark, sf_dir)
+    return late.select("event_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("ts", "watermark")])
+
+
+@register("t3_sliding_alerts", f"""WITH {ARRIVALS},
+w AS (SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR * h AS w, * FROM j, range(24) r(h) WHERE NOT late),
+d AS (SELECT w, count(*) FILTER (WHERE operation = 'rag_search') AS requests,
+        sum(CASE WHEN operation = 'rag_search' THEN CAST(round(duration_ms * 100.0) AS BIGINT) END) AS lat_c, count(*) FILTER (WHERE cache_hit) AS hits,
+        coalesce(sum(tokens), 0) AS tok, count(*) FILTER (WHERE NOT success) AS err, count(*) AS n FROM w GROUP BY w),
+k AS (SELECT w, requests, CASE WHEN requests = 0 THEN NULL ELSE lat_c::DOUBLE / (requests * 100.0::DOUBLE) END AS lat,
+        CASE WHEN requests = 0 THEN NULL ELSE hits::DOUBLE / requests END AS hit, tok::DOUBLE / 1000.0::DOUBLE * 0.00013::DOUBLE AS cost, err::DOUBLE / n AS er FROM d)
+SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, strftime(w + INTERVAL 1 DAY, '%Y-%m-%d %H:%M') AS window_end, requests, round(lat, 6) AS avg_latency_ms,
+  round(hit, 6) AS cache_hit_rate, round(cost, 9) AS daily_cost_usd, round(er, 6) AS error_rate FROM k
+WHERE lat > {S.ALERT_LATENCY_MS}::DOUBLE OR hit < {S.ALERT_MIN_HIT_RATE}::DOUBLE OR cost > {S.ALERT_DAILY_COST_USD}::DOUBLE OR er > {S.ALERT_ERROR_RATE}::DOUBLE""")
+def sliding_alerts(spark, sf_dir):
+    """Alerts over day-long windows that start every hour, late rows aside."""
+    windows, _ = ST.run_late_arrivals(spark, sf_dir)
+    return windows.filter("alert").drop("alert")
+
+
 # ------------------------------------------------------------------ operation log as JSON lines
 @register("s12_json_log", f"""WITH {O.OP_LOG}
 SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, operation, duration_ms, success, status_code, 'rag_engine' AS component,
