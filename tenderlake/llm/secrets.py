@@ -7,11 +7,13 @@ Entropy spans: candidate strings are runs of ``[A-Za-z0-9+/_=-]`` of at least
 ``WINDOW`` characters.  A window of ``WINDOW`` characters slides over each
 candidate; character counts change by one character in and one out, and the
 entropy follows from a running sum of count * log2(count).  The window's
-character class (hex digits, letters and digits, base64 signs) sets the
-threshold; windows above it, joined where they overlap, are a span of kind
-``entropy_hex``, ``entropy_alnum`` or ``entropy_base64``.  Allow-listed
-strings (words without digits, UUIDs, one repeated pattern, hashes named as
-integrity sums, paths of words) and spans inside a base span are dropped.
+character class (hex digits, no digit at all, letters and digits, base64
+signs) sets the threshold; windows above it, joined where they overlap, are a
+span of kind ``entropy_hex``, ``entropy_letters``, ``entropy_alnum`` or
+``entropy_base64``.  A window without digits must also hold ``MIN_CASE``
+letters of either case.  Allow-listed strings (what looks like words: one case,
+or capitalised parts, joined or not; UUIDs, one repeated pattern, hashes named
+as integrity sums, numbers) and spans inside a base span are dropped.
 
 Defined results: a null text counts as the empty text; null ids and repeated
 rows give a row each; an empty table gives none; other columns are ignored.
@@ -23,6 +25,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,10 +44,12 @@ MIN_ASSIGNED, MIN_ACCESS, MIN_HEX = 6, 20, 24
 WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
 #: Bits a character that a window must exceed, by class.  Twenty characters
-#: drawn from 16 hex digits have about 3.3 bits, from 62 or 64 signs about 4.0.
-THRESHOLDS = {"hex": 2.9, "alnum": 3.6, "base64": 3.7}
+#: drawn from 16 hex digits have about 3.3 bits, from 52 letters or more about 4.0.
+THRESHOLDS = {"hex": 2.9, "letters": 3.65, "alnum": 3.6, "base64": 3.7}
+MIN_CASE = 4
 ALLOWED = (
-    re.compile(r"[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/=]*"),  # words and paths of words
+    re.compile(r"(?:[a-z]+|[A-Z]+)(?:[-_/]+(?:[a-z]+|[A-Z]+))*[-_/=]*"),  # words of one case and paths of them
+    re.compile(r"[-_/]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})(?:[-_/]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}))*[-_/=]*"),  # capitalised parts
     re.compile(r"[0-9]+(?:[-_/][0-9]+)*"),  # numbers and dates
     re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"),  # UUIDs
     re.compile(r"sha(?:1|256|384|512)-[A-Za-z0-9+/=]+"),  # integrity sums
@@ -71,9 +77,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def window_entropies(s: str) -> list[tuple[float, str]]:
-    """Entropy and character class of every window, by incremental counts."""
+    """Entropy and character class of every window, by incremental counts;
+    class ``words`` (no digit, hardly two cases) has no threshold."""
     count: dict[str, int] = {}
     total, n_hex, n_base64, out = 0.0, 0, 0, []
+    n_digit = n_upper = n_lower = 0
     log_window = math.log2(WINDOW)
     for i, c in enumerate(s):
         k = count.get(c, 0)
@@ -81,6 +89,9 @@ def window_entropies(s: str) -> list[tuple[float, str]]:
         count[c] = k + 1
         n_hex += c in HEX_SIGNS
         n_base64 += c in BASE64_SIGNS
+        n_digit += c.isdigit()
+        n_upper += c.isupper()
+        n_lower += c.islower()
         if i >= WINDOW:
             old = s[i - WINDOW]
             k = count[old]
@@ -88,9 +99,13 @@ def window_entropies(s: str) -> list[tuple[float, str]]:
             count[old] = k - 1
             n_hex -= old in HEX_SIGNS
             n_base64 -= old in BASE64_SIGNS
+            n_digit -= old.isdigit()
+            n_upper -= old.isupper()
+            n_lower -= old.islower()
         if i >= WINDOW - 1:
-            kind = "hex" if n_hex == WINDOW else "base64" if n_base64 else "alnum"
-            out.append((log_window - total / WINDOW, kind))
+            kind = "hex" if n_hex == WINDOW else "letters" if not n_digit else "base64" if n_base64 else "alnum"
+            bits = log_window - total / WINDOW
+            out.append((bits, kind if kind != "letters" or min(n_upper, n_lower) >= MIN_CASE else "words"))
     return out
 
 
@@ -106,18 +121,20 @@ def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
             continue
         begin = None
         for i, (bits, kind) in enumerate(window_entropies(s)):
-            digits = bits > THRESHOLDS[kind]
-            if digits and begin is not None and i <= end:
+            high = bits > THRESHOLDS.get(kind, math.inf)
+            if high and begin is not None and i <= end:
                 end = i + WINDOW
-            elif digits:
+            elif high:
                 if begin is not None:
                     out.append((m.start() + begin, first, m.start() + end))
                 begin, end, first = i, i + WINDOW, f"entropy_{kind}"
         if begin is not None:
             out.append((m.start() + begin, first, m.start() + end))
-    # a window that holds no digit is a word of many letters
-    out = [x for x in out if any(c.isdigit() for c in text[x[0]:x[2]])]
-    return [x for x in out if not any(b[0] <= x[0] and x[2] <= b[2] for b in base)]
+    if not base or not out:
+        return out
+    # a span lies in a base span if one that starts no later ends no earlier
+    starts, ends = [b[0] for b in base], list(accumulate((b[2] for b in base), max))
+    return [x for x in out if not (at := bisect_right(starts, x[0])) or ends[at - 1] < x[2]]
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, str, int]]]:

@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import string
 from fractions import Fraction
 
 import pytest
@@ -48,6 +50,32 @@ def test_entropy_spans_and_allow_list():
     assert redact("nothing here") == "nothing here" and redact("") == ""
 
 
+def test_letters_only_keys():
+    rng = random.Random(8)
+    for n in (24, 32, 64):
+        found = 0
+        for _ in range(400):
+            key = "".join(rng.choice(string.ascii_letters) for _ in range(n))
+            base, more = scan(f"the key {key}, it is")
+            assert base == [] and all(k == "entropy_letters" for _, k, _ in more)
+            found += sum(b - a for a, _, b in more) >= 20
+        assert found >= 380  # few random keys repeat letters much
+    for fine in ("internationalizationOfEverythingElse", "TheQuickBrownFoxJumpsOverTheLazyDog", "src/main/java/org/example/AbstractSingletonFactory", "INTERNATIONALIZATION_SETTINGS",
+                 "donaudampfschifffahrtsgesellschaft", "Donaudampfschifffahrtsgesellschaft", "thehestanedonthatationererhe_onthinges"):
+        assert scan(f"a {fine} b") == ([], [])
+
+
+def test_many_spans_of_both_kinds():
+    """A text full of secrets: spans inside base spans go, as by comparing all."""
+    rng = random.Random(3)
+    key = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    text = " ".join(f"token={key(30)}" if i % 3 else key(40) for i in range(3000))
+    base, more = scan(text)
+    assert len(base) == 2000 and len(more) >= 1000
+    inside = {x for x in more for b in base if b[0] <= x[0] and x[2] <= b[2]} if len(base) < 100 else set()
+    assert not inside and all(text[a - 1:a] == " " or "=" not in text[a - 8:a] for a, _, _ in more[:50])
+
+
 def test_redact_documents(edge_docs, no_docs):
     out = redact_documents(edge_docs)
     assert out.schema == edge_docs.schema and out.count() == edge_docs.count()
@@ -91,6 +119,22 @@ def test_apportion_takes_the_highest_quotients(spark):
         assert got == want, (votes, seats)
 
 
+def test_many_sources(spark):
+    """A source of its own for nearly every document, one with a third of all."""
+    rng = random.Random(4)
+    rows = [(i, " ".join("w" for _ in range(rng.randrange(40))), "big" if i % 3 == 0 else None if i % 101 == 1 else f"s{i}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mix_sources(df, shard_docs=50)
+    assert "SinglePartition" not in got._jdf.queryExecution().toString() or got.count() == 1200
+    by = {}
+    for _, t, s in rows:
+        by[s] = by.get(s, 0) + len(t.split())
+    names = sorted(by, key=lambda x: (x is None, x or ""))
+    want = shared_targets({s: 3 * n for s, n in by.items()}, {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)})
+    source = {i: s for i, _, s in rows}
+    assert {source[r.doc_id]: round(r.target, 6) for r in got.collect()} == {s: pytest.approx(t, abs=1e-5) for s, t in want.items()}
+
+
 def test_mix(spark, sf, edge_docs, no_docs):
     for docs, shard in ((spark.read.parquet(f"{sf}/documents.parquet"), 7), (edge_docs, 1000)):
         rows = mix_sources(docs, shard_docs=shard).collect()
