@@ -8,9 +8,11 @@ are turned into whole blocks of equal length by Sainte-Lague apportionment
 the same way to its shards, and each shard takes its quota as a run of blocks
 that starts at a seeded place in the seeded order of its documents.
 
-Scale: word counts are one JVM expression per text; sources and shards are
-small tables; a hot source is cut into shards of about ``shard_docs``
-documents, so that no window holds a whole source.
+Scale: word counts are one JVM expression per text; a hot source is cut into
+shards of about ``shard_docs`` documents.  Sources may be as many as documents,
+and a source may have any number of shards: sums over them are grouped
+aggregates, orders and sums up to a row are distributed running totals over
+range partitions, and no window holds all sources or all shards of one.
 
 Defined results: a null text has size 0, as an empty one; a document without
 words takes 0.  A null source is a source of its own, ordered last.  Rows
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderlake.llm.common import WORD, as_text, written
+from tenderlake.operators.running import running_totals
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 32
@@ -51,60 +54,65 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS,
                    max_repeats: int = MAX_REPEATS) -> DataFrame:
     """``sizes``: (source, source_size, n_docs), a row a source.  Adds
     ``target`` by water filling: target = min(cap, level * weight), where the
-    level makes the targets sum to all words.  Windows run over one row a source."""
-    order = Window.orderBy(F.col("source").cast("binary").asc_nulls_last())
-    all_rows = Window.partitionBy()
-    s = (sizes.withColumn("_i", F.row_number().over(order) - 1)
-         .withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
-                                        (F.col("_i") % len(weights) + 1).cast("int")))
-         .withColumn("_cap", F.col("source_size").cast("double") * max_repeats))
-    by_ratio = Window.orderBy(F.col("_cap") / F.col("_w"), "_i").rowsBetween(Window.unboundedPreceding, -1)
-    s = (s.withColumn("_total", F.sum(F.col("source_size").cast("double")).over(all_rows))
-         .withColumn("_wsum", F.sum("_w").over(all_rows))
-         .withColumn("_level", (F.col("_total") - F.coalesce(F.sum("_cap").over(by_ratio), F.lit(0.0)))
-                     / (F.col("_wsum") - F.coalesce(F.sum("_w").over(by_ratio), F.lit(0.0))))
-         # the first source, by cap per weight, that the level of the rest does not fill
-         .withColumn("_level", F.min(F.when(F.col("_cap") >= F.col("_level") * F.col("_w"),
-                                            F.struct(F.col("_cap") / F.col("_w"), F.col("_i"), F.col("_level").alias("l"))))
-                     .over(all_rows)["l"]))
-    return s.select("source", "source_size", "n_docs",
-                    F.least(F.col("_cap"), F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap"))).alias("target"))
+    level makes the targets sum to all words.  Caps and weights are whole
+    numbers, so that sums do not depend on the order of partitions."""
+    one = F.lit(1.0).alias("_one")
+    s = sizes.select("*", F.col("source").isNull().cast("int").alias("_null"), one)
+    # the source's place by code point, null last
+    placed = running_totals(s, [], ["_null", "source"], "_one", keep=["source_size", "n_docs"])
+    s = placed.select("source", "source_size", "n_docs", F.col("before_count").alias("_i"))
+    s = written(s.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_i") % len(weights) + 1).cast("int")))
+                .withColumn("_cap", F.col("source_size").cast("double") * max_repeats).withColumn("_ratio", F.col("_cap") / F.col("_w")), "mix-caps")
+    total = s.agg(F.sum(F.col("source_size").cast("double")).alias("words"), F.sum("_w").alias("w")).first()
+    caps = running_totals(s, [], ["_ratio", "_i"], "_cap", keep=["_w"])
+    parts = running_totals(s, [], ["_ratio", "_i"], "_w").select(F.col("_i").alias("_j"), F.col("before_sum").alias("_before_w"))
+    level = (F.lit(float(total["words"] or 0)) - F.col("before_sum")) / (F.lit(float(total["w"] or 0)) - F.col("_before_w"))
+    # the first source, by cap per weight, that the level of the rest does not fill
+    first = (caps.join(parts, F.col("_i") == F.col("_j")).withColumn("_level", level).filter(F.col("_cap") >= F.col("_level") * F.col("_w"))
+             .agg(F.min(F.struct("_ratio", "_i", F.col("_level").alias("l")))["l"].alias("l")).first())
+    fill = F.lit(first["l"]).cast("double") * F.col("_w")
+    return s.select("source", "source_size", "n_docs", F.least(F.col("_cap"), F.coalesce(fill, F.col("_cap"))).alias("target"))
+
+
+def _equal(left: str, right: str, columns: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return out
 
 
 def apportion(rows: DataFrame, group: Sequence[str], key: Sequence[str], votes: str, seats: str, out: str) -> DataFrame:
     """Sainte-Lague: within each ``group``, give ``seats`` (the same in all
     rows of a group) to the rows by the highest quotients votes / (2 n + 1),
-    ties to the smaller ``key``.  Adds ``out``.
+    ties to the smaller ``key`` (nulls last).  Adds ``out``.
 
     Only the quotients near the last seat are listed: with q = votes * seats
     / sum of votes and e = (rows + 1) / seats, the divisors 1 + e and 1 - e
     give at most and at least all seats, so that a group lists a number of
-    quotients in proportion to its rows, not to its seats.
+    quotients in proportion to its rows, not to its seats.  The listed ones
+    are ranked by distributed running totals.
     """
-    g = Window.partitionBy(*group)
+    rows = written(rows, "apportion-rows")
     n = F.col(seats).cast("double")
-    r = (rows.withColumn("_votes", F.col(votes).cast("double"))
-         .withColumn("_q", F.when(F.sum("_votes").over(g) > 0, F.col("_votes") * n / F.sum("_votes").over(g)).otherwise(F.lit(0.0)))
-         .withColumn("_e", (F.count(F.lit(1)).over(g) + 1) / F.greatest(n, F.lit(1.0)))
+    per = rows.groupBy(*group).agg(F.sum(F.col(votes).cast("double")).alias("_all_votes"), F.count(F.lit(1)).alias("_rows"))
+    r = (rows.alias("a").join(per.alias("p"), _equal("a", "p", group)).select("a.*", "_all_votes", "_rows")
+         .withColumn("_votes", F.col(votes).cast("double"))
+         .withColumn("_q", F.when(F.col("_all_votes") > 0, F.col("_votes") * n / F.col("_all_votes")).otherwise(F.lit(0.0)))
+         .withColumn("_e", (F.col("_rows") + 1) / F.greatest(n, F.lit(1.0)))
          .withColumn("_low", F.when(F.col("_votes") > 0, F.floor(F.col("_q") / (1 + F.col("_e")) + 0.5)).otherwise(F.lit(0)).cast("bigint"))
          .withColumn("_high", F.when(F.col("_votes") <= 0, F.lit(0)).when(F.col("_e") < 0.5, F.floor(F.col("_q") / (1 - F.col("_e")) + 0.5) + 1)
-                     .otherwise(F.least(n, F.floor(3 * F.col("_q")) + 2 * F.count(F.lit(1)).over(g) + 4)).cast("bigint"))
-         .withColumn("_high", F.least(F.col("_high"), n.cast("bigint")))
-         .withColumn("_free", n.cast("bigint") - F.sum("_low").over(g)))
-    listed = (r.filter(F.col("_high") > F.col("_low"))
-              .select(*group, *key, "_votes", "_free", F.explode(F.sequence("_low", F.col("_high") - 1)).alias("_n"))
-              .withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(
-                  (F.col("_votes") / (2 * F.col("_n") + 1)).desc(), *[F.col(k).asc_nulls_last() for k in key], "_n")))
-              .filter(F.col("_rank") <= F.col("_free"))
-              .groupBy(*group, *key).agg(F.count(F.lit(1)).alias("_won")))
-    a, b = r.alias("a"), listed.alias("b")
-    on = None
-    for k in [*group, *key]:
-        c = F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-        on = c if on is None else on & c
-    return a.join(b, on, "left").select(
-        *[F.col(f"a.{c}").alias(c) for c in rows.columns],
-        (F.col("a._low") + F.coalesce(F.col("b._won"), F.lit(0))).alias(out))
+                     .otherwise(F.least(n, F.floor(3 * F.col("_q")) + 2 * F.col("_rows") + 4)).cast("bigint"))
+         .withColumn("_high", F.least(F.col("_high"), n.cast("bigint"))))
+    r = written(r, "apportion-bounds")
+    free = r.groupBy(*group).agg((F.max(seats).cast("bigint") - F.sum("_low")).alias("_free"))
+    nulls = {f"_no_{k}": F.col(k).isNull().cast("int") for k in key}
+    listed = (r.filter(F.col("_high") > F.col("_low")).select(*group, *key, "_votes", F.explode(F.sequence("_low", F.col("_high") - 1)).alias("_n"))
+              .withColumn("_least", -(F.col("_votes") / (2 * F.col("_n") + 1))).withColumns(nulls).withColumn("_one", F.lit(1.0)))
+    order = ["_least", *[c for k in key for c in (f"_no_{k}", k)], "_n"]
+    won = (running_totals(listed, list(group), order, "_one").alias("a").join(free.alias("f"), _equal("a", "f", group))
+           .filter(F.col("a.before_count") < F.col("f._free")).groupBy(*[F.col(f"a.{c}").alias(c) for c in (*group, *key)]).agg(F.count(F.lit(1)).alias("_won")))
+    return r.alias("a").join(won.alias("b"), _equal("a", "b", [*group, *key]), "left").select(
+        *[F.col(f"a.{c}").alias(c) for c in rows.columns], (F.col("a._low") + F.coalesce(F.col("b._won"), F.lit(0))).alias(out))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, *, id_col: str = "doc_id", text_col: str = "text",
@@ -119,11 +127,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, *, id_col: st
                     _hash(seed, F.coalesce(F.col(id_col).cast("string"), F.lit("null")), as_text(text_col)).alias("_h"), *keep)
     d = written(d, "mix-sizes")
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    targets = source_targets(sizes, weights, max_repeats)
-    one = Window.partitionBy()
-    blocks = apportion(
-        targets.withColumn("_all", F.lit(1)).withColumn("_seats", F.round(F.sum("target").over(one) / block_words).cast("bigint")),
-        ["_all"], ["source"], "target", "_seats", "source_blocks").drop("_all", "_seats")
+    targets = written(source_targets(written(sizes, "mix-totals"), weights, max_repeats), "mix-targets")
+    seats = targets.agg(F.round(F.sum("target") / block_words).cast("bigint")).first()[0] or 0
+    blocks = apportion(targets.withColumn("_all", F.lit(1)).withColumn("_seats", F.lit(seats).cast("bigint")),
+                       ["_all"], ["source"], "target", "_seats", "source_blocks").drop("_all", "_seats")
     # a source's blocks are no more than its cap holds
     blocks = (blocks.withColumn("source_blocks", F.least("source_blocks", F.ceil(F.col("source_size") * max_repeats / block_words)))
               .withColumn("n_shards", F.ceil(F.col("n_docs") / shard_docs).cast("bigint")))
