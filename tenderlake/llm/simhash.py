@@ -39,7 +39,8 @@ from tenderlake.llm.components import components
 SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
-N_PARTS = 4
+#: Numbers of partitions to choose from: 16, 21 or 32 bits each.
+N_PARTS = (4, 3, 2)
 BUCKET_LIMIT = 200
 
 
@@ -100,7 +101,7 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     return (rows[0]["n"] if rows else 0), m
 
 
-def partition_bits(n: int, together: np.ndarray, parts: int = N_PARTS) -> list[list[int]]:
+def partition_bits(n: int, together: np.ndarray, parts: int) -> list[list[int]]:
     """Group correlated bits: each partition starts with a free bit and takes
     the free bits most correlated with it."""
     p = np.diag(together) / max(n, 1)
@@ -121,8 +122,8 @@ def partition_bits(n: int, together: np.ndarray, parts: int = N_PARTS) -> list[l
     return out
 
 
-def allocate(exact: list[float], agree: list[float], widths: list[int], max_bits: int = MAX_BITS) -> list[int]:
-    """Thresholds t_i >= -1 with sum(t_i + 1) = max_bits + 1 and the least
+def allocate(exact: list[float], agree: list[float], widths: list[int], max_bits: int = MAX_BITS) -> tuple[float, list[int]]:
+    """(cost, thresholds): t_i >= -1 with sum(t_i + 1) = max_bits + 1 and the least
     estimated number of candidates.  ``exact``: pairs that agree on the whole
     partition; ``agree``: mean chance that two fingerprints agree on one of
     its bits, which carries the count to t further bits; probing costs a row
@@ -145,29 +146,35 @@ def allocate(exact: list[float], agree: list[float], widths: list[int], max_bits
                 if used + t + 1 not in step or new[0] < step[used + t + 1][0]:
                     step[used + t + 1] = new
         best = step
-    return best[max_bits + 1][1]
+    return best[max_bits + 1]
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def near_links(fps: DataFrame, max_bits: int = MAX_BITS, n_parts: int = N_PARTS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def near_links(fps: DataFrame, max_bits: int = MAX_BITS, n_parts: tuple[int, ...] = N_PARTS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """``fps``: distinct fingerprints (a written table).  Links (a, b) whose
-    components are those of all pairs at most ``max_bits`` apart."""
+    components are those of all pairs at most ``max_bits`` apart.
+
+    The counts of every candidate partitioning come from all fingerprints; the
+    dynamic program allocates thresholds for each, and the cheapest one is
+    taken: more fingerprints ask for wider partitions."""
     n, together = bit_statistics(fps)
-    parts = partition_bits(n, together, max(n_parts, 2))
-    masks = [_signed(sum(1 << b for b in g)) for g in parts]
-    p = np.diag(together) / max(n, 1)
-    agree = [float(np.mean(p[g] ** 2 + (1 - p[g]) ** 2)) for g in parts]
-    value = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(masks)])
-    sizes = (fps.select(F.explode(value).alias("k")).groupBy("k.part", "k.value").agg(F.count(F.lit(1)).alias("n")))
+    ways = {k: partition_bits(n, together, k) for k in n_parts}
+    mask = lambda g: _signed(sum(1 << b for b in g))
+    value = F.array(*[F.struct(F.lit(8 * k + i).alias("part"), F.col("fp").bitwiseAND(F.lit(mask(g))).alias("value")) for k, parts in ways.items() for i, g in enumerate(parts)])
+    sizes = written(fps.select(F.explode(value).alias("k")).groupBy("k.part", "k.value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-sizes")
     # pairs that would have to be verified, by partition; larger buckets take the other way
-    counted = sizes.groupBy("part").agg(F.sum(F.expr("n * (n - 1) / 2D")).alias("pairs")).collect()
-    exact = [0.0] * len(parts)
-    for r in counted:
-        exact[r["part"]] = float(r["pairs"])
-    thresholds = allocate([x / max(n, 1) for x in exact], agree, [len(g) for g in parts], max_bits)
+    counted = {r["part"]: float(r["pairs"]) for r in sizes.groupBy("part").agg(F.sum(F.expr("n * (n - 1) / 2D")).alias("pairs")).collect()}
+    p = np.diag(together) / max(n, 1)
+    plans = []
+    for k, parts in ways.items():
+        agree = [float(np.mean(p[g] ** 2 + (1 - p[g]) ** 2)) for g in parts]
+        plans.append((*allocate([counted.get(8 * k + i, 0.0) / max(n, 1) for i in range(len(parts))], agree, [len(g) for g in parts], max_bits), k))
+    _, thresholds, k = min(plans)
+    parts, masks = ways[k], [mask(g) for g in ways[k]]
+    sizes = sizes.filter(F.col("part").between(8 * k, 8 * k + 7)).withColumn("part", F.col("part") - 8 * k)
 
     # probe every value within t_i bits of the partition's own
     probes = []

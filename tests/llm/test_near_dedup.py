@@ -73,7 +73,7 @@ def test_links_against_all_pairs(spark, max_bits, limit):
 
 def test_allocation_is_complete():
     for max_bits in range(5):
-        t = allocate([5.0, 0.1, 30.0, 2.0], [0.5, 0.9, 0.6, 0.7], [16] * 4, max_bits)
+        _, t = allocate([5.0, 0.1, 30.0, 2.0], [0.5, 0.9, 0.6, 0.7], [16] * 4, max_bits)
         assert sum(x + 1 for x in t) == max_bits + 1 and min(t) >= -1
     together = np.full((64, 64), 25.0)
     np.fill_diagonal(together, 50)
