@@ -162,13 +162,15 @@ def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame | None
 
 
 def count_tokens(docs: DataFrame, cache: str, *, id_col: str = "doc_id", text_col: str = "text",
-                 tokenizer: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
+                 tokenizer: str = TOKENIZER, limit: int = LIMIT, batches: int = 1) -> DataFrame:
     """A row a document: doc_id, n_bytes, n_tokens, over_limit.
 
     Digests of the normalised content and of the tokenizer's version are
     joined to the counts stored under ``cache``; only the distinct contents
     that are missing there are encoded, and their counts are appended.  The
-    result reads all counts from the cache.
+    result reads all counts from the cache.  With ``batches`` the documents
+    come in that many batches (by their ids), each of which finds what the
+    ones before it have appended.
 
     Defined results: a null text counts as the empty text (0 tokens); null
     ids and rows that repeat give a row each; an empty table gives none.
@@ -181,20 +183,23 @@ def count_tokens(docs: DataFrame, cache: str, *, id_col: str = "doc_id", text_co
     keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select(
         "doc_id", "text", F.unhex(F.sha2(normalised(F.col("text"), tokenizer).cast("binary"), 256)).alias("digest"))
     lean = written(keyed.select("doc_id", "digest", F.octet_length("text").cast("bigint").alias("n_bytes")), "token-digests")
-    # one row of each content: its least id (a null id stands for itself)
-    first = lean.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    stored = read_cache(spark, cache, version)
-    if stored is not None:
-        first = first.join(stored, "digest", "left_anti")
-    a, b = keyed.alias("a"), first.alias("b")
-    misses = a.join(b, (F.col("a.digest") == F.col("b.digest")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left_semi")
-
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = token_ids(tokenizer).encode(utf8(batch))
         return pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([len(x) // 4 for x in ids], pa.int64())], ["digest", "n_tokens"])
 
-    (map_batches(misses.select("digest", "text"), encode, "digest binary, n_tokens bigint", keeps_cache=True)
-     .withColumn("version", F.lit(version)).write.mode("append").parquet(cache))
+    def batch_of(df: DataFrame, i: int) -> DataFrame:
+        return df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i) if batches > 1 else df
+
+    for i in range(batches):
+        # one row of each content: its least id (a null id stands for itself)
+        first = batch_of(lean, i).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+        stored = read_cache(spark, cache, version)
+        if stored is not None:
+            first = first.join(stored, "digest", "left_anti")
+        a, b = batch_of(keyed, i).alias("a"), first.alias("b")
+        misses = a.join(b, (F.col("a.digest") == F.col("b.digest")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left_semi")
+        (map_batches(misses.select("digest", "text"), encode, "digest binary, n_tokens bigint", keeps_cache=True)
+         .withColumn("version", F.lit(version)).write.mode("append").parquet(cache))
     # written, so that a hot digest's rows can be split where they are joined
     counts = written(read_cache(spark, cache, version), "token-counts")
     a, b = lean.alias("a"), counts.alias("b")

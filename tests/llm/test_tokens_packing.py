@@ -97,3 +97,13 @@ def test_best_fit_and_bound():
     assert dual_feasible_bound(np.bincount([51] * 7, minlength=101), 100) == 7
     assert dual_feasible_bound(np.bincount([34] * 6, minlength=101), 100) == 3
     assert dual_feasible_bound(np.zeros(101, int), 100) == 0
+
+
+def test_batches_find_what_earlier_ones_stored(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    # every text once more under another id: about half of the copies come in the other batch
+    both = docs.select("doc_id", "text").unionByName(docs.select((F.col("doc_id") + 100_000).alias("doc_id"), "text"))
+    one = sorted(map(tuple, count_tokens(both, f"{tmp_path}/one").collect()))
+    assert sorted(map(tuple, count_tokens(both, f"{tmp_path}/two", batches=2).collect())) == one
+    stored = spark.read.parquet(f"{tmp_path}/two")
+    assert stored.count() == stored.select("digest").distinct().count() == spark.read.parquet(f"{tmp_path}/one").count()
