@@ -4,7 +4,10 @@
 * ``Precomputed``  equi-join with a vector table on a key
 * ``ArrowProvider`` a user function over Arrow batches (``mapInArrow``), for
   real embedding models; Spark tasks give the concurrency, Arrow batches the
-  request batching.
+  request batching.  ``ledger.embed_with_ledger`` keeps finished calls.
+
+Every provider states its model's dimension, token limit and price, and
+estimates what a table of texts would cost.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenderlake import schemas as S
+from tenderlake.functions.text import word_count
 from tenderlake.functions.vectors import hashed_tf
 
 
@@ -28,6 +33,27 @@ class Provider:
     def embed(self, df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
         raise NotImplementedError
 
+    @property
+    def max_tokens(self) -> int | None:
+        """Token limit of a text; None where the model is not a known one."""
+        return next((t for m, _, _, t in S.MODELS if m == self.model), None)
+
+    @property
+    def price_per_1k(self) -> float:
+        return next((p for m, _, p, _ in S.MODELS if m == self.model), S.UNKNOWN_MODEL_PRICE)
+
+    def info(self) -> dict:
+        return {"provider": self.name, "model": self.model, "dimension": self.dim, "max_tokens": self.max_tokens, "price_per_1k": self.price_per_1k}
+
+    def estimate(self, df: DataFrame, text_col: str) -> DataFrame:
+        """One row: texts, tokens (words x 1.3, truncated on the total), texts
+        over the model's limit, and cost."""
+        words = word_count(F.col(text_col))
+        over = words.cast("double") * F.lit(S.TOKENS_PER_WORD) > F.lit(self.max_tokens) if self.max_tokens else F.lit(False)
+        g = df.agg(F.count(F.lit(1)).alias("texts"), F.floor(F.coalesce(F.sum(words), F.lit(0)).cast("double") * F.lit(S.TOKENS_PER_WORD)).cast("bigint").alias("tokens"),
+                   F.count_if(over).alias("over_limit"))
+        return g.select("texts", "tokens", "over_limit", F.round(F.col("tokens").cast("double") / F.lit(1000.0) * F.lit(self.price_per_1k), 9).alias("cost_usd"))
+
 
 class HashedTF(Provider):
     name = "hashed_tf"

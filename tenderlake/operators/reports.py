@@ -236,3 +236,13 @@ def per_search_summary(requests: DataFrame, results: DataFrame, n_filters: Colum
             .select("query_id", F.coalesce(F.col("results_count"), F.lit(0)).alias("results_count"),
                     F.round(F.coalesce(F.col("_avg"), F.lit(0.0)), 6).alias("avg_similarity"),
                     "filters_applied"))
+
+
+def operations_rollup(log: DataFrame) -> DataFrame:
+    """Operations, successes and tokens by operation, model and day, with the
+    subtotals of each and the total; ``level`` tells them apart (bits of the
+    columns summed over: 0 none, 1 days, 3 models too, 7 all)."""
+    rows = log.select("operation", "model", F.date_format("ts", "yyyy-MM-dd").alias("day"), "success", "tokens")
+    return rows.rollup("operation", "model", "day").agg(
+        F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("operations"), F.count_if("success").alias("successes"),
+        F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("tokens"))

@@ -273,6 +273,49 @@ def precision_recall(spark, sf_dir):
                                labels.select("doc_id", (F.col("quality") == 1).alias("relevant")))
 
 
+# ------------------------------------------------------------------ embedding calls, first writes, rollups
+@register("e2_ledger_embed", O.E2_ARROW)
+def ledger_embed(spark, sf_dir):
+    """A user model behind a ledger of finished chunks; the second run
+    finds every vector stored and calls nothing."""
+    from tenderlake.operators.ledger import embed_with_ledger
+    from tenderlake.operators.providers import hashed_tf_numpy
+    path = scratch_path(spark, f"ledger-{uuid.uuid4().hex}")
+    for _ in range(2):
+        out = embed_with_ledger(fx.text_batch(spark, sf_dir), "text", hashed_tf_numpy, 64, "hashed-tf-64-numpy", path)
+    return out.select("pos", F.size("embedding").cast("int").alias("dim"),
+                      F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("vsum"))
+
+
+@register("e3_cost_estimate", f"""WITH w AS (SELECT coalesce(len({O._WORDS.format(x='text')}), 0) AS n FROM documents),
+t AS (SELECT count(*) AS texts, CAST(floor(coalesce(sum(n), 0)::DOUBLE * 1.3::DOUBLE) AS BIGINT) AS tokens, count(*) FILTER (n * 1.3::DOUBLE > 8191) AS over_limit FROM w)
+SELECT texts, tokens, over_limit, round(tokens::DOUBLE / 1000.0::DOUBLE * 0.00013::DOUBLE, 9) AS cost_usd FROM t""")
+def cost_estimate(spark, sf_dir):
+    """What embedding all documents with the default model would cost."""
+    from tenderlake.operators.providers import ArrowProvider, hashed_tf_numpy
+    return ArrowProvider(hashed_tf_numpy, 64, S.DEFAULT_MODEL).estimate(fx.text_batch(spark, sf_dir), "text")
+
+
+@register("s6_first_write_wins", """SELECT doc_id // 4 AS doc_id, arg_min(doc_id, doc_id % 3 * 1000000000000 + doc_id) AS source_doc,
+  min(doc_id % 3)::INTEGER AS append FROM documents GROUP BY doc_id // 4""")
+def first_write_wins(spark, sf_dir):
+    """Three appends that share ids; filters of stored ids decide what is read."""
+    from tenderlake.operators.first_write import append_first_writes, read_table as read_appends
+    path = scratch_path(spark, f"appends-{uuid.uuid4().hex}")
+    docs = fx.read_table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 4).alias("doc_id"), F.col("doc_id").alias("source_doc"), "text")
+    for n in range(3):
+        append_first_writes(docs.filter(F.pmod("source_doc", F.lit(3)) == n), path, ["source_doc"])
+    return read_appends(spark, path).select("doc_id", "source_doc", F.col("commit").alias("append"))
+
+
+@register("a9_rollup", f"""WITH {O.OP_LOG}
+SELECT operation, model, strftime(ts, '%Y-%m-%d') AS day, GROUPING(operation, model, strftime(ts, '%Y-%m-%d'))::INTEGER AS level, count(*) AS operations,
+  count(*) FILTER (success) AS successes, coalesce(sum(tokens), 0)::BIGINT AS tokens FROM op_log GROUP BY ROLLUP (operation, model, strftime(ts, '%Y-%m-%d'))""")
+def operations_rollup(spark, sf_dir):
+    """A9 + A1: operations by operation, model and day, with all subtotals."""
+    return RP.operations_rollup(fx.op_log(spark, sf_dir))
+
+
 # ------------------------------------------------------------------ streams with late rows
 ARRIVALS = f"""{O.OP_LOG},
 a AS (SELECT *, ts + CASE WHEN event_id % 50 = 7 THEN INTERVAL 3 DAY ELSE INTERVAL 0 DAY END AS arrival FROM op_log),

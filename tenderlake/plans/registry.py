@@ -688,7 +688,10 @@ def blank_texts_q(spark, sf_dir):
                                     (F.count_if(C.is_blank(F.col("text"))) > 0).alias("rejected"))
 
 
-@register("s10_export_results")
+@register("s10_export_results", "WITH res AS (" + O.search_sql(O.DOC_REQUESTS, "l2sq") + """)
+SELECT to_json({'query_id': query_id, 'rank': rank, 'doc_id': doc_id, 'collection': collection, 'similarity_score': similarity_score,
+  'relevance_score': relevance_score, 'ao_type': ao_type, 'sector': sector, 'amount_range': amount_range, 'organisme': organisme,
+  'confidence_level': confidence_level, 'is_highly_relevant': is_highly_relevant})::VARCHAR AS json FROM res""")
 def export_q(spark, sf_dir):
     """Search results as JSON documents (written to the shared folder)."""
     import uuid
