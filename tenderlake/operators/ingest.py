@@ -9,7 +9,7 @@ as a whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake import schemas as S
@@ -143,10 +143,16 @@ def enrich_metadata(docs: DataFrame, batch_ts: Column) -> DataFrame:
 def dedupe_against(new_docs: DataFrame, existing: DataFrame | None,
                    order: list[str] | None = None) -> DataFrame:
     """S6 policy: the first write of an id wins: of equal new ids the first by
-    ``order``, and none that ``existing`` has (left anti join on doc_id)."""
+    ``order`` (unique within an id), and none that ``existing`` has (left anti
+    join on doc_id).  The firsts are found on ids and order columns alone, with
+    map-side combination, so that an id used very often is no single task and
+    texts do not move for it; ``first_write`` keeps filters of stored ids."""
     if order:
-        w = Window.partitionBy("doc_id").orderBy(*order)
-        new_docs = new_docs.withColumn("_first", F.row_number().over(w)).filter("_first = 1").drop("_first")
+        first = new_docs.groupBy("doc_id").agg(F.min(F.struct(*order)).alias("_o")).select(F.col("doc_id").alias("_id"), *[F.col(f"_o.{c}").alias(f"_o_{c}") for c in order])
+        on = new_docs["doc_id"].eqNullSafe(first["_id"])
+        for c in order:
+            on = on & new_docs[c].eqNullSafe(first[f"_o_{c}"])
+        new_docs = new_docs.join(first, on, "left_semi")
     if existing is None:
         return new_docs
     return new_docs.join(existing.select("doc_id"), "doc_id", "left_anti")
