@@ -291,15 +291,20 @@ def repeated_windows(contexts: DataFrame, length: int, head: int, seed: int) ->
     """(cid, first, last): runs of windows of a context that another context
     of its head has at the same places; rows of ``contexts`` may repeat."""
     out, parent = None, None
-    for step in interval_steps(length, head):
+    steps = interval_steps(length, head)
+    for step in steps:
         rows = written(interval_hashes(contexts, step, parent, length, head, seed), "suffix-intervals")
         hulls = written(rows.groupBy("core", "hull", "part").agg(F.min("cid").alias("cid"), F.max("cid").alias("other")), "suffix-hulls")
         equal = hulls.filter("cid <> other").select("core", "hull")
-        found = rows.join(equal, ["core", "hull"], "left_semi").select("cid", "first", "last")
+        found = written(rows.join(equal, ["core", "hull"], "left_semi").select("cid", "first", "last"), "suffix-runs")
         out = found if out is None else out.unionByName(found)
-        mixed = hulls.groupBy("core").agg(F.min("hull").alias("a"), F.max("hull").alias("b")).filter("a <> b").select("core")
-        onward = hulls.join(mixed, "core", "left_semi").groupBy("cid").agg(F.collect_set("part").alias("parts"))
-        contexts = contexts.drop("parts").join(onward, "cid")
+        drop_written(rows)
+        if step != steps[-1]:
+            mixed = hulls.groupBy("core").agg(F.min("hull").alias("a"), F.max("hull").alias("b")).filter("a <> b").select("core")
+            onward = hulls.join(mixed, "core", "left_semi").groupBy("cid").agg(F.collect_set("part").alias("parts"))
+            # the few that go on, with their bytes
+            contexts = written(contexts.drop("parts").join(onward, "cid"), "suffix-onward")
+        drop_written(hulls)
         parent = step
     return out
 
@@ -352,6 +357,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     runs = repeated_windows(bodies, length, head, seed).groupBy("cid").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     whole = found.filter("n > 1").select(F.xxhash64(*ENTRY).alias("cid"), F.array(F.struct(F.lit(0).alias("first"), F.col("span").alias("last"))).alias("runs"))
     hits = written(whole.unionByName(runs.join(whole, "cid", "left_anti")), "suffix-hits")
+    drop_written(bodies)
 
     # back to the documents: runs of window starts
     # one row a text
