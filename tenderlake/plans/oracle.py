@@ -870,6 +870,13 @@ J6_RECALL = search_sql(DOC_REQUESTS, "l2sq", select=f"""SELECT count(*) AS exact
       WHERE greatest(0.0::DOUBLE, 1.0::DOUBLE - distance) >= min_similarity) WHERE r <= {2 * S.DEFAULT_LIMIT}) e
   LEFT JOIN {_APPROX} a ON a.query_id = e.query_id AND a.doc_id = e.doc_id""")
 
+J6_INDEX_RECALL = search_sql(DOC_REQUESTS, "l2sq", select=f"""SELECT (SELECT count(*) FROM corpus) AS indexed,
+  count(*) AS exact_pairs, TRUE AS recall_reached FROM (
+    SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS r FROM (
+      SELECT q.query_id, c.doc_id, q.min_similarity, {dist_sql('l2sq', 'qv.v', 'cv.v', 64)} AS distance
+      FROM enriched q JOIN corpus c ON c.collection = q.collection JOIN qvec qv ON qv.id = q.query_id JOIN cvec cv ON cv.id = c.doc_id)
+      WHERE greatest(0.0::DOUBLE, 1.0::DOUBLE - distance) >= min_similarity) WHERE r <= {2 * S.DEFAULT_LIMIT}) e""")
+
 T4_ALERTS = search_sql(CONV_REQUESTS.replace(f"{S.DEFAULT_MIN_SIMILARITY}::DOUBLE AS min_similarity", "0.8::DOUBLE AS min_similarity"),
                        "cosine", select="""SELECT query_id, doc_id, round(similarity, 6) AS similarity
 FROM scored WHERE similarity >= min_similarity""")

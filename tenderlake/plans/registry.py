@@ -6,6 +6,7 @@ computed columns carry the same names as the oracle's.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ from tenderlake.operators.providers import HashedTF, Precomputed
 from tenderlake.operators.search import SearchOptions, search
 from tenderlake.plans import oracle as O
 from tenderlake.operators.blocks import checked_broadcast
-from tenderlake.session import ensure_checkpoint_dir, written
+from tenderlake.session import ensure_checkpoint_dir, scratch_path, written
 from tenderlake.sources import fixtures as fx
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -603,6 +604,23 @@ def approx_recall_q(spark, sf_dir):
     return recall_at_k(approx_candidates(good, corp, 64, k=10), exact)
 
 
+@register("j6_index_recall", O.J6_INDEX_RECALL)
+def index_recall_q(spark, sf_dir):
+    """A stored index of coarse cells and codes over all documents, searched
+    by every document request, against the exact candidates (recall 0.95 or more)."""
+    from tenderlake.operators.ann import recall_at_k
+    from tenderlake.operators.ivf import build_index
+    good, _ = prepare_requests(fx.document_queries(spark, sf_dir), HashedTF())
+    good = written(good.select("query_id", "collection", "limit", "min_similarity", "q_vec")
+                   .withColumn("ctx", F.lit(None).cast(fx.S.CONTEXT_TYPE)), "ivf-request-vectors")
+    corp = written(fx.corpus(spark, sf_dir).drop("content"), "ivf-corpus-vectors")
+    index = build_index(corp, scratch_path(spark, f"ivf-{uuid.uuid4().hex}"), 64)
+    exact = knn_candidates(good, corp, 64, SearchOptions(kernel="block", stored=True))
+    r = recall_at_k(index.search(good, k=10), exact)
+    n = index.rows.agg(F.count(F.lit(1)).alias("indexed"))
+    return r.join(F.broadcast(n)).select("indexed", "exact_pairs", (F.coalesce(F.col("recall"), F.lit(1.0)) >= 0.95).alias("recall_reached"))
+
+
 # ------------------------------------------------------------------ checks and user providers
 @register("e2_arrow_provider", O.E2_ARROW)
 def arrow_provider_q(spark, sf_dir):
