@@ -16,7 +16,10 @@ Probe semantics (per text and model):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake import schemas as S
@@ -85,6 +88,77 @@ def write_cache(entries: DataFrame, path: str, mode: str = "append") -> None:
     entries.write.mode(mode).partitionBy("key_prefix").parquet(path)
 
 
+# ---------------------------------------------------------------- bucketed table
+CACHE_SCHEMA = ("cache_key string, text string, model string, embedding array<float>, text_hash string, "
+                "embedding_dimension int, cached_at timestamp, size_bytes bigint, key_prefix string")
+_BUCKETS = "cache_buckets"
+
+
+def open_bucketed_cache(spark: SparkSession, path: str, buckets: int | None = None) -> str:
+    """Name of the bucketed cache table at ``path``, declared in this session's
+    catalog (the files stay when the session ends; the number of buckets is a
+    property of the table, stored beside it).
+
+    Entries are bucketed and sorted by ``cache_key``, so finding the newest
+    version of a key and probing it need no exchange of the cache, and row
+    groups of other prefixes are skipped by their statistics.  A new table gets
+    ``buckets`` or as many as there are shuffle partitions (with fewer Spark
+    would shuffle both sides for parallelism).
+    """
+    path = path.rstrip("/")
+    name = f"tenderlake_cache_{hashlib.md5(path.encode()).hexdigest()[:16]}"
+    if spark.catalog.tableExists(name):
+        return name
+    meta = f"{path}/{_BUCKETS}"
+    try:
+        n = spark.read.schema("buckets int").json(meta).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.createDataFrame([(n,)], "buckets int").coalesce(1).write.json(meta)
+    spark.sql(f"CREATE TABLE {name} ({CACHE_SCHEMA}) USING parquet CLUSTERED BY (cache_key) SORTED BY (cache_key) "
+              f"INTO {n} BUCKETS LOCATION '{path}/entries'")
+    return name
+
+
+def append_bucketed(entries: DataFrame, table: str) -> None:
+    """M1: append the newest version of each key of ``entries`` (those over the
+    size cap are not written).  The versions of a hot key combine in their
+    tasks before rows go to their bucket; an append adds at most a file a bucket."""
+    spark = entries.sparkSession
+    n = int(spark.sql(f"DESCRIBE EXTENDED {table}").filter(F.col("col_name") == "Num Buckets").first()["data_type"])
+    cols = spark.table(table).columns
+    ok = latest_entries(entries.filter(F.col("size_bytes") <= S.CACHE_ENTRY_MAX_BYTES).select(*cols))
+    ok.repartition(n, "cache_key").write.mode("append").insertInto(table)
+    spark.catalog.refreshTable(table)
+
+
+def probe_bucketed(texts: DataFrame, table: str, model: str, as_of: Column, ttl_hours: int = S.CACHE_TTL_HOURS,
+                   text_col: str = "text", normalize_hash: bool = False) -> DataFrame:
+    """J2 over a bucketed cache: the rows of ``probe``, the cache not shuffled.
+
+    Distinct (key, content hash) pairs, combined before they move, go to the
+    cache's buckets; their answers are joined back to the texts by a shuffle
+    that splits a hot text.  The key prefixes (256 at most) are found first, so
+    that a probe of few texts reads only row groups that may hold them."""
+    spark = texts.sparkSession
+    t = texts.withColumn("cache_key", cache_key(F.col(text_col), F.lit(model))) \
+        .withColumn("_h", content_hash(F.col(text_col), normalize_hash))
+    keys = t.select("cache_key", "_h").filter(F.col("cache_key").isNotNull()).distinct()
+    prefixes = [r[0] for r in keys.select(key_prefix(F.col("cache_key"))).distinct().collect()]
+    cache = spark.table(table)
+    if len(prefixes) < 256:
+        cache = cache.filter(F.col("key_prefix").isin(prefixes))
+    fresh = latest_entries(cache).filter(ttl_valid(F.col("cached_at"), as_of, ttl_hours))
+    fresh = fresh.select("cache_key", F.col("model").alias("_model"), F.col("text_hash").alias("_hash"), F.col("embedding").alias("_emb"))
+    ok = F.coalesce((F.col("_model") == model) & (F.col("_hash") == F.col("_h")) & (F.size("_emb") > 0), F.lit(False))
+    answers = keys.join(fresh, "cache_key").select(
+        "cache_key", "_h", F.when(ok, F.lit("hit")).otherwise(F.lit("corrupt")).alias("status"), F.when(ok, F.col("_emb")).alias("embedding"))
+    out = t.drop("status", "embedding").join(answers, ["cache_key", "_h"], "left").drop("_h")
+    return out.withColumn("status", F.coalesce("status", F.lit("miss"))).select(*texts.columns, "cache_key", "status", "embedding")
+
+
 def oversize_entries(entries: DataFrame, max_bytes: int = S.CACHE_ENTRY_MAX_BYTES) -> DataFrame:
     """Entries rejected by the per-entry size cap."""
     return entries.filter(F.col("size_bytes") > max_bytes)

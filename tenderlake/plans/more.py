@@ -206,6 +206,27 @@ def cache_lifecycle(spark, sf_dir):
                                                                "text_hash", "size_bytes")
 
 
+@register("j2_bucketed_probe", O.J2_PROBE)
+def bucketed_probe(spark, sf_dir):
+    """Texts probed against a bucketed cache table, which is not shuffled."""
+    table = C.open_bucketed_cache(spark, scratch_path(spark, f"cache-{uuid.uuid4().hex}"))
+    C.append_bucketed(fx.cache_table(spark, sf_dir), table)
+    valid = fx.text_batch(spark, sf_dir).filter(~C.is_blank(F.col("text")))
+    return C.probe_bucketed(valid, table, fx.CACHE_MODEL, _as_of()).select("pos", "cache_key", "status")
+
+
+@register("m1_bucketed_upsert", O.M1_UPSERT)
+def bucketed_upsert(spark, sf_dir):
+    """M1: the entries of the misses appended to a bucketed cache table; the
+    newest version of each key is found without shuffling it."""
+    table = C.open_bucketed_cache(spark, scratch_path(spark, f"cache-{uuid.uuid4().hex}"))
+    C.append_bucketed(fx.cache_table(spark, sf_dir), table)
+    valid = fx.text_batch(spark, sf_dir).filter(~C.is_blank(F.col("text")))
+    todo = C.misses(C.probe_bucketed(valid, table, fx.CACHE_MODEL, _as_of()))
+    C.append_bucketed(C.make_entries(HashedTF(64).embed(todo, "text", "embedding"), fx.CACHE_MODEL, _as_of()), table)
+    return C.latest_entries(spark.table(table)).select("cache_key", _ts(F.col("cached_at")).alias("cached_at"), "size_bytes", "text_hash")
+
+
 # ------------------------------------------------------------------ results with their documents
 def _result_documents_sql(select: str) -> str:
     return "WITH res AS (" + O.search_sql(O.DOC_REQUESTS, "l2sq") + f"), {O.ORDER_META}, {O.CORPUS} {select}"
