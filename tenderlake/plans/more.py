@@ -227,6 +227,37 @@ def bucketed_upsert(spark, sf_dir):
     return C.latest_entries(spark.table(table)).select("cache_key", _ts(F.col("cached_at")).alias("cached_at"), "size_bytes", "text_hash")
 
 
+OBSERVED_SQL = f"""WITH {O.CACHE}, t AS (SELECT doc_id, text, lang FROM documents)
+SELECT 'add_documents' AS operation, TRUE AS success, (SELECT count(*) FROM t) AS documents,
+  (SELECT coalesce(sum(len(regexp_extract_all(text, '\\S+'))), 0)::BIGINT FROM t) AS tokens, NULL::BOOLEAN AS cache_hit,
+  (SELECT count(DISTINCT lang)::VARCHAR FROM t) AS languages
+UNION ALL SELECT 'cache_probe', TRUE, (SELECT count(*) FROM probed), NULL, (SELECT coalesce(bool_and(status = 'hit'), FALSE) FROM probed), NULL
+UNION ALL SELECT 'cache_hits', TRUE, (SELECT count(*) FROM probed WHERE status = 'hit'), NULL,
+  (SELECT count(*) > 0 FROM probed WHERE status = 'hit'), NULL
+UNION ALL SELECT 'cast_ids', FALSE, NULL, NULL, NULL, NULL"""
+
+
+@register("s12_observed_log", OBSERVED_SQL)
+def observed_log(spark, sf_dir):
+    """Operators run under observation; the log they leave holds the counts
+    of their rows, taken while they ran, and the run that failed."""
+    from tenderlake.operators.observed import ObservedLog
+    from tenderlake.plans.registry import _probed
+    base = scratch_path(spark, f"observed-{uuid.uuid4().hex}")
+    log = ObservedLog(spark, f"{base}/log")
+    docs = fx.read_table(spark, sf_dir, "documents")
+    log.run("add_documents", docs.select("doc_id", "text", "lang"), f"{base}/docs", text_col="text",
+            languages=F.size(F.collect_set("lang")))
+    probed = log.run("cache_probe", _probed(spark, sf_dir).select("pos", "status"), f"{base}/probe", hit=F.col("status") == "hit")
+    log.run("cache_hits", probed.filter(F.col("status") == "hit"), f"{base}/hits", hit=F.col("status") == "hit")
+    try:  # ids that are no numbers: the run fails in its tasks
+        log.run("cast_ids", docs.select(F.concat(F.lit("doc "), F.col("doc_id")).cast("bigint").alias("n")), f"{base}/bad")
+    except Exception:  # noqa: BLE001  (any failure of the run: it is what the log must show)
+        pass
+    return read_log(spark, f"{base}/log").select("operation", "success", "documents", "tokens", "cache_hit",
+                                                 F.col("context")["languages"].alias("languages"))
+
+
 # ------------------------------------------------------------------ results with their documents
 def _result_documents_sql(select: str) -> str:
     return "WITH res AS (" + O.search_sql(O.DOC_REQUESTS, "l2sq") + f"), {O.ORDER_META}, {O.CORPUS} {select}"
