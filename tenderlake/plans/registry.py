@@ -614,7 +614,7 @@ def index_recall_q(spark, sf_dir):
     good = written(good.select("query_id", "collection", "limit", "min_similarity", "q_vec")
                    .withColumn("ctx", F.lit(None).cast(fx.S.CONTEXT_TYPE)), "ivf-request-vectors")
     corp = written(fx.corpus(spark, sf_dir).drop("content"), "ivf-corpus-vectors")
-    index = build_index(corp, scratch_path(spark, f"ivf-{uuid.uuid4().hex}"), 64)
+    index = build_index(corp, scratch_path(spark, f"ivf-{uuid.uuid4().hex}"), 64, stored=True)
     exact = knn_candidates(good, corp, 64, SearchOptions(kernel="block", stored=True))
     r = recall_at_k(index.search(good, k=10), exact)
     n = index.rows.agg(F.count(F.lit(1)).alias("indexed"))
