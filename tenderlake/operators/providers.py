@@ -12,6 +12,7 @@ estimates what a table of texts would cost.
 
 from __future__ import annotations
 
+import hashlib
 from typing import Callable
 
 import numpy as np
@@ -111,19 +112,27 @@ class ArrowProvider(Provider):
         return df.mapInArrow(run, schema)
 
 
+#: Words whose buckets a worker remembers.
+BUCKET_WORDS = 1 << 17
+_BUCKETS: dict[str, int] = {}
+
+
+def _word_bucket(word: str) -> int:
+    """First 32 bits of the word's md5."""
+    if len(_BUCKETS) >= BUCKET_WORDS:
+        _BUCKETS.clear()
+    b = _BUCKETS[word] = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16)
+    return b
+
+
 def hashed_tf_numpy(texts: list, dim: int = 64) -> np.ndarray:
     """The hashed term-frequency vectors of ``HashedTF`` computed in numpy
     (a stand-in for a user model behind ``ArrowProvider``)."""
-    import hashlib
-    import re
-    ws = re.compile(r"\s+")
     out = np.zeros((len(texts), dim), dtype=np.float32)
+    known = _BUCKETS.get
     for i, t in enumerate(texts):
-        counts = np.zeros(dim, dtype=np.int64)
-        for w in ws.split((t or "").lower()):
-            if w:
-                counts[int(hashlib.md5(w.encode("utf-8")).hexdigest()[6:8], 16) % dim] += 1
-        norm = float(np.sqrt(float((counts * counts).sum())))
-        if norm > 0:
-            out[i] = (counts.astype(np.float64) / norm).astype(np.float32)
+        found = [known(w) or _word_bucket(w) for w in (t or "").lower().split()]
+        if found:
+            counts = np.bincount(np.array(found, dtype=np.int64) % dim, minlength=dim)
+            out[i] = (counts / np.sqrt(float((counts * counts).sum()))).astype(np.float32)
     return out

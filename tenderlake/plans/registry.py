@@ -29,6 +29,7 @@ from tenderlake.plans import oracle as O
 from tenderlake.operators.blocks import checked_broadcast
 from tenderlake.session import ensure_checkpoint_dir, scratch_path, written
 from tenderlake.sources import fixtures as fx
+from tenderlake.sources.tables import spread
 
 Job = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Job, str | None]] = {}
@@ -610,10 +611,14 @@ def index_recall_q(spark, sf_dir):
     by every document request, against the exact candidates (recall 0.95 or more)."""
     from tenderlake.operators.ann import recall_at_k
     from tenderlake.operators.ivf import build_index
-    good, _ = prepare_requests(fx.document_queries(spark, sf_dir), HashedTF())
+    from tenderlake.operators.providers import ArrowProvider, hashed_tf_numpy
+    model = ArrowProvider(hashed_tf_numpy, 64, "hashed-tf-64-numpy")
+    good, _ = prepare_requests(fx.document_queries(spark, sf_dir), model)
     good = written(good.select("query_id", "collection", "limit", "min_similarity", "q_vec")
                    .withColumn("ctx", F.lit(None).cast(fx.S.CONTEXT_TYPE)), "ivf-request-vectors")
-    corp = written(fx.corpus(spark, sf_dir).drop("content"), "ivf-corpus-vectors")
+    docs = fx.corpus(spark, sf_dir, embedding="none")
+    docs = spread(docs, fx.read_table(spark, sf_dir, "documents"), "doc_id")
+    corp = written(model.embed(docs, "content").drop("content"), "ivf-corpus-vectors")
     index = build_index(corp, scratch_path(spark, f"ivf-{uuid.uuid4().hex}"), 64, stored=True)
     exact = knn_candidates(good, corp, 64, SearchOptions(kernel="block", stored=True))
     r = recall_at_k(index.search(good, k=10), exact)
