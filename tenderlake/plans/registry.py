@@ -616,9 +616,11 @@ def index_recall_q(spark, sf_dir):
     good, _ = prepare_requests(fx.document_queries(spark, sf_dir), model)
     good = written(good.select("query_id", "collection", "limit", "min_similarity", "q_vec")
                    .withColumn("ctx", F.lit(None).cast(fx.S.CONTEXT_TYPE)), "ivf-request-vectors")
-    docs = fx.corpus(spark, sf_dir, embedding="none")
-    docs = spread(docs, fx.read_table(spark, sf_dir, "documents"), "doc_id")
-    corp = written(model.embed(docs, "content").drop("content"), "ivf-corpus-vectors")
+    docs = fx.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    vectors = model.embed(spread(docs, docs, "doc_id"), "text").drop("text")
+    # the join with the metadata moves vectors, not texts
+    corp = fx.corpus_from(spark, sf_dir, vectors.withColumnRenamed("embedding", "text"), embedding="none")
+    corp = written(corp.withColumnRenamed("content", "embedding"), "ivf-corpus-vectors")
     index = build_index(corp, scratch_path(spark, f"ivf-{uuid.uuid4().hex}"), 64, stored=True)
     exact = knn_candidates(good, corp, 64, SearchOptions(kernel="block", stored=True))
     r = recall_at_k(index.search(good, k=10), exact)
