@@ -10,8 +10,9 @@ that may repeat inside a match are first replaced by one private sign, which
 keeps all lengths.
 
 Disclosure.  A base span's normalised value is a protected entity e, a word of
-letters next to it (within ``CONTEXT`` code points, up to the next match of
-the kind) a term t of its context.  Over the documents of the corpus, with
+letters anywhere in its document, outside the matches of its kind, a term t of
+its context (with ``context`` less than ``CONTEXT``: within so many code points,
+up to the next match of the kind).  Over the documents of the corpus, with
 counts d: the entity's information is IC(e) = log(N / d(e)); the term tells
 PMI(t, e) = log(N d(t, e) / (d(t) d(e))) of it, where d(t, e) are documents
 with t in a context of e and d(t) those with t anywhere.  Pairs of at least
@@ -20,8 +21,10 @@ entity: the term's places in the contexts of e become spans ``generalise`` (a
 class name stands for the word) or, from ``remove`` on, ``remove``.
 
 Scale: entities of fewer documents than ``support`` have no pairs and are left
-out before contexts become rows; d(t) is one word count with map-side
-combination; everything else is as large as the matches.  Nothing is
+out before contexts become rows; a document's terms become rows once an entity,
+repeats left out, and places are sought only of terms that disclose; d(t) is one
+word count with map-side combination; everything else is as large as the matches
+and the texts that hold them.  Nothing is
 collected, no group is gathered but a document's own spans.
 
 Defined results: a null text counts as empty; null ids and repeated rows give
@@ -42,7 +45,8 @@ KINDS = ("email", "ip", "card", "phone")
 ADDED = ("generalise", "remove")
 MIN_CARD, MAX_CARD, MIN_PHONE, MAX_PHONE = 16, 19, 8, 15
 
-CONTEXT = 60
+#: From this context on the whole document is looked at.
+CONTEXT = 1 << 30
 SUPPORT = 3
 GENERALISE, REMOVE = 0.7, 0.9
 
@@ -75,6 +79,9 @@ def _phone(text: Column) -> tuple[Column, Column, str]:
     return F.contains(text, F.lit("+")), text, r"\+[0-9][\x20().0-9-]+[0-9]"
 
 
+RULES = (_email, _ip, _card, _phone)
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -107,16 +114,20 @@ def _placed(kind: int, values: Column, gaps: Column, context: int) -> Column:
 
 def matches(texts: DataFrame, context: int) -> DataFrame:
     """``texts`` (doc_id, text) with a number ``rid`` and the raw matches of
-    all kinds, each with the gap before it and its contexts."""
+    all kinds, each with the gap before it and its contexts; where the whole
+    document is the context, its text stays if a match is valid."""
     df = texts.select(F.monotonically_increasing_id().alias("rid"), "*")
     found = []
-    for kind, rule in enumerate((_email, _ip, _card, _phone)):
+    near = 0 if context >= CONTEXT else context
+    for kind, rule in enumerate(RULES):
         may, text, pattern = rule(F.col("text"))
         m, g, t = f"m{kind}", f"g{kind}", f"t{kind}"
         df = df.withColumn(t, F.when(may, text)).withColumn(m, F.regexp_extract_all(F.col(t), F.lit(pattern), F.lit(0)))
         df = df.withColumn(g, F.when(F.size(m) > 0, F.split(F.col(t), pattern, -1)))
-        found.append(_placed(kind, F.col(m), F.col(g), context))
-    return df.select("rid", "doc_id", F.concat(*found).alias("found"))
+        found.append(_placed(kind, F.col(m), F.col(g), near))
+    df = df.select("rid", "doc_id", "text", F.concat(*found).alias("found"))
+    holds = F.exists("found", lambda x: _valid(x["kind"], x["value"]))
+    return df.select("rid", "doc_id", "found", F.when(holds & F.lit(context >= CONTEXT), F.col("text")).alias("text"))
 
 
 def base_spans(found: DataFrame) -> DataFrame:
@@ -144,11 +155,54 @@ def _context_terms(side: str, origin: Column, length: Column, cut_left: Column,
         (origin + x["at"] + F.length(F.regexp_extract(x["word"], TERM, 1)) + F.length(F.regexp_extract(x["word"], TERM, 2))).alias("end")))
 
 
+def _often(spans: DataFrame, support: int) -> DataFrame:
+    return spans.groupBy("entity").agg(F.countDistinct("rid").alias("d_e")).filter(F.col("d_e") >= support)
+
+
+def gaps(found: DataFrame, held: DataFrame) -> DataFrame:
+    """A row a document and kind of ``held`` (rid, kind): the text between the
+    kind's matches, and the lengths of these."""
+    rows = found.select("rid", "found", "text").join(held, "rid")
+    sizes = F.transform(F.filter("found", lambda x: x["kind"] == F.col("kind")), lambda x: F.length(x["value"]))
+    parts = F.lit(None)
+    for kind, rule in enumerate(RULES):
+        _, text, pattern = rule(F.col("text"))
+        parts = F.when(F.col("kind") == kind, F.split(text, pattern, -1)).otherwise(parts)
+    return rows.select("rid", "kind", parts.alias("gaps"), sizes.alias("sizes"))
+
+
+def document_terms(parts: DataFrame, entities: DataFrame) -> DataFrame:
+    """A row a term in a document of an entity (rid, kind, entity, d_e): rid,
+    entity, d_e, term; repeats left out."""
+    words = F.flatten(F.transform("gaps", lambda g: F.regexp_extract_all(g, F.lit(WORD), F.lit(0))))
+    terms = F.array_distinct(F.transform(F.array_distinct(words), _term))
+    return (parts.select("rid", "kind", terms.alias("terms")).join(entities, ["rid", "kind"])
+            .select("rid", "entity", "d_e", F.explode("terms").alias("term")).filter("term <> ''"))
+
+
+def term_places(parts: DataFrame, told: DataFrame) -> DataFrame:
+    """The places of the terms of ``told`` (rid, kind, term, action): rid, kind
+    number of the span, start, end."""
+    before = lambda *by: Window.partitionBy("rid", "kind", *by).orderBy("i" if not by else "j").rowsBetween(Window.unboundedPreceding, -1)
+    rows = parts.join(told.select("rid", "kind").distinct(), ["rid", "kind"], "left_semi")
+    rows = rows.select("rid", "kind", "sizes", F.posexplode("gaps").alias("i", "gap"))
+    size = F.length("gap") + F.coalesce(F.get("sizes", F.col("i")), F.lit(0))
+    rows = rows.withColumn("size", size).withColumn("at", F.coalesce(F.sum("size").over(before()), F.lit(0)))
+    words, spaces = F.regexp_extract_all("gap", F.lit(WORD), F.lit(0)), F.split("gap", WORD, -1)
+    rows = rows.select("rid", "kind", "i", "at", words.alias("words"), spaces.alias("spaces"))
+    rows = rows.select("rid", "kind", "i", "at", "spaces", F.posexplode("words").alias("j", "word"))
+    rows = rows.select("rid", "kind", "i", "at", "j", "word", F.length(F.get("spaces", F.col("j"))).alias("space"))
+    past = F.coalesce(F.sum(F.col("space") + F.length("word")).over(before("i")), F.lit(0))
+    start = (F.col("at") + past + F.col("space") + F.length(F.regexp_extract("word", TERM, 1))).cast("bigint")
+    rows = rows.select("rid", "kind", _term(F.col("word")).alias("term"), start.alias("start"), (start + F.length(F.regexp_extract("word", TERM, 2))).alias("end"))
+    return (rows.filter("term <> ''").join(told, ["rid", "kind", "term"]).groupBy("rid", "start", "end").agg(F.max("action").alias("kind"))
+            .select("rid", "kind", "start", "end"))
+
+
 def contexts(spans: DataFrame, support: int, context: int) -> DataFrame:
     """A row a term in the context of an entity of ``support`` documents: rid,
     entity, d_e, term, start, end."""
-    often = spans.groupBy("entity").agg(F.countDistinct("rid").alias("d_e")).filter(F.col("d_e") >= support)
-    near = spans.join(often, "entity")
+    near = spans.join(_often(spans, support), "entity")
     left = _context_terms("before", F.col("start") - F.length("before"), F.length("before"), F.col("gap") > context, F.lit(False))
     right = _context_terms("after", F.col("end"), F.length("after"), F.lit(False), F.col("next") > context)
     return near.select("rid", "entity", "d_e", F.explode(F.concat(left, right)).alias("x")).select("rid", "entity", "d_e", "x.*")
@@ -173,8 +227,15 @@ def find_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), as_text(text_col).alias("text"))
     found = written(matches(texts, context), "pii-matches")
     base = written(base_spans(found), "pii-spans")
+    shares = {"support": support, "generalise": generalise, "remove": remove}
+    if context >= CONTEXT:
+        entities = written(base.select("rid", "kind", "entity").distinct().join(_often(base, support), "entity"), "pii-entities")
+        parts = written(gaps(found, entities.select("rid", "kind").distinct()), "pii-gaps")
+        told = written(disclosures(texts, document_terms(parts, entities), found.count(), **shares), "pii-disclosures")
+        wanted = written(told.join(entities, "entity").groupBy("rid", "kind", "term").agg(F.max("action").alias("action")), "pii-wanted")
+        return found.select("rid", "doc_id"), base.select("rid", "kind", "start", "end").unionByName(term_places(parts, wanted))
     near = written(contexts(base, support, context), "pii-contexts")
-    told = written(disclosures(texts, near, found.count(), support=support, generalise=generalise, remove=remove), "pii-disclosures")
+    told = written(disclosures(texts, near, found.count(), **shares), "pii-disclosures")
     added = (near.join(told.select("term", "entity", "action"), ["term", "entity"]).groupBy("rid", "start", "end").agg(F.max("action").alias("kind"))
              .select("rid", "kind", "start", "end"))
     return found.select("rid", "doc_id"), base.select("rid", "kind", "start", "end").unionByName(added)

@@ -164,3 +164,12 @@ def test_an_entity_in_all_documents_discloses_nothing(spark, n):
 def test_extra_columns_and_order(spark):
     df = same(spark, [(1, "b a@b.c 1.2.3.4 a@b.c")])
     assert sanitise(df.withColumn("text", F.lit(None).cast("string"))).first().spans == ""
+
+
+def test_terms_far_from_the_entity_are_looked_at(spark):
+    far = " ".join(["plain filler"] * 400)
+    texts = [f"zanzibarro {far} bob@y.org then jane@x.org {far} quillfeather."] * 4 + [far] * 40
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    for r in sanitise(df).collect():
+        places = {texts[r.doc_id][int(a):int(b)] for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "remove"}
+        assert places == ({"zanzibarro", "quillfeather", "then"} if r.doc_id < 4 else set())
