@@ -333,11 +333,11 @@ def applied_filters(ctx: Column, filters: dict | None = None) -> Column:
 
 def export_results(results: DataFrame, path: str | None = None) -> DataFrame:
     """Results with their derived fields as one JSON document per row;
-    written as JSON lines when ``path`` is given."""
+    written as compressed JSON lines when ``path`` is given."""
     out = results.select("query_id", "rank", F.to_json(F.struct(*[F.col(c) for c in results.columns]))
                          .alias("json"))
     if path:
-        out.select("json").write.mode("overwrite").text(path)
+        out.select("json").write.mode("overwrite").option("compression", "gzip").text(path)
     return out
 
 
