@@ -7,11 +7,14 @@ per element).  Sums run left to right in double precision.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tenderlake.functions.text import token_bucket, words
-
 METRICS = ("l2sq", "l2", "cosine", "ip")
 
 
@@ -80,48 +83,53 @@ def distance(metric: str, q: Column, v: Column, dim: int,
     raise ValueError(f"unknown metric {metric!r}; expected one of {METRICS}")
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+#: White space of Python's ``str.split`` that Java's ``(?U)\\s`` leaves in words.
+_NO_SPACE = re.compile("[\x1c-\x1f]")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Words whose buckets a worker remembers.
+BUCKET_WORDS = 1 << 17
+_BUCKETS: dict[str, int] = {}
 
-    Expressions referenced inside a lambda are re-evaluated per element;
-    binding them through a one-element ``transform`` evaluates them once.
-    """
-    return F.transform(F.array(value), body).getItem(0)
 
+def _word_bucket(word: str) -> int:
+    """First 32 bits of the word's md5."""
+    if len(_BUCKETS) >= BUCKET_WORDS:
+        _BUCKETS.clear()
+    b = _BUCKETS[word] = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16)
+    return b
 
-def hashed_tf(text: Column, n_buckets: int = 64) -> Column:
-    """Dense L2-normalised term-frequency vector of hashed lower-case words.
 
-    Per row and shuffle-free.  Words are hashed to buckets once (one lambda
-    call per word); the count of each bucket present is ``size(b) -
-    size(array_remove(b, k))``, a native scan, so the per-word cost is the
-    hash and the per-document cost adds one native pass per distinct bucket.
-    """
-    buckets = F.transform(words(F.lower(F.coalesce(text, F.lit("")))),
-                          lambda w: token_bucket(w, n_buckets))
+def _words(text: str) -> list[str]:
+    """The words of ``functions.text.words``."""
+    if _NO_SPACE.search(text):
+        return [w for w in _SPACE.split(text) if w]
+    return text.split()
 
-    def with_buckets(b: Column) -> Column:
-        n = F.size(b)
 
-        def with_keys(ks: Column) -> Column:
-            # counts of the buckets present only (native scans of b)
-            counts = F.transform(ks, lambda k: n - F.size(F.array_remove(b, k)))
+def tf_vectors(texts, dim: int) -> np.ndarray:
+    """Hashed term frequencies of each text (a list of words), of length 1."""
+    out = np.zeros((len(texts), dim), dtype=np.float32)
+    known = _BUCKETS.get
+    for i, words in enumerate(texts):
+        found = [*map(known, words)]
+        if None in found:
+            found = [_word_bucket(w) if b is None else b for w, b in zip(words, found, strict=True)]
+        if found:
+            counts = np.bincount(np.array(found, dtype=np.int64) % dim, minlength=dim)
+            out[i] = (counts / np.sqrt(float((counts * counts).sum()))).astype(np.float32)
+    return out
 
-            def with_counts(c: Column) -> Column:
-                norm = F.sqrt(F.aggregate(c, F.lit(0).cast("bigint"),
-                                          lambda acc, x: acc + (x * x).cast("bigint")).cast("double"))
 
-                def dense(mc: Column) -> Column:
-                    m, nr = mc["m"], mc["nr"]
-                    return F.transform(
-                        F.sequence(F.lit(0), F.lit(n_buckets - 1)),
-                        lambda i: F.when(nr > 0, F.coalesce(F.try_element_at(m, i), F.lit(0))
-                                         .cast("double") / nr).otherwise(F.lit(0.0)).cast("float"))
-
-                return let(F.struct(F.map_from_arrays(ks, c).alias("m"), norm.alias("nr")), dense)
-
-            return let(counts, with_counts)
+def hashed_tf(text: Column, n_buckets: int = 64) -> Column:
+    """Dense L2-normalised term-frequency vector of hashed lower-case words.
 
-        return let(F.array_distinct(b), with_keys)
+    Per row and shuffle-free, over Arrow batches: a word's md5 is computed once
+    a worker and then remembered.
+    """
+    @F.arrow_udf("array<float>")
+    def vectors(texts: pa.Array) -> pa.Array:
+        parts = [tf_vectors([_words(t) for t in texts.slice(at, 256).to_pylist()], n_buckets) for at in range(0, len(texts), 256)]
+        flat = np.concatenate(parts).ravel() if parts else np.zeros(0, np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * n_buckets), pa.array(flat))
 
-    return let(buckets, with_buckets)
+    return vectors(F.lower(F.coalesce(text, F.lit(""))))

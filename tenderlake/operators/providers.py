@@ -1,6 +1,6 @@
 """Embedding providers: DataFrame → DataFrame transforms adding a vector column.
 
-* ``HashedTF``     native expressions, per row, no shuffle (256 dims default)
+* ``HashedTF``     a column over Arrow batches, per row, no shuffle (64 dims default)
 * ``Precomputed``  equi-join with a vector table on a key
 * ``ArrowProvider`` a user function over Arrow batches (``mapInArrow``), for
   real embedding models; Spark tasks give the concurrency, Arrow batches the
@@ -12,7 +12,6 @@ estimates what a table of texts would cost.
 
 from __future__ import annotations
 
-import hashlib
 from typing import Callable
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import types as T
 
 from tenderlake import schemas as S
 from tenderlake.functions.text import word_count
-from tenderlake.functions.vectors import hashed_tf
+from tenderlake.functions.vectors import hashed_tf, tf_vectors
 
 
 class Provider:
@@ -112,27 +111,7 @@ class ArrowProvider(Provider):
         return df.mapInArrow(run, schema)
 
 
-#: Words whose buckets a worker remembers.
-BUCKET_WORDS = 1 << 17
-_BUCKETS: dict[str, int] = {}
-
-
-def _word_bucket(word: str) -> int:
-    """First 32 bits of the word's md5."""
-    if len(_BUCKETS) >= BUCKET_WORDS:
-        _BUCKETS.clear()
-    b = _BUCKETS[word] = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16)
-    return b
-
-
 def hashed_tf_numpy(texts: list, dim: int = 64) -> np.ndarray:
-    """The hashed term-frequency vectors of ``HashedTF`` computed in numpy
+    """The hashed term-frequency vectors of ``HashedTF`` as a function of texts
     (a stand-in for a user model behind ``ArrowProvider``)."""
-    out = np.zeros((len(texts), dim), dtype=np.float32)
-    known = _BUCKETS.get
-    for i, t in enumerate(texts):
-        found = [known(w) or _word_bucket(w) for w in (t or "").lower().split()]
-        if found:
-            counts = np.bincount(np.array(found, dtype=np.int64) % dim, minlength=dim)
-            out[i] = (counts / np.sqrt(float((counts * counts).sum()))).astype(np.float32)
-    return out
+    return tf_vectors([(t or "").lower().split() for t in texts], dim)
