@@ -72,3 +72,10 @@ def test_hashed_tf_over_arrow(spark):
     v = [r.v for r in df.collect()]
     assert [sum(c > 0 for c in x) for x in v] == [0, 0, 0, 2, 4, 2, 2] and all(len(x) == 64 for x in v)
     assert sorted(c for c in v[-1] if c) == pytest.approx([2 / 13 ** 0.5, 3 / 13 ** 0.5])
+
+
+def test_rows_that_come_twice_are_one_neighbour(spark):
+    _, req, df = tables(spark)
+    q, c = req.select("query_id", F.col("_key").alias("collection"), F.col("_qv").alias("q_vec")), df.select("doc_id", F.col("_key").alias("collection"), "embedding")
+    once, twice = (sorted(map(tuple, approx_candidates(a, b, 8, k=4).collect())) for a, b in ((q, c), (q.union(q), c.union(c))))
+    assert once == twice
