@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tenderlake.functions.vectors import hashed_tf
 from tenderlake.operators import knn_block
@@ -79,3 +81,42 @@ def test_rows_that_come_twice_are_one_neighbour(spark):
     q, c = req.select("query_id", F.col("_key").alias("collection"), F.col("_qv").alias("q_vec")), df.select("doc_id", F.col("_key").alias("collection"), "embedding")
     once, twice = (sorted(map(tuple, approx_candidates(a, b, 8, k=4).collect())) for a, b in ((q, c), (q.union(q), c.union(c))))
     assert once == twice
+
+
+def test_lanes_do_not_grow_with_the_shuffle_partitions(spark, tmp_path, monkeypatch):
+    # with 400 partitions 20,000 requests were 79 lanes before, and each had every document
+    class Copies(knn_block._Kernel):
+        def __call__(self, batches):
+            n = sum(int((rb.column("_side").to_numpy() == 1).sum()) for rb in batches)
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([1], pa.int32()), pa.array([0.0]), pa.array([0.0]), pa.array([0]), pa.array([1], pa.int32())],
+                                             schema=to_arrow_schema(self.out))
+
+    monkeypatch.setattr(knn_block, "_Kernel", Copies)
+    base = spark.range(20_000).select("id", F.lit("k").alias("_key"), F.array(F.rand(1).cast("float"), F.rand(2).cast("float")).alias("v"))
+    base.write.parquet(f"{tmp_path}/v")
+    base = spark.read.parquet(f"{tmp_path}/v")
+    req = base.select(F.col("id").alias("query_id"), "_key", F.col("v").alias("_qv"), F.lit(1).alias("limit"), F.lit(1.0).alias("min_similarity"))
+    docs = base.filter("id < 50").select(F.col("id").alias("doc_id"), "_key", F.col("v").alias("embedding"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    try:
+        copies = [r.query_id for r in block_candidates(req, docs, 2, "l2sq", 1, False).collect() if r.query_id]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    lanes = knn_block.LANES_PER_CORE * spark.sparkContext.defaultParallelism
+    assert sum(copies) <= 50 * lanes
+    assert set(copies) == {50}  # every lane has a task of its own
+
+
+def test_exact_distances_are_summed_left_to_right():
+    r = np.random.default_rng(5)
+    q, v = (r.random((3000, 64)).astype(np.float32) for _ in range(2))
+    for metric in ("l2sq", "ip"):
+        want = []
+        for a, b in zip(q.astype(float).tolist(), v.astype(float).tolist()):
+            terms = [(x - y) * (x - y) if metric == "l2sq" else x * y for x, y in zip(a, b)]
+            total = terms[0]
+            for t in terms[1:]:
+                total += t
+            want.append(total if metric == "l2sq" else 1.0 - total)
+        assert exact_distance(metric, q, v).tolist() == want
