@@ -12,6 +12,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,6 +87,10 @@ def distance(metric: str, q: Column, v: Column, dim: int,
 #: White space of Python's ``str.split`` that Java's ``(?U)\\s`` leaves in words.
 _NO_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: White space of ``_words`` beyond ASCII's, and what Python but not Spark splits at.
+_ODD_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Bytes of texts whose words are looked up together, about.
+PART_BYTES = 1 << 24
 #: Words whose buckets a worker remembers.
 BUCKET_WORDS = 1 << 17
 _BUCKETS: dict[str, int] = {}
@@ -120,15 +125,38 @@ def tf_vectors(texts, dim: int) -> np.ndarray:
     return out
 
 
+def text_vectors(texts: pa.Array, dim: int) -> np.ndarray:
+    """``tf_vectors`` of the words of texts without nulls; a word is looked up
+    once, however often the texts hold it."""
+    odd = pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False)
+    if odd.any():  # white space that Arrow does not split at
+        out = np.zeros((len(texts), dim), dtype=np.float32)
+        out[odd] = tf_vectors([_words(t) for t in texts.filter(pa.array(odd)).to_pylist()], dim)
+        if not odd.all():
+            out[~odd] = text_vectors(texts.filter(pa.array(~odd)), dim)
+        return out
+    lists = pc.ascii_split_whitespace(texts)
+    words = lists.flatten().dictionary_encode()
+    code, names = words.indices.to_numpy(), words.dictionary.to_pylist()
+    bucket = np.array([_word_bucket(w) if (b := _BUCKETS.get(w)) is None else b for w in names], dtype=np.int64) % dim
+    cell = np.repeat(np.arange(len(texts)) * dim, lists.value_lengths().to_numpy()) + bucket[code]
+    if "" in names:  # at the ends of a text
+        cell = cell[code != names.index("")]
+    counts = np.bincount(cell, minlength=len(texts) * dim).reshape(len(texts), dim)
+    norm = np.sqrt((counts * counts).sum(axis=1).astype(np.float64))
+    return (counts / np.where(norm == 0, 1.0, norm)[:, None]).astype(np.float32)
+
+
 def hashed_tf(text: Column, n_buckets: int = 64) -> Column:
     """Dense L2-normalised term-frequency vector of hashed lower-case words.
 
-    Per row and shuffle-free, over Arrow batches: a word's md5 is computed once
-    a worker and then remembered.
+    Per row and shuffle-free, over Arrow batches: a word is looked up once a part
+    of a batch, and its md5 is computed once a worker and then remembered.
     """
     @F.arrow_udf("array<float>")
     def vectors(texts: pa.Array) -> pa.Array:
-        parts = [tf_vectors([_words(t) for t in texts.slice(at, 256).to_pylist()], n_buckets) for at in range(0, len(texts), 256)]
+        step = min(4096, 1 + PART_BYTES * len(texts) // max(1, texts.nbytes))
+        parts = [text_vectors(texts.slice(at, step), n_buckets) for at in range(0, len(texts), step)]
         flat = np.concatenate(parts).ravel() if parts else np.zeros(0, np.float32)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * n_buckets), pa.array(flat))
 

@@ -224,8 +224,8 @@ def bucketed_upsert(spark, sf_dir):
     C.append_bucketed(fx.cache_table(spark, sf_dir), table)
     valid = fx.text_batch(spark, sf_dir).filter(~C.is_blank(F.col("text")))
     todo = C.misses(C.probe_bucketed(valid, table, fx.CACHE_MODEL, _as_of()))
-    C.append_bucketed(C.make_entries(HashedTF(64).embed(todo, "text", "embedding"), fx.CACHE_MODEL, _as_of()), table)
-    return C.latest_entries(spark.table(table)).select("cache_key", _ts(F.col("cached_at")).alias("cached_at"), "size_bytes", "text_hash")
+    C.append_bucketed(C.make_entries(HashedTF(64).embed(todo, "text", "embedding"), fx.CACHE_MODEL, _as_of(), key_col="cache_key"), table)
+    return C.latest_entries(spark.table(table).select("cache_key", "cached_at", "size_bytes", "text_hash")).select("cache_key", _ts(F.col("cached_at")).alias("cached_at"), "size_bytes", "text_hash")
 
 
 OBSERVED_SQL = f"""WITH {O.CACHE}, t AS (SELECT doc_id, text, lang FROM documents)

@@ -2,10 +2,13 @@
 
 import datetime as dt
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tenderlake import schemas as S
+from tenderlake.functions.vectors import _words, text_vectors, tf_vectors
 from tenderlake.operators import cache as C
 
 T0 = dt.datetime(2024, 1, 1)
@@ -77,3 +80,55 @@ def test_reopened_in_another_session(spark, tmp_path):
     assert spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Num Buckets'").first()["data_type"] == "5"
     empty = spark.createDataFrame([], "pos bigint, text string")
     assert C.probe_bucketed(empty, name, "m", F.lit(AS_OF).cast("timestamp")).count() == 0
+
+
+def counting(path):
+    """A column of texts that passes its rows on and leaves their number at ``path``."""
+    @F.arrow_udf("string")
+    def same(texts: pa.Array) -> pa.Array:
+        with open(path, "a") as f:
+            f.write(f"{len(texts)}\n")
+        return texts
+
+    return same
+
+
+def test_texts_are_hashed_once(spark, table, tmp_path):
+    C.append_bucketed(entries(spark, [("t1", T0)]), table)
+    texts = spark.createDataFrame([(i, f"t{i % 9}") for i in range(60)], "pos bigint, text string")
+    seen = f"{tmp_path}/seen"
+    got = C.probe_bucketed(texts.withColumn("text", counting(seen)("text")), table, "m", F.lit(AS_OF).cast("timestamp")).collect()
+    assert sorted(r.pos for r in got if r.status == "hit") == [i for i in range(60) if i % 9 == 1]
+    assert sum(int(x) for x in open(seen)) == 60
+
+
+def test_vectors_are_computed_once(spark, table, tmp_path):
+    """The size cap reads the size of the vectors."""
+    seen = f"{tmp_path}/seen"
+    texts = spark.createDataFrame([(f"t{i}",) for i in range(40)] + [("x" * (S.CACHE_ENTRY_MAX_BYTES + 1),)], "text string")
+    vectors = F.transform(F.array(counting(seen)("text")), lambda x: F.length(x).cast("float"))
+    new = C.make_entries(texts.withColumn("embedding", vectors), "m", F.lit(AS_OF).cast("timestamp"))
+    C.append_bucketed(new, table)
+    assert sorted(r.text for r in spark.table(table).collect()) == sorted(f"t{i}" for i in range(40))
+    assert sum(int(x) for x in open(seen)) == 41
+
+
+def test_an_older_version_stays_where_the_newest_is_too_large(spark, table):
+    both = entries(spark, [("a", T0), ("a", T0 + dt.timedelta(hours=1)), ("b", T0), (None, T0)])
+    late = F.col("cached_at") > F.lit(T0)
+    C.append_bucketed(both.withColumn("size_bytes", F.when(late, S.CACHE_ENTRY_MAX_BYTES + 1).otherwise(F.col("size_bytes"))), table)
+    assert sorted((str(r.text), r.cached_at) for r in spark.table(table).collect()) == [("a", T0), ("b", T0)]
+
+
+def test_known_keys_are_kept(spark):
+    texts = spark.createDataFrame([("k", "a  b")], "known string, text string").withColumn("embedding", F.array(F.lit(1.0).cast("float")))
+    of = lambda **kw: C.make_entries(texts, "m", F.lit(AS_OF).cast("timestamp"), **kw).first()
+    assert of(key_col="known").cache_key == "k" and of(key_col="known").key_prefix == "k" and len(of().cache_key) == 64
+
+
+def test_vectors_of_arrow_texts_equal_those_of_word_lists():
+    texts = ["", " ", "a b  a\tc\n", "é ß x", "a\x1cb a", "a\xa0b\u3000c\u200bd", "\x85", "one", "  two words "] * 3
+    for dim in (7, 64):
+        new, old = text_vectors(pa.array(["skipped", *texts], pa.string()).slice(1), dim), tf_vectors([_words(t) for t in texts], dim)
+        assert new.dtype == old.dtype and np.array_equal(new, old)
+    assert text_vectors(pa.array([], pa.string()), 64).shape == (0, 64)
